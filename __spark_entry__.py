@@ -436,3 +436,345 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
     return {q.__name__: q for q in REGISTERED}
+
+
+# ---------------------------------------------------------------- the same in SQL
+
+_SEQ = r"upper(regexp_replace(text, '[^\x00-\x7F]|[\r\n]', '', 'g'))"
+
+# Named pieces of SQL. Each may use those above it.
+_PARTS = {
+    "refs": f"SELECT doc_id AS ref_id, {_SEQ} AS sequence FROM documents",
+    "q": f"SELECT item_id AS query_id, {_SEQ} AS sequence, length({_SEQ})::INTEGER AS length FROM benchmark",
+    "split_text": r"""
+        SELECT doc_id AS ref_id, [x FOR x IN string_split(
+            upper(regexp_replace(text, '[^\x00-\x7F]|\r', '', 'g')), chr(10)) IF x <> ''] AS parts
+        FROM documents""",
+    "lines": """
+        SELECT ref_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
+        FROM split_text""",
+    "located": """
+        SELECT ref_id, line_no, line, length(line)::INTEGER AS size,
+               (sum(length(line)) OVER (PARTITION BY ref_id ORDER BY line_no) - length(line))::BIGINT AS "offset"
+        FROM lines""",
+    # Every 128th position with what its k-mers need; slicing a short text is much faster.
+    "pieces": """
+        SELECT ref_id, p, substr(sequence, p + 1, 128 + 10) AS piece
+        FROM (SELECT *, unnest(range(0, length(sequence), 128)) AS p FROM refs)""",
+    "rk": """
+        SELECT ref_id, p + o AS "offset", substr(piece, o + 1, 11) AS seq
+        FROM (SELECT ref_id, p, piece, unnest(range(0, length(piece) - 10)) AS o FROM pieces)
+        WHERE substr(piece, o + 1, 11) <> repeat('N', 11)""",
+    "lists": """
+        SELECT seq, ref_id, "offset" // 1000 AS block, count(*) AS n,
+               '[' || string_agg("offset", ',' ORDER BY "offset") || ']' AS value
+        FROM rk GROUP BY ALL""",
+    "qk": """
+        SELECT query_id, substr(sequence, o + 1, 11) AS seq, (length - 1 - o)::INTEGER AS despl
+        FROM (SELECT *, unnest(range(0, length - 10)) AS o FROM q)
+        WHERE substr(sequence, o + 1, 11) <> repeat('N', 11)""",
+    "seeds": """
+        SELECT query_id, ref_id, "offset" + despl AS end_pos FROM qk JOIN rk USING (seq)""",
+    "diag": """
+        SELECT query_id, ref_id, end_pos, count(*) AS hits FROM seeds GROUP BY ALL""",
+    "cand": "SELECT * FROM diag WHERE hits > 15",
+    "blocks": """
+        SELECT ref_id, b AS blockid, b * 1000 AS "offset",
+               least(1000, length(sequence) - b * 1000)::INTEGER AS size,
+               substr(sequence, b * 1000 + 1, 1000) AS value
+        FROM (SELECT *, unnest(range(0, (length(sequence) + 999) // 1000)) AS b FROM refs)""",
+}
+
+_ORDER = list(_PARTS)
+
+
+def _with(*names: str, extra: str = "", recursive: bool = False) -> str:
+    """WITH clause of all pieces up to the last one named that the query may need."""
+    needs = {
+        "lines": ["split_text"], "located": ["split_text", "lines"], "pieces": ["refs"], "rk": ["refs", "pieces"],
+        "lists": ["refs", "pieces", "rk"], "qk": ["q"], "seeds": ["refs", "q", "pieces", "rk", "qk"],
+        "diag": ["refs", "q", "pieces", "rk", "qk", "seeds"], "blocks": ["refs"],
+        "cand": ["refs", "q", "pieces", "rk", "qk", "seeds", "diag"],
+    }
+    wanted = set(names).union(*(needs.get(n, []) for n in names))
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({_PARTS[n]})" for n in _ORDER if n in wanted)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{', ' + extra if extra else ''} "
+
+
+def _sum_md5(text: str) -> str:
+    return f"sum(('0x' || substr(md5({text}), 1, 8))::BIGINT)::BIGINT"
+
+
+def _digest_sql(ctes: str, source: str) -> str:
+    return ctes + f"""
+        SELECT ref_id, count(*) AS kmers, min("offset") AS first_offset, max("offset") AS last_offset,
+               {_sum_md5("seq || ':' || " + '"offset"')} AS checksum
+        FROM {source} GROUP BY ref_id"""
+
+
+def _placed_sql(threshold: int, extension: int = 0) -> str:
+    """Windows cut from whole sequences, of all diagonals above ``threshold``."""
+    left, right = extension // 2, extension - extension // 2
+    return f"""
+        spans AS MATERIALIZED (
+            SELECT query_id, ref_id, end_pos, hits, q.sequence AS query, refs.sequence AS ref,
+                   end_pos - length + 1 - {left} AS lo, end_pos + {right} AS hi
+            FROM diag JOIN q USING (query_id) JOIN refs USING (ref_id) WHERE hits > {threshold}),
+        win AS MATERIALIZED (
+            SELECT query_id, ref_id, end_pos, hits, query, greatest(lo, 0) AS ref_start,
+                   least(hi, length(ref) - 1) AS ref_end, greatest(-lo, 0) AS lead,
+                   (lo < 0 OR hi > length(ref) - 1) AS overhang,
+                   rpad(substr(ref, greatest(lo, 0) + 1, hi - greatest(lo, 0) + 1),
+                        (hi - greatest(lo, 0) + 1)::INTEGER, ' ') AS "window"
+            FROM spans)"""
+
+
+def _aligned_sql(pairs: str) -> str:
+    """Alignment of ``(id, a, b)`` rows cell by cell: matrix, ways back, path, result."""
+    return f"""
+        pairs AS MATERIALIZED ({pairs}),
+        matrix AS (
+            SELECT id, 0 AS i, unnest(range(0, length(b))) AS j, -3 * unnest(range(0, length(b))) AS v
+            FROM pairs
+            UNION ALL
+            SELECT id, i + 1, j, max(t + 3 * j) OVER (PARTITION BY id ORDER BY j) - 3 * j
+            FROM (
+                SELECT m.id, i, j, CASE WHEN j = 0 THEN -3 * (i + 1) ELSE greatest(
+                    v - 3,
+                    lag(v) OVER (PARTITION BY m.id ORDER BY j)
+                        + CASE WHEN substr(a, (i + 2)::BIGINT, 1) = substr(b, j + 1, 1) THEN 2 ELSE -1 END
+                ) END AS t
+                FROM matrix m JOIN pairs USING (id) WHERE i + 1 < length(a))),
+        cells AS (
+            SELECT id, i, j, lag(v) OVER (PARTITION BY id, i ORDER BY j) AS west,
+                   lag(v) OVER (PARTITION BY id, j ORDER BY i) AS north,
+                   lag(v) OVER (PARTITION BY id, i - j ORDER BY i) AS slant
+            FROM matrix),
+        ways AS MATERIALIZED (
+            SELECT id, i, string_agg(CASE WHEN slant >= west AND slant >= north THEN 'S'
+                                          WHEN west >= north THEN 'W' ELSE 'N' END, '' ORDER BY j) AS way
+            FROM cells WHERE i > 0 AND j > 0 GROUP BY id, i),
+        path AS (
+            SELECT id, 0 AS step, length(a) - 1 AS i, length(b) - 1 AS j,
+                   substr(a, length(a), 1) AS x, substr(b, length(b), 1) AS y
+            FROM pairs
+            UNION ALL
+            SELECT id, step + 1, i2, j2, CASE WHEN w = 'W' THEN '-' ELSE substr(a, i2 + 1, 1) END,
+                   CASE WHEN w = 'N' THEN '-' ELSE substr(b, j2 + 1, 1) END
+            FROM (
+                SELECT p.id, step, a, b, substr(way, p.j, 1) AS w,
+                       p.i - (substr(way, p.j, 1) <> 'W')::BIGINT AS i2,
+                       p.j - (substr(way, p.j, 1) <> 'N')::BIGINT AS j2
+                FROM path p JOIN pairs USING (id) JOIN ways ON ways.id = p.id AND ways.i = p.i
+                WHERE p.i > 0 AND p.j > 0)),
+        aligned AS MATERIALIZED (
+            SELECT id, count(*) FILTER (x = y) / count(*) AS score,
+                   string_agg(x, '' ORDER BY step DESC) AS aligned_ref,
+                   string_agg(y, '' ORDER BY step DESC) AS aligned_query
+            FROM path GROUP BY id)"""
+
+
+def _alignments_sql(threshold: int = 15, more: str = "") -> str:
+    number = """numbered AS MATERIALIZED (
+        SELECT *, row_number() OVER (ORDER BY query_id, ref_id, end_pos) AS id FROM win)"""
+    steps = ", ".join([
+        _placed_sql(threshold), number, _aligned_sql('SELECT id, "window" AS a, query AS b FROM numbered')
+    ])
+    return _with("diag", extra=steps + more, recursive=True)
+
+
+_ALIGNMENT_COLUMNS = """
+    SELECT query_id, ref_id, end_pos, hits, ref_start, ref_end, round(score, 6) AS score,
+           aligned_ref, aligned_query
+    FROM numbered JOIN aligned USING (id)"""
+
+
+def _extended_sql() -> str:
+    """Windows with three more characters on both sides; the best cuts among 0..3 of each end."""
+    steps = ", ".join([
+        _placed_sql(15, 6),
+        """numbered AS MATERIALIZED (
+            SELECT *, 16 * row_number() OVER (ORDER BY query_id, ref_id, end_pos) + 4 * h + t AS id
+            FROM win, range(0, 4) hs(h), range(0, 4) ts(t))""",
+        _aligned_sql("""SELECT id, substr("window", h + 1, length("window") - h - t) AS a, query AS b
+                        FROM numbered"""),
+        """scored AS MATERIALIZED (SELECT * FROM numbered JOIN aligned USING (id)),
+        heads AS (SELECT query_id, ref_id, end_pos, arg_min(h, (-score, h)) AS h
+                  FROM scored WHERE t = 0 GROUP BY ALL),
+        tails AS (SELECT query_id, ref_id, end_pos, arg_min(t, (-score, t)) AS t
+                  FROM scored WHERE h = 0 GROUP BY ALL)""",
+    ])
+    return _with("diag", extra=steps, recursive=True) + """
+        SELECT query_id, ref_id, end_pos, hits, ref_start + h AS ref_start,
+               least(ref_start + length("window") - 1 - t, ref_end) AS ref_end,
+               round(score, 6) AS score, aligned_ref, aligned_query
+        FROM scored JOIN heads USING (query_id, ref_id, end_pos, h)
+                    JOIN tails USING (query_id, ref_id, end_pos, t)
+        WHERE score > 0.7"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for DuckDB with the same results as :func:`queries`."""
+    seed_columns = "SELECT query_id, ref_id, end_pos FROM seeds"
+    candidate_columns = "SELECT query_id, ref_id, end_pos, hits FROM cand"
+    numbered_lines = """
+        SELECT row_number() OVER (ORDER BY ref_id, line_no) AS query_id, line AS sequence,
+               length(line)::INTEGER AS length
+        FROM lines WHERE line_no > 0"""
+    next_line = "lead(line) OVER (PARTITION BY ref_id ORDER BY line_no)"
+    block_columns = 'SELECT ref_id, blockid, "offset", size, value FROM blocks'
+    window_columns = """SELECT query_id, ref_id, end_pos, hits, ref_start, ref_end, overhang, "window" FROM win"""
+    good = _alignments_sql() + _ALIGNMENT_COLUMNS + " WHERE score > 0.7"
+    summary = """
+        SELECT (SELECT count(*) FROM q) AS queries, (SELECT count(*) FROM qk) AS query_keys,
+               sum(hits)::BIGINT AS seed_hits, count(*) AS diagonals,
+               count(*) FILTER (hits > 15) AS candidates FROM diag"""
+    in_lines = """lk AS MATERIALIZED (
+        SELECT ref_id, "offset" + o AS "offset", substr(line, o + 1, 11) AS seq
+        FROM (SELECT *, unnest(range(0, length(line) - 10)) AS o FROM located)
+        WHERE substr(line, o + 1, 11) <> repeat('N', 11))"""
+    page_refs = f"SELECT page_id AS ref_id, {_SEQ.replace('text', 'html')} AS sequence FROM pages"
+    twenty_one = {"11": "21", "10": "20"}
+
+    def wider(sql: str) -> str:
+        for a, b in twenty_one.items():
+            sql = sql.replace(f" {a})", f" {b})")
+        return sql
+
+    return {
+        "normalized_sequences": _with("refs")
+        + "SELECT ref_id, sequence, length(sequence)::INTEGER AS size FROM refs",
+        "line_offsets": _with("located") + 'SELECT ref_id, line_no, "offset", size FROM located',
+        "two_line_join": _with("lines") + f"""
+            SELECT ref_id, line_no, length(line)::INTEGER AS size,
+                   line || coalesce({next_line}, '') AS lines FROM lines""",
+        "overlap_prefix_join": _with("lines") + f"""
+            SELECT ref_id, line_no, length(line)::INTEGER AS size,
+                   line || coalesce(substr({next_line}, 1, 10), '') AS lines FROM lines""",
+        "in_line_kmers": _digest_sql(_with("located", extra=in_lines), "lk"),
+        "reference_kmers": _digest_sql(_with("rk"), "rk"),
+        "reference_kmers_by_block": _digest_sql(_with("rk"), "rk"),
+        "kmer_index": _with("lists") + f"""
+            SELECT ref_id, block, count(*) AS lists, sum(n)::BIGINT AS offsets,
+                   max(n)::INTEGER AS longest, {_sum_md5("seq || ':' || value")} AS checksum
+            FROM lists GROUP BY ref_id, block""",
+        "kmer_index_merged": _with("rk", extra="""wide AS (
+                SELECT seq, ref_id, "offset" // 8000 AS block, count(*) AS n,
+                       '[' || string_agg("offset", ',' ORDER BY "offset") || ']' AS value
+                FROM rk GROUP BY ALL)""") + f"""
+            SELECT ref_id, block, count(*) AS lists, max(n)::INTEGER AS longest,
+                   {_sum_md5("seq || ':' || value")} AS checksum
+            FROM wide GROUP BY ref_id, block""",
+        "kmer_totals": _with("rk") + f"""
+            SELECT n, count(*) AS keys, {_sum_md5("seq")} AS checksum
+            FROM (SELECT seq, count(*) AS n FROM rk GROUP BY seq) GROUP BY n""",
+        "index_export": _with("lists") + f"""
+            SELECT ref_id, count(*) AS "rows",
+                   {_sum_md5("concat_ws(chr(9), seq, ref_id, block, value)")} AS checksum
+            FROM lists GROUP BY ref_id""",
+        "query_kmers": _with("qk") + "SELECT query_id, seq, despl FROM qk",
+        "distinct_query_kmers": _with("qk") + "SELECT DISTINCT seq FROM qk",
+        "key_lookup": _with("rk", "qk") + """
+            SELECT seq, "offset" // 1000 AS block, ref_id, "offset" FROM rk
+            WHERE seq IN (SELECT seq FROM qk)""",
+        "seed_hits": _with("seeds") + seed_columns,
+        "seed_hits_shuffled": _with("seeds") + seed_columns,
+        "seed_lists": _with("rk", "qk") + """
+            SELECT query_id, ref_id, "offset" // 1000 AS block, seq, despl,
+                   '[' || string_agg("offset" + despl, ',' ORDER BY "offset") || ']' AS end_positions
+            FROM rk JOIN qk USING (seq) GROUP BY ALL""",
+        "diagonal_counts": _with("diag") + "SELECT query_id, ref_id, end_pos, hits FROM diag",
+        "frequent_end_positions": _with("cand") + """
+            SELECT query_id, ref_id, end_pos // 1000 AS block,
+                   '[' || string_agg(end_pos, ',' ORDER BY end_pos) || ']' AS ends
+            FROM cand GROUP BY ALL""",
+        "candidates_fixed": _with("cand") + candidate_columns,
+        "candidates_adaptive": _with("diag") + """
+            SELECT query_id, ref_id, end_pos, hits FROM diag
+            WHERE hits > (SELECT floor(0.25 * avg(length)) FROM q)""",
+        "adaptive_threshold": _with("q") + """
+            SELECT count(*) AS queries, round(avg(length), 6) AS mean_length,
+                   floor(0.25 * avg(length))::BIGINT AS threshold FROM q""",
+        "candidate_lists": _with("cand") + """
+            SELECT query_id, ref_id, end_pos // 100000 AS block,
+                   '[' || string_agg(end_pos, ',' ORDER BY end_pos) || ']' AS offsets
+            FROM cand GROUP BY ALL""",
+        "candidate_chunks": _with("diag") + """
+            SELECT query_id, ref_id, block, chunk::INTEGER AS chunk,
+                   '[' || string_agg(end_pos, ',' ORDER BY end_pos) || ']' AS offsets
+            FROM (SELECT query_id, ref_id, end_pos // 100000 AS block, end_pos, (row_number() OVER (
+                      PARTITION BY query_id, ref_id, end_pos // 100000 ORDER BY end_pos) - 1) // 5 AS chunk
+                  FROM diag)
+            GROUP BY ALL""",
+        "listed_candidates": _with("cand") + "SELECT count(*) AS candidates FROM cand",
+        "candidates_with_query": _with("cand") + """
+            SELECT query_id, ref_id, end_pos, hits, sequence AS query FROM cand JOIN q USING (query_id)""",
+        "unmatched_queries": _with("cand") + """
+            SELECT query_id, sequence, length FROM q
+            WHERE query_id NOT IN (SELECT query_id FROM cand)""",
+        "top_diagonals": _with("diag") + """
+            SELECT query_id, ref_id, end_pos, hits FROM diag
+            ORDER BY hits DESC, query_id, ref_id, end_pos LIMIT 10""",
+        "top_diagonals_per_query": _with("diag") + """
+            SELECT query_id, ref_id, end_pos, hits, rank::INTEGER AS rank
+            FROM (SELECT *, row_number() OVER (
+                PARTITION BY query_id ORDER BY hits DESC, ref_id, end_pos) AS rank FROM diag)
+            WHERE rank <= 3""",
+        "content_blocks": _with("blocks") + block_columns,
+        "content_blocks_from_lines": _with("blocks") + block_columns,
+        "content_blocks_by_line": _with("located") + """
+            SELECT ref_id, "offset" // 1000 AS blockid, min("offset") AS "offset",
+                   sum(length(line))::INTEGER AS size, string_agg(line, '' ORDER BY line_no) AS value
+            FROM located GROUP BY ref_id, located."offset" // 1000""",
+        "fetch_windows": _with("diag", extra=_placed_sql(0)) + window_columns,
+        "fetch_windows_extended": _with("diag", extra=_placed_sql(0, 6)) + window_columns,
+        "ungapped_identity": _with("diag", extra=_placed_sql(0)) + """
+            SELECT query_id, ref_id, end_pos, hits, ref_start, ref_end, overhang,
+                   round(length([i FOR i IN range(1, length("window") + 1)
+                       IF substr("window", i, 1) = substr(query, i + lead, 1)]) / length("window"), 6) AS identity
+            FROM win""",
+        "alignments": good,
+        "alignments_all_scores": _alignments_sql(2) + _ALIGNMENT_COLUMNS,
+        "alignments_extended": _extended_sql(),
+        "best_hit": _alignments_sql() + """
+            SELECT query_id, ref_id, end_pos, hits, round(score, 6) AS score FROM (
+                SELECT *, row_number() OVER (
+                    PARTITION BY query_id ORDER BY score DESC, hits DESC, ref_id, end_pos) AS place
+                FROM numbered JOIN aligned USING (id) WHERE score > 0.7)
+            WHERE place = 1""",
+        "alignment_blocks": _alignments_sql() + """
+            SELECT query_id, ref_id, end_pos, block_no::INTEGER AS block_no, sequence1, sequence2,
+                   list_aggregate([CASE WHEN substr(sequence1, i, 1) = substr(sequence2, i, 1) THEN '|' ELSE ' ' END
+                       FOR i IN range(1, length(sequence1) + 1)], 'string_agg', '') AS marks
+            FROM (SELECT query_id, ref_id, end_pos, n AS block_no,
+                         substr(aligned_ref, n * 40 + 1, 40) AS sequence1,
+                         substr(aligned_query, n * 40 + 1, 40) AS sequence2
+                  FROM (SELECT *, unnest(range(0, (length(aligned_ref) + 39) // 40)) AS n
+                        FROM numbered JOIN aligned USING (id) WHERE score > 0.7))""",
+        "stored_reference_search": good,
+        "stored_reference_other_index": wider(_with("cand") + candidate_columns).replace(
+            "repeat('N', 20)", "repeat('N', 21)"),
+        "saved_alignments": good,
+        "lines_to_queries": _with("lines") + numbered_lines,
+        "query_file": _with("lines", extra=f"made AS ({numbered_lines})") + """
+            SELECT query_id, trim(sequence) AS sequence, length(trim(sequence))::INTEGER AS length
+            FROM made""",
+        "file_lines": _with("located") + """
+            SELECT ref_id AS doc_id, line_no, "offset", line FROM located""",
+        "file_records": _with("refs") + """
+            SELECT ref_id AS doc_id, sequence, length(sequence)::INTEGER AS length FROM refs
+            WHERE sequence <> ''""",
+        "search_summary": _with("diag") + summary,
+        "run_statistics": _with("diag") + f"""
+            SELECT 'search' AS procedure, 11::BIGINT AS key_size, s.* FROM ({summary}) s, range(2)""",
+        "balance_by_key": _with("rk") + """
+            SELECT count(*) AS parts, sum(n)::BIGINT AS total, round(avg(n), 3) AS mean_n, max(n) AS max_n,
+                   round((max(n) - avg(n)) / avg(n) * 100.0, 3) AS unbalance_pct
+            FROM (SELECT ref_id, count(*) AS n FROM rk GROUP BY ref_id)""",
+        "page_candidates": _with("diag").replace(_PARTS["refs"], page_refs) + """
+            SELECT query_id, ref_id, end_pos, hits FROM diag WHERE hits > 3""",
+        "conversation_offsets": f"""
+            SELECT conv_id AS ref_id, turn AS line_no, (sum(length({_SEQ})) OVER (
+                       PARTITION BY conv_id ORDER BY turn) - length({_SEQ}))::BIGINT AS "offset",
+                   length({_SEQ})::INTEGER AS size FROM conversations""",
+    }
