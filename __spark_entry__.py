@@ -53,7 +53,7 @@ def _postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return index.build_index(_postings(spark, sf))
+    return index.index_sequences(_refs(spark, sf), K, GROUP)
 
 
 def _keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,9 +77,7 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def _windows(spark: SparkSession, sf: str, threshold: int = seeds.THRESHOLD, extension: int = 0) -> DataFrame:
     options = plans.SearchOptions(K, threshold, extension)
-    queries, refs = _queries(spark, sf), _refs(spark, sf)
-    found = plans.find_candidates(queries, refs, options)
-    return plans.extend(found, queries, content.build_content(refs, BLOCK), BLOCK, options)
+    return plans.windows_of(_queries(spark, sf), _refs(spark, sf), options)
 
 
 def _checksum(value: Column) -> Column:
@@ -128,15 +126,15 @@ def reference_kmers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reference_kmers_by_block(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = content.build_content_from_lines(lines.line_offsets(_lines(spark, sf)), BLOCK)
-    texts = content.overlapped_blocks(blocks, K, BLOCK)
+    located = lines.line_offsets(_lines(spark, sf))
+    texts = content.build_content_from_lines(located, BLOCK, overlap=K - 1)
     return _kmer_digest(
-        kmers.explode_kmers(texts, K, ["ref_id"], text="text", base=F.col("offset"))
+        kmers.explode_kmers(texts, K, ["ref_id"], text="value", base=F.col("offset"))
     )
 
 
-def kmer_index(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf).groupBy("ref_id", "block").agg(
+def _index_digest(built: DataFrame) -> DataFrame:
+    return built.groupBy("ref_id", "block").agg(
         F.count("*").alias("lists"),
         F.sum(F.size("value")).alias("offsets"),
         F.max(F.size("value")).alias("longest"),
@@ -144,6 +142,19 @@ def kmer_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kmer_index(spark: SparkSession, sf: str) -> DataFrame:
+    return _index_digest(_index(spark, sf))
+
+
+def kmer_index_of_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return _index_digest(index.build_index(_postings(spark, sf)))
+
+
+def kmer_index_of_content(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = content.build_content(_refs(spark, sf), 300)
+    return _index_digest(index.index_content(blocks, K, GROUP))
+
+
 def kmer_index_merged(spark: SparkSession, sf: str) -> DataFrame:
     return index.merge_lists(_index(spark, sf), 8).groupBy("ref_id", "block").agg(
         F.count("*").alias("lists"),
@@ -394,8 +405,11 @@ def balance_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def partition_balance(spark: SparkSession, sf: str) -> DataFrame:
-    spread_out = _postings(spark, sf).repartition(16, "seq")
-    return metrics.partition_balance(spread_out)
+    # Partitions chosen by reference number, so that the result can be told from the data.
+    found = _postings(spark, sf)
+    return metrics.partition_balance(
+        found.repartitionById(16, F.pmod("ref_id", F.lit(16)).cast("int"))
+    )
 
 
 def page_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,8 +428,8 @@ def conversation_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 REGISTERED = [
     normalized_sequences, line_offsets, two_line_join, overlap_prefix_join, in_line_kmers,
-    reference_kmers, reference_kmers_by_block, kmer_index, kmer_index_merged, kmer_totals,
-    index_export, query_kmers, distinct_query_kmers, key_lookup, seed_hits, seed_hits_shuffled,
+    reference_kmers, reference_kmers_by_block, kmer_index, kmer_index_of_entries,
+    kmer_index_of_content, kmer_index_merged, kmer_totals, index_export, query_kmers, distinct_query_kmers, key_lookup, seed_hits, seed_hits_shuffled,
     seed_lists, diagonal_counts, frequent_end_positions, candidates_fixed, candidates_adaptive,
     adaptive_threshold, candidate_lists, candidate_chunks, listed_candidates,
     candidates_with_query, unmatched_queries, top_diagonals, top_diagonals_per_query,
@@ -633,6 +647,10 @@ def oracle_sql() -> dict[str, str]:
         SELECT ref_id, "offset" + o AS "offset", substr(line, o + 1, 11) AS seq
         FROM (SELECT *, unnest(range(0, length(line) - 10)) AS o FROM located)
         WHERE substr(line, o + 1, 11) <> repeat('N', 11))"""
+    index_digest = _with("lists") + f"""
+        SELECT ref_id, block, count(*) AS lists, sum(n)::BIGINT AS offsets,
+               max(n)::INTEGER AS longest, {_sum_md5("seq || ':' || value")} AS checksum
+        FROM lists GROUP BY ref_id, block"""
     page_refs = f"SELECT page_id AS ref_id, {_SEQ.replace('text', 'html')} AS sequence FROM pages"
     twenty_one = {"11": "21", "10": "20"}
 
@@ -654,10 +672,9 @@ def oracle_sql() -> dict[str, str]:
         "in_line_kmers": _digest_sql(_with("located", extra=in_lines), "lk"),
         "reference_kmers": _digest_sql(_with("rk"), "rk"),
         "reference_kmers_by_block": _digest_sql(_with("rk"), "rk"),
-        "kmer_index": _with("lists") + f"""
-            SELECT ref_id, block, count(*) AS lists, sum(n)::BIGINT AS offsets,
-                   max(n)::INTEGER AS longest, {_sum_md5("seq || ':' || value")} AS checksum
-            FROM lists GROUP BY ref_id, block""",
+        "kmer_index": index_digest,
+        "kmer_index_of_entries": index_digest,
+        "kmer_index_of_content": index_digest,
         "kmer_index_merged": _with("rk", extra="""wide AS (
                 SELECT seq, ref_id, "offset" // 8000 AS block, count(*) AS n,
                        '[' || string_agg("offset", ',' ORDER BY "offset") || ']' AS value
@@ -771,6 +788,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS parts, sum(n)::BIGINT AS total, round(avg(n), 3) AS mean_n, max(n) AS max_n,
                    round((max(n) - avg(n)) / avg(n) * 100.0, 3) AS unbalance_pct
             FROM (SELECT ref_id, count(*) AS n FROM rk GROUP BY ref_id)""",
+        "partition_balance": _with("rk") + """
+            SELECT count(*) AS parts, sum(n)::BIGINT AS total, round(avg(n), 3) AS mean_n, max(n) AS max_n,
+                   round((max(n) - avg(n)) / avg(n) * 100.0, 3) AS unbalance_pct
+            FROM (SELECT ref_id % 16, count(*) AS n FROM rk GROUP BY 1)""",
         "page_candidates": _with("diag").replace(_PARTS["refs"], page_refs) + """
             SELECT query_id, ref_id, end_pos, hits FROM diag WHERE hits > 3""",
         "conversation_offsets": f"""

@@ -32,21 +32,26 @@ def build_content(references: DataFrame, block_size: int = BLOCK) -> DataFrame:
     )
 
 
-def build_content_from_lines(lines: DataFrame, block_size: int = BLOCK) -> DataFrame:
+def build_content_from_lines(
+    lines: DataFrame, block_size: int = BLOCK, overlap: int = 0
+) -> DataFrame:
     """Blocks of ``(ref_id, offset, line)`` rows, for records too long for one row.
 
-    Lines are cut at block edges; a block then gathers at most ``block_size`` pieces.
+    Lines are cut at block edges; a block then gathers at most ``block_size`` pieces. Blocks may
+    be followed by ``overlap`` characters of the text after them: with ``k - 1`` of them, their
+    k-mers are exactly those of the whole record.
     """
-    first = block_of(F.col("offset"), block_size)
-    last = block_of(F.col("offset") + F.length("line") - F.lit(1), block_size)
+    end = F.col("offset") + F.length("line")
+    first = F.greatest(block_of(F.col("offset") - F.lit(overlap), block_size), F.lit(0))
+    last = block_of(end - F.lit(1), block_size)
+    block_end = (F.col("blockid") + F.lit(1)) * F.lit(block_size) + F.lit(overlap)
     pieces = (
         lines.filter(F.length("line") > 0)
         .select(
             "ref_id", "offset", F.col("line").cast("binary").alias("_b"),
             F.explode(F.sequence(first, last)).alias("blockid"),
         )
-        .withColumn("_at", F.greatest(F.col("offset"), F.col("blockid") * block_size))
-        .withColumn("_end", (F.col("blockid") + 1) * F.lit(block_size))
+        .withColumn("_at", F.greatest(F.col("offset"), F.col("blockid") * F.lit(block_size)))
         .select(
             "ref_id", "blockid",
             F.struct(
@@ -54,14 +59,14 @@ def build_content_from_lines(lines: DataFrame, block_size: int = BLOCK) -> DataF
                 cut(
                     F.col("_b"),
                     (F.col("_at") - F.col("offset")).cast("int"),
-                    (F.col("_end") - F.col("_at")).cast("int"),
+                    (block_end - F.col("_at")).cast("int"),
                 ).cast("string").alias("text"),
             ).alias("_piece"),
         )
     )
     value = ordered_text(F.collect_list("_piece"))
     return pieces.groupBy("ref_id", "blockid").agg(value.alias("value")).select(
-        "ref_id", "blockid", (F.col("blockid") * block_size).alias("offset"),
+        "ref_id", "blockid", (F.col("blockid") * F.lit(block_size)).alias("offset"),
         F.length("value").alias("size"), "value",
     )
 
@@ -79,32 +84,6 @@ def content_by_line(lines: DataFrame, block_size: int = BLOCK) -> DataFrame:
     )
 
 
-def overlapped_blocks(content: DataFrame, k: int, block_size: int = BLOCK) -> DataFrame:
-    """``(ref_id, offset, text)``: blocks followed by the first ``k - 1`` characters of the next.
-
-    K-mers of these texts are exactly those of the whole sequence. Each block sends its head to
-    its left neighbour, so two rows meet per block, however long the record is.
-    """
-    if block_size < k - 1:
-        raise ValueError("blocks must hold at least k - 1 characters")
-    none = F.lit(None).cast("string")
-    own = content.select("ref_id", "blockid", F.col("value").alias("_own"), none.alias("_head"))
-    heads = content.filter(F.col("blockid") > 0).select(
-        "ref_id", (F.col("blockid") - 1).alias("blockid"), none.alias("_own"),
-        F.substring("value", 1, k - 1).alias("_head"),
-    )
-    return (
-        own.unionByName(heads)
-        .groupBy("ref_id", "blockid")
-        .agg(F.max("_own").alias("_own"), F.max("_head").alias("_head"))
-        .filter(F.col("_own").isNotNull())
-        .select(
-            "ref_id", (F.col("blockid") * block_size).alias("offset"),
-            F.concat("_own", F.coalesce("_head", F.lit(""))).alias("text"),
-        )
-    )
-
-
 def window_bounds(placed: DataFrame, extension: int = 0) -> DataFrame:
     """Add the wanted window ``_from .. _to`` (inclusive) to ``(…, end_pos, hits, length)`` rows.
 

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import array_text
-from seedlane.functions.text import block_of
+from seedlane.functions.text import block_of, cut, starts
+from seedlane.operators.content import build_content_from_lines
 from seedlane.operators.kmers import explode_kmers
+from seedlane.plans.layout import shuffle_tasks
 
 # Positions per offset block, hence the largest possible list.
 GROUP = 100_000
@@ -33,12 +35,59 @@ def postings(
 
 
 def build_index(entries: DataFrame) -> DataFrame:
-    """``(seq, ref_id, block, value)`` with the offsets of a k-mer in a block, ascending."""
+    """``(seq, ref_id, block, value)`` with the offsets of a k-mer in a block, ascending.
+
+    Of any flat entries; those of whole sequences are better grouped by
+    :func:`index_sequences`.
+    """
     return entries.groupBy("seq", "ref_id", "block").agg(
         F.array_sort(F.collect_list("offset")).alias("value")
     )
 
 
+def _index_groups(groups: DataFrame, k: int, group: int) -> DataFrame:
+    """Index of ``(ref_id, block, text)`` rows that are partitioned by reference and block.
+
+    All offsets of a list come from one row then, and Spark groups them where they are: what was
+    moved is the text, not its many times larger k-mers.
+    """
+    kmers = explode_kmers(
+        groups, k, ["ref_id", "block"], text="text", base=F.col("block") * F.lit(group)
+    )
+    return build_index(kmers)
+
+
+def index_sequences(
+    references: DataFrame, k: int, group: int = GROUP, tasks: int | None = None
+) -> DataFrame:
+    """The index of ``(ref_id, sequence)`` rows. Texts are cut at the edges of offset blocks.
+
+    The number of ``tasks`` is fixed: by the size of the text alone, Spark would choose too few.
+    """
+    tasks = tasks or shuffle_tasks(references.sparkSession)
+    body = references.select("ref_id", F.col("sequence").cast("binary").alias("_b"))
+    groups = body.select(
+        "ref_id", "_b", F.explode(starts(F.length("_b"), k, group)).alias("_p")
+    ).select(
+        "ref_id",
+        block_of(F.col("_p"), group).alias("block"),
+        cut(F.col("_b"), F.col("_p"), group + k - 1).alias("text"),
+    )
+    return _index_groups(groups.repartition(tasks, "ref_id", "block"), k, group)
+
+
+def index_content(
+    content: DataFrame, k: int, group: int = GROUP, tasks: int | None = None
+) -> DataFrame:
+    """The index of the text in content blocks of any size."""
+    tasks = tasks or shuffle_tasks(content.sparkSession)
+    parts = content.select("ref_id", "offset", F.col("value").alias("line"))
+    texts = build_content_from_lines(parts, group, k - 1).select(
+        "ref_id", F.col("blockid").alias("block"), F.col("value").alias("text")
+    )
+    return _index_groups(texts.repartition(tasks, "ref_id", "block"), k, group)
+
+
 def index_entries(index: DataFrame) -> DataFrame:
     """Back from lists to flat entries."""
     return index.select("seq", "block", "ref_id", F.explode("value").alias("offset"))

@@ -30,24 +30,38 @@ def lookup_keys(entries: DataFrame, keys: DataFrame, n_keys: int | None = None)
     """
     wanted = distinct_keys(keys)
     if rows_fit(keys.count() if n_keys is None else n_keys, 32):
-        wanted = F.broadcast(wanted)
+        entries, wanted = likely_entries(entries, keys), F.broadcast(wanted)
     return entries.join(wanted, "seq", "left_semi")
 
 
+def likely_entries(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Entries whose k-mer has the same hash as one of ``keys``; for keys that may be broadcast.
+
+    Nearly all entries drop out here, and a broadcast join looks up a number far faster than a
+    string. The few entries left are joined by the k-mer itself afterwards.
+    """
+    hashes = keys.select(F.xxhash64("seq").alias("_hash"))
+    return entries.join(
+        F.broadcast(hashes), F.xxhash64(entries["seq"]) == F.col("_hash"), "left_semi"
+    )
+
+
 def seed_hits(
     keys: DataFrame, entries: DataFrame, n_keys: int | None = None, hot_share: int = HOT_SHARE,
-    broadcast_keys: bool | None = None,
+    broadcast_keys: bool | None = None, screen: bool = True,
 ) -> DataFrame:
     """``(query_id, ref_id, end_pos)``: one row per k-mer shared by a query and a reference.
 
     ``n_keys`` is an upper bound of the rows of ``keys``, counted here if not given. Keys that
     fit are broadcast, so the entries are not shuffled at all and no k-mer can be too frequent.
-    Beyond that both sides are shuffled, hot k-mers over many parts.
+    Beyond that both sides are shuffled, hot k-mers over many parts. ``screen`` is for entries
+    that are not yet reduced by :func:`likely_entries`.
     """
     if broadcast_keys is None:
         broadcast_keys = rows_fit(keys.count() if n_keys is None else n_keys, 32)
     if broadcast_keys:
-        joined = entries.join(F.broadcast(keys), "seq")
+        likely = likely_entries(entries, keys) if screen else entries
+        joined = likely.join(F.broadcast(keys), "seq")
     else:
         joined = _salted_join(keys, entries, hot_share)
     return joined.select("query_id", "ref_id", (F.col("offset") + F.col("despl")).alias("end_pos"))

@@ -23,6 +23,14 @@ def spread(scan: DataFrame, factor: int = 4) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores * factor)
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Tasks for work that is much larger than the bytes it reads: as many as set for shuffles."""
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        2 * spark.sparkContext.defaultParallelism,
+    )
+
+
 def rows_fit(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``rows`` rows of about ``row_bytes`` bytes may be broadcast."""
     return rows * (row_bytes + ROW_OVERHEAD) <= limit

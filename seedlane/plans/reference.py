@@ -7,14 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlane.operators.content import (
-    BLOCK,
-    build_content,
-    build_content_from_lines,
-    overlapped_blocks,
-)
-from seedlane.operators.index import GROUP, build_index, index_entries, postings
-from seedlane.operators.kmers import distinct_keys
+from seedlane.operators.content import BLOCK, build_content, build_content_from_lines
+from seedlane.operators.index import GROUP, index_content, index_entries, index_sequences
+from seedlane.operators.seeds import likely_entries
 from seedlane.plans.layout import rows_fit, spread_of
 from seedlane.sources.tables import PARTS, load_table, write_content, write_index
 
@@ -36,14 +31,16 @@ class Reference:
     content_parts: int
 
     def entries_for(self, keys: DataFrame, n_keys: int) -> DataFrame:
-        """Flat index entries of the given k-mers.
+        """Flat index entries that may belong to the given k-mers.
 
-        If these are few, only the stored parts that hold them are read.
+        If these are few, only the stored parts that may hold them are read, and only their
+        lists are opened.
         """
         index = self.index
         if rows_fit(n_keys, 32):
-            wanted = distinct_keys(keys).withColumn("part", spread_of(["seq"], self.index_parts))
-            index = index.join(F.broadcast(wanted), ["part", "seq"], "left_semi")
+            parts = keys.select(spread_of(["seq"], self.index_parts).alias("part")).distinct()
+            index = index.join(F.broadcast(parts), "part", "left_semi")
+            index = likely_entries(index, keys)
         return index_entries(index)
 
 
@@ -72,18 +69,13 @@ def build_reference(
     spark = sequences.sparkSession
     index_path, content_path, root = _paths(folder, name, None)
     by_line = "line" in sequences.columns
-    if by_line:
-        content = build_content_from_lines(sequences, block_size)
-        if not index_only:
-            write_content(content, content_path, parts)
-            content = load_table(spark, content_path)
-        texts = overlapped_blocks(content, k, block_size)
-        entries = postings(texts, k, group, text="text", base="offset")
-    else:
-        if not index_only:
-            write_content(build_content(sequences, block_size), content_path, parts)
-        entries = postings(sequences, k, group)
-    write_index(build_index(entries), index_path, parts)
+    content = (build_content_from_lines if by_line else build_content)(sequences, block_size)
+    if not index_only:
+        write_content(content, content_path, parts)
+        content = load_table(spark, content_path)
+    # Short records are indexed row by row; long ones from their blocks.
+    index = index_content(content, k, group) if by_line else index_sequences(sequences, k, group)
+    write_index(index, index_path, parts)
     (
         spark.range(1)
         .select(*(F.lit(v).alias(n) for n, v in

@@ -18,7 +18,7 @@ from seedlane.operators.seeds import (
     seed_hits,
     with_query_text,
 )
-from seedlane.plans.layout import rows_fit, settled, text_fits
+from seedlane.plans.layout import rows_fit, settled, shuffle_tasks, text_fits
 from seedlane.plans.reference import KEY_SIZE, Reference
 
 
@@ -64,44 +64,69 @@ def find_candidates_indexed(
 ) -> DataFrame:
     """Candidates from a stored index, reading only what holds k-mers of the queries."""
     keys, bound = query_keys(queries, reference.k), key_bound(queries)
-    seeds = seed_hits(keys, reference.entries_for(keys, bound), bound)
+    seeds = seed_hits(keys, reference.entries_for(keys, bound), bound, screen=False)
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
 
+def place(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates with the length of their query, computed once and kept.
+
+    They are few next to the references, and their number decides how text is fetched for them.
+    """
+    lengths = queries.select("query_id", F.length("sequence").alias("length"))
+    if text_fits(queries, "sequence"):
+        lengths = F.broadcast(lengths)
+    return settled(found.join(lengths, "query_id"))
+
+
+def blocks_needed(placed: DataFrame, block_size: int, extension: int) -> int:
+    """Upper bound of the block reads for placed candidates."""
+    per_row = F.ceil((F.col("length") + F.lit(extension)) / F.lit(block_size)) + F.lit(1)
+    return placed.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("n")).first()["n"]
+
+
 def extend(
-    found: DataFrame,
+    placed: DataFrame,
     queries: DataFrame,
     content: DataFrame,
     block_size: int,
     options: SearchOptions = SearchOptions(),
     parts: int | None = None,
+    few: bool | None = None,
 ) -> DataFrame:
-    """Candidates with their windows and query texts, ready to align.
+    """Placed candidates with their windows and query texts, ready to align.
 
-    The candidates are settled first: they are few next to the references, and their number
-    decides whether they can travel to the content.
+    ``few`` tells whether the block reads they need may be broadcast; counted if not given.
     """
-    lengths = queries.select("query_id", F.length("sequence").alias("length"))
-    small_queries = text_fits(queries, "sequence")
-    placed = settled(found.join(F.broadcast(lengths) if small_queries else lengths, "query_id"))
-    size = placed.agg(
-        F.coalesce(F.sum(F.col("length") / F.lit(block_size) + F.lit(2)), F.lit(0)).alias("n")
-    ).first()["n"]
-    spark = found.sparkSession
+    if few is None:
+        few = rows_fit(blocks_needed(placed, block_size, options.extension), 64)
     windows = fetch_windows(
         placed, content, block_size, options.extension, options.pad,
-        broadcast_placed=rows_fit(int(size), 64), parts=parts,
-        tasks=options.tasks or spark.sparkContext.defaultParallelism * 2,
+        broadcast_placed=few, parts=parts,
+        tasks=options.tasks or shuffle_tasks(placed.sparkSession),
     )
-    return with_query_text(windows, queries, small_queries)
+    return with_query_text(windows, queries, text_fits(queries, "sequence"))
+
+
+def windows_of(
+    queries: DataFrame, references: DataFrame, options: SearchOptions = SearchOptions()
+) -> DataFrame:
+    """Windows of all candidates, straight from ``(ref_id, sequence)`` rows.
+
+    References without a candidate are left out before their text is touched again.
+    """
+    placed = place(find_candidates(queries, references, options), queries)
+    few = rows_fit(blocks_needed(placed, BLOCK, options.extension), 64)
+    held = placed.select("ref_id").distinct()
+    wanted = references.join(F.broadcast(held) if few else held, "ref_id", "left_semi")
+    return extend(placed, queries, build_content(wanted, BLOCK), BLOCK, options, few=few)
 
 
 def search(
     queries: DataFrame, references: DataFrame, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """Alignments of ``(query_id, sequence)`` with ``(ref_id, sequence)`` rows."""
-    found = find_candidates(queries, references, options)
-    windows = extend(found, queries, build_content(references, BLOCK), BLOCK, options)
+    windows = windows_of(queries, references, options)
     return align_candidates(windows, options.extension, options.pad, options.min_score)
 
 
@@ -109,8 +134,8 @@ def search_reference(
     queries: DataFrame, reference: Reference, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """Alignments of queries with a stored reference."""
-    found = find_candidates_indexed(queries, reference, options)
+    placed = place(find_candidates_indexed(queries, reference, options), queries)
     windows = extend(
-        found, queries, reference.content, reference.block_size, options, reference.content_parts
+        placed, queries, reference.content, reference.block_size, options, reference.content_parts
     )
     return align_candidates(windows, options.extension, options.pad, options.min_score)
