@@ -110,17 +110,21 @@ def index_rows_text(index: DataFrame) -> DataFrame:
 
 
 def key_totals(entries: DataFrame) -> DataFrame:
-    """``(seq, n)``: how often each k-mer occurs."""
+    """``(seq, n)``: how often each k-mer occurs, from flat entries."""
     return entries.groupBy("seq").agg(F.count("*").alias("n"))
 
 
-def hot_keys(entries: DataFrame, share: int = HOT_SHARE) -> DataFrame:
-    """``(seq, splits)`` of the k-mers that hold more than one in ``share`` of the entries.
+def list_totals(index: DataFrame) -> DataFrame:
+    """``(seq, n)`` from the sizes of index lists."""
+    return index.groupBy("seq").agg(F.sum(F.size("value")).alias("n"))
+
+
+def hot_keys(totals: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """``(seq, splits)`` of the k-mers that hold more than one in ``share`` of all entries.
 
     At most ``share`` k-mers can, which bounds the table whatever the size of the index.
     ``splits`` is the number of parts that bring such a k-mer down to that share.
     """
-    totals = key_totals(entries)
     all_entries = totals.agg(F.sum("n").alias("n")).scalar()
     return totals.filter(F.col("n") * F.lit(share) > all_entries).select(
         "seq", F.ceil(F.col("n") * F.lit(share) / all_entries).cast("int").alias("splits")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import chunked
 from seedlane.functions.text import block_of
-from seedlane.operators.index import HOT_SHARE, hot_keys
+from seedlane.operators.index import hot_keys, key_totals
 from seedlane.operators.kmers import distinct_keys
 from seedlane.plans.layout import rows_fit
 
@@ -47,15 +47,20 @@ def likely_entries(entries: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def seed_hits(
-    keys: DataFrame, entries: DataFrame, n_keys: int | None = None, hot_share: int = HOT_SHARE,
-    broadcast_keys: bool | None = None, screen: bool = True,
+    keys: DataFrame,
+    entries: DataFrame,
+    n_keys: int | None = None,
+    broadcast_keys: bool | None = None,
+    screen: bool = True,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, ref_id, end_pos)``: one row per k-mer shared by a query and a reference.
 
     ``n_keys`` is an upper bound of the rows of ``keys``, counted here if not given. Keys that
-    fit are broadcast, so the entries are not shuffled at all and no k-mer can be too frequent.
-    Beyond that both sides are shuffled, hot k-mers over many parts. ``screen`` is for entries
-    that are not yet reduced by :func:`likely_entries`.
+    fit are broadcast, so the entries are not shuffled at all and no k-mer can be too frequent;
+    ``screen`` is for entries that are not yet reduced by :func:`likely_entries`. Beyond that
+    both sides are shuffled, the k-mers in ``hot`` over many parts; see
+    :func:`seedlane.operators.index.hot_keys`, by which they are found if not given.
     """
     if broadcast_keys is None:
         broadcast_keys = rows_fit(keys.count() if n_keys is None else n_keys, 32)
@@ -63,13 +68,13 @@ def seed_hits(
         likely = likely_entries(entries, keys) if screen else entries
         joined = likely.join(F.broadcast(keys), "seq")
     else:
-        joined = _salted_join(keys, entries, hot_share)
+        joined = _salted_join(keys, entries, hot_keys(key_totals(entries)) if hot is None else hot)
     return joined.select("query_id", "ref_id", (F.col("offset") + F.col("despl")).alias("end_pos"))
 
 
-def _salted_join(keys: DataFrame, entries: DataFrame, hot_share: int) -> DataFrame:
-    # The table of hot k-mers has at most hot_share rows, so it may be broadcast.
-    hot = F.broadcast(hot_keys(entries, hot_share))
+def _salted_join(keys: DataFrame, entries: DataFrame, hot: DataFrame) -> DataFrame:
+    # The table of hot k-mers is bounded by its definition, so it may be broadcast.
+    hot = F.broadcast(hot)
     splits = F.coalesce(F.col("splits"), F.lit(1))
     salted = entries.join(hot, "seq", "left").select(
         "seq", "ref_id", "offset",

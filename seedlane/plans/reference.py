@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlane.operators.content import BLOCK, build_content, build_content_from_lines
-from seedlane.operators.index import GROUP, index_content, index_entries, index_sequences
+from seedlane.operators.index import (
+    GROUP,
+    hot_keys,
+    index_content,
+    index_entries,
+    index_sequences,
+    list_totals,
+)
 from seedlane.operators.seeds import likely_entries
 from seedlane.plans.layout import rows_fit, spread_of
 from seedlane.sources.tables import PARTS, load_table, write_content, write_index
@@ -20,7 +27,8 @@ KEY_SIZE = 11
 class Reference:
     """An index and the content it belongs to.
 
-    Several indexes (other key sizes) may go with the same content.
+    Several indexes (other key sizes) may go with the same content. ``hot`` are the most
+    frequent k-mers of the index, which a search with very many queries spreads.
     """
 
     index: DataFrame
@@ -29,6 +37,7 @@ class Reference:
     block_size: int
     index_parts: int
     content_parts: int
+    hot: DataFrame
 
     def entries_for(self, keys: DataFrame, n_keys: int) -> DataFrame:
         """Flat index entries that may belong to the given k-mers.
@@ -50,6 +59,10 @@ def _paths(folder: str, name: str, index_name: str | None) -> tuple[str, str, st
     return index, f"{root}/content", root
 
 
+def _hot_path(index_path: str) -> str:
+    return f"{index_path}_hot"
+
+
 def build_reference(
     sequences: DataFrame,
     folder: str,
@@ -59,11 +72,11 @@ def build_reference(
     group: int = GROUP,
     parts: int = PARTS,
     index_only: bool = False,
-) -> Reference:
+) -> Reference | None:
     """Create or replace the named reference and open it.
 
     ``sequences`` are ``(ref_id, sequence)`` rows, or ``(ref_id, offset, line)`` rows for records
-    of any length. ``index_only`` writes just an index, to be used with the content of another
+    of any length. ``index_only`` writes just an index, to be opened with the content of another
     reference.
     """
     spark = sequences.sparkSession
@@ -76,15 +89,16 @@ def build_reference(
     # Short records are indexed row by row; long ones from their blocks.
     index = index_content(content, k, group) if by_line else index_sequences(sequences, k, group)
     write_index(index, index_path, parts)
+    hot_keys(list_totals(load_table(spark, index_path))).write.mode("overwrite").parquet(
+        _hot_path(index_path)
+    )
     (
         spark.range(1)
         .select(*(F.lit(v).alias(n) for n, v in
                   {"k": k, "block_size": block_size, "group": group, "parts": parts}.items()))
         .write.mode("overwrite").json(f"{root}/settings")
     )
-    return open_reference(spark, folder, name) if not index_only else Reference(
-        load_table(spark, index_path), load_table(spark, index_path), k, block_size, parts, parts
-    )
+    return None if index_only else open_reference(spark, folder, name)
 
 
 def open_reference(
@@ -101,4 +115,5 @@ def open_reference(
     return Reference(
         load_table(spark, index_path), load_table(spark, content_path),
         used["k"], own["block_size"], used["parts"], own["parts"],
+        load_table(spark, _hot_path(index_path)),
     )

@@ -64,7 +64,9 @@ def find_candidates_indexed(
 ) -> DataFrame:
     """Candidates from a stored index, reading only what holds k-mers of the queries."""
     keys, bound = query_keys(queries, reference.k), key_bound(queries)
-    seeds = seed_hits(keys, reference.entries_for(keys, bound), bound, screen=False)
+    seeds = seed_hits(
+        keys, reference.entries_for(keys, bound), bound, screen=False, hot=reference.hot
+    )
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
 

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import ordered_text
-from seedlane.functions.text import HEADER_MARK, normalize
+from seedlane.functions.text import HEADER_MARK, block_of, normalize
 from seedlane.operators.index import index_rows_text
 
 EARLIER = (Window.unboundedPreceding, -1)
 
+# Lines numbered together. Input splits are cut further, as a compressed file is only one.
+RUN = 1_000_000
+
 
 def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of FASTA or plain text files with their record, number and position.
 
     A file may be one record of any size, so positions are prefix sums in three steps: over the
-    lines of an input split, over the splits of a file, over the files. Only the first step
-    handles lines; the others see one row per split and one row per file.
+    lines of a run inside an input split, over the runs of a file, over the files. Only the
+    first step handles lines; the others see one row per run and one row per file.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
@@ -25,16 +28,17 @@ def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
         # Only for the order inside a split, which one task reads from start to end.
         F.monotonically_increasing_id().alias("_row"),
         "value",
-    )
+    ).withColumn("_run", block_of(F.col("_row"), RUN))
+    run = ["_file", "_split", "_run"]
     header = F.col("value").startswith(HEADER_MARK)
     lines = raw.select(
-        "_file", "_split", "_row", header.alias("_header"),
+        *run, "_row", header.alias("_header"),
         F.when(header, F.trim(F.substring(F.col("value"), 2, 1 << 30)))
         .otherwise(normalize(F.col("value"))).alias("line"),
     ).filter(F.col("_header") | (F.col("line") != ""))
     size = F.when(F.col("_header"), 0).otherwise(F.length("line"))
 
-    here = Window.partitionBy("_file", "_split").orderBy("_row").rowsBetween(
+    here = Window.partitionBy(*run).orderBy("_row").rowsBetween(
         Window.unboundedPreceding, 0
     )
     local = lines.withColumns({
@@ -42,37 +46,37 @@ def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "_lines": F.sum((~F.col("_header")).cast("long")).over(here),
         "_chars": F.sum(size).over(here),
     }).withColumns({
-        # Counts up to the latest header of this split, null before the first one.
+        # Counts up to the latest header of this run, null before the first one.
         "_head_lines": F.last(F.when(F.col("_header"), F.col("_lines")), True).over(here),
         "_head_chars": F.last(F.when(F.col("_header"), F.col("_chars")), True).over(here),
     })
 
-    splits = local.groupBy("_file", "_split").agg(
+    runs = local.groupBy(*run).agg(
         F.max("_headers").alias("h"), F.max("_lines").alias("l"), F.max("_chars").alias("c"),
         F.max("_head_lines").alias("hl"), F.max("_head_chars").alias("hc"),
     )
-    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(*EARLIER)
+    earlier = Window.partitionBy("_file").orderBy("_split", "_run").rowsBetween(*EARLIER)
     zero = F.lit(0)
-    carried = splits.select(
+    carried = runs.select(
         "*",
         F.coalesce(F.sum("h").over(earlier), zero).alias("h0"),
         F.coalesce(F.sum("l").over(earlier), zero).alias("l0"),
         F.coalesce(F.sum("c").over(earlier), zero).alias("c0"),
     ).select(
-        "_file", "_split", "h0",
-        # Lines and characters of the record that is open when the split begins.
+        *run, "h0",
+        # Lines and characters of the record that is open when the run begins.
         (F.col("l0") - F.coalesce(F.last(F.col("l0") + F.col("hl"), True).over(earlier), zero))
         .alias("_lines_in"),
         (F.col("c0") - F.coalesce(F.last(F.col("c0") + F.col("hc"), True).over(earlier), zero))
         .alias("_chars_in"),
     )
-    files = splits.groupBy("_file").agg((F.sum("h") + 1).alias("n"))
+    files = runs.groupBy("_file").agg((F.sum("h") + 1).alias("n"))
     file_base = files.select(
         "_file",
         F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(*EARLIER)), zero).alias("_base"),
     )
     bases = carried.join(file_base, "_file")
-    return local.join(bases, ["_file", "_split"]).select(
+    return local.join(bases, run).select(
         (F.col("_base") + F.col("h0") + F.col("_headers")).alias("ref_id"),
         (F.col("_lines") - 1 - F.coalesce("_head_lines", -F.col("_lines_in"))).alias("line_no"),
         (F.col("_chars") - size - F.coalesce("_head_chars", -F.col("_chars_in"))).alias("offset"),

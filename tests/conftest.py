@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from seedlane.plans.layout import RECOMMENDED
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -15,8 +17,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+        .config(map=RECOMMENDED)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
