@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlane.functions.arrays import array_text, shift_all, values_over
+from seedlane.functions.arrays import array_text, values_over
 from seedlane.functions.text import block_of, normalize
 from seedlane.operators import align, content, index, kmers, lines, metrics, seeds
 from seedlane.plans import search as plans
@@ -199,12 +199,8 @@ def seed_hits_shuffled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seed_lists(spark: SparkSession, sf: str) -> DataFrame:
-    keys = _keys(spark, sf)
-    lists = _index(spark, sf).join(F.broadcast(keys), "seq")
-    return lists.select(
-        "query_id", "ref_id", "block", "seq", "despl",
-        array_text(shift_all(F.col("value"), F.col("despl"))).alias("end_positions"),
-    )
+    lists = seeds.seed_lists(_keys(spark, sf), _index(spark, sf))
+    return lists.withColumn("end_positions", array_text(F.col("end_positions")))
 
 
 def diagonal_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,19 +29,35 @@ def chunked(values: Column, size: int) -> Column:
     return F.transform(firsts, lambda i: F.slice(values, i, F.lit(size)))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where lambdas use it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def count_by(values: Column) -> Column:
     """Array of ``(value, n)`` structs in value order.
 
-    Meant for short arrays: it goes over the array once per distinct value. Counting over a
-    table is :func:`seedlane.operators.seeds.diagonal_counts`.
+    Sorts once and measures the runs. Counting over a table is
+    :func:`seedlane.operators.seeds.diagonal_counts`.
     """
-    return F.transform(
-        F.array_sort(F.array_distinct(values)),
-        lambda v: F.struct(
-            v.alias("value"),
-            F.size(F.filter(values, lambda x: x == v)).cast("long").alias("n"),
-        ),
-    )
+    none = F.array().cast("array<int>")
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        last = F.filter(
+            F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(none),
+            lambda i: (i == size) | (F.get(ordered, i - 1) != F.get(ordered, i)),
+        )
+        return _bound(last, lambda ends: F.zip_with(
+            ends,
+            F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)),
+            lambda end, before: F.struct(
+                F.get(ordered, end - 1).alias("value"),
+                (end - before).cast("long").alias("n"),
+            ),
+        ))
+
+    return _bound(F.array_sort(values), runs)
 
 
 def values_over(values: Column, threshold: int) -> Column:

@@ -56,7 +56,7 @@ def run_stats(spark: SparkSession, **values: str | int | float | None) -> DataFr
         "cores": conf.get("spark.executor.cores", None),
         "memory": conf.get("spark.executor.memory", None),
     }
-    return spark.range(1).select(
+    return spark.range(0, 1, 1, 1).select(
         *(F.lit(v).alias(n) for n, v in values.items()),
         *(F.lit(v).cast("string").alias(n) for n, v in settings.items()),
         F.current_timestamp().cast("string").alias("date"),

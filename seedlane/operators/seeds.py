@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlane.functions.arrays import chunked
+from seedlane.functions.arrays import chunked, shift_all
 from seedlane.functions.text import block_of
 from seedlane.operators.index import hot_keys, key_totals
 from seedlane.operators.kmers import distinct_keys
@@ -87,6 +87,16 @@ def _salted_join(keys: DataFrame, entries: DataFrame, hot: DataFrame) -> DataFra
     return copies.join(salted, ["seq", "_salt"])
 
 
+def seed_lists(keys: DataFrame, index: DataFrame, n_keys: int | None = None) -> DataFrame:
+    """``(query_id, ref_id, block, seq, despl, end_positions)``: hits as lists, not opened."""
+    if rows_fit(keys.count() if n_keys is None else n_keys, 32):
+        index, keys = likely_entries(index, keys), F.broadcast(keys)
+    return index.join(keys, "seq").select(
+        "query_id", "ref_id", "block", "seq", "despl",
+        shift_all(F.col("value"), F.col("despl")).alias("end_positions"),
+    )
+
+
 def diagonal_counts(seeds: DataFrame) -> DataFrame:
     """``hits`` per diagonal, that is per query, reference and end position.
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from seedlane.operators.content import BLOCK, build_content, build_content_from_lines
 from seedlane.operators.index import (
     GROUP,
+    build_index,
     hot_keys,
     index_content,
     index_entries,
     index_sequences,
     list_totals,
+    postings,
 )
 from seedlane.operators.seeds import likely_entries
 from seedlane.plans.layout import rows_fit, spread_of
@@ -72,12 +74,13 @@ def build_reference(
     group: int = GROUP,
     parts: int = PARTS,
     index_only: bool = False,
+    cross_lines: bool = True,
 ) -> Reference | None:
     """Create or replace the named reference and open it.
 
     ``sequences`` are ``(ref_id, sequence)`` rows, or ``(ref_id, offset, line)`` rows for records
     of any length. ``index_only`` writes just an index, to be opened with the content of another
-    reference.
+    reference. Without ``cross_lines``, the k-mers that span a line end are left out.
     """
     spark = sequences.sparkSession
     index_path, content_path, root = _paths(folder, name, None)
@@ -86,14 +89,18 @@ def build_reference(
     if not index_only:
         write_content(content, content_path, parts)
         content = load_table(spark, content_path)
-    # Short records are indexed row by row; long ones from their blocks.
-    index = index_content(content, k, group) if by_line else index_sequences(sequences, k, group)
+    if not by_line:
+        index = index_sequences(sequences, k, group)
+    elif cross_lines:
+        index = index_content(content, k, group)
+    else:
+        index = build_index(postings(sequences, k, group, text="line", base="offset"))
     write_index(index, index_path, parts)
     hot_keys(list_totals(load_table(spark, index_path))).write.mode("overwrite").parquet(
         _hot_path(index_path)
     )
     (
-        spark.range(1)
+        spark.range(0, 1, 1, 1)
         .select(*(F.lit(v).alias(n) for n, v in
                   {"k": k, "block_size": block_size, "group": group, "parts": parts}.items()))
         .write.mode("overwrite").json(f"{root}/settings")

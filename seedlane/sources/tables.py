@@ -60,5 +60,5 @@ def write_alignments(
 
 
 def append_run_stats(stats: DataFrame, path: str) -> None:
-    """Append a row of statistics as ``;``-separated text."""
+    """Append a row of statistics as ``;``-separated text. One path per kind of job."""
     stats.write.mode("append").csv(path, sep=";", header=True)

@@ -3,7 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from seedlane import build_reference, open_reference, search, search_reference, SearchOptions
+from seedlane import SearchOptions, build_reference, jobs, open_reference, search, search_reference
 from seedlane.operators import kmers, metrics
 from seedlane.sources import files, tables
 
@@ -130,3 +130,29 @@ def test_outputs(spark, tmp_path):
     saved = spark.read.csv(stats, sep=";", header=True)
     assert sorted(r["number"] for r in saved.collect()) == ["1", "2"]
     assert {"executors", "cores", "memory", "date"} <= set(saved.columns)
+
+
+def test_jobs(spark, tmp_path):
+    path = write(tmp_path / "ref", [">1\n" + "\n".join(EXAMPLE2_LINES) + "\n"])
+    write(tmp_path / "set", ["".join(f"{t}\t{i}\t{len(t)}\n" for i, t in QUERY_SET)])
+    write(tmp_path / "single", ["> one\n" + QUERY_SET[1][1]])
+    common = ["--folder", str(tmp_path / "store"), "--name", "toy"]
+
+    def job(*args):
+        parsed = jobs.parser().parse_args(list(args))
+        return parsed.run(spark, parsed)
+
+    job("build", *common, "--stats", str(tmp_path / "built"), "--parts", "2", path)
+    many = job("query", *common, "--stats", str(tmp_path / "ran"), "--multi", "--output", str(tmp_path / "out"), str(tmp_path / "set"))
+    found = {(r["query_id"], r["ref_start"], r["ref_end"]): r["score"] for r in spark.read.parquet(many).collect()}
+    assert found[(2, 20, 55)] == found[(4, 137, 163)] == 1.0
+    one = job("query", *common, "--output", str(tmp_path / "out"), str(tmp_path / "single"))
+    assert (20, 55, 1.0) in {(r["ref_start"], r["ref_end"], r["score"]) for r in spark.read.parquet(one).collect()}
+    # K-mers inside lines only: the query lies on one line of the file and is still found.
+    job("build", "--folder", str(tmp_path / "store"), "--name", "lines", "--index-only", "--single-lines", path)
+    both = open_reference(spark, str(tmp_path / "store"), "toy", "lines")
+    assert both.index.agg(F.sum(F.size("value"))).first()[0] == sum(len(t) - 10 for t in EXAMPLE2_LINES)
+    built = spark.read.csv(str(tmp_path / "built"), sep=";", header=True).collect()
+    ran = spark.read.csv(str(tmp_path / "ran"), sep=";", header=True).collect()
+    assert [(r["procedure"], r["key_size"]) for r in built] == [("build", "11")]
+    assert [(r["queries"], r["candidates"]) for r in ran] == [("4", "3")]
