@@ -14,11 +14,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlane.functions.arrays import array_text, values_over
+from seedlane.functions.arrays import array_text, count_by, values_over
 from seedlane.functions.text import block_of, normalize
 from seedlane.operators import align, content, index, kmers, lines, metrics, seeds
 from seedlane.plans import search as plans
-from seedlane.plans.layout import fresh_path, spread
+from seedlane.plans.layout import fresh_path, spread, text_size
 from seedlane.plans.reference import build_reference, open_reference
 from seedlane.sources import files, tables
 
@@ -63,7 +63,7 @@ def _keys(spark: SparkSession, sf: str) -> DataFrame:
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
     queries = _queries(spark, sf)
     return seeds.seed_hits(
-        kmers.query_keys(queries, K), _postings(spark, sf), plans.key_bound(queries)
+        kmers.query_keys(queries, K), _postings(spark, sf), text_size(queries).chars
     )
 
 
@@ -207,11 +207,21 @@ def diagonal_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _diagonals(spark, sf)
 
 
-def frequent_end_positions(spark: SparkSession, sf: str) -> DataFrame:
+def _end_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits as lists; a list covers one query and so many end positions of one reference."""
     block = block_of(F.col("end_pos"), GROUP).alias("block")
-    lists = _seeds(spark, sf).groupBy("query_id", "ref_id", block).agg(
+    return _seeds(spark, sf).groupBy("query_id", "ref_id", block).agg(
         F.collect_list("end_pos").alias("ends")
     )
+
+
+def counted_end_positions(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = F.transform(count_by(F.col("ends")), lambda c: F.concat_ws(":", c["value"], c["n"]))
+    return _end_lists(spark, sf).select("query_id", "ref_id", "block", array_text(pairs).alias("counts"))
+
+
+def frequent_end_positions(spark: SparkSession, sf: str) -> DataFrame:
+    lists = _end_lists(spark, sf)
     frequent = lists.withColumn("ends", values_over(F.col("ends"), seeds.THRESHOLD))
     return frequent.filter(F.size("ends") > 0).withColumn("ends", array_text(F.col("ends")))
 
@@ -245,7 +255,8 @@ def listed_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates_with_query(spark: SparkSession, sf: str) -> DataFrame:
-    return seeds.with_query_text(_candidates(spark, sf), _queries(spark, sf))
+    queries = _queries(spark, sf)
+    return seeds.with_query_text(_candidates(spark, sf), queries, text_size(queries).fits())
 
 
 def unmatched_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -426,7 +437,7 @@ REGISTERED = [
     normalized_sequences, line_offsets, two_line_join, overlap_prefix_join, in_line_kmers,
     reference_kmers, reference_kmers_by_block, kmer_index, kmer_index_of_entries,
     kmer_index_of_content, kmer_index_merged, kmer_totals, index_export, query_kmers, distinct_query_kmers, key_lookup, seed_hits, seed_hits_shuffled,
-    seed_lists, diagonal_counts, frequent_end_positions, candidates_fixed, candidates_adaptive,
+    seed_lists, diagonal_counts, counted_end_positions, frequent_end_positions, candidates_fixed, candidates_adaptive,
     adaptive_threshold, candidate_lists, candidate_chunks, listed_candidates,
     candidates_with_query, unmatched_queries, top_diagonals, top_diagonals_per_query,
     content_blocks, content_blocks_from_lines, content_blocks_by_line, fetch_windows,
@@ -697,6 +708,10 @@ def oracle_sql() -> dict[str, str]:
                    '[' || string_agg("offset" + despl, ',' ORDER BY "offset") || ']' AS end_positions
             FROM rk JOIN qk USING (seq) GROUP BY ALL""",
         "diagonal_counts": _with("diag") + "SELECT query_id, ref_id, end_pos, hits FROM diag",
+        "counted_end_positions": _with("diag") + """
+            SELECT query_id, ref_id, end_pos // 1000 AS block,
+                   '[' || string_agg(end_pos || ':' || hits, ',' ORDER BY end_pos) || ']' AS counts
+            FROM diag GROUP BY ALL""",
         "frequent_end_positions": _with("cand") + """
             SELECT query_id, ref_id, end_pos // 1000 AS block,
                    '[' || string_agg(end_pos, ',' ORDER BY end_pos) || ']' AS ends

@@ -13,7 +13,7 @@ from seedlane.operators.content import BLOCK
 from seedlane.operators.index import GROUP
 from seedlane.operators.metrics import run_stats
 from seedlane.operators.seeds import THRESHOLD
-from seedlane.plans.layout import RECOMMENDED, settled
+from seedlane.plans.layout import RECOMMENDED, settled, text_size
 from seedlane.plans.reference import KEY_SIZE, build_reference, open_reference
 from seedlane.plans.search import SearchOptions, extend, find_candidates_indexed, place
 from seedlane.sources.files import read_query_fasta, read_query_tsv, read_sequence_lines
@@ -45,10 +45,12 @@ def query(spark: SparkSession, args: argparse.Namespace) -> str:
     options = SearchOptions(
         reference.k, threshold, EXTENSION if args.extend else 0, tasks=args.tasks
     )
-    placed = place(find_candidates_indexed(queries, reference, options), queries)
+    size = text_size(queries)
+    placed = place(find_candidates_indexed(queries, reference, options, size), queries, size)
     matched = time.time()
     windows = extend(
-        placed, queries, reference.content, reference.block_size, options, reference.content_parts
+        placed, queries, size, reference.content, reference.block_size, options,
+        reference.content_parts,
     )
     path = write_alignments(
         align_candidates(windows, options.extension, options.pad, options.min_score),
@@ -56,14 +58,13 @@ def query(spark: SparkSession, args: argparse.Namespace) -> str:
     )
     done = time.time()
     if args.stats:
-        count = queries.count()
         saved = load_table(spark, path).count() if args.format == "parquet" else None
         append_run_stats(run_stats(
             spark, procedure="query", query_file=",".join(args.files), reference=args.name,
-            key_size=reference.k, queries=count, candidates=placed.count(),
+            key_size=reference.k, queries=size.rows, candidates=placed.count(),
             alignments=-1 if saved is None else saved,
             total_sec=round(done - start, 3), match_sec=round(matched - start, 3),
-            extend_sec=round(done - matched, 3), query_sec=round((done - start) / max(count, 1), 6),
+            extend_sec=round(done - matched, 3), query_sec=round((done - start) / max(size.rows, 1), 6),
         ), args.stats)
     return path
 

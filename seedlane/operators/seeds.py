@@ -20,6 +20,9 @@ LIST_PIECE = 5
 # Positions per list of candidate placements.
 LIST_SPAN = 100_000
 
+# Copies of each query, where queries are too many to be broadcast.
+QUERY_COPIES = 16
+
 DIAGONAL = ["query_id", "ref_id", "end_pos"]
 
 
@@ -163,10 +166,22 @@ def candidate_chunks(lists: DataFrame, size: int = LIST_PIECE) -> DataFrame:
     )
 
 
-def with_query_text(found: DataFrame, queries: DataFrame, broadcast_queries: bool = False) -> DataFrame:
+def join_queries(found: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
+    """Add the columns of ``queries`` to candidates.
+
+    Queries that are not ``small`` enough to be broadcast are shuffled in some copies each, so
+    that the candidates of a query with very many of them are spread.
+    """
+    if small:
+        return found.join(F.broadcast(queries), "query_id")
+    copies = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(QUERY_COPIES - 1))))
+    salt = F.pmod(F.xxhash64("ref_id", "end_pos"), F.lit(QUERY_COPIES)).cast("int")
+    return found.withColumn("_salt", salt).join(copies, ["query_id", "_salt"]).drop("_salt")
+
+
+def with_query_text(found: DataFrame, queries: DataFrame, small: bool = False) -> DataFrame:
     """Candidates with the text of their query."""
-    text = queries.select("query_id", F.col("sequence").alias("query"))
-    return found.join(F.broadcast(text) if broadcast_queries else text, "query_id")
+    return join_queries(found, queries.select("query_id", F.col("sequence").alias("query")), small)
 
 
 def unmatched_queries(queries: DataFrame, found: DataFrame) -> DataFrame:

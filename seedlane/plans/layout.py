@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Session settings this work runs best with: grouping into lists sorts its input once, where the
-# default object hash aggregation would fall back to sorting twice.
+# Session settings this work runs best with.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Grouping into lists sorts its input once; object hash aggregation falls back to sorting it
+    # twice.
     "spark.sql.execution.useObjectHashAggregateExec": "false",
+    # Windows and queries of any length go to Python in batches of this many.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -45,10 +49,22 @@ def rows_fit(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return rows * (row_bytes + ROW_OVERHEAD) <= limit
 
 
-def text_fits(df: DataFrame, text: str, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a table with one text column may be broadcast (one pass over that column)."""
-    size = F.coalesce(F.sum(F.length(text) + F.lit(ROW_OVERHEAD)), F.lit(0))
-    return df.agg(size.alias("bytes")).first()["bytes"] <= limit
+class TextSize(NamedTuple):
+    """How much text a table holds; also bounds the number of k-mers it can have."""
+
+    rows: int
+    chars: int
+
+    def fits(self, limit: int = BROADCAST_BYTES) -> bool:
+        """Whether the table with its text may be broadcast."""
+        return self.chars + self.rows * ROW_OVERHEAD <= limit
+
+
+def text_size(df: DataFrame, text: str = "sequence") -> TextSize:
+    """Measured in one pass over the text column."""
+    chars = F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")
+    row = df.agg(F.count("*").alias("rows"), chars).first()
+    return TextSize(row["rows"], row["chars"])
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,10 +15,11 @@ from seedlane.operators.seeds import (
     THRESHOLD,
     candidates,
     diagonal_counts,
+    join_queries,
     seed_hits,
     with_query_text,
 )
-from seedlane.plans.layout import rows_fit, settled, shuffle_tasks, text_fits
+from seedlane.plans.layout import TextSize, rows_fit, settled, shuffle_tasks, text_size
 from seedlane.plans.reference import KEY_SIZE, Reference
 
 
@@ -40,45 +41,43 @@ class SearchOptions:
     tasks: int | None = None
 
 
-def key_bound(queries: DataFrame) -> int:
-    """Upper bound of the k-mers of the queries, from their lengths alone."""
-    return queries.agg(F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("n")).first()["n"]
-
-
 def find_candidates(
-    queries: DataFrame, references: DataFrame, options: SearchOptions = SearchOptions()
+    queries: DataFrame,
+    references: DataFrame,
+    options: SearchOptions = SearchOptions(),
+    size: TextSize | None = None,
 ) -> DataFrame:
     """Candidates straight from ``(ref_id, sequence)`` rows, without a stored index.
 
     While the k-mers of the queries fit a broadcast, the references are read once and only
     hits are shuffled.
     """
-    seeds = seed_hits(
-        query_keys(queries, options.k), postings(references, options.k), key_bound(queries)
-    )
+    bound = (size or text_size(queries)).chars
+    seeds = seed_hits(query_keys(queries, options.k), postings(references, options.k), bound)
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
 
 def find_candidates_indexed(
-    queries: DataFrame, reference: Reference, options: SearchOptions = SearchOptions()
+    queries: DataFrame,
+    reference: Reference,
+    options: SearchOptions = SearchOptions(),
+    size: TextSize | None = None,
 ) -> DataFrame:
     """Candidates from a stored index, reading only what holds k-mers of the queries."""
-    keys, bound = query_keys(queries, reference.k), key_bound(queries)
+    keys, bound = query_keys(queries, reference.k), (size or text_size(queries)).chars
     seeds = seed_hits(
         keys, reference.entries_for(keys, bound), bound, screen=False, hot=reference.hot
     )
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
 
-def place(found: DataFrame, queries: DataFrame) -> DataFrame:
+def place(found: DataFrame, queries: DataFrame, size: TextSize) -> DataFrame:
     """Candidates with the length of their query, computed once and kept.
 
     They are few next to the references, and their number decides how text is fetched for them.
     """
     lengths = queries.select("query_id", F.length("sequence").alias("length"))
-    if text_fits(queries, "sequence"):
-        lengths = F.broadcast(lengths)
-    return settled(found.join(lengths, "query_id"))
+    return settled(join_queries(found, lengths, rows_fit(size.rows, 16)))
 
 
 def blocks_needed(placed: DataFrame, block_size: int, extension: int) -> int:
@@ -90,6 +89,7 @@ def blocks_needed(placed: DataFrame, block_size: int, extension: int) -> int:
 def extend(
     placed: DataFrame,
     queries: DataFrame,
+    size: TextSize,
     content: DataFrame,
     block_size: int,
     options: SearchOptions = SearchOptions(),
@@ -107,7 +107,7 @@ def extend(
         broadcast_placed=few, parts=parts,
         tasks=options.tasks or shuffle_tasks(placed.sparkSession),
     )
-    return with_query_text(windows, queries, text_fits(queries, "sequence"))
+    return with_query_text(windows, queries, size.fits())
 
 
 def windows_of(
@@ -117,11 +117,12 @@ def windows_of(
 
     References without a candidate are left out before their text is touched again.
     """
-    placed = place(find_candidates(queries, references, options), queries)
+    size = text_size(queries)
+    placed = place(find_candidates(queries, references, options, size), queries, size)
     few = rows_fit(blocks_needed(placed, BLOCK, options.extension), 64)
     held = placed.select("ref_id").distinct()
     wanted = references.join(F.broadcast(held) if few else held, "ref_id", "left_semi")
-    return extend(placed, queries, build_content(wanted, BLOCK), BLOCK, options, few=few)
+    return extend(placed, queries, size, build_content(wanted, BLOCK), BLOCK, options, few=few)
 
 
 def search(
@@ -136,8 +137,10 @@ def search_reference(
     queries: DataFrame, reference: Reference, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """Alignments of queries with a stored reference."""
-    placed = place(find_candidates_indexed(queries, reference, options), queries)
+    size = text_size(queries)
+    found = find_candidates_indexed(queries, reference, options, size)
     windows = extend(
-        placed, queries, reference.content, reference.block_size, options, reference.content_parts
+        place(found, queries, size), queries, size, reference.content, reference.block_size,
+        options, reference.content_parts,
     )
     return align_candidates(windows, options.extension, options.pad, options.min_score)

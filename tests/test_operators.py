@@ -159,6 +159,15 @@ def test_candidate_lists_and_chunks(spark):
     assert metrics.listed_candidates(lists).first()["candidates"] == 7
 
 
+def test_queries_are_joined_either_way(spark):
+    found = frame(spark, [(q, r, e, 20) for q in (1, 2) for r in range(5) for e in range(7)],
+                  "query_id long, ref_id long, end_pos long, hits long")
+    queries = frame(spark, [(1, "AA"), (2, "BB"), (3, "CC")], "query_id long, sequence string")
+    small = rows(seeds.with_query_text(found, queries, True).select(*found.columns, "query"))
+    assert len(small) == 70 and rows(
+        seeds.with_query_text(found, queries, False).select(*found.columns, "query")) == small
+
+
 def test_no_hits_is_an_empty_table(spark):
     refs, queries = refs_of(spark, "ABCDEFGH"), refs_of(spark, "12345678").withColumnRenamed("ref_id", "query_id")
     found = seeds.seed_hits(kmers.query_keys(queries, 4), index.postings(refs, 4))
