@@ -169,6 +169,10 @@ def kmer_totals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def frequent_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    return index.hot_keys(index.list_counts(_index(spark, sf)))
+
+
 def index_export(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "index-export")
     files.export_index_tsv(_index(spark, sf), path)
@@ -436,7 +440,8 @@ def conversation_offsets(spark: SparkSession, sf: str) -> DataFrame:
 REGISTERED = [
     normalized_sequences, line_offsets, two_line_join, overlap_prefix_join, in_line_kmers,
     reference_kmers, reference_kmers_by_block, kmer_index, kmer_index_of_entries,
-    kmer_index_of_content, kmer_index_merged, kmer_totals, index_export, query_kmers, distinct_query_kmers, key_lookup, seed_hits, seed_hits_shuffled,
+    kmer_index_of_content, kmer_index_merged, kmer_totals, frequent_kmers,
+    index_export, query_kmers, distinct_query_kmers, key_lookup, seed_hits, seed_hits_shuffled,
     seed_lists, diagonal_counts, counted_end_positions, frequent_end_positions, candidates_fixed, candidates_adaptive,
     adaptive_threshold, candidate_lists, candidate_chunks, listed_candidates,
     candidates_with_query, unmatched_queries, top_diagonals, top_diagonals_per_query,
@@ -692,6 +697,10 @@ def oracle_sql() -> dict[str, str]:
         "kmer_totals": _with("rk") + f"""
             SELECT n, count(*) AS keys, {_sum_md5("seq")} AS checksum
             FROM (SELECT seq, count(*) AS n FROM rk GROUP BY seq) GROUP BY n""",
+        "frequent_kmers": _with("rk") + """
+            SELECT seq, ceil(n * 10000 / (SELECT count(*) FROM rk))::INTEGER AS splits
+            FROM (SELECT seq, count(*) AS n FROM rk GROUP BY seq)
+            WHERE n * 10000 > (SELECT count(*) FROM rk)""",
         "index_export": _with("lists") + f"""
             SELECT ref_id, count(*) AS "rows",
                    {_sum_md5("concat_ws(chr(9), seq, ref_id, block, value)")} AS checksum

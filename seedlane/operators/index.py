@@ -13,7 +13,7 @@ from seedlane.functions.arrays import array_text
 from seedlane.functions.text import block_of, cut, starts
 from seedlane.operators.content import build_content_from_lines
 from seedlane.operators.kmers import explode_kmers
-from seedlane.plans.layout import shuffle_tasks
+from seedlane.plans.layout import shuffle_tasks, spread_of
 
 # Positions per offset block, hence the largest possible list.
 GROUP = 100_000
@@ -114,18 +114,35 @@ def key_totals(entries: DataFrame) -> DataFrame:
     return entries.groupBy("seq").agg(F.count("*").alias("n"))
 
 
-def list_totals(index: DataFrame) -> DataFrame:
-    """``(seq, n)`` from the sizes of index lists."""
-    return index.groupBy("seq").agg(F.sum(F.size("value")).alias("n"))
+def entry_counts(entries: DataFrame) -> DataFrame:
+    """Flat entries as ``(seq, n)`` rows for :func:`hot_keys`, not summed up."""
+    return entries.select("seq", F.lit(1).alias("n"))
 
 
-def hot_keys(totals: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+def list_counts(index: DataFrame) -> DataFrame:
+    """Index lists as ``(seq, n)`` rows for :func:`hot_keys`, not summed up."""
+    return index.select("seq", F.size("value").alias("n"))
+
+
+def hot_keys(counts: DataFrame, share: int = HOT_SHARE) -> DataFrame:
     """``(seq, splits)`` of the k-mers that hold more than one in ``share`` of all entries.
 
-    At most ``share`` k-mers can, which bounds the table whatever the size of the index.
-    ``splits`` is the number of parts that bring such a k-mer down to that share.
+    ``counts`` are ``(seq, n)`` rows, any number per k-mer. At most ``share`` k-mers can be hot,
+    which bounds the table whatever the size of the index. ``splits`` is the number of parts
+    that bring such a k-mer down to that share.
+
+    Sums per hash bucket come first, as these are few and shrink before the shuffle. A hot k-mer
+    can only be in a bucket that is at least as large, so only those are counted by k-mer.
     """
-    all_entries = totals.agg(F.sum("n").alias("n")).scalar()
+    bucketed = counts.withColumn("_bucket", spread_of(["seq"], 10 * share))
+    sums = bucketed.groupBy("_bucket").agg(F.sum("n").alias("n"))
+    all_entries = sums.agg(F.sum("n").alias("n")).scalar()
+    # At most ``share`` buckets.
+    large = sums.filter(F.col("n") * F.lit(share) > all_entries).select("_bucket")
+    totals = (
+        bucketed.join(F.broadcast(large), "_bucket", "left_semi")
+        .groupBy("seq").agg(F.sum("n").alias("n"))
+    )
     return totals.filter(F.col("n") * F.lit(share) > all_entries).select(
         "seq", F.ceil(F.col("n") * F.lit(share) / all_entries).cast("int").alias("splits")
     )

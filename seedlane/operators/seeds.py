@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import chunked, shift_all
 from seedlane.functions.text import block_of
-from seedlane.operators.index import hot_keys, key_totals
+from seedlane.operators.index import entry_counts, hot_keys
 from seedlane.operators.kmers import distinct_keys
 from seedlane.plans.layout import rows_fit
 
@@ -71,7 +71,7 @@ def seed_hits(
         likely = likely_entries(entries, keys) if screen else entries
         joined = likely.join(F.broadcast(keys), "seq")
     else:
-        joined = _salted_join(keys, entries, hot_keys(key_totals(entries)) if hot is None else hot)
+        joined = _salted_join(keys, entries, hot_keys(entry_counts(entries)) if hot is None else hot)
     return joined.select("query_id", "ref_id", (F.col("offset") + F.col("despl")).alias("end_pos"))
 
 

@@ -15,7 +15,7 @@ from seedlane.operators.index import (
     index_content,
     index_entries,
     index_sequences,
-    list_totals,
+    list_counts,
     postings,
 )
 from seedlane.operators.seeds import likely_entries
@@ -96,7 +96,7 @@ def build_reference(
     else:
         index = build_index(postings(sequences, k, group, text="line", base="offset"))
     write_index(index, index_path, parts)
-    hot_keys(list_totals(load_table(spark, index_path))).write.mode("overwrite").parquet(
+    hot_keys(list_counts(load_table(spark, index_path))).write.mode("overwrite").parquet(
         _hot_path(index_path)
     )
     (

@@ -7,7 +7,7 @@ from seedlane import SearchOptions, build_reference, find_candidates, open_refer
 from seedlane import search_reference
 from seedlane.operators.content import build_content, fetch_windows
 from seedlane.operators.align import align_candidates, ungapped_identity
-from seedlane.operators.index import hot_keys, key_totals, postings
+from seedlane.operators.index import entry_counts, hot_keys, postings
 from seedlane.operators.kmers import as_queries, as_references, explode_kmers, query_keys
 from seedlane.operators.seeds import diagonal_counts, seed_hits, unmatched_queries, with_query_text
 
@@ -67,7 +67,7 @@ def test_diagonals_listed(refs, queries):
 def test_diagonals_by_definition(refs, queries, broadcast_keys, share):
     how = {"broadcast_keys": broadcast_keys}
     if share:
-        how["hot"] = hot_keys(key_totals(postings(refs, K)), share)
+        how["hot"] = hot_keys(entry_counts(postings(refs, K)), share)
     expected = {}
     for q, text in [(i, t.upper()) for i, t in QUERY_SET] + [(5, QUERY2)]:
         for r, ref in ((1, EXAMPLE), (2, EXAMPLE2)):

@@ -104,14 +104,16 @@ def test_merged_lists_and_export_text(spark):
     assert rows(index.merge_lists(built, 100)) == [("AB", 1, 0, [0, 2, 4, 6]), ("BA", 1, 0, [1, 3, 5])]
     texts = index.index_rows_text(index.merge_lists(built, 100))
     assert rows(texts.select("seq", "value")) == [("AB", "[0,2,4,6]"), ("BA", "[1,3,5]")]
-    assert rows(index.list_totals(built)) == [("AB", 4), ("BA", 3)]
+    assert rows(index.list_counts(index.merge_lists(built, 100))) == [("AB", 4), ("BA", 3)]
     assert rows(index.key_totals(index.index_entries(built))) == [("AB", 4), ("BA", 3)]
 
 
 def test_hot_keys(spark):
-    totals = frame(spark, [("A", 90), ("B", 9), ("C", 1)], "seq string, n long")
-    assert rows(index.hot_keys(totals, 10)) == [("A", 9)]
-    assert rows(index.hot_keys(totals, 100)) == [("A", 90), ("B", 9)]
+    counts = frame(spark, [("A", 60), ("A", 30), ("B", 9), ("C", 1)], "seq string, n int")
+    assert rows(index.hot_keys(counts, 10)) == [("A", 9)]
+    assert rows(index.hot_keys(counts, 100)) == [("A", 90), ("B", 9)]
+    assert rows(index.hot_keys(counts, 101)) == [("A", 91), ("B", 10), ("C", 2)]
+    assert rows(index.hot_keys(counts.limit(0), 10)) == []
 
 
 def test_lookup_keys(spark):
@@ -136,7 +138,7 @@ def test_one_hot_kmer(spark):
         for e, h in helpers.diagonals(q["sequence"], t, 5).items()
     )
     for share in (2, 10, 10_000):
-        hot = index.hot_keys(index.key_totals(entries), share)
+        hot = index.hot_keys(index.entry_counts(entries), share)
         got = seeds.seed_hits(keys, entries, broadcast_keys=False, hot=hot)
         assert rows(seeds.diagonal_counts(got)) == want
 
