@@ -9,7 +9,7 @@ from seedlane.functions.arrays import chunked, shift_all
 from seedlane.functions.text import block_of
 from seedlane.operators.index import entry_counts, hot_keys
 from seedlane.operators.kmers import distinct_keys
-from seedlane.plans.layout import rows_fit
+from seedlane.plans.layout import rows_fit, settled
 
 # Default number of hits a diagonal must exceed, the share of the mean query
 # length used by the adaptive threshold, and the size of a piece of a candidate list.
@@ -71,7 +71,9 @@ def seed_hits(
         likely = likely_entries(entries, keys) if screen else entries
         joined = likely.join(F.broadcast(keys), "seq")
     else:
-        joined = _salted_join(keys, entries, hot_keys(entry_counts(entries)) if hot is None else hot)
+        # Found once, as both sides need it.
+        hot = settled(hot_keys(entry_counts(entries))) if hot is None else hot
+        joined = _salted_join(keys, entries, hot)
     return joined.select("query_id", "ref_id", (F.col("offset") + F.col("despl")).alias("end_pos"))
 
 
@@ -87,7 +89,7 @@ def _salted_join(keys: DataFrame, entries: DataFrame, hot: DataFrame) -> DataFra
         "query_id", "seq", "despl",
         F.explode(F.sequence(F.lit(0), splits - F.lit(1))).alias("_salt"),
     )
-    return copies.join(salted, ["seq", "_salt"])
+    return salted.join(copies, ["seq", "_salt"])
 
 
 def seed_lists(keys: DataFrame, index: DataFrame, n_keys: int | None = None) -> DataFrame:
