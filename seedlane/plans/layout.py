@@ -33,7 +33,7 @@ def spread(scan: DataFrame, factor: int = 4) -> DataFrame:
     splits, so nothing is shuffled where the data is large.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores * factor)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores * factor)
 
 
 def shuffle_tasks(spark: SparkSession) -> int:
