@@ -22,6 +22,16 @@ from seedlane.plans.layout import fresh_path, spread, text_size
 from seedlane.plans.reference import build_reference, open_reference
 from seedlane.sources import files, tables
 
+# The operators for training data are a part of their own, which may be left out.
+OPTIONAL = ("corpus_pipeline", "seedlane.llm")
+try:
+    import corpus_pipeline
+    import seedlane.llm.queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in OPTIONAL:
+        raise
+    corpus_pipeline = llm = None
+
 K, BLOCK, GROUP = 11, 1000, 1000
 
 
@@ -461,7 +471,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
-    return {q.__name__: q for q in REGISTERED}
+    found = {q.__name__: q for q in REGISTERED}
+    if llm:
+        found |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 # ---------------------------------------------------------------- the same in SQL
@@ -640,7 +653,16 @@ def _extended_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for DuckDB with the same results as :func:`queries`."""
+    """SQL for DuckDB with the same results as :func:`queries`, where SQL can express them."""
+    found = _search_sql()
+    if llm:
+        found |= llm.SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def _search_sql() -> dict[str, str]:
     seed_columns = "SELECT query_id, ref_id, end_pos FROM seeds"
     candidate_columns = "SELECT query_id, ref_id, end_pos, hits FROM cand"
     numbered_lines = """
