@@ -7,8 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlane.llm.common import table
+from seedlane.llm.common import fold, table
+from seedlane.llm.fingerprints import fingerprint_edits
+from seedlane.llm.language import predict_language, train_language
+from seedlane.llm.mixing import MIX_SQL, mix_sources
 from seedlane.llm.packing import pack_documents
+from seedlane.llm.urls import JUDGE_SQL, RULES, judge_urls
+
+
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(table(spark, sf, "documents"))
+
+
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = fold("doc_id", 3) == 1
+    filters = train_language(docs.filter(~held_out))
+    return predict_language(docs, filters).withColumn("held_out", held_out)
+
+
+def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return judge_urls(table(spark, sf, "pages"), rules)
 
 
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,7 +40,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op10_packing,)
+    q.__name__: q for q in (op1_fingerprints, op4_mixing, op5_language, op7_url_rules, op10_packing)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_mixing": MIX_SQL, "op7_url_rules": JUDGE_SQL}
