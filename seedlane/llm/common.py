@@ -52,3 +52,46 @@ def as_frame_stream(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa
 
 def ids_from(first: int, count: int) -> np.ndarray:
     return np.arange(first, first + count, dtype=np.int64)
+
+
+def sorted_groups(
+    batches: Iterator[pa.RecordBatch], keys: int
+) -> Iterator[tuple[tuple[int, ...], list[np.ndarray]]]:
+    """Groups of rows that follow each other with equal first ``keys`` columns, all of whole numbers.
+
+    Gives the key and the other columns of one group at a time; only that group is held.
+    """
+    held: list[list[np.ndarray]] = []
+    current: tuple[int, ...] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for key in columns[:keys]:
+            change[1:] |= key[1:] != key[:-1]
+        starts = [*np.flatnonzero(change), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            found = tuple(int(key[a]) for key in columns[:keys])
+            if found != current:
+                if current is not None:
+                    yield current, [np.concatenate(parts) for parts in held]
+                current, held = found, [[] for _ in columns[keys:]]
+            for parts, values in zip(held, columns[keys:]):
+                parts.append(values[a:b])
+    if current is not None:
+        yield current, [np.concatenate(parts) for parts in held]
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Rows with the columns of their class; ``classes`` has a row per key and ``size``, its rows.
+
+    Classes with more than a 2000th of all rows are at most 2000, so they are broadcast; only the rows
+    of smaller ones are shuffled. Keys are not null.
+    """
+    hot = F.col(size) > max(total // 2000, 1000)
+    large, small = classes.filter(hot).drop(size), classes.filter(~hot).drop(size)
+    return rows.join(F.broadcast(large), key).unionByName(
+        rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key)
+    )

@@ -17,7 +17,7 @@ from seedlane.plans.layout import shuffle_tasks
 
 WIDTH = 5
 # One hash in so many is kept.
-FRACTION = 8
+FRACTION = 4
 BLANKS = r"[ \t\n\x0B\f\r]+"
 LOWEST = -(1 << 63)
 

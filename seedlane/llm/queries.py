@@ -12,6 +12,8 @@ from seedlane.llm.fingerprints import fingerprint_edits
 from seedlane.llm.language import predict_language, train_language
 from seedlane.llm.mixing import MIX_SQL, mix_sources
 from seedlane.llm.packing import pack_documents
+from seedlane.llm.simhash import near_duplicates
+from seedlane.llm.toxicity import score_toxicity, train_toxicity
 from seedlane.llm.urls import JUDGE_SQL, RULES, judge_urls
 
 
@@ -35,12 +37,22 @@ def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages"), rules)
 
 
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents")).drop("text_hash")
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = table(spark, sf, "documents"), fold("doc_id", 4) == 2
+    model = train_toxicity(docs, table(spark, sf, "labels"), usable=~held_out)
+    return score_toxicity(docs, model).withColumn("held_out", held_out)
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_fingerprints, op4_mixing, op5_language, op7_url_rules, op10_packing)
+    q.__name__: q for q in (op1_fingerprints, op4_mixing, op5_language, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
 }
 
 SQL: dict[str, str] = {"op4_mixing": MIX_SQL, "op7_url_rules": JUDGE_SQL}
