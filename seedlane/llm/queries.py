@@ -12,6 +12,7 @@ from seedlane.llm.fingerprints import fingerprint_edits
 from seedlane.llm.language import predict_language, train_language
 from seedlane.llm.mixing import MIX_SQL, mix_sources
 from seedlane.llm.packing import pack_documents
+from seedlane.llm.quality import score_quality, train_quality
 from seedlane.llm.simhash import near_duplicates
 from seedlane.llm.toxicity import score_toxicity, train_toxicity
 from seedlane.llm.urls import JUDGE_SQL, RULES, judge_urls
@@ -32,6 +33,12 @@ def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     return predict_language(docs, filters).withColumn("held_out", held_out)
 
 
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = table(spark, sf, "documents"), fold("doc_id", 3) == 1
+    model = train_quality(docs, table(spark, sf, "labels"), usable=~held_out)
+    return score_quality(docs, model).withColumn("held_out", held_out)
+
+
 def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     return judge_urls(table(spark, sf, "pages"), rules)
@@ -52,7 +59,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_fingerprints, op4_mixing, op5_language, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
+    q.__name__: q for q in (op1_fingerprints, op4_mixing, op5_language, op6_quality, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
 }
 
 SQL: dict[str, str] = {"op4_mixing": MIX_SQL, "op7_url_rules": JUDGE_SQL}
