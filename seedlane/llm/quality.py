@@ -4,7 +4,8 @@ Random indexing: every token has a sparse random index vector, and a token's con
 the index vectors around it, over the whole corpus. Tokens are hashed to a fixed number of rows, so no
 vocabulary has to be counted, kept or broadcast. A second set of rows is for the tokens' shapes (runs of
 lower-case letters, of capitals, of digits, and other characters as they are), which rare words share.
-A document is the mean of its tokens' and of their shapes' unit context vectors. A network of two layers,
+A document is the mean of its tokens' and of their shapes' unit context vectors, with their lengths, the share of distinct tokens and that
+of tokens whose index vector is their neighbour's. A network of two layers,
 trained with numpy on a bounded sample of labelled texts, scores it; a temperature fitted on texts that the
 training did not see makes its output a probability.
 """
@@ -27,7 +28,7 @@ from seedlane.llm.labelled import labelled_sample
 WORDS, SHAPES = 4096, 512
 DIMENSIONS, NONZERO = 32, 4
 REACH = 2
-FEATURES = 2 * DIMENSIONS + 3
+FEATURES = 2 * DIMENSIONS + 5
 SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.01, 1e-4
 THRESHOLD = 0.5
@@ -119,9 +120,8 @@ def context_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
 
 
 def pooled(words: np.ndarray, forms: np.ndarray, counts: np.ndarray, vectors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A row for each text: mean vectors of its tokens and shapes, their lengths, and the logarithm of its tokens.
-
-    The mean of a few tokens over and over is longer than that of many different ones.
+    """A row for each text: mean vectors of its tokens and shapes, their lengths, how much repeats, and the logarithm
+    of its tokens. The mean of a few tokens over and over is longer than that of many different ones.
     """
     ends = np.r_[0, np.cumsum(counts)]
     out = np.zeros((len(counts), FEATURES))
@@ -129,14 +129,20 @@ def pooled(words: np.ndarray, forms: np.ndarray, counts: np.ndarray, vectors: tu
         stop = min(start + 64, len(counts))
         own = slice(ends[start], ends[stop])
         text_of = np.repeat(np.arange(stop - start), counts[start:stop])
-        parts = []
+        parts, distinct = [], None
         for rows, table in ((words[own], vectors[0]), (forms[own], vectors[1])):
             seen = np.bincount(text_of * len(table) + rows, minlength=(stop - start) * len(table))
-            parts.append(seen.reshape(stop - start, -1) @ table)
+            seen = seen.reshape(stop - start, -1)
+            parts.append(seen @ table)
+            distinct = np.count_nonzero(seen, axis=1) if distinct is None else distinct
+        again = (words[own][1:] == words[own][:-1]) & (text_of[1:] == text_of[:-1])
+        repeats = np.bincount(text_of[1:][again], minlength=stop - start)
         n = np.maximum(counts[start:stop, None], 1)
         means = [p / n for p in parts]
         lengths = [np.linalg.norm(m, axis=1, keepdims=True) for m in means]
-        out[start:stop] = np.hstack([*means, *lengths, np.log1p(counts[start:stop, None])])
+        out[start:stop] = np.hstack(
+            [*means, *lengths, distinct[:, None] / n, repeats[:, None] / n, np.log1p(counts[start:stop, None])]
+        )
     return out
 
 
