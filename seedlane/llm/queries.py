@@ -11,6 +11,7 @@ from seedlane.llm.common import fold, table
 from seedlane.llm.fingerprints import fingerprint_edits
 from seedlane.llm.language import predict_language, train_language
 from seedlane.llm.mixing import MIX_SQL, mix_sources
+from seedlane.llm.neighbours import nearest_neighbours
 from seedlane.llm.packing import pack_documents
 from seedlane.llm.quality import score_quality, train_quality
 from seedlane.llm.simhash import near_duplicates
@@ -22,6 +23,10 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"))
 
@@ -59,7 +64,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_fingerprints, op4_mixing, op5_language, op6_quality, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
+    q.__name__: q for q in (op1_fingerprints, op2_neighbours, op4_mixing, op5_language, op6_quality, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
 }
 
 SQL: dict[str, str] = {"op4_mixing": MIX_SQL, "op7_url_rules": JUDGE_SQL}
