@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seedlane.llm.common import fold, table
 from seedlane.llm.fingerprints import fingerprint_edits
 from seedlane.llm.language import predict_language, train_language
+from seedlane.llm.lm import score_texts
 from seedlane.llm.mixing import MIX_SQL, mix_sources
 from seedlane.llm.neighbours import nearest_neighbours
 from seedlane.llm.packing import pack_documents
@@ -27,6 +28,11 @@ def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    # Not spread over more tasks than it has splits: each trains a model before they are averaged.
+    return score_texts(spark.read.parquet(f"{sf}/documents.parquet"), fold("doc_id", 7) == 2)
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"))
 
@@ -64,7 +70,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_fingerprints, op2_neighbours, op4_mixing, op5_language, op6_quality, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
+    q.__name__: q for q in (op1_fingerprints, op2_neighbours, op3_lm_scores, op4_mixing, op5_language, op6_quality, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
 }
 
 SQL: dict[str, str] = {"op4_mixing": MIX_SQL, "op7_url_rules": JUDGE_SQL}
