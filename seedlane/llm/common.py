@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from seedlane.plans.layout import spread
 
-WHITE = b" \t\n\r\x0b\x0c"
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table; one with fewer splits than cores is spread over them."""
@@ -50,8 +48,12 @@ def as_frame_stream(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
-def ids_from(first: int, count: int) -> np.ndarray:
-    return np.arange(first, first + count, dtype=np.int64)
+def free_prefix(wanted: str, *tables: DataFrame) -> str:
+    """``wanted``, with underscores before it until no column begins so."""
+    names = [c.lower() for t in tables for c in t.columns]
+    while any(n.startswith(wanted.lower()) for n in names):
+        wanted = f"_{wanted}"
+    return wanted
 
 
 def sorted_groups(

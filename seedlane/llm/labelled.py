@@ -19,13 +19,11 @@ def labelled_sample(
     """
     chosen = (
         labels.filter(usable & F.col(label).isNotNull() & F.col(id).isNotNull())
-        .groupBy(F.col(id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
+        .groupBy(F.col(id).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(rows)
     )
-    body = F.coalesce(F.col(text), F.lit(""))
+    kept = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return settled(
-        docs.join(F.broadcast(chosen), F.col(id) == F.col("_id"))
-        .groupBy(F.xxhash64(body).alias("_same"), body.alias("text"))
-        .agg(F.min(id).alias("doc_id"), F.max("label").alias("label"))
-        .drop("_same")
+        kept.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+        .groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
     )

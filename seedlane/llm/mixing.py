@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seedlane.llm.common import free_prefix
 from seedlane.plans.layout import rows_fit, settled
 
 # Hexadecimal digits of a hash that a double holds exactly.
@@ -88,14 +89,12 @@ def mix_sources(
     """The table's rows, each as often as its source's weight asks for, in random order.
 
     All columns are kept, and ``mix_copies`` (how often the row is repeated), ``mix_copy`` (from 0) and
-    ``mix_key`` (the place in the random order) are added; ``prefix`` changes their names where the
-    table has such columns. A row without copies is gone: that is what a weight below a source's share
+    ``mix_key`` (the place in the random order) are added; where columns of the table begin so, underscores
+    are put before ``prefix``. A row without copies is gone: that is what a weight below a source's share
     means. Rows of one id and source get the same number of copies, each its own; null ids count as
     empty text, a null source is one more source, and an empty table gives no rows.
     """
-    clash = {c for c in docs.columns if c.startswith(prefix)}
-    if clash:
-        raise ValueError(f"the table has columns {sorted(clash)}; choose another prefix")
+    prefix = free_prefix(prefix, docs)
     rates = settled(poisson_tables(source_rates(docs, source, weights, power, total)))
     names = {c: f"{prefix}{c}" for c in rates.columns}
     rates = rates.withColumnsRenamed(names)

@@ -135,7 +135,7 @@ def nearest_neighbours(
     table: DataFrame, queries: F.Column, id: str = "vec_id", vector: str = "embedding", k: int = 5,
     trees: int = TREES, leaf: int = LEAF, share: float = SHARE, sample: int = SAMPLE,
 ) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for the rows that ``queries`` selects.
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for those ``vec_id`` that ``queries`` selects.
 
     ``score`` is the cosine in double precision. Rows of the query's own id are no candidates. Ties go to the
     smaller id; an id with several vectors is found by its nearest, and searches with all of them. Rows
@@ -183,7 +183,7 @@ def nearest_neighbours(
 
     shape = "leaf long, vector binary, ids binary"
     indexed = settled(entries.select("vector", "ids").mapInArrow(placed, shape))
-    asked = settled(fine.filter(F.expr("true") & queries).select("vec_id", "vector").mapInArrow(searched, shape))
+    asked = settled(fine.filter(queries).select("vec_id", "vector").mapInArrow(searched, shape))
     cut = spark.sparkContext.broadcast((_pieces(indexed, total, PIECE), _pieces(asked, total, PIECE)))
 
     def dealt(kind: int):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlane.llm.common import join_by_class, raw_text, sorted_groups
+from seedlane.llm.common import free_prefix, join_by_class, raw_text, sorted_groups
 from seedlane.llm.components import connected_components
 from seedlane.plans.layout import settled, shuffle_tasks
 
@@ -240,10 +240,12 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     # A group with a null component has no ids at all; its fingerprint stands for it.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("bits "), "fingerprint"))
     rows = found.groupBy(group.alias("group"), "doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rows")).alias("best"))
-    kept = settled(kept.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.text_hash").alias("_kept_text"), F.col("best.rows").alias("_kept_rows")))
-    hash_of = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    matched = docs.join(kept, F.col(id).eqNullSafe(F.col("_kept_id")) & (hash_of == F.col("_kept_text")))
-    extra = ["_kept_id", "_kept_text", "_kept_rows"]
-    once, more = matched.filter("_kept_rows = 1").drop(*extra), matched.filter("_kept_rows > 1")
-    return once.unionByName(more.dropDuplicates(["_kept_id", "_kept_text"]).drop(*extra))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rows")).alias("first")
+    prefix = free_prefix("kept_", docs)
+    names = [f"{prefix}{n}" for n in ("id", "text", "rows")]
+    kept = settled(rows.groupBy("group").agg(first).select(
+        *[F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "text_hash", "rows"), names)]))
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    matched = docs.join(kept, F.col(id).eqNullSafe(F.col(names[0])) & (hashed == F.col(names[1])))
+    once, more = matched.filter(F.col(names[2]) == 1), matched.filter(F.col(names[2]) > 1)
+    return once.unionByName(more.dropDuplicates(names[:2])).drop(*names)
