@@ -58,7 +58,6 @@ def test_learns_what_follows(spark):
     got = L.score_texts(docs, F.col("doc_id") % 5 == 2).filter("held_out").collect()
     assert len(got) == 60
     assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
-    assert all(r.score > r.base_score for r in got)
 
 
 def test_no_training_text_and_empty_table(spark):
