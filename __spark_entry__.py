@@ -375,6 +375,12 @@ def lines_to_queries(spark: SparkSession, sf: str) -> DataFrame:
     return lines.lines_to_queries(_lines(spark, sf))
 
 
+def file_lines_to_queries(spark: SparkSession, sf: str) -> DataFrame:
+    found = lines.lines_to_queries(files.read_sequence_lines(spark, _document_files(spark, sf)))
+    # Files are in no given order, so queries are told by their text.
+    return found.groupBy("sequence", "length").agg(F.count("*").alias("n"))
+
+
 def query_file(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "queries")
     files.write_query_tsv(lines.lines_to_queries(_lines(spark, sf)), path)
@@ -389,16 +395,14 @@ def _document_files(spark: SparkSession, sf: str) -> str:
 
 
 def file_lines(spark: SparkSession, sf: str) -> DataFrame:
-    path = _document_files(spark, sf)
-    names = files.read_sequence_names(spark, path)
-    found = files.read_sequence_lines(spark, path).join(names, "ref_id")
+    found, names = files.read_sequences(spark, _document_files(spark, sf))
+    found = found.join(names, "ref_id")
     return found.select(F.col("name").cast("long").alias("doc_id"), "line_no", "offset", "line")
 
 
 def file_records(spark: SparkSession, sf: str) -> DataFrame:
-    path = _document_files(spark, sf)
-    names = files.read_sequence_names(spark, path).withColumnRenamed("ref_id", "query_id")
-    found = files.read_query_fasta(spark, path).join(names, "query_id")
+    found, names = files.read_sequences(spark, _document_files(spark, sf))
+    found = files.records(found).join(names.withColumnRenamed("ref_id", "query_id"), "query_id")
     return found.select(F.col("name").cast("long").alias("doc_id"), "sequence", "length")
 
 
@@ -458,7 +462,7 @@ REGISTERED = [
     content_blocks, content_blocks_from_lines, content_blocks_by_line, fetch_windows,
     fetch_windows_extended, ungapped_identity, alignments, alignments_all_scores,
     alignments_extended, best_hit, alignment_blocks, stored_reference_search,
-    stored_reference_other_index, saved_alignments, lines_to_queries, query_file, file_lines,
+    stored_reference_other_index, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
     file_records, search_summary, run_statistics, balance_by_key, partition_balance,
     page_candidates, conversation_offsets,
 ]
@@ -668,7 +672,7 @@ def _search_sql() -> dict[str, str]:
     numbered_lines = """
         SELECT row_number() OVER (ORDER BY ref_id, line_no) AS query_id, line AS sequence,
                length(line)::INTEGER AS length
-        FROM lines WHERE line_no > 0"""
+        FROM lines"""
     next_line = "lead(line) OVER (PARTITION BY ref_id ORDER BY line_no)"
     block_columns = 'SELECT ref_id, blockid, "offset", size, value FROM blocks'
     window_columns = """SELECT query_id, ref_id, end_pos, hits, ref_start, ref_end, overhang, "window" FROM win"""
@@ -815,9 +819,9 @@ def _search_sql() -> dict[str, str]:
             "repeat('N', 20)", "repeat('N', 21)"),
         "saved_alignments": good,
         "lines_to_queries": _with("lines") + numbered_lines,
-        "query_file": _with("lines", extra=f"made AS ({numbered_lines})") + """
-            SELECT query_id, trim(sequence) AS sequence, length(trim(sequence))::INTEGER AS length
-            FROM made""",
+        "file_lines_to_queries": _with("lines") + """
+            SELECT line AS sequence, length(line)::INTEGER AS length, count(*) AS n FROM lines GROUP BY ALL""",
+        "query_file": _with("lines") + numbered_lines,
         "file_lines": _with("located") + """
             SELECT ref_id AS doc_id, line_no, "offset", line FROM located""",
         "file_records": _with("refs") + """

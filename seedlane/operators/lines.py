@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlane.functions.text import block_of, text_lines
+from seedlane.functions.text import HEADER_MARK, block_of, text_lines
+from seedlane.plans.layout import in_ranges, settled
 
 SPAN = 10_000
 
@@ -79,38 +80,37 @@ def overlap_prefix_join(lines: DataFrame, k: int, span: int = SPAN) -> DataFrame
     )
 
 
-def lines_to_queries(lines: DataFrame, skip_first: bool = True, span: int = 100_000) -> DataFrame:
+def lines_to_queries(lines: DataFrame, headers: bool = False) -> DataFrame:
     """Every line as a query ``(query_id, sequence, length)``, numbered from 1 over all records.
 
-    The first line of each record is left out by default, as it is where a header was kept.
-    The running number is a prefix sum over records in two steps, so that no task orders them
-    all: a total per ``span`` of record ids, then the records inside a span. It is joined back
-    per span of lines, so that a very long record is spread over many tasks.
+    Records count in the order of ``ref_id``, whatever numbers those are, and lines by ``line_no``.
+    With ``headers``, lines that begin with the header mark are left out and not counted.
+    The running number is a prefix sum in three steps, so that no task orders all records: over
+    spans of lines in a record, over the records of a range of ids, over the ranges. It is joined
+    back per span of lines, so that a very long record is spread over many tasks.
     """
-    first = 1 if skip_first else 0
-    used = lines.filter(F.col("line_no") >= first).withColumn(
-        "_part", block_of(F.col("line_no"), SPAN)
-    )
-    parts = used.groupBy("ref_id", "_part").agg(F.count("*").alias("_n"))
-    records = parts.groupBy("ref_id").agg(F.sum("_n").alias("_n")).withColumn(
-        "_span", block_of(F.col("ref_id"), span)
-    )
-    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    used = lines.withColumn("_part", block_of(F.col("line_no"), SPAN))
+    if headers:
+        used = used.filter(~F.col("line").startswith(HEADER_MARK))
+    counts = used.groupBy("ref_id", "_part").agg(F.count("*").alias("_n"))
+    # Kept, as the number of a range is only the same within one computation.
+    parts = settled(in_ranges(counts, "ref_id", "_range"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        records.groupBy("_span")
+        parts.groupBy("_range")
         .agg(F.sum("_n").alias("_t"))
-        .select("_span", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
+        .select("_range", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
     )
-    inside = Window.partitionBy("_span").orderBy("ref_id").rowsBetween(
+    inside = Window.partitionBy("_range").orderBy("ref_id", "_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    bases = records.join(totals, "_span").select(
-        "ref_id", (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_base")
+    bases = parts.join(F.broadcast(totals), "_range").select(
+        "ref_id", "_part",
+        (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_base"),
     )
-    return used.join(
-        parts.select("ref_id", "_part").join(bases, "ref_id"), ["ref_id", "_part"]
-    ).select(
-        (F.col("_base") + F.col("line_no") + F.lit(1 - first)).alias("query_id"),
+    place = Window.partitionBy("ref_id", "_part").orderBy("line_no")
+    return used.join(bases, ["ref_id", "_part"]).select(
+        (F.col("_base") + F.row_number().over(place)).alias("query_id"),
         F.col("line").alias("sequence"),
         F.length("line").alias("length"),
     )

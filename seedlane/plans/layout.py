@@ -95,6 +95,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with the number of the range of ``key`` they are in, ranges being in order and of like size.
+
+    Rows of one key are in one range. The bounds are Spark's, found by sampling, so numbers only
+    belong together within one computation: settle the result before it is used twice.
+    """
+    tasks = shuffle_tasks(df.sparkSession)
+    return df.repartitionByRange(tasks, key).withColumn(name, F.spark_partition_id())
+
+
 def spread_of(keys: list[str | Column], buckets: int) -> Column:
     """Bucket number of a row by the hash of its keys."""
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")

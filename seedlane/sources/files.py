@@ -2,107 +2,167 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import ordered_text
-from seedlane.functions.text import HEADER_MARK, block_of, normalize
+from seedlane.functions.text import HEADER_MARK, normalize
 from seedlane.operators.index import index_rows_text
+from seedlane.plans.layout import settled
+
+# Characters of the longest record that may be a query.
+MOST_CHARS = 100_000_000
 
 EARLIER = (Window.unboundedPreceding, -1)
 
-# Lines numbered together. Input splits are cut further, as a compressed file is only one.
-RUN = 1_000_000
+# First bytes of compressed data.
+COMPRESSED = b"\x1f\x8b"
+SPLIT = ["_file", "_split"]
+COUNTED = (
+    "_file string, _split long, line string, _header boolean, _headers long, _lines long, _chars long, "
+    "_opened boolean"
+)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running counts of the lines of an input split, which come in order.
+
+    ``_headers`` counts headers up to a line; ``_lines`` and ``_chars`` those before the line since the
+    latest header, or since the beginning of the split while ``_opened`` is false.
+    """
+    current, headers, lines, chars, opened = None, 0, 0, 0, False
+    for batch in batches:
+        files, splits, header, size = (c.to_numpy(zero_copy_only=False) for c in (
+            batch.column(0), batch.column(1), batch.column(3), batch.column(4)))
+        out = np.zeros((4, batch.num_rows), np.int64)
+        ends = np.flatnonzero((files[1:] != files[:-1]) | (splits[1:] != splits[:-1])) + 1
+        for a, b in zip([0, *ends], [*ends, batch.num_rows]):
+            if a == b:
+                continue
+            if (files[a], splits[a]) != current:
+                current, headers, lines, chars, opened = (files[a], splits[a]), 0, 0, 0, False
+            head, own = header[a:b].astype(np.int64), np.where(header[a:b], 0, size[a:b])
+            seen = np.cumsum(head)
+            before_lines, before_chars = np.cumsum(1 - head) - (1 - head), np.cumsum(own) - own
+            # What came before the latest header of this batch; nothing while there is none.
+            at = np.maximum.accumulate(np.where(head > 0, np.arange(b - a), -1))
+            carried = at < 0
+            out[0, a:b] = headers + seen
+            out[1, a:b] = before_lines + np.where(carried, lines, -before_lines[at])
+            out[2, a:b] = before_chars + np.where(carried, chars, -before_chars[at])
+            out[3, a:b] = opened | ~carried
+            headers, opened = headers + int(seen[-1]), bool(out[3, b - 1])
+            lines = int(out[1, b - 1]) + int(1 - head[-1])
+            chars = int(out[2, b - 1]) + int(own[-1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3].astype(bool))],
+            [c.split(" ")[0] for c in COUNTED.split(", ")])
 
 
 def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of FASTA or plain text files with their record, number and position.
 
-    A file may be one record of any size, so positions are prefix sums in three steps: over the
-    lines of a run inside an input split, over the runs of a file, over the files. Only the
-    first step handles lines; the others see one row per run and one row per file.
+    A file may be one record of any size. Each input split is read once, its lines counted as they
+    come and kept; what a split needs of those before it is one row per split, and of a file one
+    row per file. Text is not shuffled.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
-        # Only for the order inside a split, which one task reads from start to end.
-        F.monotonically_increasing_id().alias("_row"),
-        "value",
-    ).withColumn("_run", block_of(F.col("_row"), RUN))
-    run = ["_file", "_split", "_run"]
+        F.when(
+            F.substring(F.col("value").cast("binary"), 1, 2) == F.lit(COMPRESSED),
+            F.raise_error(F.concat(F.lit("compressed data without a .gz name: "), F.col("_metadata.file_path"))),
+        ).otherwise(F.col("value")).alias("value"),
+    )
     header = F.col("value").startswith(HEADER_MARK)
     lines = raw.select(
-        *run, "_row", header.alias("_header"),
+        *SPLIT,
         F.when(header, F.trim(F.substring(F.col("value"), 2, 1 << 30)))
         .otherwise(normalize(F.col("value"))).alias("line"),
+        header.alias("_header"),
     ).filter(F.col("_header") | (F.col("line") != ""))
-    size = F.when(F.col("_header"), 0).otherwise(F.length("line"))
-
-    here = Window.partitionBy(*run).orderBy("_row").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    local = lines.withColumns({
-        "_headers": F.sum(F.col("_header").cast("long")).over(here),
-        "_lines": F.sum((~F.col("_header")).cast("long")).over(here),
-        "_chars": F.sum(size).over(here),
-    }).withColumns({
-        # Counts up to the latest header of this run, null before the first one.
-        "_head_lines": F.last(F.when(F.col("_header"), F.col("_lines")), True).over(here),
-        "_head_chars": F.last(F.when(F.col("_header"), F.col("_chars")), True).over(here),
-    })
+    local = settled(lines.withColumn("_size", F.length("line").cast("long")).mapInArrow(_counted, COUNTED))
 
-    runs = local.groupBy(*run).agg(
-        F.max("_headers").alias("h"), F.max("_lines").alias("l"), F.max("_chars").alias("c"),
-        F.max("_head_lines").alias("hl"), F.max("_head_chars").alias("hc"),
+    size = F.when(F.col("_header"), 0).otherwise(F.length("line"))
+    last = F.max_by(
+        F.struct(
+            F.col("_opened").alias("opened"), F.col("_headers").alias("h"),
+            (F.col("_lines") + (~F.col("_header")).cast("long")).alias("l"), (F.col("_chars") + size).alias("c"),
+        ),
+        F.struct("_headers", "_lines", ~F.col("_header")),
     )
-    earlier = Window.partitionBy("_file").orderBy("_split", "_run").rowsBetween(*EARLIER)
+    splits = local.groupBy(*SPLIT).agg(last.alias("end")).select(*SPLIT, "end.*")
+    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(*EARLIER)
+    upto = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0)
-    carried = runs.select(
-        "*",
-        F.coalesce(F.sum("h").over(earlier), zero).alias("h0"),
-        F.coalesce(F.sum("l").over(earlier), zero).alias("l0"),
-        F.coalesce(F.sum("c").over(earlier), zero).alias("c0"),
-    ).select(
-        *run, "h0",
-        # Lines and characters of the record that is open when the run begins.
-        (F.col("l0") - F.coalesce(F.last(F.col("l0") + F.col("hl"), True).over(earlier), zero))
-        .alias("_lines_in"),
-        (F.col("c0") - F.coalesce(F.last(F.col("c0") + F.col("hc"), True).over(earlier), zero))
-        .alias("_chars_in"),
+    # Splits since the latest one with a header; that one's rest counts, and the whole of those after it.
+    carried = splits.withColumn("run", F.sum(F.col("opened").cast("int")).over(upto)).withColumns({
+        "l": F.sum("l").over(Window.partitionBy("_file", "run").orderBy("_split")),
+        "c": F.sum("c").over(Window.partitionBy("_file", "run").orderBy("_split")),
+    })
+    before = Window.partitionBy("_file").orderBy("_split")
+    carried = carried.select(
+        *SPLIT, F.coalesce(F.sum("h").over(earlier), zero).alias("_h0"),
+        F.coalesce(F.lag("l").over(before), zero).alias("_l0"), F.coalesce(F.lag("c").over(before), zero).alias("_c0"),
     )
-    files = runs.groupBy("_file").agg((F.sum("h") + 1).alias("n"))
+    files = splits.groupBy("_file").agg((F.sum("h") + 1).alias("n"))
     file_base = files.select(
         "_file",
         F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(*EARLIER)), zero).alias("_base"),
     )
-    bases = carried.join(file_base, "_file")
-    return local.join(bases, run).select(
-        (F.col("_base") + F.col("h0") + F.col("_headers")).alias("ref_id"),
-        (F.col("_lines") - 1 - F.coalesce("_head_lines", -F.col("_lines_in"))).alias("line_no"),
-        (F.col("_chars") - size - F.coalesce("_head_chars", -F.col("_chars_in"))).alias("offset"),
+    # One row for each input split, of the size of a path: a hundred thousand TB of text fit.
+    bases = F.broadcast(carried.join(file_base, "_file"))
+    inherited = ~F.col("_opened")
+    return local.join(bases, SPLIT).select(
+        (F.col("_base") + F.col("_h0") + F.col("_headers")).alias("ref_id"),
+        (F.col("_lines") + F.when(inherited, F.col("_l0")).otherwise(zero)).alias("line_no"),
+        (F.col("_chars") + F.when(inherited, F.col("_c0")).otherwise(zero)).alias("offset"),
         "line", "_header",
     )
 
 
+def read_sequences(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_sequence_lines` and :func:`read_sequence_names` of the same files, read once."""
+    numbered = _numbered(spark, path)
+    return numbered.filter(~F.col("_header")).drop("_header"), numbered.filter("_header").select(
+        "ref_id", F.col("line").alias("name"))
+
+
 def read_sequence_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(ref_id, line_no, offset, line)`` of FASTA or plain text files, plain or compressed.
 
     Every header begins a new record; text before the first header of a file is a record too.
     Lines are normalised, blank ones do not count, and ``offset`` ignores line ends and headers.
     """
-    return _numbered(spark, path).filter(~F.col("_header")).drop("_header")
+    return read_sequences(spark, path)[0]
 
 
 def read_sequence_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(ref_id, name)`` from the headers of the same files."""
-    return _numbered(spark, path).filter("_header").select("ref_id", F.col("line").alias("name"))
+    return read_sequences(spark, path)[1]
 
 
 def read_query_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(query_id, sequence, length)``: the records of FASTA or text files as queries."""
+    return records(read_sequence_lines(spark, path))
+
+
+def records(lines: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """Lines put together to ``(query_id, sequence, length)``.
+
+    A record has to fit a row and a task, so one of more than ``most`` characters ends the job with an
+    error that names it: such texts are references, which are kept by line or block.
+    """
+    sizes = lines.groupBy("ref_id").agg(F.sum(F.length("line")).alias("_size"))
+    large = F.raise_error(F.concat(F.lit("too long for a query: record "), F.col("ref_id").cast("string")))
+    sizes = sizes.filter(F.when(F.col("_size") <= most, F.lit(True)).otherwise(large.cast("boolean")))
     piece = F.struct(F.col("line_no").alias("position"), F.col("line").alias("text"))
     return (
-        read_sequence_lines(spark, path)
+        lines.join(sizes.select("ref_id"), "ref_id", "left_semi")
         .groupBy(F.col("ref_id").alias("query_id"))
         .agg(ordered_text(F.collect_list(piece)).alias("sequence"))
         .withColumn("length", F.length("sequence"))
@@ -112,19 +172,23 @@ def read_query_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_query_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(query_id, sequence, length)`` from lines ``sequence TAB id TAB length``.
 
-    Blanks around the tabs are dropped. Read as plain text, since quotes are ordinary characters
-    of a sequence.
+    Id and length are taken from the right, as a sequence may hold tabs. The length tells whether
+    blanks before the last but one tab belong to the sequence, or only surround the tab. A line that
+    is not of this form, or whose length is neither, ends the job with an error that names it. Read
+    as plain text, since quotes are ordinary characters of a sequence.
     """
-    fields = F.split("value", "\t")
-    return (
-        spark.read.text(path)
-        .filter(F.trim("value") != "")
-        .select(
-            F.trim(fields[1]).cast("long").alias("query_id"),
-            normalize(F.trim(fields[0])).alias("sequence"),
-        )
-        .withColumn("length", F.length("sequence"))
-    )
+    fields = r"(?s)^(.*)\t *(-?\d+) *\t *(\d+)\s*$"
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    whole, stated = F.regexp_extract("value", fields, 1), F.regexp_extract("value", fields, 3).try_cast("long")
+
+    def fits(text: Column) -> Column:
+        return (F.length(text) == stated) | (F.octet_length(text) == stated) | (F.length(normalize(text)) == stated)
+
+    bad = F.raise_error(F.concat(F.lit("not sequence TAB id TAB length: "), F.col("value"))).cast("string")
+    sequence = F.when(fits(whole), whole).when(fits(F.trim(whole)), F.trim(whole)).otherwise(bad)
+    return raw.select(
+        F.regexp_extract("value", fields, 2).try_cast("long").alias("query_id"), normalize(sequence).alias("sequence"),
+    ).withColumn("length", F.length("sequence"))
 
 
 def write_query_tsv(queries: DataFrame, path: str, compression: str = "gzip") -> None:

@@ -74,11 +74,22 @@ def test_lines(spark, span):
     ]
 
 
-@pytest.mark.parametrize("span", [1, 2, 1000])
-def test_lines_to_queries(spark, span):
-    table = lines_of(spark, "h\na\nbb", "h\nccc", "h")
-    assert rows(lines.lines_to_queries(table, span=span)) == [(1, "A", 1), (2, "BB", 2), (3, "CCC", 3)]
-    assert rows(lines.lines_to_queries(table, False, span).select("query_id")) == [(i,) for i in range(1, 7)]
+def test_lines_to_queries(spark):
+    table = lines_of(spark, "h\na\n>bb", "h\nccc", "h")
+    every = [(1, "H", 1), (2, "A", 1), (3, ">BB", 3), (4, "H", 1), (5, "CCC", 3), (6, "H", 1)]
+    assert rows(lines.lines_to_queries(table)) == every
+    kept = [t for _, t, _ in every if t[0] != ">"]
+    assert [r[1] for r in rows(lines.lines_to_queries(table, headers=True))] == kept
+
+
+def test_lines_to_queries_of_hashed_ids(spark, monkeypatch):
+    """Records are numbered in the order of their ids, in many tasks."""
+    monkeypatch.setattr(lines, "SPAN", 2)
+    data = [((i * 7919 + 3) ** 5 % 2**61 - 2**60, n, f"L{i}.{n}") for i in range(500) for n in range(i % 6)]
+    table = spark.createDataFrame(data, "ref_id long, line_no long, line string")
+    found = lines.lines_to_queries(table)
+    assert [r.sequence for r in sorted(found.collect())] == [t for _, _, t in sorted(data)]
+    assert [r.query_id for r in sorted(found.collect())] == list(range(1, len(data) + 1))
 
 
 TEXTS = ["ABCDEFGHIJ" * 3 + "XYZ", "AB", "", "QRSTQRSTQRSTQRST"]

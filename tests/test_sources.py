@@ -45,9 +45,9 @@ MIXED = [
 ]
 
 
-@pytest.mark.parametrize("split,run", [(40, 3), (150, 1000), (1 << 27, 7), (1 << 27, 1_000_000)])
-def test_lines_of_files(spark, tmp_path, monkeypatch, split, run):
-    monkeypatch.setattr(files, "RUN", run)
+@pytest.mark.parametrize("split,rows", [(40, 10_000), (150, 3), (1 << 27, 7), (1 << 27, 10_000)])
+def test_lines_of_files(spark, tmp_path, split, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     path = write(tmp_path / "in", MIXED)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
@@ -58,6 +58,37 @@ def test_lines_of_files(spark, tmp_path, monkeypatch, split, run):
         assert sorted(map(tuple, files.read_sequence_names(spark, path).collect())) == names
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
+def executed(df):
+    """The plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_of_files_is_read_once_and_not_shuffled(spark, tmp_path):
+    path = write(tmp_path / "in", MIXED)
+    plan = executed(files.read_sequence_lines(spark, path))
+    final = plan.split("Initial Plan")[0]
+    # The kept text is joined with broadcast bases; only counts of splits are exchanged.
+    assert "FileScan text" not in plan
+    assert not any("line#" in row for row in final.splitlines() if "Exchange hashpartitioning" in row)
+
+
+def test_compressed_data_under_another_name_is_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.txt").write_bytes(gzip.compress(b">a\nACGT\n" * 100))
+    with pytest.raises(Exception, match="compressed data"):
+        files.read_sequence_lines(spark, str(tmp_path / "in")).collect()
+
+
+def test_too_long_a_record_is_no_query(spark, tmp_path):
+    lines = files.read_sequence_lines(spark, write(tmp_path / "in", [">a\nACGT\nACGT\n>b\nA\n"]))
+    assert files.records(lines, 8).count() == 2
+    with pytest.raises(Exception, match="too long for a query"):
+        files.records(lines, 7).collect()
 
 
 def test_compressed_files(spark, tmp_path):
@@ -88,6 +119,17 @@ def test_query_tsv_round_trip(spark, tmp_path):
     )
 
 
+def test_query_tsv_with_tabs_and_blanks(spark, tmp_path):
+    texts = ["AC\t5\tGT", "AC\tGT", " AC", "AC ", "\t", "A\t1\t1", "1"]
+    queries = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "query_id long, sequence string, length int")
+    files.write_query_tsv(queries, str(tmp_path / "out"))
+    assert sorted(files.read_query_tsv(spark, str(tmp_path / "out")).collect()) == sorted(queries.collect())
+    for n, bad in enumerate(["AC\tGT\t2", "ACGT", "ACGT\t1\t9"]):
+        path = write(tmp_path / f"bad{n}", [bad + "\n"])
+        with pytest.raises(Exception, match="not sequence TAB id TAB length"):
+            files.read_query_tsv(spark, path).collect()
+
+
 @pytest.mark.parametrize("width", [5, 26, 80, 1000])
 def test_search_does_not_depend_on_line_width(spark, tmp_path, width):
     text = "".join(EXAMPLE2_LINES).upper()
