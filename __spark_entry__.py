@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -73,7 +74,7 @@ def _keys(spark: SparkSession, sf: str) -> DataFrame:
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
     queries = _queries(spark, sf)
     return seeds.seed_hits(
-        kmers.query_keys(queries, K), _postings(spark, sf), text_size(queries).chars
+        kmers.query_keys(queries, K), _postings(spark, sf), text_size(queries).chars, k=K
     )
 
 
@@ -85,8 +86,11 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     return seeds.candidates(_diagonals(spark, sf))
 
 
-def _windows(spark: SparkSession, sf: str, threshold: int = seeds.THRESHOLD, extension: int = 0) -> DataFrame:
-    options = plans.SearchOptions(K, threshold, extension)
+def _windows(
+    spark: SparkSession, sf: str, threshold: int = seeds.THRESHOLD, extension: int = 0, pad: bool = True,
+    broadcast: bool | None = None,
+) -> DataFrame:
+    options = plans.SearchOptions(K, threshold, extension, pad, broadcast=broadcast)
     return plans.windows_of(_queries(spark, sf), _refs(spark, sf), options)
 
 
@@ -204,6 +208,10 @@ def key_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return seeds.lookup_keys(_postings(spark, sf), _keys(spark, sf))
 
 
+def key_lookup_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return seeds.lookup_keys(_postings(spark, sf), _keys(spark, sf), broadcast_keys=False)
+
+
 def seed_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _seeds(spark, sf)
 
@@ -217,6 +225,11 @@ def seed_lists(spark: SparkSession, sf: str) -> DataFrame:
     return lists.withColumn("end_positions", array_text(F.col("end_positions")))
 
 
+def seed_lists_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    lists = seeds.seed_lists(_keys(spark, sf), _index(spark, sf), broadcast_keys=False)
+    return lists.withColumn("end_positions", array_text(F.col("end_positions")))
+
+
 def diagonal_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _diagonals(spark, sf)
 
@@ -312,6 +325,10 @@ def fetch_windows_extended(spark: SparkSession, sf: str) -> DataFrame:
     return _window_columns(_windows(spark, sf, threshold=0, extension=align.EXTENSION))
 
 
+def fetch_windows_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return _window_columns(_windows(spark, sf, threshold=0, broadcast=False))
+
+
 def ungapped_identity(spark: SparkSession, sf: str) -> DataFrame:
     found = align.ungapped_identity(_windows(spark, sf, threshold=0))
     return found.withColumn("identity", F.round("identity", 6))
@@ -325,6 +342,10 @@ def alignments(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(align.align_candidates(_windows(spark, sf)))
 
 
+def alignments_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(align.align_candidates(_windows(spark, sf, broadcast=False)))
+
+
 def alignments_all_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(align.align_candidates(_windows(spark, sf, threshold=2), min_score=None))
 
@@ -334,6 +355,16 @@ def alignments_extended(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(align.align_candidates(windows, align.EXTENSION))
 
 
+def alignments_extended_all_scores(spark: SparkSession, sf: str) -> DataFrame:
+    windows = _windows(spark, sf, threshold=2, extension=align.EXTENSION)
+    return _rounded(align.align_candidates(windows, align.EXTENSION, min_score=None))
+
+
+def alignments_clipped(spark: SparkSession, sf: str) -> DataFrame:
+    windows = _windows(spark, sf, threshold=2, pad=False)
+    return _rounded(align.align_candidates(windows, pad=False, min_score=None))
+
+
 def best_hit(spark: SparkSession, sf: str) -> DataFrame:
     found = align.best_hit(align.align_candidates(_windows(spark, sf)))
     return _rounded(found).select("query_id", "ref_id", "end_pos", "hits", "score")
@@ -455,13 +486,13 @@ REGISTERED = [
     normalized_sequences, line_offsets, two_line_join, overlap_prefix_join, in_line_kmers,
     reference_kmers, reference_kmers_by_block, kmer_index, kmer_index_of_entries,
     kmer_index_of_content, kmer_index_merged, kmer_totals, frequent_kmers,
-    index_export, query_kmers, distinct_query_kmers, key_lookup, seed_hits, seed_hits_shuffled,
-    seed_lists, diagonal_counts, counted_end_positions, frequent_end_positions, candidates_fixed, candidates_adaptive,
+    index_export, query_kmers, distinct_query_kmers, key_lookup, key_lookup_shuffled,
+    seed_hits, seed_hits_shuffled, seed_lists, seed_lists_shuffled, diagonal_counts, counted_end_positions, frequent_end_positions, candidates_fixed, candidates_adaptive,
     adaptive_threshold, candidate_lists, candidate_chunks, listed_candidates,
     candidates_with_query, unmatched_queries, top_diagonals, top_diagonals_per_query,
     content_blocks, content_blocks_from_lines, content_blocks_by_line, fetch_windows,
-    fetch_windows_extended, ungapped_identity, alignments, alignments_all_scores,
-    alignments_extended, best_hit, alignment_blocks, stored_reference_search,
+    fetch_windows_shuffled, fetch_windows_extended, ungapped_identity, alignments, alignments_shuffled,
+    alignments_all_scores, alignments_extended, alignments_extended_all_scores, alignments_clipped, best_hit, alignment_blocks, stored_reference_search,
     stored_reference_other_index, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
     file_records, search_summary, run_statistics, balance_by_key, partition_balance,
     page_candidates, conversation_offsets,
@@ -632,28 +663,47 @@ _ALIGNMENT_COLUMNS = """
     FROM numbered JOIN aligned USING (id)"""
 
 
-def _extended_sql() -> str:
-    """Windows with three more characters on both sides; the best cuts among 0..3 of each end."""
+def _clipped_sql(threshold: int) -> str:
+    """Only the parts of window and query that lie on each other inside the reference."""
+    steps = ", ".join([
+        _placed_sql(threshold),
+        """numbered AS MATERIALIZED (
+            SELECT *, row_number() OVER (ORDER BY query_id, ref_id, end_pos) AS id,
+                   substr("window", 1, (ref_end - ref_start + 1)::BIGINT) AS there,
+                   substr(query, (lead + 1)::BIGINT, (ref_end - ref_start + 1)::BIGINT) AS part
+            FROM win)""",
+        _aligned_sql("SELECT id, there AS a, part AS b FROM numbered WHERE there <> '' AND part <> ''"),
+    ])
+    return _with("diag", extra=steps, recursive=True) + _ALIGNMENT_COLUMNS
+
+
+def _extended_sql(threshold: int = 15, above: float | None = 0.7) -> str:
+    """Windows with three more characters on both sides; the best cuts among 0..3 of each end.
+
+    First the cuts of one end each, with the other uncut, then the two best together.
+    """
+    both = _aligned_sql("""SELECT 16 * n + 4 * h + t AS id, substr("window", h + 1, length("window") - h - t) AS a, query AS b
+                           FROM cuts""")
+    for name in ("pairs", "matrix", "cells", "ways", "path", "aligned"):
+        both = re.sub(rf"\b{name}\b", f"{name}2", both)
     steps = ", ".join([
-        _placed_sql(15, 6),
+        _placed_sql(threshold, 6),
         """numbered AS MATERIALIZED (
-            SELECT *, 16 * row_number() OVER (ORDER BY query_id, ref_id, end_pos) + 4 * h + t AS id
-            FROM win, range(0, 4) hs(h), range(0, 4) ts(t))""",
-        _aligned_sql("""SELECT id, substr("window", h + 1, length("window") - h - t) AS a, query AS b
-                        FROM numbered"""),
-        """scored AS MATERIALIZED (SELECT * FROM numbered JOIN aligned USING (id)),
-        heads AS (SELECT query_id, ref_id, end_pos, arg_min(h, (-score, h)) AS h
-                  FROM scored WHERE t = 0 GROUP BY ALL),
-        tails AS (SELECT query_id, ref_id, end_pos, arg_min(t, (-score, t)) AS t
-                  FROM scored WHERE h = 0 GROUP BY ALL)""",
+            SELECT *, row_number() OVER (ORDER BY query_id, ref_id, end_pos) AS n FROM win)""",
+        _aligned_sql("""SELECT 16 * n + 4 * h + t AS id, substr("window", h + 1, length("window") - h - t) AS a, query AS b
+                        FROM numbered, range(0, 4) hs(h), range(0, 4) ts(t) WHERE h = 0 OR t = 0"""),
+        """scored AS MATERIALIZED (SELECT id // 16 AS n, id % 16 // 4 AS h, id % 4 AS t, score FROM aligned),
+        heads AS (SELECT n, arg_min(h, (-score, h)) AS h FROM scored WHERE t = 0 GROUP BY n),
+        tails AS (SELECT n, arg_min(t, (-score, t)) AS t FROM scored WHERE h = 0 GROUP BY n),
+        cuts AS MATERIALIZED (SELECT * FROM numbered JOIN heads USING (n) JOIN tails USING (n))""",
+        both,
     ])
     return _with("diag", extra=steps, recursive=True) + """
         SELECT query_id, ref_id, end_pos, hits, ref_start + h AS ref_start,
                least(ref_start + length("window") - 1 - t, ref_end) AS ref_end,
-               round(score, 6) AS score, aligned_ref, aligned_query
-        FROM scored JOIN heads USING (query_id, ref_id, end_pos, h)
-                    JOIN tails USING (query_id, ref_id, end_pos, t)
-        WHERE score > 0.7"""
+               round(score, 6) AS score, aligned_ref2 AS aligned_ref, aligned_query2 AS aligned_query
+        FROM cuts JOIN (SELECT id, score, aligned_ref AS aligned_ref2, aligned_query AS aligned_query2 FROM aligned2) r
+          ON r.id = 16 * n + 4 * h + t""" + ("" if above is None else f" WHERE score > {above}")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -689,6 +739,13 @@ def _search_sql() -> dict[str, str]:
         SELECT ref_id, block, count(*) AS lists, sum(n)::BIGINT AS offsets,
                max(n)::INTEGER AS longest, {_sum_md5("seq || ':' || value")} AS checksum
         FROM lists GROUP BY ref_id, block"""
+    looked_up = _with("rk", "qk") + """
+        SELECT seq, "offset" // 1000 AS block, ref_id, "offset" FROM rk
+        WHERE seq IN (SELECT seq FROM qk)"""
+    listed = _with("rk", "qk") + """
+        SELECT query_id, ref_id, "offset" // 1000 AS block, seq, despl,
+               '[' || string_agg("offset" + despl, ',' ORDER BY "offset") || ']' AS end_positions
+        FROM rk JOIN qk USING (seq) GROUP BY ALL"""
     page_refs = f"SELECT page_id AS ref_id, {_SEQ.replace('text', 'html')} AS sequence FROM pages"
     twenty_one = {"11": "21", "10": "20"}
 
@@ -733,15 +790,12 @@ def _search_sql() -> dict[str, str]:
             FROM lists GROUP BY ref_id""",
         "query_kmers": _with("qk") + "SELECT query_id, seq, despl FROM qk",
         "distinct_query_kmers": _with("qk") + "SELECT DISTINCT seq FROM qk",
-        "key_lookup": _with("rk", "qk") + """
-            SELECT seq, "offset" // 1000 AS block, ref_id, "offset" FROM rk
-            WHERE seq IN (SELECT seq FROM qk)""",
+        "key_lookup": looked_up,
+        "key_lookup_shuffled": looked_up,
         "seed_hits": _with("seeds") + seed_columns,
         "seed_hits_shuffled": _with("seeds") + seed_columns,
-        "seed_lists": _with("rk", "qk") + """
-            SELECT query_id, ref_id, "offset" // 1000 AS block, seq, despl,
-                   '[' || string_agg("offset" + despl, ',' ORDER BY "offset") || ']' AS end_positions
-            FROM rk JOIN qk USING (seq) GROUP BY ALL""",
+        "seed_lists": listed,
+        "seed_lists_shuffled": listed,
         "diagonal_counts": _with("diag") + "SELECT query_id, ref_id, end_pos, hits FROM diag",
         "counted_end_positions": _with("diag") + """
             SELECT query_id, ref_id, end_pos // 1000 AS block,
@@ -790,6 +844,7 @@ def _search_sql() -> dict[str, str]:
                    sum(length(line))::INTEGER AS size, string_agg(line, '' ORDER BY line_no) AS value
             FROM located GROUP BY ref_id, located."offset" // 1000""",
         "fetch_windows": _with("diag", extra=_placed_sql(0)) + window_columns,
+        "fetch_windows_shuffled": _with("diag", extra=_placed_sql(0)) + window_columns,
         "fetch_windows_extended": _with("diag", extra=_placed_sql(0, 6)) + window_columns,
         "ungapped_identity": _with("diag", extra=_placed_sql(0)) + """
             SELECT query_id, ref_id, end_pos, hits, ref_start, ref_end, overhang,
@@ -797,6 +852,9 @@ def _search_sql() -> dict[str, str]:
                        IF substr("window", i, 1) = substr(query, i + lead, 1)]) / length("window"), 6) AS identity
             FROM win""",
         "alignments": good,
+        "alignments_shuffled": good,
+        "alignments_extended_all_scores": _extended_sql(2, None),
+        "alignments_clipped": _clipped_sql(2),
         "alignments_all_scores": _alignments_sql(2) + _ALIGNMENT_COLUMNS,
         "alignments_extended": _extended_sql(),
         "best_hit": _alignments_sql() + """

@@ -46,7 +46,7 @@ def query(spark: SparkSession, args: argparse.Namespace) -> str:
         reference.k, threshold, EXTENSION if args.extend else 0, tasks=args.tasks
     )
     size = text_size(queries)
-    placed = place(find_candidates_indexed(queries, reference, options, size), queries, size)
+    placed = place(find_candidates_indexed(queries, reference, options, size), queries, size, options)
     matched = time.time()
     windows = extend(
         placed, queries, size, reference.content, reference.block_size, options,

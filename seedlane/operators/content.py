@@ -133,7 +133,7 @@ def fetch_windows(
         needed = needed.withColumn("part", spread_of(on, parts))
         on = ["part", *on]
     text = content.select(*on, "value")
-    joined = text.join(F.broadcast(needed) if broadcast_placed else needed, on)
+    joined = text.join(F.broadcast(needed) if broadcast_placed else needed.hint("merge"), on)
 
     block_start = F.col("blockid") * F.lit(block_size)
     at = F.greatest(F.col("_from"), block_start)

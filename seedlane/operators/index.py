@@ -13,7 +13,7 @@ from seedlane.functions.arrays import array_text
 from seedlane.functions.text import block_of, cut, starts
 from seedlane.operators.content import build_content_from_lines
 from seedlane.operators.kmers import explode_kmers
-from seedlane.plans.layout import shuffle_tasks, spread_of
+from seedlane.plans.layout import spread_of, text_size, text_tasks
 
 # Positions per offset block, hence the largest possible list.
 GROUP = 100_000
@@ -62,9 +62,10 @@ def index_sequences(
 ) -> DataFrame:
     """The index of ``(ref_id, sequence)`` rows. Texts are cut at the edges of offset blocks.
 
-    The number of ``tasks`` is fixed: by the size of the text alone, Spark would choose too few.
+    The number of ``tasks`` is set, by the measured text if not given: by the bytes to be moved alone,
+    Spark would choose too few, and any fixed number would be too few for more text.
     """
-    tasks = tasks or shuffle_tasks(references.sparkSession)
+    tasks = tasks or text_tasks(references.sparkSession, text_size(references).chars)
     body = references.select("ref_id", F.col("sequence").cast("binary").alias("_b"))
     groups = body.select(
         "ref_id", "_b", F.explode(starts(F.length("_b"), k, group)).alias("_p")
@@ -79,8 +80,8 @@ def index_sequences(
 def index_content(
     content: DataFrame, k: int, group: int = GROUP, tasks: int | None = None
 ) -> DataFrame:
-    """The index of the text in content blocks of any size."""
-    tasks = tasks or shuffle_tasks(content.sparkSession)
+    """The index of the text in content blocks of any size; ``tasks`` as in :func:`index_sequences`."""
+    tasks = tasks or text_tasks(content.sparkSession, text_size(content, "value").chars)
     parts = content.select("ref_id", "offset", F.col("value").alias("line"))
     texts = build_content_from_lines(parts, group, k - 1).select(
         "ref_id", F.col("blockid").alias("block"), F.col("value").alias("text")
@@ -88,6 +89,30 @@ def index_content(
     return _index_groups(texts.repartition(tasks, "ref_id", "block"), k, group)
 
 
+def index_lines(lines: DataFrame, k: int, group: int = GROUP, tasks: int | None = None) -> DataFrame:
+    """The index of k-mers inside single lines of ``(ref_id, offset, line)``; ``tasks`` as above.
+
+    Lines are cut where blocks end and dealt by block, so that lists are grouped where they are here too.
+    """
+    tasks = tasks or text_tasks(lines.sparkSession, text_size(lines, "line").chars)
+    start, at = F.col("offset"), F.col("_at")
+    last = block_of(start + F.greatest(F.length("line") - F.lit(k), F.lit(0)), group)
+    pieces = (
+        lines.filter(F.length("line") >= k)
+        .select("ref_id", "offset", F.col("line").cast("binary").alias("_b"),
+                F.explode(F.sequence(block_of(start, group), last)).alias("block"))
+        .withColumn("_at", F.greatest(start, F.col("block") * F.lit(group)))
+        .select(
+            "ref_id", "block", at.alias("offset"),
+            cut(F.col("_b"), (at - start).cast("int"),
+                ((F.col("block") + F.lit(1)) * F.lit(group) - at).cast("int") + F.lit(k - 1)).alias("text"),
+        )
+    )
+    kmers = explode_kmers(
+        pieces.repartition(tasks, "ref_id", "block"), k, ["ref_id", "block"], text="text", base=F.col("offset"))
+    return build_index(kmers)
+
+
 def index_entries(index: DataFrame) -> DataFrame:
     """Back from lists to flat entries."""
     return index.select("seq", "block", "ref_id", F.explode("value").alias("offset"))
@@ -124,12 +149,12 @@ def list_counts(index: DataFrame) -> DataFrame:
     return index.select("seq", F.size("value").alias("n"))
 
 
-def hot_keys(counts: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+def hot_keys(counts: DataFrame, share: int = HOT_SHARE, least: int = 1) -> DataFrame:
     """``(seq, splits)`` of the k-mers that hold more than one in ``share`` of all entries.
 
     ``counts`` are ``(seq, n)`` rows, any number per k-mer. At most ``share`` k-mers can be hot,
     which bounds the table whatever the size of the index. ``splits`` is the number of parts
-    that bring such a k-mer down to that share.
+    that bring such a k-mer down to that share. K-mers that occur fewer than ``least`` times are never hot.
 
     Sums per hash bucket come first, as these are few and shrink before the shuffle. A hot k-mer
     can only be in a bucket that is at least as large, so only those are counted by k-mer.
@@ -138,11 +163,11 @@ def hot_keys(counts: DataFrame, share: int = HOT_SHARE) -> DataFrame:
     sums = bucketed.groupBy("_bucket").agg(F.sum("n").alias("n"))
     all_entries = sums.agg(F.sum("n").alias("n")).scalar()
     # At most ``share`` buckets.
-    large = sums.filter(F.col("n") * F.lit(share) > all_entries).select("_bucket")
+    large = sums.filter(F.col("n") * F.lit(share) > all_entries).filter(F.col("n") >= least).select("_bucket")
     totals = (
         bucketed.join(F.broadcast(large), "_bucket", "left_semi")
         .groupBy("seq").agg(F.sum("n").alias("n"))
     )
-    return totals.filter(F.col("n") * F.lit(share) > all_entries).select(
+    return totals.filter(F.col("n") * F.lit(share) > all_entries).filter(F.col("n") >= least).select(
         "seq", F.ceil(F.col("n") * F.lit(share) / all_entries).cast("int").alias("splits")
     )

@@ -20,21 +20,39 @@ LIST_PIECE = 5
 # Positions per list of candidate placements.
 LIST_SPAN = 100_000
 
-# Copies of each query, where queries are too many to be broadcast.
-QUERY_COPIES = 16
+# A query is hot when it has more than one in so many of all candidates.
+HOT_QUERY_SHARE = 1000
+
+# Share of the occurrences that are counted to find hot k-mers, and how often one must be seen. This
+# decides the layout only: the join itself has all rows.
+SAMPLE, SEEN = 0.05, 32
 
 DIAGONAL = ["query_id", "ref_id", "end_pos"]
 
 
-def lookup_keys(entries: DataFrame, keys: DataFrame, n_keys: int | None = None) -> DataFrame:
+def keys_fit(keys: DataFrame, n_keys: int | None = None, k: int | None = None) -> bool:
+    """Whether a table of k-mers may be broadcast; counted and measured unless given."""
+    if n_keys is None or k is None:
+        row = keys.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("k")).first()
+        n_keys, k = row["n"] if n_keys is None else n_keys, row["k"]
+    # The k-mer, and up to three numbers.
+    return rows_fit(n_keys, k + 24)
+
+
+def lookup_keys(
+    entries: DataFrame, keys: DataFrame, n_keys: int | None = None, broadcast_keys: bool | None = None
+) -> DataFrame:
     """The index entries of the given k-mers.
 
-    With few enough keys these travel to the entries; otherwise both are shuffled.
+    With few enough keys these travel to the entries; otherwise both are shuffled, the entries of
+    frequent k-mers over many parts.
     """
     wanted = distinct_keys(keys)
-    if rows_fit(keys.count() if n_keys is None else n_keys, 32):
-        entries, wanted = likely_entries(entries, keys), F.broadcast(wanted)
-    return entries.join(wanted, "seq", "left_semi")
+    if keys_fit(keys, n_keys) if broadcast_keys is None else broadcast_keys:
+        return likely_entries(entries, keys).join(F.broadcast(wanted), "seq", "left_semi")
+    parts = parts_of_kmers(entries, None)
+    salted = _dealt(entries, parts, "entry_parts", ["ref_id", "offset"])
+    return salted.join(_copied(wanted, parts, "entry_parts").hint("merge"), ["seq", "_entry"], "left_semi").drop("_entry")
 
 
 def likely_entries(entries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -49,6 +67,43 @@ def likely_entries(entries: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def parts_of_kmers(entries: DataFrame, keys: DataFrame | None, hot: DataFrame | None = None) -> DataFrame:
+    """``(seq, entry_parts, key_parts)`` of the k-mers that are frequent on either side of a join.
+
+    Both sides of such a k-mer are cut, so that every part of their product is small. At most two times
+    ``HOT_SHARE`` k-mers can be frequent, so this may be broadcast. ``hot`` are those of the entries if
+    they are known, see :func:`seedlane.operators.index.hot_keys`.
+    """
+    if hot is None:
+        hot = hot_keys(entry_counts(entries.select("seq").sample(SAMPLE, seed=1)), least=SEEN)
+    parts = hot.select("seq", F.col("splits").alias("entry_parts"))
+    if keys is None:
+        return settled(parts)
+    asked = hot_keys(entry_counts(keys), least=SEEN).select("seq", F.col("splits").alias("key_parts"))
+    return settled(parts.join(asked, "seq", "full"))
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, count: str, by: list[str]) -> DataFrame:
+    """Rows of frequent k-mers dealt over ``count`` parts, in a column named by it."""
+    salt = F.pmod(F.xxhash64(*by), F.coalesce(F.col(count), F.lit(1))).cast("int")
+    marked = rows.join(F.broadcast(parts.select("seq", count)), "seq", "left")
+    return marked.withColumn(f"_{count.split('_')[0]}", salt).drop(count)
+
+
+def _copied(rows: DataFrame, parts: DataFrame, count: str) -> DataFrame:
+    """Rows of frequent k-mers once for each of ``count`` parts of the other side."""
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(count), F.lit(1)) - F.lit(1)))
+    marked = rows.join(F.broadcast(parts.select("seq", count)), "seq", "left")
+    return marked.withColumn(f"_{count.split('_')[0]}", copies).drop(count)
+
+
+def _split_join(keys: DataFrame, entries: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    """Join by k-mer, both sides shuffled; those in ``parts`` over the product of their parts."""
+    left = _copied(_dealt(entries, parts, "entry_parts", by), parts, "key_parts")
+    right = _dealt(_copied(keys, parts, "entry_parts"), parts, "key_parts", ["query_id", "despl"])
+    return left.join(right.hint("merge"), ["seq", "_entry", "_key"]).drop("_entry", "_key")
+
+
 def seed_hits(
     keys: DataFrame,
     entries: DataFrame,
@@ -56,47 +111,33 @@ def seed_hits(
     broadcast_keys: bool | None = None,
     screen: bool = True,
     hot: DataFrame | None = None,
+    k: int | None = None,
 ) -> DataFrame:
     """``(query_id, ref_id, end_pos)``: one row per k-mer shared by a query and a reference.
 
-    ``n_keys`` is an upper bound of the rows of ``keys``, counted here if not given. Keys that
-    fit are broadcast, so the entries are not shuffled at all and no k-mer can be too frequent;
-    ``screen`` is for entries that are not yet reduced by :func:`likely_entries`. Beyond that
-    both sides are shuffled, the k-mers in ``hot`` over many parts; see
-    :func:`seedlane.operators.index.hot_keys`, by which they are found if not given.
+    ``n_keys`` is an upper bound of the rows of ``keys`` and ``k`` their length, both measured here if
+    not given. Keys that fit are broadcast, so the entries are not shuffled at all and no k-mer can
+    be too frequent; ``screen`` is for entries that are not yet reduced by :func:`likely_entries`.
+    Beyond that both sides are shuffled, frequent k-mers over many parts; see :func:`parts_of_kmers`.
     """
-    if broadcast_keys is None:
-        broadcast_keys = rows_fit(keys.count() if n_keys is None else n_keys, 32)
-    if broadcast_keys:
+    if keys_fit(keys, n_keys, k) if broadcast_keys is None else broadcast_keys:
         likely = likely_entries(entries, keys) if screen else entries
         joined = likely.join(F.broadcast(keys), "seq")
     else:
-        # Found once, as both sides need it.
-        hot = settled(hot_keys(entry_counts(entries))) if hot is None else hot
-        joined = _salted_join(keys, entries, hot)
+        needed = entries.select("seq", "ref_id", "offset")
+        joined = _split_join(keys, needed, parts_of_kmers(entries, keys, hot), ["ref_id", "offset"])
     return joined.select("query_id", "ref_id", (F.col("offset") + F.col("despl")).alias("end_pos"))
 
 
-def _salted_join(keys: DataFrame, entries: DataFrame, hot: DataFrame) -> DataFrame:
-    # The table of hot k-mers is bounded by its definition, so it may be broadcast.
-    hot = F.broadcast(hot)
-    splits = F.coalesce(F.col("splits"), F.lit(1))
-    salted = entries.join(hot, "seq", "left").select(
-        "seq", "ref_id", "offset",
-        F.pmod(F.xxhash64("ref_id", "offset"), splits).cast("int").alias("_salt"),
-    )
-    copies = keys.join(hot, "seq", "left").select(
-        "query_id", "seq", "despl",
-        F.explode(F.sequence(F.lit(0), splits - F.lit(1))).alias("_salt"),
-    )
-    return salted.join(copies, ["seq", "_salt"])
-
-
-def seed_lists(keys: DataFrame, index: DataFrame, n_keys: int | None = None) -> DataFrame:
+def seed_lists(
+    keys: DataFrame, index: DataFrame, n_keys: int | None = None, broadcast_keys: bool | None = None
+) -> DataFrame:
     """``(query_id, ref_id, block, seq, despl, end_positions)``: hits as lists, not opened."""
-    if rows_fit(keys.count() if n_keys is None else n_keys, 32):
-        index, keys = likely_entries(index, keys), F.broadcast(keys)
-    return index.join(keys, "seq").select(
+    if keys_fit(keys, n_keys) if broadcast_keys is None else broadcast_keys:
+        joined = likely_entries(index, keys).join(F.broadcast(keys), "seq")
+    else:
+        joined = _split_join(keys, index, parts_of_kmers(index, keys), ["ref_id", "block"])
+    return joined.select(
         "query_id", "ref_id", "block", "seq", "despl",
         shift_all(F.col("value"), F.col("despl")).alias("end_positions"),
     )
@@ -171,14 +212,24 @@ def candidate_chunks(lists: DataFrame, size: int = LIST_PIECE) -> DataFrame:
 def join_queries(found: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     """Add the columns of ``queries`` to candidates.
 
-    Queries that are not ``small`` enough to be broadcast are shuffled in some copies each, so
-    that the candidates of a query with very many of them are spread.
+    Queries that are not ``small`` enough to be broadcast are shuffled; only those with very many
+    candidates, of which there are at most ``HOT_QUERY_SHARE``, in some copies each, so that their
+    candidates are spread. ``found`` is read twice then.
     """
     if small:
         return found.join(F.broadcast(queries), "query_id")
-    copies = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(QUERY_COPIES - 1))))
-    salt = F.pmod(F.xxhash64("ref_id", "end_pos"), F.lit(QUERY_COPIES)).cast("int")
-    return found.withColumn("_salt", salt).join(copies, ["query_id", "_salt"]).drop("_salt")
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    hot = F.broadcast(settled(
+        counts.filter(F.col("n") * F.lit(HOT_QUERY_SHARE) > total).filter(F.col("n") >= SEEN)
+        .select("query_id", F.ceil(F.col("n") * F.lit(HOT_QUERY_SHARE) / total).cast("int").alias("_parts"))
+    ))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    copies = queries.join(hot, "query_id", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), parts - F.lit(1)))).drop("_parts")
+    salt = F.pmod(F.xxhash64("ref_id", "end_pos"), parts).cast("int")
+    dealt = found.join(hot, "query_id", "left").withColumn("_salt", salt).drop("_parts")
+    return dealt.join(copies.hint("merge"), ["query_id", "_salt"]).drop("_salt")
 
 
 def with_query_text(found: DataFrame, queries: DataFrame, small: bool = False) -> DataFrame:

@@ -44,6 +44,15 @@ def shuffle_tasks(spark: SparkSession) -> int:
     )
 
 
+# Characters of reference text that one task cuts into k-mers.
+TASK_CHARS = 16 << 20
+
+
+def text_tasks(spark: SparkSession, chars: int) -> int:
+    """Tasks for cutting and grouping so much text; enough for all cores in any case."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+
+
 def rows_fit(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``rows`` rows of about ``row_bytes`` bytes may be broadcast."""
     return rows * (row_bytes + ROW_OVERHEAD) <= limit

@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 from seedlane.operators.content import BLOCK, build_content, build_content_from_lines
 from seedlane.operators.index import (
     GROUP,
-    build_index,
     hot_keys,
     index_content,
     index_entries,
+    index_lines,
     index_sequences,
     list_counts,
-    postings,
 )
 from seedlane.operators.seeds import likely_entries
-from seedlane.plans.layout import rows_fit, spread_of
+from seedlane.plans.layout import spread_of
 from seedlane.sources.tables import PARTS, load_table, write_content, write_index
 
 KEY_SIZE = 11
@@ -41,14 +40,14 @@ class Reference:
     content_parts: int
     hot: DataFrame
 
-    def entries_for(self, keys: DataFrame, n_keys: int) -> DataFrame:
+    def entries_for(self, keys: DataFrame, few: bool) -> DataFrame:
         """Flat index entries that may belong to the given k-mers.
 
-        If these are few, only the stored parts that may hold them are read, and only their
+        If these are ``few`` enough to be broadcast, only the stored parts that may hold them are read, and only their
         lists are opened.
         """
         index = self.index
-        if rows_fit(n_keys, 32):
+        if few:
             parts = keys.select(spread_of(["seq"], self.index_parts).alias("part")).distinct()
             index = index.join(F.broadcast(parts), "part", "left_semi")
             index = likely_entries(index, keys)
@@ -94,7 +93,7 @@ def build_reference(
     elif cross_lines:
         index = index_content(content, k, group)
     else:
-        index = build_index(postings(sequences, k, group, text="line", base="offset"))
+        index = index_lines(sequences, k, group)
     write_index(index, index_path, parts)
     hot_keys(list_counts(load_table(spark, index_path))).write.mode("overwrite").parquet(
         _hot_path(index_path)

@@ -31,6 +31,7 @@ class SearchOptions:
     characters windows are extended by to search for the best ends (0: off). ``pad`` fills
     windows beyond the end of a reference with blanks, which count against the score; without
     it only the overlapping part is aligned. ``tasks`` is the number of tasks that align.
+    ``broadcast`` set to False shuffles what could be broadcast by its size, as with larger data.
     """
 
     k: int = KEY_SIZE
@@ -39,6 +40,10 @@ class SearchOptions:
     pad: bool = True
     min_score: float | None = MIN_SCORE
     tasks: int | None = None
+    broadcast: bool | None = None
+
+    def may_broadcast(self, fits: bool) -> bool:
+        return fits if self.broadcast is None else self.broadcast and fits
 
 
 def find_candidates(
@@ -53,7 +58,10 @@ def find_candidates(
     hits are shuffled.
     """
     bound = (size or text_size(queries)).chars
-    seeds = seed_hits(query_keys(queries, options.k), postings(references, options.k), bound)
+    seeds = seed_hits(
+        query_keys(queries, options.k), postings(references, options.k),
+        broadcast_keys=options.may_broadcast(rows_fit(bound, options.k + 24)),
+    )
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
 
@@ -65,19 +73,24 @@ def find_candidates_indexed(
 ) -> DataFrame:
     """Candidates from a stored index, reading only what holds k-mers of the queries."""
     keys, bound = query_keys(queries, reference.k), (size or text_size(queries)).chars
+    few = options.may_broadcast(rows_fit(bound, reference.k + 24))
     seeds = seed_hits(
-        keys, reference.entries_for(keys, bound), bound, screen=False, hot=reference.hot
+        keys, reference.entries_for(keys, few), broadcast_keys=few, screen=False, hot=reference.hot
     )
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
 
-def place(found: DataFrame, queries: DataFrame, size: TextSize) -> DataFrame:
+def place(
+    found: DataFrame, queries: DataFrame, size: TextSize, options: SearchOptions = SearchOptions()
+) -> DataFrame:
     """Candidates with the length of their query, computed once and kept.
 
     They are few next to the references, and their number decides how text is fetched for them.
     """
     lengths = queries.select("query_id", F.length("sequence").alias("length"))
-    return settled(join_queries(found, lengths, rows_fit(size.rows, 16)))
+    small = options.may_broadcast(rows_fit(size.rows, 16))
+    # Read twice when queries are not small.
+    return settled(join_queries(found if small else settled(found), lengths, small))
 
 
 def blocks_needed(placed: DataFrame, block_size: int, extension: int) -> int:
@@ -101,13 +114,14 @@ def extend(
     ``few`` tells whether the block reads they need may be broadcast; counted if not given.
     """
     if few is None:
-        few = rows_fit(blocks_needed(placed, block_size, options.extension), 64)
+        few = options.may_broadcast(rows_fit(blocks_needed(placed, block_size, options.extension), 64))
     windows = fetch_windows(
         placed, content, block_size, options.extension, options.pad,
         broadcast_placed=few, parts=parts,
         tasks=options.tasks or shuffle_tasks(placed.sparkSession),
     )
-    return with_query_text(windows, queries, size.fits())
+    small = options.may_broadcast(size.fits())
+    return with_query_text(windows if small else settled(windows), queries, small)
 
 
 def windows_of(
@@ -118,8 +132,8 @@ def windows_of(
     References without a candidate are left out before their text is touched again.
     """
     size = text_size(queries)
-    placed = place(find_candidates(queries, references, options, size), queries, size)
-    few = rows_fit(blocks_needed(placed, BLOCK, options.extension), 64)
+    placed = place(find_candidates(queries, references, options, size), queries, size, options)
+    few = options.may_broadcast(rows_fit(blocks_needed(placed, BLOCK, options.extension), 64))
     held = placed.select("ref_id").distinct()
     wanted = references.join(F.broadcast(held) if few else held, "ref_id", "left_semi")
     return extend(placed, queries, size, build_content(wanted, BLOCK), BLOCK, options, few=few)
@@ -140,7 +154,7 @@ def search_reference(
     size = text_size(queries)
     found = find_candidates_indexed(queries, reference, options, size)
     windows = extend(
-        place(found, queries, size), queries, size, reference.content, reference.block_size,
+        place(found, queries, size, options), queries, size, reference.content, reference.block_size,
         options, reference.content_parts,
     )
     return align_candidates(windows, options.extension, options.pad, options.min_score)
