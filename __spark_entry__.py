@@ -20,7 +20,7 @@ from seedlane.functions.text import block_of, normalize
 from seedlane.operators import align, content, index, kmers, lines, metrics, seeds
 from seedlane.plans import search as plans
 from seedlane.plans.layout import fresh_path, spread, text_size
-from seedlane.plans.reference import build_reference, open_reference
+from seedlane.plans.reference import append_reference, build_reference, open_reference
 from seedlane.sources import files, tables
 
 # The operators for training data are a part of their own, which may be left out.
@@ -387,6 +387,21 @@ def stored_reference_search(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(plans.search_reference(_queries(spark, sf), stored))
 
 
+def stored_reference_appended(spark: SparkSession, sf: str) -> DataFrame:
+    folder, refs = fresh_path(spark, "references"), _refs(spark, sf)
+    build_reference(refs.filter(F.col("ref_id") % 2 == 0), folder, "documents", K, BLOCK, GROUP, parts=16)
+    stored = append_reference(refs.filter(F.col("ref_id") % 2 != 0), folder, "documents")
+    return _rounded(plans.search_reference(_queries(spark, sf), stored))
+
+
+def named_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    folder, docs = fresh_path(spark, "references"), _table(spark, sf, "documents")
+    names = docs.select(F.col("doc_id").alias("ref_id"), F.concat_ws("/", "source", "lang", "doc_id").alias("name"))
+    stored = build_reference(_refs(spark, sf), folder, "documents", K, BLOCK, GROUP, parts=16, names=names)
+    found = _rounded(plans.search_reference(_queries(spark, sf), stored))
+    return stored.with_names(found).select("query_id", "ref_id", "ref_name", "end_pos", "score")
+
+
 def stored_reference_other_index(spark: SparkSession, sf: str) -> DataFrame:
     folder, refs = _reference_of_documents(spark, sf)
     build_reference(refs, folder, "documents_21", 21, BLOCK, GROUP, parts=16, index_only=True)
@@ -493,7 +508,7 @@ REGISTERED = [
     content_blocks, content_blocks_from_lines, content_blocks_by_line, fetch_windows,
     fetch_windows_shuffled, fetch_windows_extended, ungapped_identity, alignments, alignments_shuffled,
     alignments_all_scores, alignments_extended, alignments_extended_all_scores, alignments_clipped, best_hit, alignment_blocks, stored_reference_search,
-    stored_reference_other_index, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
+    stored_reference_appended, named_alignments, stored_reference_other_index, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
     file_records, search_summary, run_statistics, balance_by_key, partition_balance,
     page_candidates, conversation_offsets,
 ]
@@ -873,6 +888,10 @@ def _search_sql() -> dict[str, str]:
                   FROM (SELECT *, unnest(range(0, (length(aligned_ref) + 39) // 40)) AS n
                         FROM numbered JOIN aligned USING (id) WHERE score > 0.7))""",
         "stored_reference_search": good,
+        "stored_reference_appended": good,
+        "named_alignments": _alignments_sql() + """
+            SELECT query_id, ref_id, concat_ws('/', source, lang, doc_id) AS ref_name, end_pos, round(score, 6) AS score
+            FROM numbered JOIN aligned USING (id) JOIN documents ON doc_id = ref_id WHERE score > 0.7""",
         "stored_reference_other_index": wider(_with("cand") + candidate_columns).replace(
             "repeat('N', 20)", "repeat('N', 21)"),
         "saved_alignments": good,

@@ -5,12 +5,13 @@ references, count hits per diagonal, keep the diagonals above a threshold, fetch
 reference windows and align them.
 """
 
-from seedlane.plans.reference import Reference, build_reference, open_reference
+from seedlane.plans.reference import Reference, append_reference, build_reference, open_reference
 from seedlane.plans.search import SearchOptions, find_candidates, search, search_reference
 
 __all__ = [
     "Reference",
     "SearchOptions",
+    "append_reference",
     "build_reference",
     "find_candidates",
     "open_reference",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ RECOMMENDED = {
     # Windows and queries of any length go to Python in batches of this many.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.session.timeZone": "UTC",
+    # A scan of a stored index looks for so many hashes itself instead of for their smallest and largest.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "5000",
 }
 
 # A side is broadcast only if it is proven to stay below this many bytes.
@@ -93,6 +97,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Paths of settled tables, for each open scratch().
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables are settled for its duration only: their files go when it ends.
+
+    What is to last must be written elsewhere inside of it. Without it they stay in the checkpoint folder
+    and are the caller's to remove, as a result that is not computed yet may still need them.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The table, computed once and kept as files in the shared folder.
 
@@ -100,6 +124,8 @@ def settled(df: DataFrame) -> DataFrame:
     executor costs nothing, and Spark knows the real size.
     """
     path = fresh_path(df.sparkSession, "settled")
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,14 @@
-"""Building and opening stored references."""
+"""Building, extending and opening stored references.
+
+A reference is a list of segments, each the content, index and names of what was added at once, in a
+folder of its own that is written completely before the settings name it. A failed build or addition
+therefore leaves what was there as it was.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,51 +24,93 @@ from seedlane.operators.index import (
     index_sequences,
     list_counts,
 )
-from seedlane.operators.seeds import likely_entries
-from seedlane.plans.layout import spread_of
+from seedlane.plans.layout import text_size, text_tasks
 from seedlane.sources.tables import PARTS, load_table, write_content, write_index
 
 KEY_SIZE = 11
 
+# Distinct k-mers up to which their hashes are given to the scan of the index, which then skips what
+# cannot hold them. More of them would touch all of it anyway.
+PUSHED_KEYS = 5000
+
 
 @dataclass(frozen=True)
 class Reference:
     """An index and the content it belongs to.
 
-    Several indexes (other key sizes) may go with the same content. ``hot`` are the most
-    frequent k-mers of the index, which a search with very many queries spreads.
+    Several indexes (other key sizes) may go with the same content. ``names`` are ``(ref_id, name)``
+    where they were given. ``hot`` are the most frequent k-mers of the index, which a search with
+    very many queries spreads.
     """
 
     index: DataFrame
     content: DataFrame
+    names: DataFrame
     k: int
     block_size: int
-    index_parts: int
     content_parts: int
     hot: DataFrame
 
     def entries_for(self, keys: DataFrame, few: bool) -> DataFrame:
         """Flat index entries that may belong to the given k-mers.
 
-        If these are ``few`` enough to be broadcast, only the stored parts that may hold them are read, and only their
-        lists are opened.
+        The index is stored in the order of a hash of the k-mer. Up to ``PUSHED_KEYS`` hashes are put
+        into its scan, so that only parts of files that may hold them are read. More that are still
+        ``few`` enough to be broadcast turn away the other lists in the scanning task.
         """
         index = self.index
         if few:
-            parts = keys.select(spread_of(["seq"], self.index_parts).alias("part")).distinct()
-            index = index.join(F.broadcast(parts), "part", "left_semi")
-            index = likely_entries(index, keys)
+            hashes = keys.select(F.xxhash64("seq").alias("_hash")).distinct()
+            some = [r["_hash"] for r in hashes.limit(PUSHED_KEYS + 1).collect()]
+            if len(some) <= PUSHED_KEYS:
+                index = index.filter(F.col("hash").isin(some))
+            else:
+                index = index.join(F.broadcast(hashes), F.col("hash") == F.col("_hash"), "left_semi")
         return index_entries(index)
 
+    def with_names(self, found: DataFrame) -> DataFrame:
+        """Rows with the name of their reference, null where it has none."""
+        return found.join(self.names.withColumnRenamed("name", "ref_name"), "ref_id", "left")
+
+
+def _root(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}"
 
-def _paths(folder: str, name: str, index_name: str | None) -> tuple[str, str, str]:
-    root = f"{folder.rstrip('/')}/{name}"
-    index = f"{folder.rstrip('/')}/{index_name or name}/index"
-    return index, f"{root}/content", root
 
+def _settings(spark: SparkSession, folder: str, name: str) -> dict:
+    return json.loads(spark.read.text(f"{_root(folder, name)}/settings", wholetext=True).first()["value"])
 
-def _hot_path(index_path: str) -> str:
-    return f"{index_path}_hot"
+
+def _save_settings(spark: SparkSession, folder: str, name: str, settings: dict) -> None:
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{_root(folder, name)}/settings")
+
+
+def _add_segment(
+    sequences: DataFrame, root: str, k: int, block_size: int, group: int, parts: int, index_only: bool,
+    cross_lines: bool, names: DataFrame | None,
+) -> str:
+    """Write one segment; returns its folder."""
+    spark = sequences.sparkSession
+    path = f"{root}/segment-{uuid.uuid4().hex}"
+    by_line = "line" in sequences.columns
+    content = (build_content_from_lines if by_line else build_content)(sequences, block_size)
+    if not index_only:
+        write_content(content, f"{path}/content", parts)
+        content = load_table(spark, f"{path}/content")
+    tasks = text_tasks(spark, text_size(content, "value").chars)
+    if not by_line:
+        index = index_sequences(sequences, k, group, tasks)
+    elif cross_lines:
+        index = index_content(content, k, group, tasks)
+    else:
+        index = index_lines(sequences, k, group, tasks)
+    write_index(index, f"{path}/index", tasks)
+    hot_keys(list_counts(load_table(spark, f"{path}/index"))).write.parquet(f"{path}/hot")
+    none = spark.createDataFrame([], "ref_id long, name string")
+    (none if names is None else names.select("ref_id", F.col("name").cast("string").alias("name"))).write.parquet(
+        f"{path}/names")
+    return path
 
 
 def build_reference(
@@ -74,52 +123,62 @@ def build_reference(
     parts: int = PARTS,
     index_only: bool = False,
     cross_lines: bool = True,
+    names: DataFrame | None = None,
 ) -> Reference | None:
     """Create or replace the named reference and open it.
 
     ``sequences`` are ``(ref_id, sequence)`` rows, or ``(ref_id, offset, line)`` rows for records
-    of any length. ``index_only`` writes just an index, to be opened with the content of another
-    reference. Without ``cross_lines``, the k-mers that span a line end are left out.
+    of any length, ``names`` their ``(ref_id, name)``. ``index_only`` writes just an index, to be
+    opened with the content of another reference. Without ``cross_lines``, the k-mers that span a
+    line end are left out. The files of a reference that is replaced stay until they are deleted.
     """
     spark = sequences.sparkSession
-    index_path, content_path, root = _paths(folder, name, None)
-    by_line = "line" in sequences.columns
-    content = (build_content_from_lines if by_line else build_content)(sequences, block_size)
-    if not index_only:
-        write_content(content, content_path, parts)
-        content = load_table(spark, content_path)
-    if not by_line:
-        index = index_sequences(sequences, k, group)
-    elif cross_lines:
-        index = index_content(content, k, group)
-    else:
-        index = index_lines(sequences, k, group)
-    write_index(index, index_path, parts)
-    hot_keys(list_counts(load_table(spark, index_path))).write.mode("overwrite").parquet(
-        _hot_path(index_path)
-    )
-    (
-        spark.range(0, 1, 1, 1)
-        .select(*(F.lit(v).alias(n) for n, v in
-                  {"k": k, "block_size": block_size, "group": group, "parts": parts}.items()))
-        .write.mode("overwrite").json(f"{root}/settings")
-    )
+    how = {"k": k, "block_size": block_size, "group": group, "parts": parts, "cross_lines": cross_lines}
+    segment = _add_segment(
+        sequences, _root(folder, name), k, block_size, group, parts, index_only, cross_lines, names)
+    _save_settings(spark, folder, name, how | {"segments": [segment]})
     return None if index_only else open_reference(spark, folder, name)
 
 
+def append_reference(
+    sequences: DataFrame, folder: str, name: str, renumber: bool = False, names: DataFrame | None = None
+) -> Reference:
+    """Add sequences to a stored reference, with its settings, and open it.
+
+    Their ``ref_id`` must not be there already, which is checked. With ``renumber`` they are counted on
+    from the largest one stored instead, as files read separately all begin at 1.
+    """
+    spark = sequences.sparkSession
+    stored, how = open_reference(spark, folder, name), _settings(spark, folder, name)
+    if renumber:
+        last = stored.content.agg(F.coalesce(F.max("ref_id"), F.lit(0)).alias("n")).first()["n"]
+        first = sequences.agg(F.coalesce(F.min("ref_id"), F.lit(1)).alias("n")).first()["n"]
+        moved = (F.col("ref_id") + F.lit(last + 1 - first)).alias("ref_id")
+        sequences = sequences.select(moved, *[c for c in sequences.columns if c != "ref_id"])
+        names = None if names is None else names.select(moved, "name")
+    else:
+        there = stored.content.select("ref_id").distinct()
+        both = sequences.select("ref_id").distinct().join(there, "ref_id", "left_semi").take(3)
+        if both:
+            raise ValueError(f"already stored: ref_id {', '.join(str(r['ref_id']) for r in both)}")
+    segment = _add_segment(
+        sequences, _root(folder, name), how["k"], how["block_size"], how["group"], how["parts"], False,
+        how["cross_lines"], names)
+    _save_settings(spark, folder, name, how | {"segments": [*how["segments"], segment]})
+    return open_reference(spark, folder, name)
+
+
 def open_reference(
     spark: SparkSession, folder: str, name: str, index_name: str | None = None
 ) -> Reference:
     """The content of ``name`` with its own index or that of ``index_name``."""
-    index_path, content_path, root = _paths(folder, name, index_name)
+    own = _settings(spark, folder, name)
+    used = own if index_name is None else _settings(spark, folder, index_name)
 
-    def settings(path: str):
-        return spark.read.json(f"{path}/settings").first()
+    def table(of: dict, part: str) -> DataFrame:
+        return load_table(spark, *[f"{segment}/{part}" for segment in of["segments"]])
 
-    own = settings(root)
-    used = own if index_name is None else settings(f"{folder.rstrip('/')}/{index_name}")
     return Reference(
-        load_table(spark, index_path), load_table(spark, content_path),
-        used["k"], own["block_size"], used["parts"], own["parts"],
-        load_table(spark, _hot_path(index_path)),
+        table(used, "index"), table(own, "content"), table(own, "names"), used["k"], own["block_size"], own["parts"],
+        table(used, "hot").groupBy("seq").agg(F.max("splits").alias("splits")),
     )

@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlane.plans.layout import spread_of
 
-# Number of parts stored tables are split into. A search reads only the parts that hold wanted
-# k-mers or blocks.
+# Number of parts stored content is split into. A search reads only the parts that hold wanted blocks.
 PARTS = 64
 
+# Bytes of an index file's row group, the least that a scan can skip without looking into it.
+ROW_GROUP = 32 << 20
+
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table."""
-    return spark.read.parquet(path)
+def load_table(spark: SparkSession, *paths: str) -> DataFrame:
+    """A stored table, or several of one kind together."""
+    # Each may be stored in parts of its own.
+    found = [spark.read.parquet(path) for path in paths]
+    return reduce(DataFrame.unionByName, found)
 
 
-def write_index(index: DataFrame, path: str, parts: int = PARTS) -> None:
-    """Replace the index at ``path``; stored in parts by the hash of the k-mer.
+def write_index(index: DataFrame, path: str, tasks: int | None = None) -> None:
+    """Replace the index at ``path``; stored in the order of a ``hash`` of the k-mer.
 
-    Rebalancing cuts the part of a hot k-mer over many tasks and merges small ones.
+    Files cover ranges of it, and the lists of one frequent k-mer are spread over several. The order lets a
+    scan that looks for some hashes skip row groups and pages.
     """
-    stored = index.withColumn("part", spread_of(["seq"], parts))
+    stored = index.withColumn("hash", F.xxhash64("seq"))
+    order = ["hash", "ref_id", "block"]
+    ranged = stored.repartitionByRange(tasks, *order) if tasks else stored.repartitionByRange(*order)
     (
-        stored.hint("rebalance", F.col("part"))
-        .sortWithinPartitions("part", "seq", "ref_id", "block")
-        .write.mode("overwrite").partitionBy("part").parquet(path)
+        ranged.sortWithinPartitions("hash", "seq", "ref_id", "block")
+        .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
     )
 
 
-def write_content(
-    content: DataFrame, path: str, parts: int = PARTS, mode: str = "overwrite"
-) -> None:
-    """Store content in parts by the hash of the block; ``mode="append"`` adds references."""
+def write_content(content: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Replace the content at ``path``, stored in parts by the hash of the block.
+
+    Content is added to as a segment; see :func:`seedlane.plans.reference.append_reference`.
+    """
     stored = content.withColumn("part", spread_of(["ref_id", "blockid"], parts))
     (
         stored.hint("rebalance", F.col("part"))
         .sortWithinPartitions("part", "ref_id", "offset")
-        .write.mode(mode).partitionBy("part").parquet(path)
+        .write.mode("overwrite").partitionBy("part").parquet(path)
     )
 
 

@@ -3,7 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from seedlane import SearchOptions, build_reference, jobs, open_reference, search, search_reference
+from seedlane import SearchOptions, append_reference, build_reference, jobs, open_reference, search, search_reference
 from seedlane.operators import kmers, metrics
 from seedlane.sources import files, tables
 
@@ -147,17 +147,69 @@ def test_search_does_not_depend_on_line_width(spark, tmp_path, width):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
-def test_replacing_and_appending(spark, tmp_path):
-    def refs(*texts):
-        rows = list(enumerate(texts, 1))
-        return kmers.as_references(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+def refs_of(spark, *texts, first=1):
+    rows = list(enumerate(texts, first))
+    return kmers.as_references(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+
 
-    build_reference(refs("ABCDEFGH", "IJKLMNOP"), str(tmp_path), "r", 4, parts=2)
-    again = build_reference(refs("ABCDEFGH"), str(tmp_path), "r", 4, parts=2)
+def test_replacing_and_appending(spark, tmp_path):
+    build_reference(refs_of(spark, "ABCDEFGH", "IJKLMNOP"), str(tmp_path), "r", 4, parts=2)
+    again = build_reference(refs_of(spark, "ABCDEFGH"), str(tmp_path), "r", 4, parts=2)
     assert again.content.count() == 1 and again.index.count() == 5
-    extra = again.content.drop("part").withColumn("ref_id", F.lit(7).cast("long"))
-    tables.write_content(extra, str(tmp_path / "r" / "content"), 2, mode="append")
-    assert open_reference(spark, str(tmp_path), "r").content.count() == 2
+    with pytest.raises(ValueError, match="already stored: ref_id 1"):
+        append_reference(refs_of(spark, "QRSTUVWX"), str(tmp_path), "r")
+    names = spark.createDataFrame([(5, "five")], "ref_id long, name string")
+    more = append_reference(refs_of(spark, "QRSTUVWX", first=5), str(tmp_path), "r", names=names)
+    assert {r.ref_id for r in more.content.collect()} == {1, 5} and more.index.count() == 10
+    assert [tuple(r) for r in more.names.collect()] == [(5, "five")]
+    assert {r.ref_name for r in more.with_names(more.content).collect()} == {None, "five"}
+
+
+def test_files_read_separately_do_not_collide(spark, tmp_path):
+    """Both files begin at record 1; their texts must not be glued together."""
+    for n, text in enumerate(["ABCDEFGHIJKLMNOPQRST", "1234567890"]):
+        lines, names = files.read_sequences(spark, write(tmp_path / f"in{n}", [f">file {n}\n{text}\n"]))
+        if n == 0:
+            build_reference(lines, str(tmp_path), "r", 4, names=names)
+        else:
+            append_reference(lines, str(tmp_path), "r", renumber=True, names=names)
+    stored = open_reference(spark, str(tmp_path), "r")
+    queries = kmers.as_queries(spark.createDataFrame([(1, "23456789"), (2, "KLMNOPQR")], "id long, t string"), "id", "t")
+    found = stored.with_names(search_reference(queries, stored, SearchOptions(k=4, threshold=2))).collect()
+    assert {(r.query_id, r.ref_name, r.ref_start, r.ref_end, r.score) for r in found} == {
+        (1, "file 1", 1, 8, 1.0), (2, "file 0", 10, 17, 1.0)}
+
+
+def test_a_failed_build_leaves_the_reference(spark, tmp_path):
+    build_reference(refs_of(spark, "ABCDEFGH"), str(tmp_path), "r", 4)
+    broken = refs_of(spark, "XYZ").withColumn("sequence", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        build_reference(broken, str(tmp_path), "r", 4)
+    assert open_reference(spark, str(tmp_path), "r").index.count() == 5
+
+
+def test_few_kmers_are_looked_for_by_the_scan(spark, tmp_path):
+    texts = ["".join(chr(65 + (i * j * 7 + j * j) % 26) for j in range(500)) for i in range(40)]
+    stored = build_reference(refs_of(spark, *texts), str(tmp_path), "r", 6)
+    queries = kmers.as_queries(spark.createDataFrame([(1, texts[3][100:120])], "id long, t string"), "id", "t")
+    keys = kmers.query_keys(queries, 6)
+    entries = stored.entries_for(keys, few=True)
+    plan = executed(entries)
+    assert "PushedFilters: [IsNotNull(hash), In(hash" in plan.replace("IsNotNull(value), ", "") or "In(hash" in plan
+    wanted = {r.seq for r in keys.collect()}
+    every = {tuple(r) for r in stored.entries_for(keys, few=False).collect() if r.seq in wanted}
+    assert {tuple(r) for r in entries.collect()} == every and every
+
+
+def test_scratch_tables_go(spark):
+    from seedlane.plans import layout
+
+    with layout.scratch(spark):
+        kept = layout.settled(spark.range(3))
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
 
 
 def test_outputs(spark, tmp_path):
@@ -197,4 +249,15 @@ def test_jobs(spark, tmp_path):
     built = spark.read.csv(str(tmp_path / "built"), sep=";", header=True).collect()
     ran = spark.read.csv(str(tmp_path / "ran"), sep=";", header=True).collect()
     assert [(r["procedure"], r["key_size"]) for r in built] == [("build", "11")]
-    assert [(r["queries"], r["candidates"]) for r in ran] == [("4", "3")]
+    assert [(r["queries"], r["candidates"], r["alignments"]) for r in ran] == [("4", "3", "3")]
+    assert {"query_keys", "partitions", "read_sec", "match_sec", "extend_sec", "query_core_sec"} <= set(ran[0].asDict())
+    as_text = job("query", *common, "--stats", str(tmp_path / "ran2"), "--format", "csv", "--output", str(tmp_path / "out"), str(tmp_path / "single"))
+    again = spark.read.csv(str(tmp_path / "ran2"), sep=";", header=True).collect()
+    assert int(again[0]["alignments"]) == spark.read.csv(as_text, sep="\t", header=True).count() > 0
+    named = spark.read.parquet(one).collect()
+    assert {(r["query_name"], r["ref_name"]) for r in named} == {("one", "1")}
+    # A second file is added; its records count on.
+    more = write(tmp_path / "more", [">2\n" + QUERY_SET[1][1] + "\n"])
+    job("build", *common, "--append", more)
+    both = job("query", *common, "--output", str(tmp_path / "out"), str(tmp_path / "single"))
+    assert {r["ref_name"] for r in spark.read.parquet(both).collect()} == {"1", "2"}
