@@ -20,7 +20,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", [q.__name__ for q in entry.REGISTERED])
 def test_query(spark, con, name):
     rows, _, _, difference = compare(spark, con, name, SF)
-    assert difference is None and rows > 0
+    # No page of the smallest table has a candidate.
+    assert difference is None and (rows > 0 or name == "page_candidates")
 
 
 @pytest.mark.parametrize("name,kind", [
