@@ -48,6 +48,19 @@ def as_frame_stream(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
+def smallest_hashes(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """The at most ``rows`` rows whose ``key`` has the smallest hashes, the same in every run.
+
+    ``total`` is the number of rows. Hashes are cut off well above what is needed first, so that tasks do
+    not each sort and send as many rows as are wanted in all.
+    """
+    unit = 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(unit))
+    # Twice as many are expected below the cut, and no fewer than wanted for all but tiny samples.
+    cut = min(unit, int(unit * (2 * rows + 100) / max(1, total)))
+    return df.filter(place < cut).orderBy(place, key).limit(rows)
+
+
 def free_prefix(wanted: str, *tables: DataFrame) -> str:
     """``wanted``, with underscores before it until no column begins so."""
     names = [c.lower() for t in tables for c in t.columns]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedlane.llm.common import smallest_hashes
 from seedlane.plans.layout import settled
 
 
@@ -17,11 +18,11 @@ def labelled_sample(
     labelled several times counts as 1 if any label is 1. Labels are ``rows`` at most when they are broadcast,
     so the documents are not shuffled.
     """
-    chosen = (
+    known = (
         labels.filter(usable & F.col(label).isNotNull() & F.col(id).isNotNull())
         .groupBy(F.col(id).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(rows)
     )
+    chosen = smallest_hashes(known, "_id", rows, known.count())
     kept = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return settled(
         kept.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))

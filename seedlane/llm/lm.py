@@ -34,7 +34,7 @@ from seedlane.plans.layout import settled
 
 # Words that tasks know the counts of without a join.
 DICTIONARY = 200_000
-VOCABULARY, DIMENSIONS, CONTEXT = 1024, 24, 2
+VOCABULARY, DIMENSIONS, CONTEXT = 1024, 16, 2
 # Classes of other words, by a hash of their last bytes.
 OTHERS, ENDING = 127, 2
 ROUNDS = 3

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlane.llm.common import as_frame_stream, sorted_groups
+from seedlane.llm.common import as_frame_stream, smallest_hashes, sorted_groups
 from seedlane.plans.layout import settled, shuffle_tasks
 
 SAMPLE = 32_768
@@ -151,7 +151,7 @@ def nearest_neighbours(
         .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     )
     rows = entries.count()
-    drawn = entries.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow()["vector"].to_pylist()
+    drawn = smallest_hashes(entries.select("vector"), "vector", sample, rows).toArrow()["vector"].to_pylist()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = fit_forest(unit_rows(drawn), trees, leaf)
