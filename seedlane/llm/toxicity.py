@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over the words and beginnings of words whose presence depends on the label among
+Texts are TF-IDF vectors over the words and beginnings of words whose presence points to the label among
 a bounded sample of labelled texts (chi-square); document frequencies are those of the whole corpus. Every
 text also has one background term of fixed weight, so that the cosine sees how much of these terms a text
 has and not only which ones. The examples' postings
@@ -177,7 +177,11 @@ def _heads(terms: list[bytes]) -> frozenset[bytes]:
 
 
 def _term_table(sample: DataFrame, most: int) -> list[bytes]:
-    """Terms that depend on the label, by chi-square beyond what chance gives among as many terms."""
+    """Terms that point to label 1, by chi-square beyond what chance gives among as many terms.
+
+    The share of label 1 among the texts with such a term is at least half-way from that among all texts to
+    one. With many examples even words that hardly differ between the labels pass the test by themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +207,8 @@ def _term_table(sample: DataFrame, most: int) -> list[bytes]:
         return []
     difference = F.col("toxic") * (a - n - (t - F.col("toxic"))) - (n - F.col("toxic")) * (t - F.col("toxic"))
     chi = a * difference * difference / (n * (a - n) * t * (a - t))
-    kept = counts.filter(n < a).withColumn("chi", chi).filter(F.col("chi") >= 2 * math.log(tested) + 2)
+    telling = (n < a) & (F.col("toxic") / n >= (1 + t / a) / 2)
+    kept = counts.filter(telling).withColumn("chi", chi).filter(F.col("chi") >= 2 * math.log(tested) + 2)
     return [bytes(r["term"]) for r in kept.orderBy(F.desc("chi"), "term").limit(most).collect()]
 
 
