@@ -1,13 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over the words and beginnings of words whose presence points to the label among
-a bounded sample of labelled texts (chi-square); document frequencies are those of the whole corpus. Every
-text also has one background term of fixed weight, so that the cosine sees how much of these terms a text
-has and not only which ones. The examples' postings
-are cut into blocks of 64 examples with the largest weight of every term in each. A text's products with these
-maxima bound what any example of a block can reach, so blocks are scored in the order of their bounds,
-until the next bound is below the k-th best cosine: the neighbours are exact. They vote with weights that
-fall with distance; an isotonic curve over left-out examples turns votes into probabilities.
+Texts are TF-IDF vectors over the words and beginnings of words whose presence depends on the label among
+a bounded sample of labelled texts (chi-square, in either direction); document frequencies are those of the
+whole corpus. Every text also has one background term of fixed weight, so that the cosine sees how much of
+these terms a text has and not only which ones. All examples are compared with every text, so the neighbours
+are exact: terms that many examples have are columns of a matrix, with which the vectors of many texts are
+multiplied at once, and the others are postings that are added to the products. The neighbours vote with
+weights that fall with distance; an isotonic curve over left-out examples turns votes into probabilities.
 """
 
 from __future__ import annotations
@@ -27,12 +26,13 @@ from seedlane.llm.labelled import labelled_sample
 
 # Labelled texts that are looked at, and terms kept of them.
 SAMPLE, TERMS = 20_000, 50_000
-BLOCK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 # Beginnings of words that are terms, in bytes.
 PREFIXES = (4, 5, 6, 7, 8)
 BACKGROUND = 10.0
+# Terms that one example in so many has are columns of a matrix; texts multiplied with it at once.
+COMMON, TOGETHER = 32, 64
 # Texts whose result a task remembers by their terms.
 MEMORY = 100_000
 
@@ -57,67 +57,72 @@ class Example(NamedTuple):
     counts: tuple[int, ...]
 
 
-class BlockMaxIndex:
+class ExampleIndex:
     """Exact nearest examples by cosine."""
 
     def __init__(self, examples: list[Example], idf: np.ndarray) -> None:
-        self.idf = idf = np.append(idf, BACKGROUND)
+        self.idf = np.append(idf, BACKGROUND)
+        self.ids = np.array([e.doc_id for e in examples], np.int64)
+        self.labels = np.array([e.label for e in examples], np.int8)
         vectors = [self.vector(e.terms, e.counts) for e in examples]
-        # Examples with the same leading term share blocks, which keeps the bounds of the others low.
-        lead = [e.terms[int(v.argmax())] for e, v in zip(examples, vectors)]
-        order = sorted(range(len(examples)), key=lambda i: (lead[i], -vectors[i].max(), examples[i].doc_id))
-        self.ids = np.array([examples[i].doc_id for i in order], np.int64)
-        self.labels = np.array([examples[i].label for i in order], np.int8)
-        self.blocks = -(-len(order) // BLOCK)
-        term = np.array([t for i in order for t in examples[i].terms], np.int64)
-        who = np.repeat(np.arange(len(order)), [len(examples[i].terms) for i in order])
-        weight = np.concatenate([vectors[i] for i in order]) if order else np.zeros(0)
+        term = np.array([t for e in examples for t in e.terms], np.int64)
+        who = np.repeat(np.arange(len(examples)), [len(e.terms) for e in examples])
+        weight = np.concatenate(vectors) if vectors else np.zeros(0)
+        size = np.bincount(term, minlength=len(self.idf))
+        # Columns are fewer than COMMON times the terms of an example.
+        common = np.flatnonzero((size > 0) & (size * COMMON >= len(examples)))
+        self.column = np.full(len(self.idf), -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        column = self.column[term]
+        dense = column >= 0
+        self.matrix = np.zeros((len(common), len(examples)))
+        self.matrix[column[dense], who[dense]] = weight[dense]
+        term, who, weight = term[~dense], who[~dense], weight[~dense]
         by = np.lexsort((who, term))
         self.post_example, self.post_weight = who[by], weight[by]
-        # An entry per term and block: its postings and their largest weight.
-        key = term[by] * max(1, self.blocks) + self.post_example // BLOCK
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.entry_start = np.r_[heads, len(key)]
-        self.entry_block = key[heads] % max(1, self.blocks) if len(key) else heads
-        self.entry_max = np.maximum.reduceat(self.post_weight, heads) if len(key) else np.zeros(0)
-        self.term_entry = np.searchsorted(key[heads] // max(1, self.blocks), np.arange(len(idf) + 1)) if len(key) else np.zeros(len(idf) + 1, np.int64)
+        self.post_start = np.searchsorted(term[by], np.arange(len(self.idf) + 1))
 
     def vector(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> np.ndarray:
         """Unit weights of the terms; the background term is the last number."""
         weights = (1 + np.log(np.array(counts, float))) * self.idf[list(terms)]
         return weights / np.sqrt((weights**2).sum())
 
+    def nearest_each(
+        self, texts: list[tuple[tuple[int, ...], tuple[int, ...]]], k: int, but: list[int | None] | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and cosines of the nearest examples that share a term, nearest first, ties by number.
+
+        For each of ``texts``, given by terms and counts; ``but`` has an id for each whose example is left out.
+        """
+        for start in range(0, len(texts), TOGETHER):
+            part = texts[start:start + TOGETHER]
+            vectors = [self.vector(*t) for t in part]
+            columns = [self.column[list(terms)] for terms, _ in part]
+            asked = np.zeros((len(part), len(self.matrix)))
+            for row, (column, weights) in enumerate(zip(columns, vectors)):
+                asked[row, column[column >= 0]] = weights[column >= 0]
+            products = asked @ self.matrix
+            for row, (terms, _) in enumerate(part):
+                sums = products[row]
+                for place in np.flatnonzero(columns[row] < 0):
+                    own = slice(self.post_start[terms[place]], self.post_start[terms[place] + 1])
+                    sums[self.post_example[own]] += vectors[row][place] * self.post_weight[own]
+                if but is not None and but[start + row] is not None:
+                    sums[self.ids == but[start + row]] = 0
+                least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+                near = np.flatnonzero((sums >= least - 1e-11) & (sums > 0))
+                # Rounded, so that equal vectors tie whatever the order of their sums.
+                score = np.round(sums[near], 12)
+                top = np.lexsort((near, -score))[:k]
+                yield near[top], score[top]
+
     def nearest(self, terms: tuple[int, ...], counts: tuple[int, ...], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the nearest examples that share a term, nearest first, ties by number."""
-        weights = self.vector(terms, counts)
-        spans = [np.arange(self.term_entry[t], self.term_entry[t + 1]) for t in terms]
-        entries = np.concatenate(spans)
-        share = np.repeat(weights, [len(s) for s in spans])
-        block = self.entry_block[entries]
-        bound = np.bincount(block, share * self.entry_max[entries], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(order) and bound[order[at]] > 0:
-            if len(best) == k and bound[order[at]] < score[-1] - 1e-12:
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at:at + step]] = True
-            at, step = at + step, 2 * step
-            own = chosen[block]
-            first = self.entry_start[entries[own]]
-            size = self.entry_start[entries[own] + 1] - first
-            posting = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            found, place = np.unique(self.post_example[posting], return_inverse=True)
-            sums = np.bincount(place, np.repeat(share[own], size) * self.post_weight[posting])
-            if but is not None:
-                other = self.ids[found] != but
-                found, sums = found[other], sums[other]
-            # Rounded, so that equal vectors tie whatever the order of their sums.
-            best, score = np.r_[best, found], np.r_[score, np.round(sums, 12)]
-            top = np.lexsort((best, -score))[:k]
-            best, score = best[top], score[top]
-        return best, score
+        """The nearest examples of one text."""
+        return next(self.nearest_each([(terms, counts)], k, [but]))
+
+
+# As it was called while it had bounds per block.
+BlockMaxIndex = ExampleIndex
 
 
 class ToxicityModel(NamedTuple):
@@ -125,7 +130,7 @@ class ToxicityModel(NamedTuple):
 
     numbers: dict[bytes, int]
     heads: frozenset[bytes]
-    index: BlockMaxIndex | None
+    index: ExampleIndex | None
     votes: np.ndarray
     rates: np.ndarray
     no_evidence: float
@@ -144,15 +149,16 @@ class ToxicityModel(NamedTuple):
         pairs = sorted(counts.items())
         return tuple(t for t, _ in pairs), tuple(n for _, n in pairs)
 
-    def vote(self, terms, counts, but: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The neighbours' weighted share of label 1, or None without neighbours."""
-        if not terms or self.index is None:
-            return None, np.zeros(0, np.int64), np.zeros(0)
-        best, score = self.index.nearest(terms, counts, NEIGHBOURS, but)
-        if not len(best):
-            return None, best, score
-        weight = 1 / (1.05 - score)
-        return float((weight * self.index.labels[best]).sum() / weight.sum()), best, score
+    def votes_of(
+        self, texts: list[tuple[tuple[int, ...], tuple[int, ...]]], but: list[int | None] | None = None
+    ) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """The neighbours' weighted share of label 1, or None without neighbours, and these, for each of ``texts``."""
+        if self.index is None:
+            yield from ((None, np.zeros(0, np.int64), np.zeros(0)) for _ in texts)
+            return
+        for best, score in self.index.nearest_each(texts, NEIGHBOURS, but):
+            weight = 1 / (1.05 - score)
+            yield float((weight * self.index.labels[best]).sum() / weight.sum()) if len(best) else None, best, score
 
     def probability(self, vote: float | None) -> float:
         return self.no_evidence if vote is None else float(np.interp(vote, self.votes, self.rates))
@@ -177,11 +183,7 @@ def _heads(terms: list[bytes]) -> frozenset[bytes]:
 
 
 def _term_table(sample: DataFrame, most: int) -> list[bytes]:
-    """Terms that point to label 1, by chi-square beyond what chance gives among as many terms.
-
-    The share of label 1 among the texts with such a term is at least half-way from that among all texts to
-    one. With many examples even words that hardly differ between the labels pass the test by themselves.
-    """
+    """Terms that depend on the label, by chi-square beyond what chance gives among as many terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +209,7 @@ def _term_table(sample: DataFrame, most: int) -> list[bytes]:
         return []
     difference = F.col("toxic") * (a - n - (t - F.col("toxic"))) - (n - F.col("toxic")) * (t - F.col("toxic"))
     chi = a * difference * difference / (n * (a - n) * t * (a - t))
-    telling = (n < a) & (F.col("toxic") / n >= (1 + t / a) / 2)
-    kept = counts.filter(telling).withColumn("chi", chi).filter(F.col("chi") >= 2 * math.log(tested) + 2)
+    kept = counts.filter(n < a).withColumn("chi", chi).filter(F.col("chi") >= 2 * math.log(tested) + 2)
     return [bytes(r["term"]) for r in kept.orderBy(F.desc("chi"), "term").limit(most).collect()]
 
 
@@ -263,17 +264,15 @@ def train_toxicity(
     held = source.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
     every = [Example(d, y, tuple(t), tuple(n)) for d, y, t, n in zip(*(held[c].to_pylist() for c in held.column_names))]
     share = sum(e.label for e in every) / max(1, len(every))
-    model = bare._replace(index=BlockMaxIndex(every, idf) if every else None, no_evidence=share)
+    model = bare._replace(index=ExampleIndex(every, idf) if every else None, no_evidence=share)
     tuned = spark.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            model, rows = tuned.value, []
-            for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                vote, _, _ = model.vote(*model.counted(text), but=doc_id)
-                rows.append((vote, label))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v for v, _ in rows], pa.float64()), pa.array([y for _, y in rows], pa.int32())], ["vote", "label"])
+            model = tuned.value
+            texts = [model.counted(t.as_py()) for t in batch.column(2)]
+            votes = [v for v, _, _ in model.votes_of(texts, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1)], ["vote", "label"])
 
     votes = source.mapInArrow(left_out, "vote double, label int").filter("vote IS NOT NULL").toArrow()
     x, y = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy())
@@ -294,22 +293,17 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}
+        ids, labels = (model.index.ids, model.index.labels) if model.index else (None, None)
         evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(1):
-                key = model.counted(text.as_py())
-                if key not in seen:
-                    if len(seen) >= MEMORY:
-                        seen.clear()
-                    vote, best, cosine = model.vote(*key)
-                    near = [
-                        {"doc_id": int(model.index.ids[b]), "cosine": float(c), "label": int(model.index.labels[b])}
-                        for b, c in zip(best[:3], cosine[:3])
-                    ]
-                    seen[key] = model.probability(vote), near
-                scores.append(seen[key][0])
-                evidence.append(seen[key][1])
+            keys = [model.counted(t.as_py()) for t in batch.column(1)]
+            if len(seen) >= MEMORY:
+                seen.clear()
+            new = [k for k in dict.fromkeys(keys) if k not in seen]
+            for key, (vote, best, cosine) in zip(new, model.votes_of(new)):
+                near = [{"doc_id": int(ids[b]), "cosine": float(c), "label": int(labels[b])} for b, c in zip(best[:3], cosine[:3])]
+                seen[key] = model.probability(vote), near
+            scores, evidence = [seen[k][0] for k in keys], [seen[k][1] for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
                  pa.array(evidence, evidence_type)], ["doc_id", "score", "predicted", "evidence"])
@@ -326,14 +320,13 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}
         for batch in as_frame_stream(batches, 1000):
-            kept = []
-            for text in batch.column(at):
-                key = model.counted((text.as_py() or "").encode())
-                if key not in seen:
-                    if len(seen) >= MEMORY:
-                        seen.clear()
-                    seen[key] = model.probability(model.vote(*key)[0]) < threshold
-                kept.append(seen[key])
+            keys = [model.counted((t.as_py() or "").encode()) for t in batch.column(at)]
+            if len(seen) >= MEMORY:
+                seen.clear()
+            new = [k for k in dict.fromkeys(keys) if k not in seen]
+            for key, (vote, _, _) in zip(new, model.votes_of(new)):
+                seen[key] = model.probability(vote) < threshold
+            kept = [seen[k] for k in keys]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

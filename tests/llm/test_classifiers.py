@@ -65,6 +65,31 @@ def test_nearest_examples_are_exact(seed):
             assert set(index.ids[best]) == set(index.ids[wanted]) or score[-1] == pytest.approx(cosine[wanted][-1], abs=1e-9)
 
 
+def test_terms_of_either_direction(spark):
+    """Terms of mixed texts are evidence as well: 4 of 10 with ``often`` are toxic, 1 of 10 of all, none with ``never``."""
+    rows = [(i, f"w{i} {'often' if i % 10 < 2 and i % 5 < 2 or i % 40 == 17 else 'other'} {'never' if i % 3 == 0 and i % 10 else 'x'}", int(i % 10 == 0)) for i in range(2000)]
+    share = [y for _, t, y in rows if " often" in t]
+    assert 0.3 < sum(share) / len(share) < 0.55
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert {b"often", b"never"} <= set(X._term_table(sample, 100))
+
+
+def test_common_and_rare_terms_of_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(X, "TOGETHER", 7)
+    draw = np.random.default_rng(5)
+    chance, idf = np.r_[np.full(4, 0.6), np.full(200, 0.01)], draw.uniform(0.1, 5, 204)
+    terms = [np.flatnonzero(draw.random(204) < chance).tolist() for _ in range(300)]
+    examples = [X.Example(i, i % 2, (*t, 204), (*draw.integers(1, 4, len(t)).tolist(), 1)) for i, t in enumerate(terms)]
+    index = X.ExampleIndex(examples, idf)
+    assert 0 < len(index.matrix) < 10 and len(index.post_example)
+    dense = np.zeros((300, 205))
+    for e in examples:
+        dense[e.doc_id, list(e.terms)] = index.vector(e.terms, e.counts)
+    for i, (best, score) in enumerate(index.nearest_each([(e.terms, e.counts) for e in examples], 15)):
+        cosine = np.round(dense @ dense[i], 10)
+        assert np.allclose(score, np.sort(cosine)[::-1][:15], atol=1e-9) and np.allclose(cosine[best], score, atol=1e-9)
+
+
 def test_quality_on_held_out_texts(spark):
     docs, labels, n = made(spark, spoil)
     model = Q.train_quality(docs, labels.withColumn("label", 1 - F.col("label")), "label", F.col("doc_id") < 300)
