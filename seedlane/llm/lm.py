@@ -39,6 +39,10 @@ VOCABULARY, DIMENSIONS, CONTEXT = 1024, 16, 2
 OTHERS, ENDING = 127, 2
 ROUNDS = 3
 NOISE, BATCH, RATE = 64, 1024, 0.3
+# Parts of a mean batch's weight, of which a run of classes takes one at most in one place.
+PARTS = 8
+# Steps at least that a chunk is worth if it has a batch of tokens for each.
+STEPS = 64
 # Tokens handled at once, and distinct words counted before they are handed on.
 CHUNK, COUNTED = 400_000, 400_000
 COLUMNS = 32
@@ -173,14 +177,24 @@ def spread_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 def train_steps(model: Model, contexts: np.ndarray, targets: np.ndarray, weights: np.ndarray, share: np.ndarray,
                 past: list[np.ndarray], random: np.random.Generator) -> None:
-    """One pass of noise-contrastive estimation with step sizes by AdaGrad; changes ``model`` and ``past``."""
+    """One pass of noise-contrastive estimation with step sizes by AdaGrad; changes ``model`` and ``past``.
+
+    All batches share one scale, so that every token counts alike. What weighs more than a ``PARTS``th of a
+    mean batch is dealt over as many batches as its weight asks for, since AdaGrad evens out single large steps.
+    """
     k = len(share)
-    order = random.permutation(len(targets))
-    draws = random.choice(k, size=(len(order) // BATCH + 1, NOISE), p=share)
+    # Few runs of many tokens make more steps than they fill batches.
+    steps = max(-(-len(targets) // BATCH), min(STEPS, int(weights.sum()) // BATCH))
+    parts = np.ceil(weights * (PARTS * steps / weights.sum())).astype(np.int64)
+    order = random.permutation(np.repeat(np.arange(len(targets)), parts))
+    size = min(BATCH, -(-len(order) // steps))
+    steps = -(-len(order) // size)
+    scaled = weights / parts * (steps / weights.sum())
+    draws = random.choice(k, size=(steps, NOISE), p=share)
     chance = np.log(NOISE * share)
-    for step, start in enumerate(range(0, len(order), BATCH)):
-        own = order[start:start + BATCH]
-        context, target, weight = contexts[own], targets[own], weights[own] / weights[own].sum()
+    for step, start in enumerate(range(0, len(order), size)):
+        own = order[start:start + size]
+        context, target, weight = contexts[own], targets[own], scaled[own]
         noise = draws[step]
         predicted = model.predictions(context)
         real, fake = model.target[target], model.target[noise]

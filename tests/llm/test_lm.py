@@ -60,6 +60,21 @@ def test_learns_what_follows(spark):
     assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
 
 
+def test_frequent_runs_count_by_their_share():
+    """One run is a third of all tokens, the others occur once each, also after its context."""
+    draw, k = np.random.default_rng(2), 500
+    contexts = np.r_[np.full((401, 2), 5), draw.integers(10, k, (100_000, 2))]
+    targets = np.r_[7, np.arange(20, 420), draw.integers(10, k, 100_000)]
+    weights = np.r_[50_000.0, np.ones(100_400)]
+    share = np.bincount(targets, weights, k) + 0.5
+    share /= share.sum()
+    d = L.DIMENSIONS
+    model = L.Model(draw.normal(0, 0.3, (k, d)), draw.normal(0, 0.1, (k, d)), np.ones((2, d)), np.log(share))
+    L.train_steps(model, contexts, targets, weights, share, [np.full(p.shape, 1e-4) for p in model], draw)
+    logs = L.Scorer(model)(np.full((1, 2), 5), np.array([7]))
+    assert 10 ** logs[0] > 0.8  # 50 000 of 50 400
+
+
 def test_no_training_text_and_empty_table(spark):
     got = L.score_texts(documents(spark), F.lit(True)).collect()
     assert len(got) == len(TEXTS) and {r.train_tokens for r in got} == {0} == {r.n_known for r in got}
