@@ -131,6 +131,22 @@ def _pieces(rows: DataFrame, leaves: int, piece: int) -> np.ndarray:
     return np.maximum(out, 1)
 
 
+def _lowest(cosine: np.ndarray, low: float, ids: list[np.ndarray], distinct: int) -> float:
+    """The cosine down to which the best vectors have ``distinct`` different ids, at most ``low``."""
+    best, seen = np.flatnonzero(cosine >= low), set()
+    for place in best:
+        seen.update(ids[place].tolist())
+    if len(seen) >= distinct:
+        return low
+    rest = np.flatnonzero(cosine < low)
+    for place in rest[np.argsort(-cosine[rest], kind="stable")]:
+        seen.update(ids[place].tolist())
+        low = cosine[place]
+        if len(seen) >= distinct:
+            break
+    return low
+
+
 def nearest_neighbours(
     table: DataFrame, queries: F.Column, id: str = "vec_id", vector: str = "embedding", k: int = 5,
     trees: int = TREES, leaf: int = LEAF, share: float = SHARE, sample: int = SAMPLE,
@@ -217,12 +233,17 @@ def nearest_neighbours(
             asking = unit_rows(list(vectors[kind == 1]))
             asking_ids = np.frombuffer(b"".join(ids[kind == 1]), np.int64)
             out: list[tuple[int, int, float]] = []
+            every = np.concatenate(stored_ids)
+            repeated = len(np.unique(every)) < len(every)
             for start in range(0, len(asking), 512):
                 cosine = asking[start:start + 512] @ stored.T
                 # A query's own vector may be one of the best without being a candidate.
                 best = min(k + 1, len(stored))
                 top = np.argpartition(-cosine, best - 1, axis=1)[:, :best]
                 low = np.take_along_axis(cosine, top, axis=1).min(axis=1)
+                if repeated:
+                    # Several vectors of one id take one place.
+                    low = np.array([_lowest(c, l, stored_ids, k + 1) for c, l in zip(cosine, low)])
                 for row, query in enumerate(asking_ids[start:start + 512].tolist()):
                     # All that tie with the last of them, as far as rounding lets see.
                     for place in np.flatnonzero(cosine[row] >= low[row] - 1e-12):

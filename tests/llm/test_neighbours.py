@@ -52,6 +52,15 @@ def test_few_and_no_candidates(spark):
     assert check(spark, [(0, None)], lambda i: True, F.col("vec_id") == 0)[0] == {}
 
 
+def test_ids_with_many_near_vectors(spark):
+    """Eight vectors of one id take one place."""
+    draw = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(7, [1.0, 0.001 * j, 0.0, 0.0]) for j in range(1, 9)]
+    rows += [(20 + i, [1.0, *draw.normal(0, 1, 3).tolist()]) for i in range(20)]
+    got, wanted = check(spark, rows, lambda i: i == 0, F.col("vec_id") == 0)
+    assert got == wanted and len(got[0]) == 5
+
+
 def test_pieces_and_small_leaves(spark, monkeypatch):
     monkeypatch.setattr(N, "PIECE", 7)
     draw = np.random.default_rng(5)
