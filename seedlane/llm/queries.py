@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedlane.llm.collocations import COLLOCATIONS_SQL, collocations
 from seedlane.llm.common import fold, table
 from seedlane.llm.fingerprints import fingerprint_edits
+from seedlane.llm.hard_negatives import NEGATIVES_SQL, hard_negatives
 from seedlane.llm.language import predict_language, train_language
 from seedlane.llm.lm import score_texts
 from seedlane.llm.mixing import MIX_SQL, mix_sources
@@ -16,6 +18,7 @@ from seedlane.llm.neighbours import nearest_neighbours
 from seedlane.llm.packing import pack_documents
 from seedlane.llm.quality import score_quality, train_quality
 from seedlane.llm.simhash import near_duplicates
+from seedlane.llm.substrings import REMOVED_SQL, remove_repeats
 from seedlane.llm.toxicity import score_toxicity, train_toxicity
 from seedlane.llm.urls import JUDGE_SQL, RULES, judge_urls
 
@@ -70,8 +73,22 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), with_ids=False)
 
 
+def op11_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_fingerprints, op2_neighbours, op3_lm_scores, op4_mixing, op5_language, op6_quality, op7_url_rules, op8_simhash, op9_toxicity, op10_packing)
+    q.__name__: q for q in (op1_fingerprints, op2_neighbours, op3_lm_scores, op4_mixing, op5_language, op6_quality, op7_url_rules, op8_simhash, op9_toxicity, op10_packing, op11_repeats, op12_collocations, op13_hard_negatives)
 }
 
-SQL: dict[str, str] = {"op4_mixing": MIX_SQL, "op7_url_rules": JUDGE_SQL}
+SQL: dict[str, str] = {"op4_mixing": MIX_SQL, "op7_url_rules": JUDGE_SQL, "op11_repeats": REMOVED_SQL, "op12_collocations": COLLOCATIONS_SQL, "op13_hard_negatives": NEGATIVES_SQL}
