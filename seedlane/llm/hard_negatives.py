@@ -102,45 +102,58 @@ class CoverTree:
                 size * np.cos(np.maximum(to - self.angle, 0)) + slack)
 
 
-def search_tree(
-    tree: CoverTree, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, anchor: np.ndarray, anchor_id: int,
-    label: int, same: bool, least: np.ndarray, most: np.ndarray, count: int,
-) -> list[list[tuple[int, int]]]:
-    """For each window ``least .. most`` of scores the first ``count`` as ``(score, id)``, of the ``same`` label or of others.
-
-    ``ids``, ``labels`` and ``vectors`` are in the order of the tree's leaves.
-    """
-    low, high = tree.bounds(anchor)
-    least, found = least.astype(object).copy(), [[] for _ in least]
-    top = most.max()
-
-    def wanted(node: int) -> bool:
-        return bool(any(low[node] <= b and high[node] >= a for a, b in zip(least, most)))
-
-    heap = [(-min(float(high[0]), float(top)), 0)] if wanted(0) else []
-    while heap:
-        _, node = heapq.heappop(heap)
-        if not wanted(node):
-            continue
-        if tree.children[node]:
-            for child in tree.children[node]:
+class Block:
+    """Vectors with their ids and labels, in the order of the leaves of their tree."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
+        self.tree = CoverTree(vectors)
+        order = self.tree.order
+        self.ids, self.labels, self.vectors = ids[order], labels[order], vectors[order]
+        self.plain = self.vectors.astype(np.float64)
+        self.largest = float(np.abs(self.plain).max(initial=0))
+
+    def scores(self, start: int, stop: int, anchor: np.ndarray, exact: bool) -> np.ndarray:
+        """Exact inner products with some of the vectors; ``exact`` if doubles hold them."""
+        return self.plain[start:stop] @ anchor if exact else scores(self.vectors[start:stop], anchor)
+
+    def search(
+        self, anchor: np.ndarray, anchor_id: int, label: int, same: bool, windows: list[tuple[int, int]], count: int
+    ) -> list[list[tuple[int, int]]]:
+        """For each window ``(least, most)`` of scores the first ``count`` as ``(score, id)``, of the ``same`` label or of others."""
+        low, high = (x.tolist() for x in self.tree.bounds(anchor))
+        exact = self.largest * float(np.abs(anchor.astype(np.float64)).max(initial=0)) * len(anchor) < EXACT
+        anchor = anchor.astype(np.float64) if exact else anchor
+        least, most = [a for a, _ in windows], [b for _, b in windows]
+        found: list[list[tuple[int, int]]] = [[] for _ in windows]
+        top = max(most)
+
+        def wanted(node: int) -> bool:
+            return any(low[node] <= b and high[node] >= a for a, b in zip(least, most))
+
+        heap = [(-min(high[0], top), 0)]
+        while heap:
+            _, node = heapq.heappop(heap)
+            if not wanted(node):
+                continue
+            for child in self.tree.children[node]:
                 if wanted(child):
-                    heapq.heappush(heap, (-min(float(high[child]), float(top)), child))
-            continue
-        start, stop = tree.span[node]
-        fits = (labels[start:stop] == label) == same
-        if not fits.any():
-            continue
-        exact = scores(vectors[start:stop], anchor)
-        fits &= ids[start:stop] != anchor_id
-        for k, (a, b) in enumerate(zip(least, most)):
-            some = np.flatnonzero(fits & (exact >= a) & (exact <= b))
-            if len(some):
-                own = found[k] + list(zip((-exact[some]).tolist(), ids[start:stop][some].tolist()))
-                found[k] = sorted(own)[:count]
-                if len(found[k]) == count:
-                    least[k] = max(least[k], -found[k][-1][0])
-    return [[(-s, i) for s, i in own] for own in found]
+                    heapq.heappush(heap, (-min(high[child], top), child))
+            if self.tree.children[node]:
+                continue
+            start, stop = self.tree.span[node]
+            own = self.scores(start, stop, anchor, exact)
+            fits = (own >= min(least)) & (own <= top) & ((self.labels[start:stop] == label) == same)
+            some = np.flatnonzero(fits)
+            if not len(some):
+                continue
+            pairs = [(-int(s), i) for s, i in zip(own[some].tolist(), self.ids[start:stop][some].tolist()) if i != anchor_id]
+            for k, (a, b) in enumerate(zip(least, most)):
+                new = [p for p in pairs if a <= -p[0] <= b]
+                if new:
+                    found[k] = heapq.nsmallest(count, found[k] + new)
+                    if len(found[k]) == count:
+                        least[k] = max(a, -found[k][-1][0])
+        return [[(-s, i) for s, i in own] for own in found]
 
 
 def _prepared(rows: DataFrame, id: str, vector: str, label: str | Column) -> DataFrame:
@@ -198,36 +211,32 @@ def _searched(points: DataFrame, anchors: DataFrame, same: bool, positives: int,
         anchors.select("block", F.lit(1).alias("kind"), "id", "label", "vec", "windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, kept, tree = None, [], None
+        name, kept, block = None, [], None
         for batch in batches:
-            blocks, kinds = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            ids, labels = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            names_, kinds = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            ids, labels = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out: list[tuple[int, int, int, int, int]] = []
             for row in range(batch.num_rows):
                 vec = batch.column(4)[row].values.to_numpy()
-                if blocks[row] != block:
-                    block, kept, tree = blocks[row], [], None
+                if names_[row] != name:
+                    name, kept, block = names_[row], [], None
                 if kinds[row] == 0:
                     kept.append((ids[row], labels[row], vec.copy()))
                     continue
-                if tree is None:
+                if block is None:
                     if not kept:
                         continue
-                    vectors = np.array([v for _, _, v in kept], np.int64).reshape(len(kept), -1)
-                    tree = CoverTree(vectors)
-                    own_ids = np.array([k[0] for k in kept], np.int64)[tree.order]
-                    own_labels = np.array([k[1] for k in kept], np.int64)[tree.order]
-                    vectors, kept = vectors[tree.order], [None]
+                    block = Block(
+                        np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept], np.int64),
+                        np.array([k[2] for k in kept], np.int64).reshape(len(kept), -1))
                 if same:
-                    windows, low, high, count = [(0, 0)], [-(2**63)], [2**63 - 1], positives
+                    asked, windows, count = [(0, 0)], [(-(2**63), 2**63 - 1)], positives
                 else:
-                    windows = [(w["positive"], w["score"]) for w in batch.column(5)[row].as_py()]
-                    low, high, count = [-(-least * s // 100) for _, s in windows], [most * s // 100 for _, s in windows], negatives
-                hits = search_tree(
-                    tree, own_ids, own_labels, vectors, vec, ids[row], labels[row], same,
-                    np.array(low, object), np.array(high, object), count)
-                for (positive, score), own in zip(windows, hits):
-                    out += [(int(ids[row]), positive, score, i, s) for s, i in own]
+                    asked = [(w["positive"], w["score"]) for w in batch.column(5)[row].as_py()]
+                    windows, count = [(-(-least * s // 100), most * s // 100) for _, s in asked], negatives
+                hits = block.search(vec, ids[row], labels[row], same, windows, count)
+                for (positive, score), own in zip(asked, hits):
+                    out += [(ids[row], positive, score, i, s) for s, i in own]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
