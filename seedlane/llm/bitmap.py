@@ -30,7 +30,7 @@ def bitmap_of(values: DataFrame, hashed: str, wanted: Column | None = None) -> n
     bits = np.zeros(size // 8, np.uint8)
     for page in pages.toLocalIterator():
         at = (page["page"] - 1) * PAGE // 8
-        bits[at:at + PAGE // 8] = np.frombuffer(page["bits"], np.uint8)
+        bits[at:at + PAGE // 8] = np.frombuffer(page["bits"], np.uint8)[:len(bits) - at]
     return bits
 
 
