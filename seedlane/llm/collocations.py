@@ -1,7 +1,7 @@
 """Phrases whose words go together, counted by prefix-free parsing.
 
-Pieces of text are cut into chunks: a word of a certain hash begins a new one (content-triggered, so the same
-passage is cut alike wherever it stands). Chunks overlap: each runs on into the next by one word less than
+Pieces of text are cut into chunks: if they are long, a word of a certain hash begins a new one (content-triggered, so
+the same passage is cut alike wherever it stands). Chunks overlap: each runs on into the next by one word less than
 the longest phrase has. The distinct chunks with their numbers of occurrences are the dictionary; what repeats
 in the corpus is in it once. Phrases are counted inside distinct chunks, weighted by these numbers. A
 phrase belongs to the chunk in whose own part it begins, so those in overlaps count once.
@@ -16,21 +16,25 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedlane.llm.bitmap import bitmap_of, may_hold
-from seedlane.llm.common import raw_text
+from seedlane.llm.common import byte_array, raw_text
 from seedlane.plans.layout import settled
 
 # Words of a phrase; occurrences of a candidate; phrases reported of each language.
 LONGEST, LEAST, TOP = 5, 100, 2000
 # One word in so many begins a new chunk.
 TRIGGER = 16
+# A piece of so many words at most is one chunk.
+SHORT = 16
 # Bytes of chunks that a task holds before it hands on its sums.
 HELD = 16 << 20
 # Language of rows without one.
@@ -40,55 +44,66 @@ UNKNOWN = "und"
 _PIECES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
 
-def pieces_of(text: bytes) -> Iterator[bytes]:
-    """The pieces of a text in lower case."""
-    return iter(text.lower().translate(_PIECES).split(b"\n"))
+def pieces_of(text: bytes) -> list[bytes]:
+    """The pieces of a text in lower case, their words parted by one blank; some may be empty."""
+    text = text.lower().translate(_PIECES)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
 
 
 def chunks_of(piece: bytes, overlap: int, trigger: int = TRIGGER) -> Iterator[tuple[bytes, int]]:
-    """``(words joined by a blank, own words)`` of the chunks of a piece."""
-    words = piece.split()
-    if not words:
+    """``(words, own words)`` of the chunks of a piece, own words 0 for a whole piece."""
+    words = piece.split(b" ")
+    starts = [0, *(i for i, w in enumerate(words) if i and zlib.crc32(w) % trigger == 0), len(words)]
+    if len(starts) == 2:
+        yield piece, 0
         return
-    starts = [i for i, w in enumerate(words) if i and zlib.crc32(w) % trigger == 0]
-    if not starts:
-        yield b" ".join(words), len(words)
-        return
-    for a, b in zip([0, *starts], [*starts, len(words)]):
+    for a, b in zip(starts, starts[1:]):
         yield b" ".join(words[a:b + overlap]), b - a
 
 
-def _rows(found: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """Counted chunks of all languages in batches."""
-    for lang, counted in found.items():
-        items = list(counted.items())
-        for at in range(0, len(items), 20_000):
-            part = items[at:at + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(part)), pa.array([c for (c, _), _ in part], pa.binary()),
-                 pa.array([o for (_, o), _ in part], pa.int32()), pa.array([n for _, n in part], pa.int64())],
-                ["lang", "chunk", "own", "rows"])
-
+def _rows(found: dict[str, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    """Counted pieces and chunks of all languages in batches. Each word of a chunk is followed by a blank."""
+    for lang, (whole, cut) in found.items():
+        whole.pop(b"", None)
+        for chunks, own, rows in (
+            (list(whole), [0] * len(whole), list(whole.values())),
+            ([c for c, _ in cut], [o for _, o in cut], list(cut.values())),
+        ):
+            for at in range(0, len(chunks), 20_000):
+                part = chunks[at:at + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part)), pa.array([c + b" " for c in part], pa.binary()),
+                     pa.array(own[at:at + 20_000], pa.int32()), pa.array(rows[at:at + 20_000], pa.int64())],
+                    ["lang", "chunk", "own", "rows"])
+
+
+def parse(
+    docs: DataFrame, text: str = "text", lang: str = "lang", overlap: int = LONGEST - 1, trigger: int = TRIGGER, short: int = SHORT
+) -> DataFrame:
+    """The dictionary ``(lang, chunk, own, rows)``: distinct chunks, their own words and how often they occur.
 
-def parse(docs: DataFrame, text: str = "text", lang: str = "lang", overlap: int = LONGEST - 1, trigger: int = TRIGGER) -> DataFrame:
-    """The dictionary ``(lang, chunk, own, rows)``: distinct chunks, their own words and how often they occur."""
+    A piece of at most ``short`` words is one chunk, all its own (``own`` 0), as is one without a trigger.
+    """
     kept = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), raw_text(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
+        found: dict[str, tuple[Counter, Counter]] = {}
         held = 0
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for row, name in enumerate(langs):
-                counted = found.setdefault(name, Counter())
+            for row, name in enumerate(batch.column(0).to_pylist()):
+                whole, cut = found.setdefault(name, (Counter(), Counter()))
                 body = batch.column(1)[row].as_py()
-                for piece in pieces_of(body):
-                    counted.update(chunks_of(piece, overlap, trigger))
+                pieces = pieces_of(body)
+                long = [p for p in pieces if p.count(b" ") >= short]
+                whole.update(pieces if not long else [p for p in pieces if p.count(b" ") < short])
+                for piece in long:
+                    cut.update(chunks_of(piece, overlap, trigger))
                 held += len(body)
                 if held > HELD:
                     yield from _rows(found)
                     found, held = {}, 0
-                    counted = None
         yield from _rows(found)
 
     parsed = kept.mapInArrow(run, "lang string, chunk binary, own int, rows long")
@@ -114,129 +129,117 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Phrases:
-    """Phrases of some lengths in a batch of one language's chunks."""
-
-    def __init__(self, lang: str, chunks: list[bytes], own: list[int], rows: list[int]) -> None:
-        ids: dict[bytes, int] = {}
-        number, sizes = [], []
-        for chunk in chunks:
-            words = chunk.split(b" ")
-            sizes.append(len(words))
-            number += [ids.setdefault(w, len(ids)) for w in words]
-        self.lang, self.words = lang, list(ids)
-        self.id = np.array(number, np.int64)
-        sizes = np.array(sizes)
-        ends = np.cumsum(sizes)
-        self.left = np.repeat(ends, sizes) - np.arange(len(self.id))  # words to the chunk's end
-        mine = np.arange(len(self.id)) - np.repeat(ends - sizes, sizes) < np.repeat(own, sizes)
-        self.start = np.flatnonzero(mine)
-        self.weight = np.repeat(np.array(rows, np.int64), sizes)
-
-    def single(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """All words, their numbers and hashes."""
+    """Phrases in a batch of one language's chunks. A word's number is the place where it is first met."""
+
+    def __init__(self, lang: str, parts: list[pa.RecordBatch]) -> None:
+        bodies = [byte_array(p.column("chunk")) for p in parts]
+        data = np.concatenate([b for b, _ in bodies])
+        # Each word ends with a blank.
+        blanks = np.concatenate([np.add.reduceat(b == 32, ends[:-1], dtype=np.int64) for b, ends in bodies])
+        own = np.concatenate([p.column("own").to_numpy() for p in parts])
+        rows = np.concatenate([p.column("rows").to_numpy() for p in parts])
+        self.lang, self.words = lang, data.tobytes().split(b" ")[:-1]
+        n = len(self.words)
+        self.id = np.fromiter(map({}.setdefault, self.words, count()), np.int64, n)
+        ends, place = np.cumsum(blanks), np.arange(n)
+        self.left = np.repeat(ends, blanks) - place  # words to the chunk's end
+        mine = np.where(own == 0, blanks, own)
+        self.start = np.flatnonzero(place - np.repeat(ends - blanks, blanks) < np.repeat(mine, blanks))
+        self.weight = np.repeat(rows, blanks)
+        self.hash = np.zeros(n, np.uint64)
+        first = np.flatnonzero(self.id == place)
+        self.hash[first] = _hash_of(lang, [self.words[i] for i in first])
+        self.hash = self.hash[self.id]
+
+    def pair_hash(self, at: np.ndarray) -> np.ndarray:
+        return _pair_hash(self.hash[at], self.hash[at + 1])
+
+    def hashed_words(self) -> Iterator[tuple]:
+        """The hashes of all words and their numbers."""
         at, sums, _ = _sums(self.id[self.start], self.weight[self.start])
-        words = self.text(self.start[at], 1)
-        return words, sums, _hash_of(self.lang, words).view(np.int64)
-
-    def text(self, at: np.ndarray, size: int) -> list[bytes]:
-        return [b" ".join([self.words[i] for i in self.id[a:a + size]]) for a in at.tolist()]
+        yield self.hash[self.start[at]].view(np.int64), sums
 
-    def pairs(self, frequent: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Pairs of frequent words, their numbers and hashes."""
-        hashes = _hash_of(self.lang, self.words)
-        good = may_hold(frequent, hashes)
+    def hashed_pairs(self, frequent: np.ndarray) -> Iterator[tuple]:
+        """The hashes of all pairs of frequent words and their numbers."""
+        good = may_hold(frequent, self.hash)
         start = self.start[self.left[self.start] >= 2]
-        start = start[good[self.id[start]] & good[self.id[start + 1]]]
-        at, sums, _ = _sums(self.id[start] * len(self.words) + self.id[start + 1], self.weight[start])
-        first = start[at]
-        return self.text(first, 2), sums, _pair_hash(hashes[self.id[first]], hashes[self.id[first + 1]]).view(np.int64)
-
-    def longer(self, frequent: np.ndarray, longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-        """Phrases of three words and more that have only frequent pairs."""
-        hashes = _hash_of(self.lang, self.words)
+        start = start[good[start] & good[start + 1]]
+        hashes = self.pair_hash(start)
+        at, sums, _ = _sums(hashes, self.weight[start])
+        yield hashes[at].view(np.int64), sums
+
+    def phrases(self, words: np.ndarray, pairs: np.ndarray | None, longest: int) -> Iterator[tuple]:
+        """Phrases that have only frequent words and pairs, their numbers and sizes."""
         n = len(self.id)
+        start, key = self.start[may_hold(words, self.hash[self.start])], self.id.copy()
         pair = np.zeros(n, bool)
-        inside = np.flatnonzero(self.left[:n] >= 2)
-        pair[inside] = may_hold(frequent, _pair_hash(hashes[self.id[inside]], hashes[self.id[inside + 1]]))
-        # Numbers of the phrases of one word less, by the word they begin with.
-        start = self.start[pair[self.start]]
-        key = np.zeros(n, np.int64)
-        _, _, inverse = _sums(self.id[start] * len(self.words) + self.id[start + 1], self.weight[start])
-        key[start] = inverse
-        for size in range(3, longest + 1):
-            start = start[(self.left[start] >= size)]
-            start = start[pair[start + size - 2]]
-            at, sums, inverse = _sums(key[start] * len(self.words) + self.id[start + size - 1], self.weight[start])
+        if pairs is not None:
+            inside = np.flatnonzero(self.left >= 2)
+            pair[inside] = may_hold(pairs, self.pair_hash(inside))
+        for size in range(1, longest + 1):
+            if size > 1:
+                start = start[self.left[start] >= size]
+                start = start[pair[start + size - 2]]
+            # By the number of the phrase of one word less.
+            at, sums, inverse = _sums(key[start] * n + self.id[start + size - 1] if size > 1 else key[start], self.weight[start])
             key[start] = inverse
-            yield self.text(start[at], size), sums, np.full(len(at), size, np.int32)
+            found = [b" ".join([self.words[i] for i in range(a, a + size)]) for a in start[at].tolist()]
+            yield found, sums, np.full(len(at), size, np.int32)
 
 
 def _counted(dictionary: DataFrame, find, schema: str) -> DataFrame:
-    """What ``find`` gives for batches of chunks of one language, as rows of ``schema``."""
+    """What ``find`` gives for batches of chunks of one language, as rows of ``schema`` after the language."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, list, list]] = {}
+        held: dict[str, list[pa.RecordBatch]] = {}
         size = 0
 
         def out():
-            for lang, (chunks, own, rows) in held.items():
-                for columns in find(Phrases(lang, chunks, own, rows)):
-                    n = len(columns[0])
-                    for at in range(0, n, 20_000):
+            for lang, parts in held.items():
+                for columns in find(Phrases(lang, parts)):
+                    for at in range(0, len(columns[0]), 20_000):
                         part = [c[at:at + 20_000] for c in columns]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(part[0])), pa.array(part[0], pa.binary()), *[pa.array(c) for c in part[1:]]],
-                            names)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0])), *[pa.array(c) for c in part]], names)
 
         for batch in batches:
-            for lang, chunk, own, rows in zip(*[c.to_pylist() for c in batch.columns]):
-                a, b, c = held.setdefault(lang, ([], [], []))
-                a.append(chunk), b.append(own), c.append(rows)
-                size += len(chunk) + 64
-                if size > HELD:
-                    yield from out()
-                    held, size = {}, 0
+            langs = pc.unique(batch.column(0)).to_pylist()
+            for lang in langs:
+                part = batch if len(langs) == 1 else batch.filter(pc.equal(batch.column(0), lang))
+                held.setdefault(lang, []).append(part)
+            size += len(byte_array(batch.column(1))[0])
+            if size > HELD:
+                yield from out()
+                held, size = {}, 0
         yield from out()
 
-    names = [c.split()[0] for c in schema.split(", ")]
     return dictionary.select("lang", "chunk", "own", "rows").mapInArrow(run, schema)
 
 
 def phrase_counts(dictionary: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, n, size)`` of all phrases that occur ``least`` times, and ``(lang, words)``, all words counted.
 
-    ``dictionary`` as by :func:`parse`, with an overlap of at least ``longest - 1``. Phrases are bytes.
+    ``dictionary`` as by :func:`parse`, with an overlap of at least ``longest - 1``. Phrases are bytes. Words and
+    pairs are counted by hash first: two with one hash only let through more, which is counted by itself then.
     """
     context = dictionary.sparkSession.sparkContext
-    columns = "lang string, phrase binary, n long"
-
-    def summed(found: DataFrame, *more: Column) -> DataFrame:
-        return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), *more)
 
-    def marked(n: DataFrame) -> np.ndarray:
-        return context.broadcast(bitmap_of(n, "hash"))
+    def marked(found: DataFrame):
+        return context.broadcast(bitmap_of(found.filter(F.col("n") >= least), "hash"))
 
-    hashed = F.first("hash").alias("hash")
-    words = settled(summed(_counted(dictionary, lambda p: [p.single()], f"{columns}, hash long"), hashed))
+    hashed = "lang string, hash long, n long"
+    words = settled(
+        _counted(dictionary, lambda p: p.hashed_words(), hashed).groupBy("lang", "hash").agg(F.sum("n").alias("n")))
     total = settled(words.groupBy("lang").agg(F.sum("n").alias("words")))
-    frequent = words.filter(F.col("n") >= least)
-    sizes = [frequent.select("lang", "phrase", "n", F.lit(1).alias("size"))]
+    word_bits, pair_bits = marked(words), None
     if longest > 1:
-        word_bits = marked(frequent)
-        pairs = settled(summed(
-            _counted(dictionary, lambda p: [p.pairs(word_bits.value)], f"{columns}, hash long"), hashed,
-        ).filter(F.col("n") >= least))
-        sizes.append(pairs.select("lang", "phrase", "n", F.lit(2).alias("size")))
-    if longest > 2:
-        pair_bits = marked(pairs)
-        more = summed(
-            _counted(dictionary, lambda p: p.longer(pair_bits.value, longest), f"{columns}, size int"),
-            F.first("size").alias("size"))
-        sizes.append(settled(more.filter(F.col("n") >= least)).select("lang", "phrase", "n", "size"))
-    out = sizes[0]
-    for other in sizes[1:]:
-        out = out.unionByName(other)
-    return out, total
+        pairs = _counted(dictionary, lambda p: p.hashed_pairs(word_bits.value), hashed).groupBy("hash").agg(F.sum("n").alias("n"))
+        pair_bits = marked(settled(pairs.filter(F.col("n") >= least)))
+    counted = _counted(
+        dictionary, lambda p: p.phrases(word_bits.value, pair_bits.value if pair_bits else None, longest),
+        "lang string, phrase binary, n long, size int",
+    ).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
+    return settled(counted.filter(F.col("n") >= least)), total
 
 
 def score_phrases(counts: DataFrame, total: DataFrame) -> DataFrame:
