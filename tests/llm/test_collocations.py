@@ -75,7 +75,7 @@ def test_equals_plain_python(spark, least, longest, top):
 def test_any_parse_gives_the_same_counts(spark, monkeypatch, trigger, held):
     monkeypatch.setattr(C, "HELD", held)
     rows = sample(8, 40)
-    counts, total = C.phrase_counts(C.parse(frame(spark, rows), trigger=trigger), least=1)
+    counts, total = C.phrase_counts(C.parse(frame(spark, rows), trigger=trigger, short=2), least=1)
     got = {(r.lang, bytes(r.phrase).decode()): (r.n, r.size) for r in counts.collect()}
     expected = plain_counts(rows, 5)
     assert got == {(lang, " ".join(p)): (n, len(p)) for lang, c in expected.items() for p, n in c.items()}
