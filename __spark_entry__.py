@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import sys
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,20 +18,20 @@ from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import array_text, count_by, values_over
 from seedlane.functions.text import block_of, normalize
-from seedlane.operators import align, content, index, kmers, lines, metrics, seeds
+from seedlane.operators import align, content, index, kmers, lines, metrics, runs, seeds
 from seedlane.plans import search as plans
 from seedlane.plans.layout import fresh_path, spread, text_size
-from seedlane.plans.reference import append_reference, build_reference, open_reference
+from seedlane.plans.reference import append_reference, build_reference, compact_reference, open_reference
 from seedlane.sources import files, tables
 
-# The operators for training data are a part of their own, which may be left out.
+# The operators for training data are a part of their own, which may be left out or lack a library it needs.
 OPTIONAL = ("corpus_pipeline", "seedlane.llm")
 try:
     import corpus_pipeline
     import seedlane.llm.queries as llm
-except ModuleNotFoundError as missing:
+except ImportError as missing:
     if missing.name not in OPTIONAL:
-        raise
+        warnings.warn(f"no operators for training data: {missing}")
     corpus_pipeline = llm = None
 
 K, BLOCK, GROUP = 11, 1000, 1000
@@ -183,6 +184,12 @@ def kmer_totals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kmer_totals_by_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.key_totals_by_runs(_refs(spark, sf), K).groupBy("n").agg(
+        F.count("*").alias("keys"), _checksum(F.col("seq")).alias("checksum")
+    )
+
+
 def frequent_kmers(spark: SparkSession, sf: str) -> DataFrame:
     return index.hot_keys(index.list_counts(_index(spark, sf)))
 
@@ -220,6 +227,10 @@ def seed_hits_shuffled(spark: SparkSession, sf: str) -> DataFrame:
     return seeds.seed_hits(_keys(spark, sf), _postings(spark, sf), broadcast_keys=False)
 
 
+def seed_hits_by_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.seed_hits_by_runs(_queries(spark, sf), _refs(spark, sf), K)
+
+
 def seed_lists(spark: SparkSession, sf: str) -> DataFrame:
     lists = seeds.seed_lists(_keys(spark, sf), _index(spark, sf))
     return lists.withColumn("end_positions", array_text(F.col("end_positions")))
@@ -394,6 +405,15 @@ def stored_reference_appended(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(plans.search_reference(_queries(spark, sf), stored))
 
 
+def stored_reference_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    folder, refs = fresh_path(spark, "references"), _refs(spark, sf)
+    build_reference(refs.filter(F.col("ref_id") % 3 == 0), folder, "documents", K, BLOCK, GROUP, parts=16)
+    for rest in (1, 2):
+        append_reference(refs.filter(F.col("ref_id") % 3 == rest), folder, "documents")
+    stored = compact_reference(spark, folder, "documents")
+    return _rounded(plans.search_reference(_queries(spark, sf), stored))
+
+
 def named_alignments(spark: SparkSession, sf: str) -> DataFrame:
     folder, docs = fresh_path(spark, "references"), _table(spark, sf, "documents")
     names = docs.select(F.col("doc_id").alias("ref_id"), F.concat_ws("/", "source", "lang", "doc_id").alias("name"))
@@ -500,15 +520,15 @@ def conversation_offsets(spark: SparkSession, sf: str) -> DataFrame:
 REGISTERED = [
     normalized_sequences, line_offsets, two_line_join, overlap_prefix_join, in_line_kmers,
     reference_kmers, reference_kmers_by_block, kmer_index, kmer_index_of_entries,
-    kmer_index_of_content, kmer_index_merged, kmer_totals, frequent_kmers,
+    kmer_index_of_content, kmer_index_merged, kmer_totals, kmer_totals_by_runs, frequent_kmers,
     index_export, query_kmers, distinct_query_kmers, key_lookup, key_lookup_shuffled,
-    seed_hits, seed_hits_shuffled, seed_lists, seed_lists_shuffled, diagonal_counts, counted_end_positions, frequent_end_positions, candidates_fixed, candidates_adaptive,
+    seed_hits, seed_hits_shuffled, seed_hits_by_runs, seed_lists, seed_lists_shuffled, diagonal_counts, counted_end_positions, frequent_end_positions, candidates_fixed, candidates_adaptive,
     adaptive_threshold, candidate_lists, candidate_chunks, listed_candidates,
     candidates_with_query, unmatched_queries, top_diagonals, top_diagonals_per_query,
     content_blocks, content_blocks_from_lines, content_blocks_by_line, fetch_windows,
     fetch_windows_shuffled, fetch_windows_extended, ungapped_identity, alignments, alignments_shuffled,
     alignments_all_scores, alignments_extended, alignments_extended_all_scores, alignments_clipped, best_hit, alignment_blocks, stored_reference_search,
-    stored_reference_appended, named_alignments, stored_reference_other_index, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
+    stored_reference_appended, stored_reference_compacted, named_alignments, stored_reference_other_index, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
     file_records, search_summary, run_statistics, balance_by_key, partition_balance,
     page_candidates, conversation_offsets,
 ]
@@ -754,6 +774,9 @@ def _search_sql() -> dict[str, str]:
         SELECT ref_id, block, count(*) AS lists, sum(n)::BIGINT AS offsets,
                max(n)::INTEGER AS longest, {_sum_md5("seq || ':' || value")} AS checksum
         FROM lists GROUP BY ref_id, block"""
+    totals = _with("rk") + f"""
+            SELECT n, count(*) AS keys, {_sum_md5("seq")} AS checksum
+            FROM (SELECT seq, count(*) AS n FROM rk GROUP BY seq) GROUP BY n"""
     looked_up = _with("rk", "qk") + """
         SELECT seq, "offset" // 1000 AS block, ref_id, "offset" FROM rk
         WHERE seq IN (SELECT seq FROM qk)"""
@@ -792,9 +815,8 @@ def _search_sql() -> dict[str, str]:
             SELECT ref_id, block, count(*) AS lists, max(n)::INTEGER AS longest,
                    {_sum_md5("seq || ':' || value")} AS checksum
             FROM wide GROUP BY ref_id, block""",
-        "kmer_totals": _with("rk") + f"""
-            SELECT n, count(*) AS keys, {_sum_md5("seq")} AS checksum
-            FROM (SELECT seq, count(*) AS n FROM rk GROUP BY seq) GROUP BY n""",
+        "kmer_totals": totals,
+        "kmer_totals_by_runs": totals,
         "frequent_kmers": _with("rk") + """
             SELECT seq, ceil(n * 10000 / (SELECT count(*) FROM rk))::INTEGER AS splits
             FROM (SELECT seq, count(*) AS n FROM rk GROUP BY seq)
@@ -808,6 +830,7 @@ def _search_sql() -> dict[str, str]:
         "key_lookup": looked_up,
         "key_lookup_shuffled": looked_up,
         "seed_hits": _with("seeds") + seed_columns,
+        "seed_hits_by_runs": _with("seeds") + seed_columns,
         "seed_hits_shuffled": _with("seeds") + seed_columns,
         "seed_lists": listed,
         "seed_lists_shuffled": listed,
@@ -889,6 +912,7 @@ def _search_sql() -> dict[str, str]:
                         FROM numbered JOIN aligned USING (id) WHERE score > 0.7))""",
         "stored_reference_search": good,
         "stored_reference_appended": good,
+        "stored_reference_compacted": good,
         "named_alignments": _alignments_sql() + """
             SELECT query_id, ref_id, concat_ws('/', source, lang, doc_id) AS ref_name, end_pos, round(score, 6) AS score
             FROM numbered JOIN aligned USING (id) JOIN documents ON doc_id = ref_id WHERE score > 0.7""",

@@ -5,7 +5,7 @@ references, count hits per diagonal, keep the diagonals above a threshold, fetch
 reference windows and align them.
 """
 
-from seedlane.plans.reference import Reference, append_reference, build_reference, open_reference
+from seedlane.plans.reference import Reference, append_reference, build_reference, compact_reference, open_reference
 from seedlane.plans.search import SearchOptions, find_candidates, search, search_reference
 
 __all__ = [
@@ -13,6 +13,7 @@ __all__ = [
     "SearchOptions",
     "append_reference",
     "build_reference",
+    "compact_reference",
     "find_candidates",
     "open_reference",
     "search",

@@ -9,14 +9,14 @@ import uuid
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from seedlane.operators.align import EXTENSION, align_candidates
+from seedlane.operators.align import EXTENSION, MIN_SCORE, align_candidates
 from seedlane.operators.content import BLOCK
 from seedlane.operators.index import GROUP
 from seedlane.operators.kmers import query_keys
 from seedlane.operators.metrics import run_stats
 from seedlane.operators.seeds import THRESHOLD
 from seedlane.plans.layout import RECOMMENDED, scratch, settled, text_size
-from seedlane.plans.reference import KEY_SIZE, append_reference, build_reference, open_reference
+from seedlane.plans.reference import KEY_SIZE, append_reference, build_reference, compact_reference, open_reference
 from seedlane.plans.search import SearchOptions, extend, find_candidates_indexed, place
 from seedlane.sources.files import read_query_tsv, read_sequences, records
 from seedlane.sources.tables import PARTS, append_run_stats, write_alignments
@@ -61,7 +61,7 @@ def query(spark: SparkSession, args: argparse.Namespace) -> str:
         reference = open_reference(spark, args.folder, args.name, args.index_name)
         threshold = args.threshold if args.threshold == "adaptive" else int(args.threshold)
         options = SearchOptions(
-            reference.k, threshold, EXTENSION if args.extend else 0, tasks=args.tasks
+            reference.k, threshold, EXTENSION if args.extend else 0, not args.clip, args.min_score, args.tasks
         )
         size = text_size(queries)
         read = time.time()
@@ -97,6 +97,11 @@ def query(spark: SparkSession, args: argparse.Namespace) -> str:
     return path
 
 
+def compact(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Merge what was added to a reference into one."""
+    compact_reference(spark, args.folder, args.name)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="seedlane")
     jobs = top.add_subparsers(dest="job", required=True)
@@ -123,9 +128,16 @@ def parser() -> argparse.ArgumentParser:
     two.add_argument("--query-name", default="queries")
     two.add_argument("--format", default="parquet")
 
-    for job in (one, two):
+    two.add_argument("--clip", action="store_true", help="align only what lies within the reference")
+    two.add_argument("--min-score", type=float, default=MIN_SCORE, help="score to exceed")
+
+    three = jobs.add_parser("compact", help=compact.__doc__)
+    three.set_defaults(run=compact)
+
+    for job in (one, two, three):
         job.add_argument("--folder", required=True, help="where references are stored")
         job.add_argument("--name", required=True, help="name of the reference")
+    for job in (one, two):
         job.add_argument("--stats", help="append a row of statistics here")
         job.add_argument("files", nargs="+")
     return top

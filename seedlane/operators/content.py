@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import ordered_text
 from seedlane.functions.text import FILL, block_of, cut, starts
-from seedlane.plans.layout import spread_of
+from seedlane.plans.layout import deal_by_cost, spread_of
 
 BLOCK = 1000
 PLACED = ["query_id", "ref_id", "end_pos", "hits", "_from", "_to", "_lead"]
@@ -116,14 +116,20 @@ def fetch_windows(
     ``placed`` is ``(query_id, ref_id, end_pos, hits, length)`` with the length of the query. The
     range of positions becomes a few block numbers, so that this is an equi-join. ``parts`` is
     the number of stored parts of ``content``, if it has a ``part`` column. Pieces are cut
-    before they are gathered. ``tasks`` spreads the result for the alignment that follows.
+    before they are gathered. ``tasks`` spreads the result for the alignment that follows, so that the products of
+    lengths, which that takes time for, are alike; ``placed`` is read several times then.
 
     Result: ``window`` (filled with blanks past the end of the reference if ``pad``),
     ``ref_start`` and ``ref_end`` of the text really there, ``lead`` and ``missing`` characters
     at the left and right, and ``overhang`` if there are any.
     """
-    needed = window_bounds(placed, extension).select(
-        *PLACED,
+    bounds = window_bounds(placed, extension)
+    key = PLACED
+    if tasks is not None:
+        width = F.col("_to") - F.col("_from") + F.lit(1)
+        bounds, key = deal_by_cost(bounds, width * width, ["query_id", "ref_id", "end_pos"], tasks), ["_deal", *PLACED]
+    needed = bounds.select(
+        *key,
         F.explode(
             F.sequence(block_of(F.col("_from"), block_size), block_of(F.col("_to"), block_size))
         ).alias("blockid"),
@@ -138,7 +144,7 @@ def fetch_windows(
     block_start = F.col("blockid") * F.lit(block_size)
     at = F.greatest(F.col("_from"), block_start)
     pieces = joined.select(
-        *PLACED,
+        *key,
         F.struct(
             at.alias("position"),
             cut(
@@ -148,11 +154,11 @@ def fetch_windows(
         ).alias("_piece"),
     )
     if tasks is not None:
-        pieces = pieces.repartition(tasks, *PLACED)
+        pieces = pieces.repartition(tasks, "_deal")
     wanted = (F.col("_to") - F.col("_from") + F.lit(1)).cast("int")
     missing = wanted - F.length("_text")
     return (
-        pieces.groupBy(*PLACED)
+        pieces.groupBy(*key)
         .agg(ordered_text(F.collect_list("_piece")).alias("_text"))
         .select(
             "query_id", "ref_id", "end_pos", "hits",

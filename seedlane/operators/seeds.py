@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import chunked, shift_all
 from seedlane.functions.text import block_of
+from seedlane.operators.filters import bitmap_bits, key_bitmap, likely_in
 from seedlane.operators.index import entry_counts, hot_keys
 from seedlane.operators.kmers import distinct_keys
 from seedlane.plans.layout import rows_fit, settled
@@ -50,6 +51,7 @@ def lookup_keys(
     wanted = distinct_keys(keys)
     if keys_fit(keys, n_keys) if broadcast_keys is None else broadcast_keys:
         return likely_entries(entries, keys).join(F.broadcast(wanted), "seq", "left_semi")
+    entries = screened(entries, wanted, n_keys)
     parts = parts_of_kmers(entries, None)
     salted = _dealt(entries, parts, "entry_parts", ["ref_id", "offset"])
     return salted.join(_copied(wanted, parts, "entry_parts").hint("merge"), ["seq", "_entry"], "left_semi").drop("_entry")
@@ -67,6 +69,16 @@ def likely_entries(entries: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def screened(entries: DataFrame, keys: DataFrame, n_keys: int | None = None) -> DataFrame:
+    """Entries whose k-mer may be among ``keys``, by a bitmap of bounded size; for keys beyond a broadcast.
+
+    Entries that drop out here are never shuffled, the others are kept as files, as several steps need them. Of
+    keys that would fill the largest bitmap none is made.
+    """
+    bits = bitmap_bits(keys.count() if n_keys is None else n_keys)
+    return entries if bits is None else settled(likely_in(entries, settled(key_bitmap(keys, bits)), bits))
+
+
 def parts_of_kmers(entries: DataFrame, keys: DataFrame | None, hot: DataFrame | None = None) -> DataFrame:
     """``(seq, entry_parts, key_parts)`` of the k-mers that are frequent on either side of a join.
 
@@ -117,15 +129,18 @@ def seed_hits(
 
     ``n_keys`` is an upper bound of the rows of ``keys`` and ``k`` their length, both measured here if
     not given. Keys that fit are broadcast, so the entries are not shuffled at all and no k-mer can
-    be too frequent; ``screen`` is for entries that are not yet reduced by :func:`likely_entries`.
-    Beyond that both sides are shuffled, frequent k-mers over many parts; see :func:`parts_of_kmers`.
+    be too frequent. Beyond that both sides are shuffled, frequent k-mers over many parts; see
+    :func:`parts_of_kmers`. ``screen`` first turns away entries that cannot match, by the hashes of all keys if they
+    fit and by a bitmap of them if not; see :func:`likely_entries` and :func:`screened`.
     """
     if keys_fit(keys, n_keys, k) if broadcast_keys is None else broadcast_keys:
         likely = likely_entries(entries, keys) if screen else entries
         joined = likely.join(F.broadcast(keys), "seq")
     else:
         needed = entries.select("seq", "ref_id", "offset")
-        joined = _split_join(keys, needed, parts_of_kmers(entries, keys, hot), ["ref_id", "offset"])
+        if screen:
+            needed = screened(needed, keys, n_keys)
+        joined = _split_join(keys, needed, parts_of_kmers(needed, keys, hot), ["ref_id", "offset"])
     return joined.select("query_id", "ref_id", (F.col("offset") + F.col("despl")).alias("end_pos"))
 
 
@@ -136,6 +151,7 @@ def seed_lists(
     if keys_fit(keys, n_keys) if broadcast_keys is None else broadcast_keys:
         joined = likely_entries(index, keys).join(F.broadcast(keys), "seq")
     else:
+        index = screened(index, keys, n_keys)
         joined = _split_join(keys, index, parts_of_kmers(index, keys), ["ref_id", "block"])
     return joined.select(
         "query_id", "ref_id", "block", "seq", "despl",

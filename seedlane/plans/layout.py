@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ RECOMMENDED = {
     "spark.sql.execution.useObjectHashAggregateExec": "false",
     # Windows and queries of any length go to Python in batches of this many.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # K-mers that were moved as runs of text are joined where they are.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     # A scan of a stored index looks for so many hashes itself instead of for their smallest and largest.
     "spark.sql.parquet.pushdown.inFilterThreshold": "5000",
@@ -130,6 +133,45 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows that cost more than one in so many of a task's fair share are placed one by one.
+FINE = 8
+
+
+def deal_by_cost(rows: DataFrame, cost: Column, keys: list[str], tasks: int, name: str = "_deal") -> DataFrame:
+    """``rows`` with a number in column ``name``; partitioned by its hash into ``tasks``, these cost alike.
+
+    Those that make up more than an eighth of a task's share, fewer than eight times ``tasks`` whatever the number of
+    rows, are placed on the driver, each where there is least so far. All others are dealt by the hash of
+    their ``keys`` over what room there is left. ``rows`` are read three times.
+    """
+    spark = rows.sparkSession
+    cost = cost.cast("double")
+    total = rows.agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("n")).first()["n"]
+    large = rows.filter(cost * F.lit(float(FINE * tasks)) > F.lit(total)).select(*keys, cost.alias("_cost")).collect()
+    # A number for each task that Spark's partitioning by hash leads to it.
+    numbers = {
+        r["task"]: r["id"] for r in spark.range(64 * tasks + 1000)
+        .groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).agg(F.min("id").alias("id")).collect()}
+    loads = [(0.0, n) for n in numbers.values()]
+    placed = []
+    for row in sorted(large, key=lambda r: -r["_cost"]):
+        load, number = heapq.heappop(loads)
+        heapq.heappush(loads, (load + row["_cost"], number))
+        placed.append((*(row[k] for k in keys), number))
+    room = {number: max(total / tasks - load, 0.0) for load, number in loads}
+    unit = sum(room.values()) / (16 * tasks)
+    slots = [n for n, free in sorted(room.items()) for _ in range(round(free / unit) if unit else 1)] or sorted(room)
+    # Tables of some numbers per task.
+    table = F.broadcast(spark.createDataFrame(list(enumerate(slots)), f"_slot int, `{name}` long"))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(len(slots))).cast("int")
+    dealt = rows.withColumn("_slot", slot).join(table, "_slot", "left").drop("_slot")
+    if not placed:
+        return dealt
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    single = spark.createDataFrame(placed, f"{schema}, _number long")
+    return dealt.join(F.broadcast(single), keys, "left").withColumn(name, F.coalesce("_number", name)).drop("_number")
+
+
 def in_ranges(df: DataFrame, key: str, name: str) -> DataFrame:
     """Rows with the number of the range of ``key`` they are in, ranges being in order and of like size.
 

@@ -1,8 +1,10 @@
 """Building, extending and opening stored references.
 
 A reference is a list of segments, each the content, index and names of what was added at once, in a
-folder of its own that is written completely before the settings name it. A failed build or addition
-therefore leaves what was there as it was.
+folder of its own that is written completely before the settings name it. Settings are numbered files
+that are never changed: whoever is first to create the next number has published a new state, and the largest
+number counts. A failed build or addition therefore leaves what was there as it was, and of two that
+publish at once one sees that it came second.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import json
 import uuid
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,13 +81,50 @@ def _root(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
-def _settings(spark: SparkSession, folder: str, name: str) -> dict:
-    return json.loads(spark.read.text(f"{_root(folder, name)}/settings", wholetext=True).first()["value"])
+def _files(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """Hadoop's file system of a path and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
 
+def _state(spark: SparkSession, folder: str, name: str) -> tuple[int, dict | None]:
+    """The largest number of the settings and the latest ones; 0 and None without any.
 
-def _save_settings(spark: SparkSession, folder: str, name: str, settings: dict) -> None:
-    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{_root(folder, name)}/settings")
+    A file that cannot be read was left by a writer that ended while it wrote: its number is used up, the
+    settings before it hold.
+    """
+    system, place = _files(spark, f"{_root(folder, name)}/settings")
+    if not system.exists(place):
+        return 0, None
+    found = sorted((s.getPath().getName() for s in system.listStatus(place) if s.getPath().getName().endswith(".json")), reverse=True)
+    for file in found:
+        rows = spark.read.text(f"{_root(folder, name)}/settings/{file}", wholetext=True).take(1)
+        try:
+            return int(found[0].split(".")[0]), json.loads(rows[0]["value"])
+        except (IndexError, ValueError):
+            continue
+    return int(found[0].split(".")[0]) if found else 0, None
+
+
+def _settings(spark: SparkSession, folder: str, name: str) -> dict:
+    settings = _state(spark, folder, name)[1]
+    if settings is None:
+        raise FileNotFoundError(f"no reference {name} in {folder}")
+    return settings
+
+
+def _publish(spark: SparkSession, folder: str, name: str, number: int, settings: dict) -> bool:
+    """Create the settings of a ``number``; False if another writer has."""
+    system, place = _files(spark, f"{_root(folder, name)}/settings/{number:09d}.json")
+    try:
+        out = system.create(place, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception) or "already exists" in str(error.java_exception):
+            return False
+        raise
+    out.write(bytearray(json.dumps(settings).encode()))
+    out.close()
+    return True
 
 
 def _add_segment(
@@ -136,7 +177,8 @@ def build_reference(
     how = {"k": k, "block_size": block_size, "group": group, "parts": parts, "cross_lines": cross_lines}
     segment = _add_segment(
         sequences, _root(folder, name), k, block_size, group, parts, index_only, cross_lines, names)
-    _save_settings(spark, folder, name, how | {"segments": [segment]})
+    while not _publish(spark, folder, name, _state(spark, folder, name)[0] + 1, how | {"segments": [segment]}):
+        pass
     return None if index_only else open_reference(spark, folder, name)
 
 
@@ -149,7 +191,7 @@ def append_reference(
     from the largest one stored instead, as files read separately all begin at 1.
     """
     spark = sequences.sparkSession
-    stored, how = open_reference(spark, folder, name), _settings(spark, folder, name)
+    (number, how), stored = _state(spark, folder, name), open_reference(spark, folder, name)
     if renumber:
         last = stored.content.agg(F.coalesce(F.max("ref_id"), F.lit(0)).alias("n")).first()["n"]
         first = sequences.agg(F.coalesce(F.min("ref_id"), F.lit(1)).alias("n")).first()["n"]
@@ -157,14 +199,53 @@ def append_reference(
         sequences = sequences.select(moved, *[c for c in sequences.columns if c != "ref_id"])
         names = None if names is None else names.select(moved, "name")
     else:
-        there = stored.content.select("ref_id").distinct()
-        both = sequences.select("ref_id").distinct().join(there, "ref_id", "left_semi").take(3)
-        if both:
-            raise ValueError(f"already stored: ref_id {', '.join(str(r['ref_id']) for r in both)}")
+        _refuse_stored(sequences, stored.content)
     segment = _add_segment(
         sequences, _root(folder, name), how["k"], how["block_size"], how["group"], how["parts"], False,
         how["cross_lines"], names)
-    _save_settings(spark, folder, name, how | {"segments": [*how["segments"], segment]})
+    while not _publish(spark, folder, name, number + 1, how | {"segments": [*how["segments"], segment]}):
+        # Someone else was first: add to what is there now, unless that has taken the same numbers.
+        seen = how["segments"]
+        number, how = _state(spark, folder, name)
+        added = [s for s in how["segments"] if s not in seen]
+        if added:
+            _refuse_stored(
+                load_table(spark, f"{segment}/content"), load_table(spark, *[f"{s}/content" for s in added]))
+    return open_reference(spark, folder, name)
+
+
+def _refuse_stored(sequences: DataFrame, content: DataFrame) -> None:
+    there = content.select("ref_id").distinct()
+    both = sequences.select("ref_id").distinct().join(there, "ref_id", "left_semi").take(3)
+    if both:
+        raise ValueError(f"already stored: ref_id {', '.join(str(r['ref_id']) for r in both)}")
+
+
+def compact_reference(spark: SparkSession, folder: str, name: str) -> Reference:
+    """Merge the segments of a reference into one and open it.
+
+    Stored lists and blocks are moved once, text is not cut into k-mers again. What is added meanwhile stays a
+    segment of its own. The files of the merged segments stay until they are deleted, so searches that
+    use them go on.
+    """
+    number, how = _state(spark, folder, name)
+    if how is None:
+        raise FileNotFoundError(f"no reference {name} in {folder}")
+    merged, path = how["segments"], f"{_root(folder, name)}/segment-{uuid.uuid4().hex}"
+    if len(merged) > 1:
+        content = load_table(spark, *[f"{s}/content" for s in merged]).drop("part")
+        write_content(content, f"{path}/content", how["parts"])
+        index = load_table(spark, *[f"{s}/index" for s in merged]).drop("hash")
+        write_index(index, f"{path}/index", text_tasks(spark, text_size(load_table(spark, f"{path}/content"), "value").chars))
+        hot_keys(list_counts(load_table(spark, f"{path}/index"))).write.parquet(f"{path}/hot")
+        load_table(spark, *[f"{s}/names" for s in merged]).write.parquet(f"{path}/names")
+        while True:
+            later = [s for s in how["segments"] if s not in merged]
+            if len(later) + len(merged) != len(how["segments"]):
+                raise RuntimeError(f"{name} was replaced while its segments were merged")
+            if _publish(spark, folder, name, number + 1, how | {"segments": [path, *later]}):
+                break
+            number, how = _state(spark, folder, name)
     return open_reference(spark, folder, name)
 
 

@@ -75,7 +75,7 @@ def find_candidates_indexed(
     keys, bound = query_keys(queries, reference.k), (size or text_size(queries)).chars
     few = options.may_broadcast(rows_fit(bound, reference.k + 24))
     seeds = seed_hits(
-        keys, reference.entries_for(keys, few), broadcast_keys=few, screen=False, hot=reference.hot
+        keys, reference.entries_for(keys, few), broadcast_keys=few, screen=not few, hot=reference.hot
     )
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
