@@ -22,13 +22,14 @@ def bitmap_bits(keys: int) -> int | None:
 def key_bitmap(keys: DataFrame, bits: int, key: str = "seq") -> DataFrame:
     """``(_page, _bits)``: a bitmap of the hashes of ``keys``, of at most ``bits / 32768`` rows."""
     place = F.pmod(F.xxhash64(key), F.lit(bits))
+    none = keys.sparkSession.range(bits >> 6).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_mask"))
     words = keys.select(
         F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("_mask"),
-    ).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    ).unionByName(none).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    # Every page has all of its 512 numbers, in order.
     pages = words.groupBy(F.shiftright("_word", PAGE_BITS - 6).alias("_page")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("_word") % 512).cast("int").alias("at"), "_mask"))).alias("_set"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("_set", i), F.lit(0).cast("long")))
-    return pages.select("_page", every.alias("_bits"))
+        F.array_sort(F.collect_list(F.struct("_word", "_mask"))).alias("_all"))
+    return pages.select("_page", F.transform("_all", lambda w: w["_mask"]).alias("_bits"))
 
 
 def likely_in(rows: DataFrame, pages: DataFrame, bits: int, key: str = "seq") -> DataFrame:
