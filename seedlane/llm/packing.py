@@ -15,6 +15,7 @@ long window, or as many shorter ones as have its length.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -40,11 +41,16 @@ ROWS_PER_STEP = 64
 class Encoder:
     """Token ids of texts. ``tokenizers`` defines them; the faster library has the same vocabulary.
 
-    It gives up on very long runs of white space, which then go to ``tokenizers``.
+    It gives up on very long runs of white space, which then go to ``tokenizers``. So do texts that spell out one of the
+    vocabulary's added tokens, such as that for the end of a text, if these are to be ``added``; they are
+    ordinary text otherwise.
     """
 
-    def __init__(self, vocabulary: str, ranks: str, pattern: str) -> None:
-        self.vocabulary, self._slow = vocabulary, None
+    def __init__(self, vocabulary: str, ranks: str, pattern: str, added: bool = False) -> None:
+        self.vocabulary, self._slow, self.added = vocabulary, None, []
+        if added:
+            with open(vocabulary, encoding="utf-8") as held:
+                self.added = [t["content"] for t in json.load(held).get("added_tokens", [])]
         with open(ranks, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self._fast = tiktoken.Encoding(
@@ -53,6 +59,8 @@ class Encoder:
         )
 
     def __call__(self, text: str) -> np.ndarray:
+        if any(token in text for token in self.added):
+            return self.exact(text)
         try:
             return self._fast.encode_to_numpy(text, disallowed_special=())
         except ValueError:
@@ -61,13 +69,15 @@ class Encoder:
     def exact(self, text: str) -> np.ndarray:
         if self._slow is None:
             self._slow = Tokenizer.from_file(self.vocabulary)
-            self._slow.encode_special_tokens = True
+            self._slow.encode_special_tokens = not self.added
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def public_encoder(vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> Encoder:
+def public_encoder(
+    vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", added: bool = False
+) -> Encoder:
     return Encoder(
-        public_tokenizers.path(vocabulary), public_tokenizers.path(ranks), public_tokenizers.PATTERN
+        public_tokenizers.path(vocabulary), public_tokenizers.path(ranks), public_tokenizers.PATTERN, added
     )
 
 
@@ -188,7 +198,7 @@ def pack_documents(
     ``offset`` (place in the sequence), ``tier`` (the sequence's full length), ``step`` (its step group)
     and, unless ``with_ids`` is off, ``ids``.
 
-    A null or empty text is its end id alone. Repeated rows are packed once each; ids may be null, and
+    A null or empty text is its end id alone; bytes that are no valid UTF-8 count as replacement characters. Repeated rows are packed once each; ids may be null, and
     other columns are ignored. An empty table gives no rows. Sequence and step numbers begin anew above
     each task's number, so a repeated task gives the same ones.
     """
@@ -200,7 +210,7 @@ def pack_documents(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, deal = public_encoder(vocabulary, ranks), Packer(tiers), Steps(tiers)
+        encode, packer, deal = public_encoder(vocabulary, ranks, added=True), Packer(tiers), Steps(tiers)
         base, number = TaskContext.get().partitionId() << 40, 0
 
         def closed() -> Iterator[pa.RecordBatch]:
@@ -236,10 +246,10 @@ def pack_documents(
                 fields = [batch.schema.field(0), *(pa.field(n, long) for n in names[1:7]),
                           pa.field("tier", pa.int32()), pa.field("step", long)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(text.decode()), np.uint32(END_ID))
+                ids = np.append(encode(text.decode(errors="replace")), np.uint32(END_ID))
                 packer.add((doc_id, len(ids)), ids)
-            if len(packer.sequences) >= 500:
-                yield from closed()
+                if len(packer.sequences) >= 500:
+                    yield from closed()
         packer.pack(last=True)
         yield from closed()
 
