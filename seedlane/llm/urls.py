@@ -60,8 +60,8 @@ def judge_urls(
     kind = pages.schema[id].dataType.simpleString()
     parsed = pages.select(
         F.col(id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"),
-        # Spreads the pages of one key over the ranges cut at it.
-        F.rand(7).alias("spot"),
+        # Spreads the pages of one key over the ranges cut at it; the same for a task that is repeated.
+        (F.pmod(F.xxhash64(id, url), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("spot"),
     ).withColumn("key", host_key(F.col("host")))
     laws = rules.select(
         F.col("verdict"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")
