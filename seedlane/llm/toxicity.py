@@ -320,7 +320,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}
         for batch in as_frame_stream(batches, 1000):
-            keys = [model.counted((t.as_py() or "").encode()) for t in batch.column(at)]
+            keys = [model.counted(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
             if len(seen) >= MEMORY:
                 seen.clear()
             new = [k for k in dict.fromkeys(keys) if k not in seen]
