@@ -81,3 +81,16 @@ def test_steps_hold_the_same_tokens():
         held[deal(tier)] += tier
     full = [n for step, n in sorted(held.items())][:-2]
     assert all(n >= (ROWS_PER_STEP - 2) * 1024 for n in full) and max(full) <= ROWS_PER_STEP * 1024
+
+
+def test_ids_by_the_plain_call(spark):
+    """Also where an added token is spelled out, and where a text is no valid UTF-8."""
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [b"<|endoftext|> x", b"a<|endoftext|><|endoftext|>", b"<|endoftext", b"bad \xff\xfe bytes \xe2\x82", b"", b"x" * 3000 + b"<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) AS text")
+    got = defaultdict(list)
+    for r in sorted(pack_documents(df).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] += r.ids
+    for n, text in enumerate(texts):
+        assert got[n] == plain.encode(text.decode(errors="replace"), add_special_tokens=False).ids + [0]
+    assert 50256 in got[0]
