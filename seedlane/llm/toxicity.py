@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over the words and beginnings of words whose presence depends on the label among
-a bounded sample of labelled texts (chi-square, in either direction); document frequencies are those of the
-whole corpus. Every text also has one background term of fixed weight, so that the cosine sees how much of
-these terms a text has and not only which ones. All examples are compared with every text, so the neighbours
-are exact: terms that many examples have are columns of a matrix, with which the vectors of many texts are
-multiplied at once, and the others are postings that are added to the products. The neighbours vote with
-weights that fall with distance; an isotonic curve over left-out examples turns votes into probabilities.
+Examples are a bounded sample of labelled texts. Texts are TF-IDF vectors over all their words and beginnings of
+words that any example has; document frequencies are those of the whole corpus. A term's inverse document frequency
+is multiplied by a factor that rises with how surely the term depends on the label; no term is left out.
+
+The nearest examples by cosine are exact and found with a block-max inverted index: examples are ordered so
+that like ones follow each other and cut into blocks, and every frequent term has its largest weight in each block. The short
+lists of the other terms are added up first; a block is only completed, for those of many texts at once whose
+bound there reaches the last of their nearest examples so far. The neighbours vote with weights that fall with
+distance; an isotonic curve over left-out examples turns votes into probabilities.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -24,20 +26,28 @@ from pyspark.sql import functions as F
 from seedlane.llm.common import as_frame_stream, raw_text
 from seedlane.llm.labelled import labelled_sample
 
-# Labelled texts that are looked at, and terms kept of them.
-SAMPLE, TERMS = 20_000, 50_000
+# Labelled texts that are examples.
+SAMPLE = 20_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
-# Beginnings of words that are terms, in bytes.
-PREFIXES = (4, 5, 6, 7, 8)
-BACKGROUND = 10.0
-# Terms that one example in so many has are columns of a matrix; texts multiplied with it at once.
-COMMON, TOGETHER = 32, 64
-# Texts whose result a task remembers by their terms.
+# Length in bytes of the beginnings of words that are terms.
+HEAD = 5
+# Examples of a block; terms that one example in so many has are kept by block; texts searched together.
+BLOCK, COMMON, TOGETHER = 64, 20, 64
+# Postings that are added up at once.
+POSTINGS = 1 << 20
+# What sums in single precision may be off.
+SLACK = 1e-5
+# By how much more a term weighs that is certain for the rarer label than one that tells nothing, and deviations
+# from chance that still tell nothing.
+GAIN, CHANCE = 4.0, 2.0
+# Texts whose result a task remembers by their hashes.
 MEMORY = 100_000
 
 _SPACES = bytes(32 if i < 0x80 and not chr(i).isalnum() else i for i in range(256))
 
+Counts = tuple[np.ndarray, np.ndarray]
+
 
 def words_of(text: bytes) -> list[bytes]:
     """Runs of ASCII letters, digits and bytes of other characters, A-Z in lower case."""
@@ -47,110 +57,160 @@ def words_of(text: bytes) -> list[bytes]:
 def terms_of(words: Iterable[bytes]) -> set[bytes]:
     """The words and, each with a mark, their beginnings."""
     found = set(words)
-    return found.union(b"^" + w[:k] for w in found for k in PREFIXES if len(w) > k)
-
-
-class Example(NamedTuple):
-    doc_id: int
-    label: int
-    terms: tuple[int, ...]
-    counts: tuple[int, ...]
-
-
-class ExampleIndex:
-    """Exact nearest examples by cosine."""
-
-    def __init__(self, examples: list[Example], idf: np.ndarray) -> None:
-        self.idf = np.append(idf, BACKGROUND)
-        self.ids = np.array([e.doc_id for e in examples], np.int64)
-        self.labels = np.array([e.label for e in examples], np.int8)
-        vectors = [self.vector(e.terms, e.counts) for e in examples]
-        term = np.array([t for e in examples for t in e.terms], np.int64)
-        who = np.repeat(np.arange(len(examples)), [len(e.terms) for e in examples])
-        weight = np.concatenate(vectors) if vectors else np.zeros(0)
-        size = np.bincount(term, minlength=len(self.idf))
-        # Columns are fewer than COMMON times the terms of an example.
-        common = np.flatnonzero((size > 0) & (size * COMMON >= len(examples)))
-        self.column = np.full(len(self.idf), -1, np.int64)
+    return found.union(b"^" + w[:HEAD] for w in found if len(w) > HEAD)
+
+
+class BlockMaxIndex:
+    """Exact nearest examples by cosine.
+
+    Example ``i`` has the terms and counts from ``starts[i]`` on; ``weight`` has a number for each term. Only
+    these are pickled, the lists are built where they are needed.
+    """
+
+    def __init__(
+        self, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray
+    ) -> None:
+        self.ids, self.labels, self.starts, self.terms, self.counts, self.weight = ids, labels, starts, terms, counts, weight
+        self._build()
+
+    def __getstate__(self):
+        return self.ids, self.labels, self.starts, self.terms, self.counts, self.weight
+
+    def __setstate__(self, state) -> None:
+        self.__init__(*state)
+
+    def _build(self) -> None:
+        n, size = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
+        who = np.repeat(np.arange(n), np.diff(self.starts))
+        weights = (1 + np.log(self.counts)) * self.weight[self.terms]
+        length = np.sqrt(np.bincount(who, weights**2, minlength=n))
+        self.own = weights / np.maximum(length, 1e-300)[who]
+        # Their number is at most COMMON times the terms of an example.
+        common = np.flatnonzero((size > 0) & (size * COMMON >= n))
+        self.column = np.full(len(self.weight), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        column = self.column[term]
-        dense = column >= 0
-        self.matrix = np.zeros((len(common), len(examples)))
-        self.matrix[column[dense], who[dense]] = weight[dense]
-        term, who, weight = term[~dense], who[~dense], weight[~dense]
-        by = np.lexsort((who, term))
-        self.post_example, self.post_weight = who[by], weight[by]
-        self.post_start = np.searchsorted(term[by], np.arange(len(self.idf) + 1))
-
-    def vector(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> np.ndarray:
-        """Unit weights of the terms; the background term is the last number."""
-        weights = (1 + np.log(np.array(counts, float))) * self.idf[list(terms)]
-        return weights / np.sqrt((weights**2).sum())
+        column = self.column[self.terms]
+        kept = column >= 0
+        blocks = -(-n // BLOCK)
+        matrix = np.zeros((blocks * BLOCK, len(common)), np.float32)
+        matrix[who[kept], column[kept]] = self.own[kept]
+        # Examples next to those that are nearest to the same of some examples.
+        seeds = matrix[np.unique(np.linspace(0, n - 1, 64).astype(int))] if n else matrix
+        self.order = np.argsort((matrix[:n] @ seeds.T).argmax(1), kind="stable") if n else np.zeros(0, np.int64)
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        matrix[:n] = matrix[self.order]
+        self.matrix = matrix.reshape(blocks, BLOCK, len(common))
+        self.block_max = self.matrix.max(axis=1)
+        rare = np.flatnonzero(~kept)
+        by = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.post_place, self.post_weight = place[who[by]].astype(np.int32), self.own[by].astype(np.float32)
+        self.post_start = np.searchsorted(self.terms[by], np.arange(len(self.weight) + 1))
+        self._asked = np.zeros(len(self.weight))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of different terms, of length one."""
+        weights = (1 + np.log(counts)) * self.weight[terms]
+        return weights / max(np.sqrt((weights**2).sum()), 1e-300)
 
     def nearest_each(
-        self, texts: list[tuple[tuple[int, ...], tuple[int, ...]]], k: int, but: list[int | None] | None = None
+        self, texts: list[Counts], k: int, but: list[int | None] | None = None
     ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers and cosines of the nearest examples that share a term, nearest first, ties by number.
 
-        For each of ``texts``, given by terms and counts; ``but`` has an id for each whose example is left out.
+        For each of ``texts``, given by terms and counts; ``but`` has an id for each whose examples are left out.
         """
         for start in range(0, len(texts), TOGETHER):
-            part = texts[start:start + TOGETHER]
-            vectors = [self.vector(*t) for t in part]
-            columns = [self.column[list(terms)] for terms, _ in part]
-            asked = np.zeros((len(part), len(self.matrix)))
-            for row, (column, weights) in enumerate(zip(columns, vectors)):
-                asked[row, column[column >= 0]] = weights[column >= 0]
-            products = asked @ self.matrix
-            for row, (terms, _) in enumerate(part):
-                sums = products[row]
-                for place in np.flatnonzero(columns[row] < 0):
-                    own = slice(self.post_start[terms[place]], self.post_start[terms[place] + 1])
-                    sums[self.post_example[own]] += vectors[row][place] * self.post_weight[own]
-                if but is not None and but[start + row] is not None:
-                    sums[self.ids == but[start + row]] = 0
-                least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
-                near = np.flatnonzero((sums >= least - 1e-11) & (sums > 0))
-                # Rounded, so that equal vectors tie whatever the order of their sums.
-                score = np.round(sums[near], 12)
-                top = np.lexsort((near, -score))[:k]
-                yield near[top], score[top]
-
-    def nearest(self, terms: tuple[int, ...], counts: tuple[int, ...], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+            end = start + TOGETHER
+            yield from self._nearest(texts[start:end], k, but[start:end] if but else [])
+
+    def _nearest(self, texts: list[Counts], k: int, but: list[int | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        blocks, _, columns = self.matrix.shape
+        vectors = [self.vector(*t) for t in texts]
+        asked = np.zeros((len(texts), columns), np.float32)
+        sums = np.zeros((len(texts), blocks, BLOCK), np.float32)
+        for row, ((terms, _), weights) in enumerate(zip(texts, vectors)):
+            column = self.column[terms]
+            kept = column >= 0
+            asked[row, column[kept]] = weights[kept]
+            self._add_lists(sums[row].reshape(-1), terms[~kept], weights[~kept])
+        bound = sums.max(axis=2) + asked @ self.block_max.T
+        for row, id in enumerate(but):
+            if id is not None:
+                sums[row].reshape(-1)[np.flatnonzero(self.ids[self.order] == id)] = -10
+        best_first = -np.sort(-bound, axis=1)
+        done, least = np.zeros(bound.shape, bool), np.zeros(len(texts), np.float32)
+        # The most promising blocks tell which of the others can be skipped.
+        for ahead in (2, 8, blocks):
+            need = ~done & (bound > 0) & (bound >= least[:, None] - SLACK)
+            if ahead < blocks:
+                need &= bound >= best_first[:, ahead - 1:ahead]
+            for block in np.flatnonzero(need.any(axis=0)):
+                rows = np.flatnonzero(need[:, block])
+                sums[rows, block] += asked[rows] @ self.matrix[block].T
+            done |= need
+            for row in np.flatnonzero(need.any(axis=1)):
+                known = sums[row][done[row]].reshape(-1)
+                if len(known) > k:
+                    least[row] = max(0, np.partition(known, -k)[-k])
+        for row, ((terms, _), weights) in enumerate(zip(texts, vectors)):
+            whole = np.flatnonzero(done[row])
+            at, offset = np.nonzero((sums[row, whole] >= least[row] - SLACK) & (sums[row, whole] > 0))
+            near = np.sort(self.order[whole[at] * BLOCK + offset])
+            score = self._cosines(near, terms, weights)
+            top = np.lexsort((near, -score))[:k]
+            yield near[top], score[top]
+
+    def _add_lists(self, sums: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Adds the products of a text's infrequent terms, by place."""
+        start, end = self.post_start[terms], self.post_start[terms + 1]
+        part = np.cumsum(end - start) // POSTINGS
+        for cut in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(part)) + 1):
+            runs = [slice(a, b) for a, b in zip(start[cut].tolist(), end[cut].tolist())]
+            if runs:
+                product = np.concatenate([self.post_weight[r] for r in runs]) * np.repeat(weights[cut], end[cut] - start[cut])
+                sums += np.bincount(np.concatenate([self.post_place[r] for r in runs]), product, minlength=len(sums))
+
+    def _cosines(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines with some examples in double precision, rounded so that equal vectors tie."""
+        if not len(numbers):
+            return np.zeros(0)
+        self._asked[terms] = weights
+        runs = [slice(a, b) for a, b in zip(self.starts[numbers].tolist(), self.starts[numbers + 1].tolist())]
+        product = np.concatenate([self._asked[self.terms[r]] * self.own[r] for r in runs])
+        self._asked[terms] = 0
+        return np.round(np.add.reduceat(product, np.cumsum([0, *(r.stop - r.start for r in runs[:-1])])), 12)
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples of one text."""
         return next(self.nearest_each([(terms, counts)], k, [but]))
 
 
-# As it was called while it had bounds per block.
-BlockMaxIndex = ExampleIndex
-
-
 class ToxicityModel(NamedTuple):
-    """A fitted model: the terms' numbers, the shortest beginnings among them, the index, the calibration curve and the rate without evidence."""
+    """A fitted model: the terms' numbers, in how many examples they are, the index, the calibration curve and the rate without evidence."""
 
     numbers: dict[bytes, int]
-    heads: frozenset[bytes]
-    index: ExampleIndex | None
+    examples: np.ndarray
+    index: BlockMaxIndex | None
     votes: np.ndarray
     rates: np.ndarray
     no_evidence: float
 
-    def counted(self, text: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Numbers and counts of the known terms of a text, the background term included."""
-        numbers, heads, counts = self.numbers, self.heads, Counter()
+    def counted(self, text: bytes) -> Counts:
+        """Numbers and counts of the terms of a text that any example has, in order."""
+        number, found = self.numbers.get, {}
         for word, n in Counter(words_of(text)).items():
-            if word in numbers:
-                counts[numbers[word]] += n
-            if word[:PREFIXES[0]] in heads:
-                for k in PREFIXES:
-                    if len(word) > k and (number := numbers.get(b"^" + word[:k])) is not None:
-                        counts[number] += n
-        counts[len(numbers)] = 1
-        pairs = sorted(counts.items())
-        return tuple(t for t, _ in pairs), tuple(n for _, n in pairs)
+            if (at := number(word)) is not None:
+                found[at] = found.get(at, 0) + n
+            if len(word) > HEAD and (at := number(b"^" + word[:HEAD])) is not None:
+                found[at] = found.get(at, 0) + n
+        terms = np.fromiter(found, np.int64, len(found))
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        by = np.argsort(terms)
+        return terms[by], counts[by]
 
     def votes_of(
-        self, texts: list[tuple[tuple[int, ...], tuple[int, ...]]], but: list[int | None] | None = None
+        self, texts: list[Counts], but: list[int | None] | None = None
     ) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
         """The neighbours' weighted share of label 1, or None without neighbours, and these, for each of ``texts``."""
         if self.index is None:
@@ -163,6 +223,18 @@ class ToxicityModel(NamedTuple):
     def probability(self, vote: float | None) -> float:
         return self.no_evidence if vote is None else float(np.interp(vote, self.votes, self.rates))
 
+    def judged(self, texts: list[bytes], seen: dict) -> list[tuple[float, list[dict]]]:
+        """Probability and the three nearest examples of each text; ``seen`` remembers those of equal texts."""
+        if len(seen) >= MEMORY:
+            seen.clear()
+        keys = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts) if k not in seen}
+        for key, (vote, best, cosine) in zip(new, self.votes_of([self.counted(t) for t in new.values()])):
+            near = [{"doc_id": int(self.index.ids[b]), "cosine": float(c), "label": int(self.index.labels[b])}
+                    for b, c in zip(best[:3], cosine[:3])]
+            seen[key] = self.probability(vote), near
+        return [seen[k] for k in keys]
+
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best rising curve through the labels by vote, as points to interpolate."""
@@ -178,12 +250,24 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array(x or [0.0]), np.maximum.accumulate(np.array(y or [0.0]))
 
 
-def _heads(terms: list[bytes]) -> frozenset[bytes]:
-    return frozenset(t[1:1 + PREFIXES[0]] for t in terms if t[:1] == b"^")
+def term_weights(idf: np.ndarray, n: np.ndarray, toxic: np.ndarray, examples: int, all_toxic: int) -> np.ndarray:
+    """``idf`` times a factor that is 1 for terms that do not depend on the label.
+
+    ``n`` and ``toxic`` say in how many examples, and in how many toxic ones, a term is. What counts is by how
+    many standard deviations beyond ``CHANCE`` the latter is off, squared and per example, as a share of what it is for a
+    term that only the rarer label has, so that it does not depend on how rare that is; terms of fewer than
+    three examples tell nothing.
+    """
+    rate = all_toxic / max(1, examples)
+    if not 0 < rate < 1:
+        return idf
+    deviation = np.abs(toxic - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
+    certain = max(rate, 1 - rate) / min(rate, 1 - rate)
+    return idf * (1 + GAIN / certain * np.where(n >= 3, np.maximum(0, deviation - CHANCE) ** 2 / np.maximum(n, 1), 0))
 
 
-def _term_table(sample: DataFrame, most: int) -> list[bytes]:
-    """Terms that depend on the label, by chi-square beyond what chance gives among as many terms."""
+def _term_table(sample: DataFrame) -> pa.Table:
+    """``(term, n, toxic)``: every term of the examples, and in how many of them and of the toxic ones it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,86 +281,87 @@ def _term_table(sample: DataFrame, most: int) -> list[bytes]:
                 [pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()),
                  pa.array([toxic[t] for t in every], pa.int64())], ["term", "n", "toxic"])
 
-    counts = (
+    return (
         sample.select(raw_text().alias("text"), "label").mapInArrow(run, "term binary, n long, toxic long")
-        .groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("toxic").cast("double").alias("toxic"))
-        .filter("n >= 2")
+        .groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow().sort_by("term")
     )
-    sums = sample.agg(F.count("*").alias("all"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    tested = counts.count()
-    a, t, n = float(sums["all"]), float(sums["toxic"]), F.col("n")
-    if not tested or not 0 < t < a:
-        return []
-    difference = F.col("toxic") * (a - n - (t - F.col("toxic"))) - (n - F.col("toxic")) * (t - F.col("toxic"))
-    chi = a * difference * difference / (n * (a - n) * t * (a - t))
-    kept = counts.filter(n < a).withColumn("chi", chi).filter(F.col("chi") >= 2 * math.log(tested) + 2)
-    return [bytes(r["term"]) for r in kept.orderBy(F.desc("chi"), "term").limit(most).collect()]
-
-
-def _document_frequency(docs: DataFrame, terms: list[bytes], text: str) -> tuple[np.ndarray, int]:
+
+
+def _document_frequency(docs: DataFrame, model: ToxicityModel, text: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and how many documents there are."""
-    numbers = {t: i for i, t in enumerate(terms)}
-    shared = docs.sparkSession.sparkContext.broadcast(
-        ToxicityModel(numbers, _heads(terms), None, np.zeros(1), np.zeros(1), 0.0)
-    )
+    size = len(model.numbers)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts, rows = shared.value, Counter(), 0
+        model, counts = shared.value, np.zeros(size + 1, np.int64)
         for batch in batches:
-            rows += batch.num_rows
+            counts[size] += batch.num_rows
             for text in batch.column(0):
-                counts.update(model.counted(text.as_py())[0])
-        counts.pop(len(model.numbers), None)
-        found = [(-1, rows), *counts.items()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], ["term", "n"])
+                counts[model.counted(text.as_py())[0]] += 1
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])], ["term", "n"])
 
-    counted = docs.select(raw_text(text).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    frequency = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist()))
-    return np.array([frequency.get(i, 0) for i in range(len(terms))], float), frequency.get(-1, 0)
+    counted = (
+        docs.select(raw_text(text).alias("text")).mapInArrow(run, "term long, n long")
+        .groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    )
+    frequency = np.zeros(size + 1)
+    frequency[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    return frequency[:size], int(frequency[size])
 
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: F.Column | None = None,
-    id: str = "doc_id", text: str = "text", rows: int = SAMPLE, terms: int = TERMS,
+    id: str = "doc_id", text: str = "text", rows: int = SAMPLE,
 ) -> ToxicityModel:
-    """A model of at most ``rows`` labelled texts among the ``usable`` ids, with ``terms`` terms at most.
+    """A model of at most ``rows`` labelled texts among the ``usable`` ids.
 
-    What the driver holds is bounded by these two. Without labelled texts of both kinds there are no
-    terms, and every score is the share of label 1.
+    What the driver and each task hold are these texts' vectors. Without labelled texts every score is 0; a null
+    label, id or text, repeated rows and other columns are as in ``labelled_sample``. An empty table gives such a model.
     """
+    spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, F.lit(True) if usable is None else usable, rows, id, text)
-    kept = _term_table(sample, terms)
-    frequency, total = _document_frequency(docs, kept, text)
-    idf = np.log((1 + total) / (1 + frequency)) + 0.01
-    bare = ToxicityModel({t: i for i, t in enumerate(kept)}, _heads(kept), None, np.zeros(1), np.zeros(1), 0.0)
+    found = _term_table(sample)
+    n, toxic = found["n"].to_numpy().astype(float), found["toxic"].to_numpy().astype(float)
+    bare = ToxicityModel(
+        {t: i for i, t in enumerate(found["term"].to_pylist())}, n.astype(np.int32), None, np.zeros(1), np.zeros(1), 0.0)
+    del found
+    frequency, total = _document_frequency(docs, bare, text)
     source = sample.select("doc_id", "label", raw_text().alias("text"))
-    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bare)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.counted(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(t) for t, _ in found], pa.list_(pa.int32())),
-                 pa.array([list(n) for _, n in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "counts"])
-
-    held = source.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    every = [Example(d, y, tuple(t), tuple(n)) for d, y, t, n in zip(*(held[c].to_pylist() for c in held.column_names))]
-    share = sum(e.label for e in every) / max(1, len(every))
-    model = bare._replace(index=ExampleIndex(every, idf) if every else None, no_evidence=share)
+                [batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())),
+                 pa.array([c for _, c in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "counts"])
+
+    held = source.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow()
+    held = held.sort_by([("doc_id", "ascending")]).combine_chunks()
+    if not held.num_rows:
+        return bare
+    y = held["label"].to_numpy().astype(np.int8)
+    flat = [held[c].combine_chunks() for c in ("terms", "counts")]
+    terms, counts = (a.flatten().to_numpy(zero_copy_only=False) for a in flat)
+    starts = np.r_[0, np.cumsum(flat[0].value_lengths().to_numpy())]
+    weight = term_weights(np.log((1 + total) / (1 + frequency)) + 0.01, n, toxic, len(y), int(y.sum()))
+    index = BlockMaxIndex(held["doc_id"].to_numpy(), y, starts, terms, counts, weight)
+    model = bare._replace(index=index, no_evidence=float(y.mean()))
     tuned = spark.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            model = tuned.value
+        model = tuned.value
+        for batch in as_frame_stream(batches, 256):
             texts = [model.counted(t.as_py()) for t in batch.column(2)]
+            # What no other example has would be unknown without this one.
+            texts = [(t[shared], c[shared]) for t, c in texts for shared in [model.examples[t] > 1]]
             votes = [v for v, _, _ in model.votes_of(texts, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1)], ["vote", "label"])
 
     votes = source.mapInArrow(left_out, "vote double, label int").filter("vote IS NOT NULL").toArrow()
-    x, y = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy())
-    return model._replace(votes=x, rates=y)
+    x, rates = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy())
+    return model._replace(votes=x, rates=rates)
 
 
 def score_toxicity(
@@ -284,49 +369,40 @@ def score_toxicity(
 ) -> DataFrame:
     """``(doc_id, score, predicted, evidence)`` for every whole text; ``evidence`` are its three nearest examples.
 
-    A null or empty text has just the background term, like any without known terms: its neighbours are
-    examples of that kind. Without any examples every score is 0. Null ids and repeated rows are scored like others; other columns are ignored.
+    A text that shares no term with any example, null and empty ones among them, has no evidence and scores the
+    examples' share of label 1. Without any examples every score is 0. Null ids and repeated rows are scored like
+    others; other columns are ignored; an empty table gives no rows.
     """
     kept = docs.select(F.col(id).alias("doc_id"), raw_text(text).alias("text"))
     kind = kept.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = shared.value, {}
-        ids, labels = (model.index.ids, model.index.labels) if model.index else (None, None)
-        evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-        for batch in batches:
-            keys = [model.counted(t.as_py()) for t in batch.column(1)]
-            if len(seen) >= MEMORY:
-                seen.clear()
-            new = [k for k in dict.fromkeys(keys) if k not in seen]
-            for key, (vote, best, cosine) in zip(new, model.votes_of(new)):
-                near = [{"doc_id": int(ids[b]), "cosine": float(c), "label": int(labels[b])} for b, c in zip(best[:3], cosine[:3])]
-                seen[key] = model.probability(vote), near
-            scores, evidence = [seen[k][0] for k in keys], [seen[k][1] for k in keys]
+        seen: dict = {}
+        for batch in as_frame_stream(batches, 1000):
+            found = shared.value.judged(batch.column(1).to_pylist(), seen)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
-                 pa.array(evidence, evidence_type)], ["doc_id", "score", "predicted", "evidence"])
+                [batch.column(0), pa.array([s for s, _ in found], pa.float64()),
+                 pa.array([int(s >= threshold) for s, _ in found], pa.int32()),
+                 pa.array([e for _, e in found], evidence_type)], ["doc_id", "score", "predicted", "evidence"])
 
     return kept.mapInArrow(
         run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, label: int>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text scores below ``threshold``, columns as they are."""
+    """The rows whose text scores below ``threshold``, columns and repeated rows as they are.
+
+    Null and empty texts score as in ``score_toxicity``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = shared.value, {}
+        seen: dict = {}
         for batch in as_frame_stream(batches, 1000):
-            keys = [model.counted(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
-            if len(seen) >= MEMORY:
-                seen.clear()
-            new = [k for k in dict.fromkeys(keys) if k not in seen]
-            for key, (vote, _, _) in zip(new, model.votes_of(new)):
-                seen[key] = model.probability(vote) < threshold
-            kept = [seen[k] for k in keys]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array([s < threshold for s, _ in shared.value.judged(texts, seen)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

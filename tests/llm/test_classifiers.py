@@ -1,3 +1,5 @@
+import math
+import pickle
 import random
 
 import numpy as np
@@ -42,52 +44,122 @@ def test_toxicity_on_held_out_texts(spark):
     assert kept == {r.doc_id for r in X.score_toxicity(docs, model).collect() if not r.predicted}
 
 
+def made_index(draw, examples, chance, counts=4):
+    """An index of random examples, and their vectors by brute force."""
+    terms = [np.flatnonzero(draw.random(len(chance)) < chance) for _ in range(examples)]
+    numbers = [draw.integers(1, counts, len(t)) for t in terms]
+    weight = draw.uniform(0.1, 5, len(chance))
+    index = X.BlockMaxIndex(
+        np.arange(examples) * 2, draw.integers(0, 2, examples), np.r_[0, np.cumsum([len(t) for t in terms])],
+        np.concatenate(terms).astype(np.int32), np.concatenate(numbers).astype(np.int32), weight)
+    dense = np.zeros((examples, len(chance)))
+    for row, (t, n) in enumerate(zip(terms, numbers)):
+        dense[row, t] = (1 + np.log(n)) * weight[t]
+    return index, dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300), list(zip(terms, numbers))
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_nearest_examples_are_exact(seed):
+def test_nearest_examples_are_exact(seed, monkeypatch):
+    """Frequent and rare terms, examples without any, many ties, postings in several parts."""
+    monkeypatch.setattr(X, "TOGETHER", 7)
+    monkeypatch.setattr(X, "POSTINGS", 50)
     draw = np.random.default_rng(seed)
-    idf = draw.uniform(0.1, 5, 30)
-    examples = []
-    for i in range(700):
-        terms = np.sort(draw.choice(30, draw.integers(0, 6), replace=False)).tolist()
-        examples.append(X.Example(i, int(draw.integers(2)), (*terms, 30), (*draw.integers(1, 4, len(terms)).tolist(), 1)))
-    index = X.BlockMaxIndex(examples, idf)
-    dense = np.zeros((700, 31))
-    for e in examples:
-        dense[e.doc_id, list(e.terms)] = index.vector(e.terms, e.counts)
-    for e in examples[::37]:
-        for but in (None, e.doc_id):
-            cosine = np.round(dense @ dense[e.doc_id], 12)[index.ids]
+    chance = [np.r_[np.full(4, 0.5), np.full(300, 0.01)], np.full(30, 0.05), np.full(400, 0.01), np.full(60, 0.4)][seed]
+    index, dense, texts = made_index(draw, 700, chance, counts=2 if seed == 1 else 4)
+    assert (index.column >= 0).sum() == [4, 30, 0, 60][seed] or seed in (1, 2)
+    for but in (None, index.ids.tolist()):
+        for i, (best, score) in enumerate(index.nearest_each(texts, 15, but)):
+            cosine = np.round(dense @ dense[i], 12)
             if but is not None:
-                cosine[index.ids == but] = -1
-            wanted = np.lexsort((np.arange(700), -cosine))[:15]
-            best, score = index.nearest(e.terms, e.counts, 15, but)
+                cosine[i] = -1
+            wanted = np.lexsort((np.arange(700), -np.round(cosine, 9)))[:15]
+            wanted = wanted[cosine[wanted] > 0]
             assert np.allclose(score, cosine[wanted], atol=1e-9)
-            assert set(index.ids[best]) == set(index.ids[wanted]) or score[-1] == pytest.approx(cosine[wanted][-1], abs=1e-9)
-
-
-def test_terms_of_either_direction(spark):
-    """Terms of mixed texts are evidence as well: 4 of 10 with ``often`` are toxic, 1 of 10 of all, none with ``never``."""
-    rows = [(i, f"w{i} {'often' if i % 10 < 2 and i % 5 < 2 or i % 40 == 17 else 'other'} {'never' if i % 3 == 0 and i % 10 else 'x'}", int(i % 10 == 0)) for i in range(2000)]
-    share = [y for _, t, y in rows if " often" in t]
-    assert 0.3 < sum(share) / len(share) < 0.55
-    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    assert {b"often", b"never"} <= set(X._term_table(sample, 100))
-
-
-def test_common_and_rare_terms_of_many_texts(spark, monkeypatch):
-    monkeypatch.setattr(X, "TOGETHER", 7)
-    draw = np.random.default_rng(5)
-    chance, idf = np.r_[np.full(4, 0.6), np.full(200, 0.01)], draw.uniform(0.1, 5, 204)
-    terms = [np.flatnonzero(draw.random(204) < chance).tolist() for _ in range(300)]
-    examples = [X.Example(i, i % 2, (*t, 204), (*draw.integers(1, 4, len(t)).tolist(), 1)) for i, t in enumerate(terms)]
-    index = X.ExampleIndex(examples, idf)
-    assert 0 < len(index.matrix) < 10 and len(index.post_example)
-    dense = np.zeros((300, 205))
-    for e in examples:
-        dense[e.doc_id, list(e.terms)] = index.vector(e.terms, e.counts)
-    for i, (best, score) in enumerate(index.nearest_each([(e.terms, e.counts) for e in examples], 15)):
-        cosine = np.round(dense @ dense[i], 10)
-        assert np.allclose(score, np.sort(cosine)[::-1][:15], atol=1e-9) and np.allclose(cosine[best], score, atol=1e-9)
+            assert np.allclose(cosine[best], score, atol=1e-9) and len(set(best.tolist())) == len(best)
+            assert (np.diff(score) <= 0).all()
+            assert all(x < y for x, y, tied in zip(best, best[1:], np.diff(score) == 0) if tied)
+
+
+def test_blocks_beyond_the_bound_are_skipped(monkeypatch):
+    """Texts of one of eight vocabularies leave the blocks of the others untouched."""
+    draw = np.random.default_rng(2)
+    chance = np.full((8, 40), 0.3)
+    rows = [(np.flatnonzero(draw.random(40) < chance[i % 8]) + 40 * (i % 8)) for i in range(2048)]
+    starts = np.r_[0, np.cumsum([len(t) for t in rows])]
+    monkeypatch.setattr(X, "COMMON", 100)
+    index = X.BlockMaxIndex(np.arange(2048), np.zeros(2048, np.int8), starts, np.concatenate(rows), np.ones(starts[-1], int), np.ones(320))
+    assert index.matrix.shape == (32, 64, 320)
+    possible = (index.block_max[:, :40].max(axis=1) > 0).sum()
+    assert possible <= 8
+    again = pickle.loads(pickle.dumps(index))
+    best, score = again.nearest(rows[0], np.ones(len(rows[0]), int), 15)
+    assert best[0] == 0 and score[0] == 1 and (best % 8 == 0).all()
+
+
+def test_every_score_and_evidence_by_brute_force(spark):
+    """Weights, votes, calibration and evidence of every document against plain TF-IDF."""
+    docs, labels, n = made(spark, insult)
+    docs = docs.unionByName(spark.createDataFrame([(n, None), (n + 1, ""), (n + 2, "!!!"), (n + 3, "qqqq")], docs.schema))
+    model = X.train_toxicity(docs, labels, "label", F.col("doc_id") < 300)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    label = {r.doc_id: r.label for r in labels.collect() if r.doc_id < 300}
+
+    def counts(text):
+        words, found = X.words_of(text), {}
+        for w in words:
+            for t in (w, b"^" + w[:5])[:1 + (len(w) > 5)]:
+                found[t] = found.get(t, 0) + 1
+        return found
+
+    each = {i: counts(t) for i, t in texts.items()}
+    # Equal texts are one example, that of the smallest id.
+    examples = sorted({t: i for i, t in sorted(texts.items(), reverse=True) if i in label}.values())
+    rate = sum(label[i] for i in examples) / len(examples)
+    weight, alone = {}, set()
+    for term in {t for i in examples for t in each[i]}:
+        idf = math.log((1 + len(texts)) / (1 + sum(term in c for c in each.values()))) + 0.01
+        with_it = [label[i] for i in examples if term in each[i]]
+        off = abs(sum(with_it) - len(with_it) * rate) / math.sqrt(len(with_it) * rate * (1 - rate))
+        weight[term] = idf * (1 + (4 * rate / (1 - rate) * max(0, off - 2) ** 2 / len(with_it) if len(with_it) >= 3 else 0))
+        if len(with_it) == 1:
+            alone.add(term)
+
+    def vector(found, but=frozenset()):
+        out = {t: (1 + math.log(c)) * weight[t] for t, c in found.items() if t in weight and t not in but}
+        length = math.sqrt(sum(v * v for v in out.values()))
+        return {t: v / length for t, v in out.items()}
+
+    vectors = {i: vector(each[i]) for i in examples}
+
+    def nearest(own, but=None):
+        found = [(sum(v * own.get(t, 0) for t, v in vectors[i].items()), i) for i in examples if i != but]
+        return sorted((-round(s, 10), i) for s, i in found if s > 0)[:15]
+
+    def vote(near):
+        shares = [(1 / (1.05 + s), label[i]) for s, i in near]
+        return sum(w * y for w, y in shares) / sum(w for w, _ in shares)
+
+    left = [(vote(near), label[i]) for i in examples if (near := nearest(vector(each[i], alone), i))]
+    x, y = X.isotonic(np.round([v for v, _ in left], 9), np.array([l for _, l in left]))
+    got = {r.doc_id: r for r in X.score_toxicity(docs, model).collect()}
+    assert set(got) == set(texts)
+    for i, row in got.items():
+        near = nearest(vector(each[i]))
+        assert [e.cosine for e in row.evidence] == pytest.approx([-s for s, _ in near[:3]], abs=1e-9)
+        assert [(e.doc_id, e.label) for e in row.evidence] == [(j, label[j]) for _, j in near[:3]]
+        assert row.score == pytest.approx(float(np.interp(vote(near), x, y)) if near else rate, abs=1e-6)
+        assert row.predicted == int(row.score >= 0.3)
+    assert [got[n + k].evidence for k in range(4)] == [[]] * 4
+
+
+def test_weights_keep_every_term():
+    """Terms rise in weight with how surely they depend on the label, in either direction; none has weight 0."""
+    n = np.array([1.0, 2, 3, 50, 50, 50, 1000])
+    toxic = np.array([1.0, 2, 3, 50, 5, 0, 100])
+    weight = X.term_weights(np.ones(7), n, toxic, 1000, 100)
+    assert weight[0] == weight[1] == weight[4] == weight[6] == 1
+    assert 1 + X.GAIN > weight[3] > weight[2] > 1 and weight[5] > 1
+    assert (X.term_weights(np.ones(7), n, n, 1000, 1000) == 1).all()
 
 
 def test_quality_on_held_out_texts(spark):
