@@ -14,6 +14,7 @@ distance; an isotonic curve over left-out examples turns votes into probabilitie
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -33,7 +34,7 @@ THRESHOLD = 0.3
 # Length in bytes of the beginnings of words that are terms.
 HEAD = 5
 # Examples of a block; terms that one example in so many has are kept by block; texts searched together.
-BLOCK, COMMON, TOGETHER = 64, 20, 64
+BLOCK, COMMON, TOGETHER = 64, 20, 256
 # Postings that are added up at once.
 POSTINGS = 1 << 20
 # What sums in single precision may be off.
@@ -63,8 +64,8 @@ def terms_of(words: Iterable[bytes]) -> set[bytes]:
 class BlockMaxIndex:
     """Exact nearest examples by cosine.
 
-    Example ``i`` has the terms and counts from ``starts[i]`` on; ``weight`` has a number for each term. Only
-    these are pickled, the lists are built where they are needed.
+    Example ``i`` has the terms, in order, and counts from ``starts[i]`` on; ``weight`` has a number for each term.
+    Only these are pickled, compressed; the lists are built where they are needed.
     """
 
     def __init__(
@@ -73,11 +74,10 @@ class BlockMaxIndex:
         self.ids, self.labels, self.starts, self.terms, self.counts, self.weight = ids, labels, starts, terms, counts, weight
         self._build()
 
-    def __getstate__(self):
-        return self.ids, self.labels, self.starts, self.terms, self.counts, self.weight
-
-    def __setstate__(self, state) -> None:
-        self.__init__(*state)
+    def __reduce__(self):
+        steps = np.diff(self.terms, prepend=np.int32(0)).astype(np.int32)
+        parts = self.ids, self.labels, self.starts, steps, self.counts.astype(np.int32), self.weight
+        return _unpacked, tuple((a.dtype.str, zlib.compress(a.tobytes(), 1)) for a in parts)
 
     def _build(self) -> None:
         n, size = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
@@ -163,33 +163,60 @@ class BlockMaxIndex:
 
     def _add_lists(self, sums: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
         """Adds the products of a text's infrequent terms, by place."""
-        start, end = self.post_start[terms], self.post_start[terms + 1]
-        part = np.cumsum(end - start) // POSTINGS
-        for cut in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(part)) + 1):
-            runs = [slice(a, b) for a, b in zip(start[cut].tolist(), end[cut].tolist())]
-            if runs:
-                product = np.concatenate([self.post_weight[r] for r in runs]) * np.repeat(weights[cut], end[cut] - start[cut])
-                sums += np.bincount(np.concatenate([self.post_place[r] for r in runs]), product, minlength=len(sums))
+        start, size = self.post_start[terms], self.post_start[terms + 1] - self.post_start[terms]
+        before = np.cumsum(size) - size
+        for cut in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(before // POSTINGS)) + 1):
+            if len(cut):
+                at = np.repeat(start[cut] - before[cut], size[cut])
+                at += np.arange(before[cut[0]], before[cut[0]] + len(at))
+                product = self.post_weight[at] * np.repeat(weights[cut].astype(np.float32), size[cut])
+                sums += np.bincount(self.post_place[at], product, minlength=len(sums))
 
     def _cosines(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Cosines with some examples in double precision, rounded so that equal vectors tie."""
         if not len(numbers):
             return np.zeros(0)
         self._asked[terms] = weights
-        runs = [slice(a, b) for a, b in zip(self.starts[numbers].tolist(), self.starts[numbers + 1].tolist())]
-        product = np.concatenate([self._asked[self.terms[r]] * self.own[r] for r in runs])
+        start, size = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        before = np.cumsum(size) - size
+        at = np.repeat(start - before, size) + np.arange(size.sum())
+        product = self._asked[self.terms[at]] * self.own[at]
         self._asked[terms] = 0
-        return np.round(np.add.reduceat(product, np.cumsum([0, *(r.stop - r.start for r in runs[:-1])])), 12)
+        return np.round(np.add.reduceat(product, before), 12)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples of one text."""
         return next(self.nearest_each([(terms, counts)], k, [but]))
 
 
+def _unpacked(*parts: tuple[str, bytes]) -> BlockMaxIndex:
+    ids, labels, starts, steps, counts, weight = (np.frombuffer(zlib.decompress(b), kind) for kind, b in parts)
+    return BlockMaxIndex(ids, labels, starts, np.cumsum(steps, dtype=np.int32), counts, weight)
+
+
+class Numbers(dict):
+    """Numbers of terms from 0 on, ``heads`` those of beginnings without their mark.
+
+    Pickled as compressed text, as terms have no line ends.
+    """
+
+    def __init__(self, pairs: Iterable[tuple[bytes, int]]) -> None:
+        super().__init__(pairs)
+        self.heads = {t[1:]: i for t, i in self.items() if t[:1] == b"^"}
+
+    def __reduce__(self):
+        return _numbers, (zlib.compress(b"\n".join(self), 1),)
+
+
+def _numbers(packed: bytes) -> Numbers:
+    text = zlib.decompress(packed)
+    return Numbers((t, i) for i, t in enumerate(text.split(b"\n") if text else []))
+
+
 class ToxicityModel(NamedTuple):
     """A fitted model: the terms' numbers, in how many examples they are, the index, the calibration curve and the rate without evidence."""
 
-    numbers: dict[bytes, int]
+    numbers: Numbers
     examples: np.ndarray
     index: BlockMaxIndex | None
     votes: np.ndarray
@@ -198,17 +225,27 @@ class ToxicityModel(NamedTuple):
 
     def counted(self, text: bytes) -> Counts:
         """Numbers and counts of the terms of a text that any example has, in order."""
-        number, found = self.numbers.get, {}
+        number, head, found = self.numbers.get, self.numbers.heads.get, {}
         for word, n in Counter(words_of(text)).items():
-            if (at := number(word)) is not None:
-                found[at] = found.get(at, 0) + n
-            if len(word) > HEAD and (at := number(b"^" + word[:HEAD])) is not None:
+            at = number(word)
+            if at is not None:
+                # A word is no beginning, so its number comes up once.
+                found[at] = n
+            if len(word) > HEAD and (at := head(word[:HEAD])) is not None:
                 found[at] = found.get(at, 0) + n
         terms = np.fromiter(found, np.int64, len(found))
         counts = np.fromiter(found.values(), np.int64, len(found))
         by = np.argsort(terms)
         return terms[by], counts[by]
 
+    def known(self, text: bytes) -> list[int]:
+        """Numbers of the terms of a text that any example has."""
+        number, head, words = self.numbers.get, self.numbers.heads.get, set(words_of(text))
+        found = set(map(number, words))
+        found.update(map(head, {w[:HEAD] for w in words if len(w) > HEAD}))
+        found.discard(None)
+        return list(found)
+
     def votes_of(
         self, texts: list[Counts], but: list[int | None] | None = None
     ) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
@@ -297,7 +334,7 @@ def _document_frequency(docs: DataFrame, model: ToxicityModel, text: str) -> tup
         for batch in batches:
             counts[size] += batch.num_rows
             for text in batch.column(0):
-                counts[model.counted(text.as_py())[0]] += 1
+                counts[model.known(text.as_py())] += 1
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])], ["term", "n"])
 
@@ -324,7 +361,7 @@ def train_toxicity(
     found = _term_table(sample)
     n, toxic = found["n"].to_numpy().astype(float), found["toxic"].to_numpy().astype(float)
     bare = ToxicityModel(
-        {t: i for i, t in enumerate(found["term"].to_pylist())}, n.astype(np.int32), None, np.zeros(1), np.zeros(1), 0.0)
+        Numbers((t, i) for i, t in enumerate(found["term"].to_pylist())), n.astype(np.int32), None, np.zeros(1), np.zeros(1), 0.0)
     del found
     frequency, total = _document_frequency(docs, bare, text)
     source = sample.select("doc_id", "label", raw_text().alias("text"))
