@@ -65,20 +65,26 @@ class BlockMaxIndex:
     """Exact nearest examples by cosine.
 
     Example ``i`` has the terms, in order, and counts from ``starts[i]`` on; ``weight`` has a number for each term.
-    Only these are pickled, compressed; the lists are built where they are needed.
+    Only these are pickled, compressed; the lists are built at the first search, hence not on the driver.
     """
 
     def __init__(
         self, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray
     ) -> None:
         self.ids, self.labels, self.starts, self.terms, self.counts, self.weight = ids, labels, starts, terms, counts, weight
-        self._build()
+        self.order: np.ndarray | None = None
 
     def __reduce__(self):
         steps = np.diff(self.terms, prepend=np.int32(0)).astype(np.int32)
         parts = self.ids, self.labels, self.starts, steps, self.counts.astype(np.int32), self.weight
         return _unpacked, tuple((a.dtype.str, zlib.compress(a.tobytes(), 1)) for a in parts)
 
+    def built(self) -> BlockMaxIndex:
+        """Itself, with its lists."""
+        if self.order is None:
+            self._build()
+        return self
+
     def _build(self) -> None:
         n, size = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
         who = np.repeat(np.arange(n), np.diff(self.starts))
@@ -120,6 +126,7 @@ class BlockMaxIndex:
 
         For each of ``texts``, given by terms and counts; ``but`` has an id for each whose examples are left out.
         """
+        self.built()
         for start in range(0, len(texts), TOGETHER):
             end = start + TOGETHER
             yield from self._nearest(texts[start:end], k, but[start:end] if but else [])

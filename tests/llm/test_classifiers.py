@@ -51,7 +51,7 @@ def made_index(draw, examples, chance, counts=4):
     weight = draw.uniform(0.1, 5, len(chance))
     index = X.BlockMaxIndex(
         np.arange(examples) * 2, draw.integers(0, 2, examples), np.r_[0, np.cumsum([len(t) for t in terms])],
-        np.concatenate(terms).astype(np.int32), np.concatenate(numbers).astype(np.int32), weight)
+        np.concatenate(terms).astype(np.int32), np.concatenate(numbers).astype(np.int32), weight).built()
     dense = np.zeros((examples, len(chance)))
     for row, (t, n) in enumerate(zip(terms, numbers)):
         dense[row, t] = (1 + np.log(n)) * weight[t]
@@ -87,7 +87,7 @@ def test_blocks_beyond_the_bound_are_skipped(monkeypatch):
     rows = [(np.flatnonzero(draw.random(40) < chance[i % 8]) + 40 * (i % 8)) for i in range(2048)]
     starts = np.r_[0, np.cumsum([len(t) for t in rows])]
     monkeypatch.setattr(X, "COMMON", 100)
-    index = X.BlockMaxIndex(np.arange(2048), np.zeros(2048, np.int8), starts, np.concatenate(rows), np.ones(starts[-1], int), np.ones(320))
+    index = X.BlockMaxIndex(np.arange(2048), np.zeros(2048, np.int8), starts, np.concatenate(rows), np.ones(starts[-1], int), np.ones(320)).built()
     assert index.matrix.shape == (32, 64, 320)
     possible = (index.block_max[:, :40].max(axis=1) > 0).sum()
     assert possible <= 8
