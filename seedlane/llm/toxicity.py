@@ -34,7 +34,7 @@ THRESHOLD = 0.3
 # Length in bytes of the beginnings of words that are terms.
 HEAD = 5
 # Examples of a block; terms that one example in so many has are kept by block; texts searched together.
-BLOCK, COMMON, TOGETHER = 64, 20, 256
+BLOCK, COMMON, TOGETHER = 64, 20, 128
 # Postings that are added up at once.
 POSTINGS = 1 << 20
 # What sums in single precision may be off.
@@ -87,33 +87,40 @@ class BlockMaxIndex:
 
     def _build(self) -> None:
         n, size = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
-        who = np.repeat(np.arange(n), np.diff(self.starts))
-        weights = (1 + np.log(self.counts)) * self.weight[self.terms]
-        length = np.sqrt(np.bincount(who, weights**2, minlength=n))
-        self.own = weights / np.maximum(length, 1e-300)[who]
+        who = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        self.own = (1 + np.log(self.counts)) * self.weight[self.terms]
+        length = np.sqrt(np.bincount(who, self.own**2, minlength=n))
+        self.own /= np.maximum(length, 1e-300)[who]
         # Their number is at most COMMON times the terms of an example.
         common = np.flatnonzero((size > 0) & (size * COMMON >= n))
         self.column = np.full(len(self.weight), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        column = self.column[self.terms]
-        kept = column >= 0
-        blocks = -(-n // BLOCK)
-        matrix = np.zeros((blocks * BLOCK, len(common)), np.float32)
-        matrix[who[kept], column[kept]] = self.own[kept]
         # Examples next to those that are nearest to the same of some examples.
-        seeds = matrix[np.unique(np.linspace(0, n - 1, 64).astype(int))] if n else matrix
-        self.order = np.argsort((matrix[:n] @ seeds.T).argmax(1), kind="stable") if n else np.zeros(0, np.int64)
-        place = np.empty(n, np.int64)
+        seeds = self._rows(np.unique(np.linspace(0, n - 1, 64).astype(int))) if n else np.zeros((1, len(common)))
+        near = [(self._rows(np.arange(i, min(n, i + 512))) @ seeds.T).argmax(1) for i in range(0, n, 512)]
+        self.order = np.argsort(np.concatenate([np.zeros(0, np.int64), *near]), kind="stable")
+        place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
-        matrix[:n] = matrix[self.order]
-        self.matrix = matrix.reshape(blocks, BLOCK, len(common))
+        blocks = -(-n // BLOCK)
+        self.matrix = np.zeros((blocks, BLOCK, len(common)), np.float32)
+        for block in range(blocks):
+            numbers = self.order[block * BLOCK:(block + 1) * BLOCK]
+            self.matrix[block, :len(numbers)] = self._rows(numbers)
         self.block_max = self.matrix.max(axis=1)
-        rare = np.flatnonzero(~kept)
-        by = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.post_place, self.post_weight = place[who[by]].astype(np.int32), self.own[by].astype(np.float32)
-        self.post_start = np.searchsorted(self.terms[by], np.arange(len(self.weight) + 1))
+        rare = np.flatnonzero(self.column[self.terms] < 0).astype(np.int32)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.post_place, self.post_weight = place[who[rare]], self.own[rare].astype(np.float32)
+        self.post_start = np.searchsorted(self.terms[rare], np.arange(len(self.weight) + 1))
         self._asked = np.zeros(len(self.weight))
 
+    def _rows(self, numbers: np.ndarray) -> np.ndarray:
+        """Weights of the frequent terms of some examples."""
+        out = np.zeros((len(numbers), self.column.max(initial=-1) + 1), np.float32)
+        for row, i in enumerate(numbers.tolist()):
+            column = self.column[self.terms[self.starts[i]:self.starts[i + 1]]]
+            out[row, column[column >= 0]] = self.own[self.starts[i]:self.starts[i + 1]][column >= 0]
+        return out
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of different terms, of length one."""
         weights = (1 + np.log(counts)) * self.weight[terms]
