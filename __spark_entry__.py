@@ -429,6 +429,14 @@ def stored_reference_other_index(spark: SparkSession, sf: str) -> DataFrame:
     return plans.find_candidates_indexed(_queries(spark, sf), both)
 
 
+def stored_reference_many_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Beyond a broadcast of keys, over two segments in buckets."""
+    folder, refs = fresh_path(spark, "references"), _refs(spark, sf)
+    build_reference(refs.filter(F.col("ref_id") % 3 == 0), folder, "documents", K, BLOCK, GROUP, parts=16)
+    stored = append_reference(refs.filter(F.col("ref_id") % 3 != 0), folder, "documents")
+    return plans.find_candidates_indexed(_queries(spark, sf), stored, plans.SearchOptions(broadcast=False))
+
+
 def saved_alignments(spark: SparkSession, sf: str) -> DataFrame:
     found = align.align_candidates(_windows(spark, sf))
     path = tables.write_alignments(
@@ -528,7 +536,7 @@ REGISTERED = [
     content_blocks, content_blocks_from_lines, content_blocks_by_line, fetch_windows,
     fetch_windows_shuffled, fetch_windows_extended, ungapped_identity, alignments, alignments_shuffled,
     alignments_all_scores, alignments_extended, alignments_extended_all_scores, alignments_clipped, best_hit, alignment_blocks, stored_reference_search,
-    stored_reference_appended, stored_reference_compacted, named_alignments, stored_reference_other_index, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
+    stored_reference_appended, stored_reference_compacted, named_alignments, stored_reference_other_index, stored_reference_many_keys, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
     file_records, search_summary, run_statistics, balance_by_key, partition_balance,
     page_candidates, conversation_offsets,
 ]
@@ -918,6 +926,7 @@ def _search_sql() -> dict[str, str]:
             FROM numbered JOIN aligned USING (id) JOIN documents ON doc_id = ref_id WHERE score > 0.7""",
         "stored_reference_other_index": wider(_with("cand") + candidate_columns).replace(
             "repeat('N', 20)", "repeat('N', 21)"),
+        "stored_reference_many_keys": _with("cand") + candidate_columns,
         "saved_alignments": good,
         "lines_to_queries": _with("lines") + numbered_lines,
         "file_lines_to_queries": _with("lines") + """

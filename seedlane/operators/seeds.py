@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +147,39 @@ def seed_hits(
     return joined.select("query_id", "ref_id", (F.col("offset") + F.col("despl")).alias("end_pos"))
 
 
+def seed_hits_in_buckets(
+    keys: DataFrame,
+    buckets: Sequence[DataFrame],
+    group: int,
+    hot: DataFrame,
+    entries_of: Callable[[DataFrame], DataFrame],
+    n_keys: int | None = None,
+) -> DataFrame:
+    """:func:`seed_hits` with stored lists that are in ``buckets`` by k-mer, without moving these.
+
+    The k-mers of the queries are sent to the buckets, and lists that a bitmap of them turns away drop out in the scan.
+    Those that are frequent on either side, ``hot`` among the lists or found by counting the keys, are
+    left out there, since a bucket is one task: ``entries_of`` gives their entries, and both sides are cut as in
+    :func:`seed_hits`. ``buckets`` may hold lists of hot k-mers or not.
+    """
+    asked = hot_keys(entry_counts(keys), least=SEEN)
+    apart = settled(hot.select("seq").union(asked.select("seq")).distinct())
+    rest = keys.join(F.broadcast(apart), "seq", "left_anti")
+    bits = bitmap_bits(keys.count() if n_keys is None else n_keys)
+    pages = None if bits is None else settled(key_bitmap(keys, bits))
+    end = F.col("_at") + F.col("block") * F.lit(group) + F.col("despl")
+    found = [
+        (lists if pages is None else likely_in(lists, pages, bits)).join(rest.hint("merge"), "seq")
+        .select("query_id", "ref_id", "block", "despl", F.explode("value").alias("_at"))
+        .select("query_id", "ref_id", end.alias("end_pos"))
+        for lists in buckets
+    ]
+    if not apart.isEmpty():
+        frequent = keys.join(F.broadcast(apart), "seq", "left_semi")
+        found.append(seed_hits(frequent, entries_of(apart), broadcast_keys=False, screen=False, hot=hot))
+    return reduce(DataFrame.unionByName, found)
+
+
 def seed_lists(
     keys: DataFrame, index: DataFrame, n_keys: int | None = None, broadcast_keys: bool | None = None
 ) -> DataFrame:

@@ -51,13 +51,14 @@ def shuffle_tasks(spark: SparkSession) -> int:
     )
 
 
-# Characters of reference text that one task cuts into k-mers.
-TASK_CHARS = 16 << 20
+# Characters of reference text that one task cuts into k-mers, and the most tasks of one step: beyond, at 1.6 TB,
+# tasks grow, as the driver keeps track of each. It is also the most buckets a table of Spark may have.
+TASK_CHARS, MOST_TASKS = 16 << 20, 100_000
 
 
 def text_tasks(spark: SparkSession, chars: int) -> int:
     """Tasks for cutting and grouping so much text; enough for all cores in any case."""
-    return max(2 * spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+    return max(2 * spark.sparkContext.defaultParallelism, min(MOST_TASKS, -(-chars // TASK_CHARS)))
 
 
 def rows_fit(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

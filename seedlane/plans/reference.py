@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from seedlane.operators.content import BLOCK, build_content, build_content_from_lines
 from seedlane.operators.index import (
     GROUP,
+    entry_counts,
     hot_keys,
     index_content,
     index_entries,
@@ -28,8 +29,10 @@ from seedlane.operators.index import (
     index_sequences,
     list_counts,
 )
+from seedlane.operators.kmers import explode_kmers
+from seedlane.operators.seeds import SAMPLE, SEEN
 from seedlane.plans.layout import text_size, text_tasks
-from seedlane.sources.tables import PARTS, load_table, write_content, write_index
+from seedlane.sources.tables import PARTS, load_index, load_table, open_buckets, write_content, write_index
 
 KEY_SIZE = 11
 
@@ -44,7 +47,8 @@ class Reference:
 
     Several indexes (other key sizes) may go with the same content. ``names`` are ``(ref_id, name)``
     where they were given. ``hot`` are the most frequent k-mers of the index, which a search with
-    very many queries spreads.
+    very many queries spreads. ``buckets`` are the lists of the others, one table per segment, as stored in blocks
+    of ``group`` positions.
     """
 
     index: DataFrame
@@ -54,11 +58,13 @@ class Reference:
     block_size: int
     content_parts: int
     hot: DataFrame
+    buckets: tuple[DataFrame, ...]
+    group: int
 
     def entries_for(self, keys: DataFrame, few: bool) -> DataFrame:
         """Flat index entries that may belong to the given k-mers.
 
-        The index is stored in the order of a hash of the k-mer. Up to ``PUSHED_KEYS`` hashes are put
+        Each bucket is stored in the order of a hash of the k-mer. Up to ``PUSHED_KEYS`` hashes are put
         into its scan, so that only parts of files that may hold them are read. More that are still
         ``few`` enough to be broadcast turn away the other lists in the scanning task.
         """
@@ -130,8 +136,11 @@ def _publish(spark: SparkSession, folder: str, name: str, number: int, settings:
 def _add_segment(
     sequences: DataFrame, root: str, k: int, block_size: int, group: int, parts: int, index_only: bool,
     cross_lines: bool, names: DataFrame | None,
-) -> str:
-    """Write one segment; returns its folder."""
+) -> tuple[str, int]:
+    """Write one segment; returns its folder and the number of its buckets.
+
+    Its hot k-mers are found in a sample of the text. This decides where their lists are stored, not which.
+    """
     spark = sequences.sparkSession
     path = f"{root}/segment-{uuid.uuid4().hex}"
     by_line = "line" in sequences.columns
@@ -146,12 +155,13 @@ def _add_segment(
         index = index_content(content, k, group, tasks)
     else:
         index = index_lines(sequences, k, group, tasks)
-    write_index(index, f"{path}/index", tasks)
-    hot_keys(list_counts(load_table(spark, f"{path}/index"))).write.parquet(f"{path}/hot")
+    some = explode_kmers(content.sample(SAMPLE, seed=1), k, ["ref_id"], text="value", base=F.col("offset"))
+    hot_keys(entry_counts(some), least=SEEN).write.parquet(f"{path}/hot")
+    write_index(index, f"{path}/index", group, tasks, load_table(spark, f"{path}/hot"))
     none = spark.createDataFrame([], "ref_id long, name string")
     (none if names is None else names.select("ref_id", F.col("name").cast("string").alias("name"))).write.parquet(
         f"{path}/names")
-    return path
+    return path, tasks
 
 
 def build_reference(
@@ -175,9 +185,10 @@ def build_reference(
     """
     spark = sequences.sparkSession
     how = {"k": k, "block_size": block_size, "group": group, "parts": parts, "cross_lines": cross_lines}
-    segment = _add_segment(
+    segment, buckets = _add_segment(
         sequences, _root(folder, name), k, block_size, group, parts, index_only, cross_lines, names)
-    while not _publish(spark, folder, name, _state(spark, folder, name)[0] + 1, how | {"segments": [segment]}):
+    how |= {"segments": [segment], "buckets": {segment: buckets}}
+    while not _publish(spark, folder, name, _state(spark, folder, name)[0] + 1, how):
         pass
     return None if index_only else open_reference(spark, folder, name)
 
@@ -200,10 +211,11 @@ def append_reference(
         names = None if names is None else names.select(moved, "name")
     else:
         _refuse_stored(sequences, stored.content)
-    segment = _add_segment(
+    segment, buckets = _add_segment(
         sequences, _root(folder, name), how["k"], how["block_size"], how["group"], how["parts"], False,
         how["cross_lines"], names)
-    while not _publish(spark, folder, name, number + 1, how | {"segments": [*how["segments"], segment]}):
+    while not _publish(spark, folder, name, number + 1, how | {
+            "segments": [*how["segments"], segment], "buckets": how["buckets"] | {segment: buckets}}):
         # Someone else was first: add to what is there now, unless that has taken the same numbers.
         seen = how["segments"]
         number, how = _state(spark, folder, name)
@@ -235,15 +247,17 @@ def compact_reference(spark: SparkSession, folder: str, name: str) -> Reference:
     if len(merged) > 1:
         content = load_table(spark, *[f"{s}/content" for s in merged]).drop("part")
         write_content(content, f"{path}/content", how["parts"])
-        index = load_table(spark, *[f"{s}/index" for s in merged]).drop("hash")
-        write_index(index, f"{path}/index", text_tasks(spark, text_size(load_table(spark, f"{path}/content"), "value").chars))
-        hot_keys(list_counts(load_table(spark, f"{path}/index"))).write.parquet(f"{path}/hot")
+        index = load_index(spark, *[f"{s}/index" for s in merged], group=how["group"]).drop("hash")
+        buckets = text_tasks(spark, text_size(load_table(spark, f"{path}/content"), "value").chars)
+        hot_keys(list_counts(index), least=SEEN).write.parquet(f"{path}/hot")
+        write_index(index, f"{path}/index", how["group"], buckets, load_table(spark, f"{path}/hot"))
         load_table(spark, *[f"{s}/names" for s in merged]).write.parquet(f"{path}/names")
         while True:
             later = [s for s in how["segments"] if s not in merged]
             if len(later) + len(merged) != len(how["segments"]):
                 raise RuntimeError(f"{name} was replaced while its segments were merged")
-            if _publish(spark, folder, name, number + 1, how | {"segments": [path, *later]}):
+            kept = {path: buckets} | {s: how["buckets"][s] for s in later}
+            if _publish(spark, folder, name, number + 1, how | {"segments": [path, *later], "buckets": kept}):
                 break
             number, how = _state(spark, folder, name)
     return open_reference(spark, folder, name)
@@ -259,7 +273,12 @@ def open_reference(
     def table(of: dict, part: str) -> DataFrame:
         return load_table(spark, *[f"{segment}/{part}" for segment in of["segments"]])
 
+    if "buckets" not in used:
+        raise ValueError(f"stored by an earlier version, build it again: {index_name or name} in {folder}")
+    group, paths = used["group"], [(f"{segment}/index", used["buckets"][segment]) for segment in used["segments"]]
     return Reference(
-        table(used, "index"), table(own, "content"), table(own, "names"), used["k"], own["block_size"], own["parts"],
+        load_index(spark, *[path for path, _ in paths], group=group), table(own, "content"), table(own, "names"),
+        used["k"], own["block_size"], own["parts"],
         table(used, "hot").groupBy("seq").agg(F.max("splits").alias("splits")),
+        tuple(open_buckets(spark, path, group, buckets) for path, buckets in paths), group,
     )

@@ -17,6 +17,7 @@ from seedlane.operators.seeds import (
     diagonal_counts,
     join_queries,
     seed_hits,
+    seed_hits_in_buckets,
     with_query_text,
 )
 from seedlane.plans.layout import TextSize, rows_fit, settled, shuffle_tasks, text_size
@@ -71,12 +72,17 @@ def find_candidates_indexed(
     options: SearchOptions = SearchOptions(),
     size: TextSize | None = None,
 ) -> DataFrame:
-    """Candidates from a stored index, reading only what holds k-mers of the queries."""
+    """Candidates from a stored index, reading only what holds k-mers of the queries.
+
+    K-mers beyond a broadcast are sent to the buckets of the index, whose lists stay where they are.
+    """
     keys, bound = query_keys(queries, reference.k), (size or text_size(queries)).chars
-    few = options.may_broadcast(rows_fit(bound, reference.k + 24))
-    seeds = seed_hits(
-        keys, reference.entries_for(keys, few), broadcast_keys=few, screen=not few, hot=reference.hot
-    )
+    if options.may_broadcast(rows_fit(bound, reference.k + 24)):
+        seeds = seed_hits(keys, reference.entries_for(keys, True), broadcast_keys=True, screen=False)
+    else:
+        seeds = seed_hits_in_buckets(
+            keys, reference.buckets, reference.group, reference.hot,
+            lambda frequent: reference.entries_for(frequent, True), bound)
     return candidates(diagonal_counts(seeds), options.threshold, queries)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlane.plans.layout import spread_of
@@ -23,19 +24,69 @@ def load_table(spark: SparkSession, *paths: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def write_index(index: DataFrame, path: str, tasks: int | None = None) -> None:
-    """Replace the index at ``path``; stored in the order of a ``hash`` of the k-mer.
+# Columns of a stored index without the type of its offsets, and the largest block whose offsets are short.
+INDEX, SHORT = "seq string, ref_id bigint, block bigint, value array<{}>, hash bigint", 1 << 15
 
-    Files cover ranges of it, and the lists of one frequent k-mer are spread over several. The order lets a
-    scan that looks for some hashes skip row groups and pages.
+
+def index_schema(group: int) -> str:
+    return INDEX.format("smallint" if group <= SHORT else "int")
+
+
+def write_index(index: DataFrame, path: str, group: int, buckets: int, hot: DataFrame) -> None:
+    """Replace the index at ``path``; stored in ``buckets`` by k-mer.
+
+    A bucket is one file in the order of a ``hash`` of the k-mer, which lets a scan that looks for some
+    hashes skip row groups and pages. The lists of ``hot`` k-mers, ``(seq, splits)``, are kept apart from the
+    buckets, in as many files as they have splits. Offsets are stored as distances from the beginning of
+    their block of ``group`` positions. Lists are moved once.
     """
-    stored = index.withColumn("hash", F.xxhash64("seq"))
-    order = ["hash", "ref_id", "block"]
-    ranged = stored.repartitionByRange(tasks, *order) if tasks else stored.repartitionByRange(*order)
+    spark, start = index.sparkSession, F.col("block") * F.lit(group)
+    offset = "smallint" if group <= SHORT else "int"
+    salt = F.pmod(F.xxhash64("ref_id", "block"), F.coalesce("splits", F.lit(1)))
+    stored = index.join(F.broadcast(hot.select("seq", "splits")), "seq", "left").select(
+        "seq", "ref_id", "block", F.transform("value", lambda x: (x - start).cast(offset)).alias("value"),
+        F.xxhash64("seq").alias("hash"), F.col("splits").isNotNull().alias("apart"),
+        # Where Spark's bucketing has the k-mer, or in one of the tasks that follow.
+        F.pmod(F.hash("seq").cast("long") + salt, F.lit(buckets)).cast("int").alias("_task"),
+    )
+    # Files can only be written in buckets as a table, which is forgotten at once: it is opened by its path.
+    name = f"seedlane_{uuid.uuid4().hex}"
     (
-        ranged.sortWithinPartitions("hash", "seq", "ref_id", "block")
-        .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+        stored.repartitionById(buckets, "_task").drop("_task")
+        .write.mode("overwrite").format("parquet").option("path", path).option("parquet.block.size", ROW_GROUP)
+        .partitionBy("apart").bucketBy(buckets, "seq").sortBy("hash", "seq", "ref_id", "block").saveAsTable(name)
     )
+    spark.sql(f"DROP TABLE {name}")
+
+
+def load_index(spark: SparkSession, *paths: str, group: int) -> DataFrame:
+    """All lists of a stored index, or of several together, with their ``hash`` and whole offsets."""
+    found = [spark.read.schema(f"{index_schema(group)}, apart boolean").parquet(path) for path in paths]
+    lists = reduce(DataFrame.unionByName, found)
+    return lists.withColumn("value", whole_offsets(group)).drop("apart")
+
+
+def whole_offsets(group: int) -> Column:
+    """The offsets of a stored list as positions of their reference."""
+    start = F.col("block") * F.lit(group)
+    return F.transform("value", lambda x: x + start)
+
+
+def open_buckets(spark: SparkSession, path: str, group: int, buckets: int) -> DataFrame:
+    """The lists of a stored index that are in buckets, as stored, as a table Spark knows the buckets of.
+
+    The table is an entry of the session's catalogue for files that are there already.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/apart=false")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    where = system.makeQualified(place).toString()
+    name = f"seedlane_{uuid.uuid5(uuid.NAMESPACE_URL, where).hex}"
+    quoted = where.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({index_schema(group)}) USING parquet "
+        f"CLUSTERED BY (seq) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+    return spark.table(name)
 
 
 def write_content(content: DataFrame, path: str, parts: int = PARTS) -> None:
