@@ -474,6 +474,17 @@ def file_lines(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("name").cast("long").alias("doc_id"), "line_no", "offset", "line")
 
 
+def file_lines_by_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the files are gzip; the others are not."""
+    refs, path = _documents(spark, sf), fresh_path(spark, "fasta")
+    text = F.concat(F.lit(">"), F.col("doc_id"), F.lit("\n"), F.col("text"))
+    for rest, how in enumerate(("none", "gzip")):
+        refs.filter(F.col("doc_id") % 2 == rest).select(text.alias("value")).write.text(f"{path}/{how}", compression=how)
+    found, names = files.read_sequences(spark, [f"{path}/none", f"{path}/gzip"], by_content=True)
+    found = found.join(names, "ref_id")
+    return found.select(F.col("name").cast("long").alias("doc_id"), "line_no", "offset", "line")
+
+
 def file_records(spark: SparkSession, sf: str) -> DataFrame:
     found, names = files.read_sequences(spark, _document_files(spark, sf))
     found = files.records(found).join(names.withColumnRenamed("ref_id", "query_id"), "query_id")
@@ -536,7 +547,7 @@ REGISTERED = [
     content_blocks, content_blocks_from_lines, content_blocks_by_line, fetch_windows,
     fetch_windows_shuffled, fetch_windows_extended, ungapped_identity, alignments, alignments_shuffled,
     alignments_all_scores, alignments_extended, alignments_extended_all_scores, alignments_clipped, best_hit, alignment_blocks, stored_reference_search,
-    stored_reference_appended, stored_reference_compacted, named_alignments, stored_reference_other_index, stored_reference_many_keys, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines,
+    stored_reference_appended, stored_reference_compacted, named_alignments, stored_reference_other_index, stored_reference_many_keys, saved_alignments, lines_to_queries, file_lines_to_queries, query_file, file_lines, file_lines_by_content,
     file_records, search_summary, run_statistics, balance_by_key, partition_balance,
     page_candidates, conversation_offsets,
 ]
@@ -934,6 +945,8 @@ def _search_sql() -> dict[str, str]:
         "query_file": _with("lines") + numbered_lines,
         "file_lines": _with("located") + """
             SELECT ref_id AS doc_id, line_no, "offset", line FROM located""",
+        "file_lines_by_content": _with("located") + """
+            SELECT ref_id AS doc_id, line_no, "offset", line FROM located""",
         "file_records": _with("refs") + """
             SELECT ref_id AS doc_id, sequence, length(sequence)::INTEGER AS length FROM refs
             WHERE sequence <> ''""",

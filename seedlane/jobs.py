@@ -26,7 +26,7 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
     """Content, index and names of sequence files."""
     start = time.time()
     with scratch(spark):
-        sequences, names = read_sequences(spark, args.files)
+        sequences, names = read_sequences(spark, args.files, by_content=True)
         read = time.time()
         if args.append:
             append_reference(sequences, args.folder, args.name, renumber=True, names=names)
@@ -53,9 +53,9 @@ def query(spark: SparkSession, args: argparse.Namespace) -> str:
     with scratch(spark):
         query_names = None
         if args.multi:
-            queries = settled(read_query_tsv(spark, args.files))
+            queries = settled(read_query_tsv(spark, args.files, by_content=True))
         else:
-            lines, query_names = read_sequences(spark, args.files)
+            lines, query_names = read_sequences(spark, args.files, by_content=True)
             queries = settled(records(lines))
             query_names = query_names.select(F.col("ref_id").alias("query_id"), F.col("name").alias("query_name"))
         reference = open_reference(spark, args.folder, args.name, args.index_name)

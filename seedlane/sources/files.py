@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import ordered_text
 from seedlane.functions.text import HEADER_MARK, normalize
 from seedlane.operators.index import index_rows_text
-from seedlane.plans.layout import settled
+from seedlane.plans.layout import rows_fit, settled
 
 # Characters of the longest record that may be a query.
 MOST_CHARS = 100_000_000
 
 EARLIER = (Window.unboundedPreceding, -1)
 
-# First bytes of compressed data.
+# First bytes of compressed data, names by which Spark knows it itself, and the bytes and lines read at once.
 COMPRESSED = b"\x1f\x8b"
+KNOWN = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
+CHUNK, LINES = 1 << 20, 4096
+LINE_END = re.compile(rb"\r\n|\r|\n")
 SPLIT = ["_file", "_split"]
 COUNTED = (
     "_file string, _split long, line string, _header boolean, _headers long, _lines long, _chars long, "
@@ -63,13 +69,87 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [c.split(" ")[0] for c in COUNTED.split(", ")])
 
 
-def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of FASTA or plain text files with their record, number and position.
+def _opened(uri: str) -> pa.NativeFile:
+    system, place = fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(place, compression=None)
 
-    A file may be one record of any size. Each input split is read once, its lines counted as they
-    come and kept; what a split needs of those before it is one row per split, and of a file one
-    row per file. Text is not shuffled.
+
+def _are_compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files that begin like compressed data; two bytes of each are read."""
+    for batch in batches:
+        found = []
+        for uri in batch.column(0).to_pylist():
+            with _opened(uri) as file:
+                if file.read(len(COMPRESSED)) == COMPRESSED:
+                    found.append(uri)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["_file"])
+
+
+def _unpacked(file: pa.NativeFile, uri: str) -> Iterator[bytes]:
+    """Chunks of the text of a gzip file, which may consist of several members."""
+    machine, begun = zlib.decompressobj(31), False
+    while data := file.read(CHUNK):
+        while data:
+            begun = True
+            if text := machine.decompress(data, CHUNK):
+                yield text
+            data = machine.unconsumed_tail
+            if machine.eof:
+                # Zeros after a member are padding.
+                data = machine.unused_data.lstrip(b"\0")
+                machine, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError(f"compressed data ends early: {uri}")
+
+
+def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of compressed files in order; in memory are a few thousand at a time."""
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            with _opened(uri) as file:
+                rest, lines = b"", []
+
+                def ready() -> pa.RecordBatch:
+                    text = [line.decode("utf-8", "replace") for line in lines]
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array([uri] * len(text), pa.string()), pa.array([0] * len(text), pa.int64()),
+                         pa.array(text, pa.string())], [*SPLIT, "value"])
+
+                pieces = [b""]
+                for chunk in _unpacked(file, uri):
+                    # A line may span many chunks, and a chunk may end between the two bytes of a line end.
+                    if not LINE_END.search(chunk) and not pieces[-1].endswith(b"\r"):
+                        pieces.append(chunk)
+                        continue
+                    text = b"".join([*pieces, chunk])
+                    held = text.endswith(b"\r")
+                    *more, rest = LINE_END.split(text[:-1] if held else text)
+                    pieces = [rest + b"\r" if held else rest]
+                    lines += more
+                    if len(lines) >= LINES:
+                        yield ready()
+                        lines = []
+                *more, rest = LINE_END.split(b"".join(pieces))
+                lines += [*more, rest] if rest else more
+                if lines:
+                    yield ready()
+
+
+def _unnamed(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files that are compressed though their names do not say so. As every file is opened, tasks do that."""
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"))
+    rest = names.filter(~F.col("_file").rlike(KNOWN))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return [r["_file"] for r in rest.repartition(tasks, "_file").mapInArrow(_are_compressed, "_file string").collect()]
+
+
+def _raw_lines(spark: SparkSession, path: str | list[str], by_content: bool) -> DataFrame:
+    """``(_file, _split, value)``: lines of text files, those of an input split in order.
+
+    Compressed data is known by its name, or with ``by_content`` by its first bytes as well; it is one
+    split then, as such a file can only be read from its beginning. Otherwise it ends the job.
     """
+    unnamed = _unnamed(spark, path) if by_content else []
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -78,6 +158,23 @@ def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.raise_error(F.concat(F.lit("compressed data without a .gz name: "), F.col("_metadata.file_path"))),
         ).otherwise(F.col("value")).alias("value"),
     )
+    if not unnamed:
+        return raw
+    # Spark leaves these files out before it reads any.
+    plain = raw.filter(~F.col("_file").isin(unnamed))
+    found = spark.createDataFrame(list(zip(unnamed, range(len(unnamed)))), "_file string, _task int").repartitionById(
+        len(unnamed), "_task").select("_file")
+    return plain.unionByName(found.mapInArrow(_lines_of, "_file string, _split bigint, value string"))
+
+
+def _numbered(spark: SparkSession, path: str | list[str], by_content: bool = False) -> DataFrame:
+    """Lines of FASTA or plain text files with their record, number and position.
+
+    A file may be one record of any size. Each input split is read once, its lines counted as they
+    come and kept; what a split needs of those before it is one row per split, and of a file one
+    row per file. Text is not shuffled.
+    """
+    raw = _raw_lines(spark, path, by_content)
     header = F.col("value").startswith(HEADER_MARK)
     lines = raw.select(
         *SPLIT,
@@ -114,10 +211,12 @@ def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "_file",
         F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(*EARLIER)), zero).alias("_base"),
     )
-    # One row for each input split, of the size of a path: a hundred thousand TB of text fit.
-    bases = F.broadcast(carried.join(file_base, "_file"))
+    # One row for each input split, of the size of a path. Too many for a broadcast are joined by split, which is
+    # never large.
+    bases = settled(carried.join(file_base, "_file"))
+    held = bases.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("_file")), F.lit(0)).alias("width")).first()
     inherited = ~F.col("_opened")
-    return local.join(bases, SPLIT).select(
+    return local.join(F.broadcast(bases) if rows_fit(held["n"], held["width"] + 40) else bases, SPLIT).select(
         (F.col("_base") + F.col("_h0") + F.col("_headers")).alias("ref_id"),
         (F.col("_lines") + F.when(inherited, F.col("_l0")).otherwise(zero)).alias("line_no"),
         (F.col("_chars") + F.when(inherited, F.col("_c0")).otherwise(zero)).alias("offset"),
@@ -125,20 +224,24 @@ def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_sequences(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def read_sequences(
+    spark: SparkSession, path: str | list[str], by_content: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """:func:`read_sequence_lines` and :func:`read_sequence_names` of the same files, read once."""
-    numbered = _numbered(spark, path)
+    numbered = _numbered(spark, path, by_content)
     return numbered.filter(~F.col("_header")).drop("_header"), numbered.filter("_header").select(
         "ref_id", F.col("line").alias("name"))
 
 
-def read_sequence_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_sequence_lines(spark: SparkSession, path: str | list[str], by_content: bool = False) -> DataFrame:
     """``(ref_id, line_no, offset, line)`` of FASTA or plain text files, plain or compressed.
 
     Every header begins a new record; text before the first header of a file is a record too.
     Lines are normalised, blank ones do not count, and ``offset`` ignores line ends and headers.
+    ``by_content`` also reads gzip files of any name: the first bytes of every file are looked at for that, through
+    Arrow's file systems. Without it such a file ends the job with an error.
     """
-    return read_sequences(spark, path)[0]
+    return read_sequences(spark, path, by_content)[0]
 
 
 def read_sequence_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -169,16 +272,17 @@ def records(lines: DataFrame, most: int = MOST_CHARS) -> DataFrame:
     )
 
 
-def read_query_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_query_tsv(spark: SparkSession, path: str | list[str], by_content: bool = False) -> DataFrame:
     """``(query_id, sequence, length)`` from lines ``sequence TAB id TAB length``.
 
     Id and length are taken from the right, as a sequence may hold tabs. The length tells whether
     blanks before the last but one tab belong to the sequence, or only surround the tab. A line that
     is not of this form, or whose length is neither, ends the job with an error that names it. Read
-    as plain text, since quotes are ordinary characters of a sequence.
+    as plain text, since quotes are ordinary characters of a sequence. ``by_content`` as in
+    :func:`read_sequence_lines`.
     """
     fields = r"(?s)^(.*)\t *(-?\d+) *\t *(\d+)\s*$"
-    raw = spark.read.text(path).filter(F.trim("value") != "")
+    raw = _raw_lines(spark, path, by_content).filter(F.trim("value") != "")
     whole, stated = F.regexp_extract("value", fields, 1), F.regexp_extract("value", fields, 3).try_cast("long")
 
     def fits(text: Column) -> Column:
