@@ -22,6 +22,8 @@ from seedlane.plans.layout import rows_fit, settled, shuffle_tasks
 
 # Minimisers with more than one in so many of all runs are dealt over several parts.
 HOT_SHARE = 2000
+# Characters whose runs are found at once. Arrays over them take about a hundred bytes each, however many texts Spark hands over.
+SLICE = 1 << 18
 # Share of the texts that is read to find them, and how often one must be seen. For the layout only.
 SAMPLE, SEEN = 0.05, 32
 
@@ -59,6 +61,35 @@ def runs_of(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return start, last - start + 1, least[start].view(np.int64)
 
 
+def slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts, of about ``SLICE`` characters each, for texts that end at ``ends``."""
+    first, done = 0, 0
+    while first < len(ends):
+        last = max(int(np.searchsorted(ends, done + SLICE, "right")), first + 1)
+        yield first, last
+        first, done = last, int(ends[last - 1])
+
+
+def batch_runs(batch: pa.RecordBatch, k: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """``keep`` columns, ``offset``, ``word`` and ``run`` of the texts ``_b`` that begin at ``_p``, slice by slice."""
+    _, ends, data = batch.column("_b").buffers()
+    ends = np.frombuffer(ends, np.int32)[batch.column("_b").offset:][:len(batch) + 1].astype(np.int64) if len(batch) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if ends[-1] else np.zeros(0, np.uint8)
+    for first, last in slices(ends[1:] - ends[0]):
+        part, edges = batch.slice(first, last - first), ends[first:last + 1] - ends[first]
+        text = data[ends[first]:ends[last]]
+        start, n, word = runs_of(text, edges[1:], k)
+        row = np.searchsorted(edges[1:], start, "right")
+        size = n + k - 1
+        to = np.concatenate([[0], np.cumsum(size)])
+        which = np.repeat(start - to[:-1], size) + np.arange(to[-1])
+        offset = start - edges[row] + part.column("_p").to_numpy()[row]
+        held = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(text[which])])
+        rows = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [*[part.column(c).take(rows) for c in keep], pa.array(offset), pa.array(word), held], [*keep, "offset", "word", "run"])
+
+
 def minimiser_runs(df: DataFrame, k: int, keep: list[str], text: str = "sequence") -> DataFrame:
     """``keep`` columns (numbers), ``offset``, ``word`` and ``run``: the runs of normalised texts.
 
@@ -67,27 +98,11 @@ def minimiser_runs(df: DataFrame, k: int, keep: list[str], text: str = "sequence
     body = df.select(*keep, F.col(text).cast("binary").alias("_b"))
     pieces = body.select(*keep, "_b", F.explode(starts(F.length("_b"), k, PIECE)).alias("_p")).select(
         *keep, F.col("_p").cast("long").alias("_p"), cut(F.col("_b"), F.col("_p"), PIECE + k - 1).alias("_b"))
-    names = [*keep, "offset", "word", "run"]
     kinds = {c: df.schema[c].dataType.simpleString() for c in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = batch.column("_b")
-            _, ends, data = values.buffers()
-            ends = np.frombuffer(ends, np.int32)[values.offset:values.offset + len(values) + 1].astype(np.int64)
-            data, ends = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends[1:] - ends[0]
-            start, n, word = runs_of(data, ends, k)
-            row = np.searchsorted(ends, start, "right")
-            size = n + k - 1
-            to = np.concatenate([[0], np.cumsum(size)])
-            which = np.repeat(start - to[:-1], size) + np.arange(to[-1])
-            offset = start - np.concatenate([[0], ends])[row] + batch.column("_p").to_numpy()[row]
-            held = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[which])])
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(rows) for c in keep], pa.array(offset), pa.array(word), held], names)
+            yield from batch_runs(batch, k, keep)
 
     schema = ", ".join([*[f"`{c}` {t}" for c, t in kinds.items()], "offset long", "word long", "run binary"])
     return pieces.mapInArrow(run, schema)

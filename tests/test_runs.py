@@ -5,6 +5,7 @@ from collections import Counter
 from threading import Thread
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,21 @@ def test_runs_hold_every_kmer_once(spark, k):
         assert len(found) < 0.4 * sum(expected.values())
 
 
+def test_runs_are_found_slice_by_slice(monkeypatch):
+    """A batch of Arrow may hold any amount of text; what is in memory at once does not grow with it."""
+    texts = [t.encode() for t in texts_of(9, 200)]
+    batch = pa.RecordBatch.from_pydict({
+        "ref_id": list(range(len(texts))), "_p": [7] * len(texts), "_b": pa.array(texts, pa.binary())}).slice(3)
+    whole = pa.Table.from_batches(runs.batch_runs(batch, 5, ["ref_id"])).to_pydict()
+    monkeypatch.setattr(runs, "SLICE", 1000)
+    asked, find = [], runs.runs_of
+    monkeypatch.setattr(runs, "runs_of", lambda data, ends, k: asked.append(len(data)) or find(data, ends, k))
+    assert pa.Table.from_batches(runs.batch_runs(batch, 5, ["ref_id"])).to_pydict() == whole
+    assert sum(asked) == sum(map(len, texts[3:])) and len(asked) > 20
+    assert sorted(asked)[-2] <= 1000 and max(asked) == 5000
+    assert not list(runs.batch_runs(batch.slice(0, 0), 5, ["ref_id"]))
+
+
 def test_totals_by_runs(spark):
     texts = texts_of(3)
     expected = Counter(s for t in texts for _, s in helpers.kmers(t, 7))
