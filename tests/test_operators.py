@@ -110,6 +110,34 @@ def test_index_ways_agree(spark, group):
     assert rows(back) == rows(index.postings(refs, 4, group))
 
 
+def test_kmers_of_blocks_are_grouped_where_they_are(spark):
+    """Neither shuffled nor sorted by k-mer: a block comes as text or in one piece and leaves as lists."""
+    texts = [*TEXTS, "NNNNNNABCNNNN" * 30, "A" * 700]
+    refs = refs_of(spark, *texts)
+    # A number that comes twice has the lists of both texts.
+    refs = refs.union(refs.filter("ref_id = 4").withColumn("sequence", F.lit("RSTQRSTQXYZ"))).repartition(3)
+    expected = {}
+    for i, text in [*enumerate(texts, 1), (4, "RSTQRSTQXYZ")]:
+        for o, s in helpers.kmers(text, 4):
+            expected.setdefault((s, i, o // 100), []).append(o)
+    expected = sorted((*key, sorted(v)) for key, v in expected.items())
+    flat = index.postings(refs, 4, 100)
+    wide = {}
+    for s, r, b, v in expected:
+        wide.setdefault((s, r, b // 3), []).extend(v)
+    for built, want in [
+        (index.index_sequences(refs, 4, 100, 2), expected), (index.build_index(flat), expected),
+        (index.merge_lists(index.build_index(flat), 3), sorted((*key, sorted(v)) for key, v in wide.items())),
+    ]:
+        assert rows(built) == want
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(seq" not in plan and "collect_list(offset" not in plan
+    # K-mers of several lengths in one table.
+    mixed = frame(spark, [("AB", 0, 1, 5), ("ABC", 0, 1, 5), ("AB", 0, 1, 2), ("AB", 0, 2, 9), ("AB", 1, 1, 120)],
+                  "seq string, block long, ref_id long, offset long").coalesce(1)
+    assert rows(index.build_index(mixed)) == [("AB", 1, 0, [2, 5]), ("AB", 1, 1, [120]), ("AB", 2, 0, [9]), ("ABC", 1, 0, [5])]
+
+
 def test_merged_lists_and_export_text(spark):
     built = index.build_index(index.postings(refs_of(spark, "ABABABAB"), 2, 2))
     assert rows(index.merge_lists(built, 100)) == [("AB", 1, 0, [0, 2, 4, 6]), ("BA", 1, 0, [1, 3, 5])]
