@@ -313,8 +313,11 @@ def write_fasta(records: DataFrame, path: str, width: int = 80) -> None:
     ).write.mode("overwrite").text(path)
 
 
-def export_index_tsv(index: DataFrame, path: str) -> None:
-    """Index rows as ``seq TAB ref_id TAB block TAB [offsets]``."""
+def export_index_tsv(index: DataFrame, path: str, compression: str = "lz4") -> None:
+    """Index rows as ``seq TAB ref_id TAB block TAB [offsets]``, in as many files as tasks.
+
+    Compressed unless ``compression`` is ``none``: the rows of neighbouring k-mers repeat nearly all of each other.
+    """
     index_rows_text(index).select(
         F.concat_ws("\t", "seq", "ref_id", "block", "value").alias("value")
-    ).write.mode("overwrite").text(path)
+    ).write.mode("overwrite").text(path, compression=compression)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from seedlane.functions import arrays
 from seedlane.functions.text import block_of, normalize, text_lines
 from seedlane.operators import align, content, index, kmers, lines, metrics, seeds
+from seedlane.sources import files
 
 import helpers
 
@@ -147,6 +148,19 @@ def test_merged_lists_and_export_text(spark):
     assert rows(index.key_totals(index.index_entries(built))) == [("AB", 4), ("BA", 3)]
 
 
+def test_export_is_compressed(spark, tmp_path):
+    built = index.index_sequences(refs_of(spark, "ABCDEFGHIJ" * 400), 7, 1000)
+    size = {}
+    for how in ("lz4", "none"):
+        files.export_index_tsv(built, f"{tmp_path}/{how}", compression=how)
+        size[how] = sum(f.stat().st_size for f in (tmp_path / how).glob("part-*"))
+    files.export_index_tsv(built, f"{tmp_path}/default")
+    assert not list((tmp_path / "default").glob("part-*.txt")) and size["lz4"] < 0.6 * size["none"]
+    expected = rows(spark.read.text(f"{tmp_path}/none"))
+    assert rows(spark.read.text(f"{tmp_path}/default")) == rows(spark.read.text(f"{tmp_path}/lz4")) == expected
+    assert len(expected) == built.count() == 40
+
+
 def test_hot_keys(spark):
     counts = frame(spark, [("A", 60), ("A", 30), ("B", 9), ("C", 1)], "seq string, n int")
     assert rows(index.hot_keys(counts, 10)) == [("A", 9)]
