@@ -3,6 +3,8 @@
 import glob
 import random
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from seedlane.operators.index import hot_keys
 from seedlane.plans import reference
 from seedlane.plans.reference import append_reference, build_reference, compact_reference, open_reference
 from seedlane.plans.search import SearchOptions, find_candidates_indexed
+from seedlane.sources import tables
 
 K = 6
 
@@ -129,3 +132,24 @@ def test_opened_again_by_another_session(spark, tmp_path):
     stored = open_reference(other, str(tmp_path), "it's")
     found = find_candidates_indexed(queries_of(other, asked), stored, SearchOptions(k=K, threshold=3, broadcast=False))
     assert set(map(tuple, found.collect())) == expected(asked, texts, 3)
+
+
+@pytest.mark.parametrize("group, kind", [(100, np.int16), (1 << 20, np.int32)])
+def test_lists_are_moved_in_few_rows(group, kind):
+    """One row per batch and task, from which the same lists come back with their offsets as distances."""
+    draw = random.Random(group)
+    rows = []
+    for ref_id in (3, 1 << 40, 5):
+        for block in (0, 7):
+            for seq in ("AB", "CDEFG", "", "H" * 300):
+                value = sorted(draw.sample(range(block * group, (block + 1) * group), draw.randint(1, 9)))
+                rows.append({"seq": seq, "ref_id": ref_id, "block": block, "value": value, "apart": seq == "AB", "task": draw.randint(0, 3)})
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([
+        ("seq", pa.string()), ("ref_id", pa.int64()), ("block", pa.int64()), ("value", pa.list_(pa.int64())),
+        ("apart", pa.bool_()), ("task", pa.int32())])).slice(2)
+    packed = list(tables.packed_lists(batch, group, kind))
+    assert [len(p) for p in packed] == [len({r["task"] for r in rows[2:]})]
+    got = [r for p in packed for b in tables.opened_lists(p, kind) for r in b.to_pylist()]
+    want = [{**r, "value": [x - r["block"] * group for x in r["value"]]} for r in rows[2:]]
+    assert sorted(map(str, got)) == sorted(str({k: v for k, v in r.items() if k != "task"}) for r in want)
+    assert not sum(len(p) for p in tables.packed_lists(batch.slice(0, 0), group, kind))
