@@ -21,6 +21,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,9 +77,9 @@ class BlockMaxIndex:
         self.order: np.ndarray | None = None
 
     def __reduce__(self):
-        steps = np.diff(self.terms, prepend=np.int32(0)).astype(np.int32)
-        parts = self.ids, self.labels, self.starts, steps, self.counts.astype(np.int32), self.weight
-        return _unpacked, tuple((a.dtype.str, zlib.compress(a.tobytes(), 1)) for a in parts)
+        steps = np.diff(self.terms, prepend=np.int32(0)).astype(np.int32, copy=False)
+        parts = self.ids, self.labels, self.starts, steps, self.counts.astype(np.int32, copy=False), self.weight
+        return _unpacked, tuple((a.dtype.str, zlib.compress(np.ascontiguousarray(a), 1)) for a in parts)
 
     def built(self) -> BlockMaxIndex:
         """Itself, with its lists."""
@@ -208,23 +210,34 @@ def _unpacked(*parts: tuple[str, bytes]) -> BlockMaxIndex:
     return BlockMaxIndex(ids, labels, starts, np.cumsum(steps, dtype=np.int32), counts, weight)
 
 
-class Numbers(dict):
-    """Numbers of terms from 0 on, ``heads`` those of beginnings without their mark.
+class Numbers:
+    """Numbers of terms from 0 on, in the order given.
 
-    Pickled as compressed text, as terms have no line ends.
+    Held and pickled as compressed text, as terms have no line ends; the tables are built at the first look, hence
+    not on the driver.
     """
 
-    def __init__(self, pairs: Iterable[tuple[bytes, int]]) -> None:
-        super().__init__(pairs)
-        self.heads = {t[1:]: i for t, i in self.items() if t[:1] == b"^"}
+    def __init__(self, packed: bytes, size: int) -> None:
+        self.packed, self.size = packed, size
+        self.found: tuple[dict[bytes, int], dict[bytes, int]] | None = None
 
-    def __reduce__(self):
-        return _numbers, (zlib.compress(b"\n".join(self), 1),)
+    @classmethod
+    def of(cls, terms: pa.Array) -> Numbers:
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms), b"\n")[0]
+        return cls(zlib.compress(text.as_buffer(), 1), len(terms))
+
+    def __len__(self) -> int:
+        return self.size
 
+    def tables(self) -> tuple[dict[bytes, int], dict[bytes, int]]:
+        """The numbers of terms, and those of beginnings without their mark."""
+        if self.found is None:
+            numbers = {t: i for i, t in enumerate(zlib.decompress(self.packed).split(b"\n"))} if self.size else {}
+            self.found = numbers, {t[1:]: i for t, i in numbers.items() if t[:1] == b"^"}
+        return self.found
 
-def _numbers(packed: bytes) -> Numbers:
-    text = zlib.decompress(packed)
-    return Numbers((t, i) for i, t in enumerate(text.split(b"\n") if text else []))
+    def __reduce__(self):
+        return Numbers, (self.packed, self.size)
 
 
 class ToxicityModel(NamedTuple):
@@ -239,7 +252,8 @@ class ToxicityModel(NamedTuple):
 
     def counted(self, text: bytes) -> Counts:
         """Numbers and counts of the terms of a text that any example has, in order."""
-        number, head, found = self.numbers.get, self.numbers.heads.get, {}
+        number, head = (table.get for table in self.numbers.tables())
+        found = {}
         for word, n in Counter(words_of(text)).items():
             at = number(word)
             if at is not None:
@@ -254,7 +268,8 @@ class ToxicityModel(NamedTuple):
 
     def known(self, text: bytes) -> list[int]:
         """Numbers of the terms of a text that any example has."""
-        number, head, words = self.numbers.get, self.numbers.heads.get, set(words_of(text))
+        number, head = (table.get for table in self.numbers.tables())
+        words = set(words_of(text))
         found = set(map(number, words))
         found.update(map(head, {w[:HEAD] for w in words if len(w) > HEAD}))
         found.discard(None)
@@ -338,10 +353,8 @@ def _term_table(sample: DataFrame) -> pa.Table:
     )
 
 
-def _document_frequency(docs: DataFrame, model: ToxicityModel, text: str) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many documents there are."""
-    size = len(model.numbers)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _document_frequency(docs: DataFrame, shared: Broadcast, size: int, text: str) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of ``size`` terms of the model is, and how many documents there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = shared.value, np.zeros(size + 1, np.int64)
@@ -374,12 +387,12 @@ def train_toxicity(
     sample = labelled_sample(docs, labels, label, F.lit(True) if usable is None else usable, rows, id, text)
     found = _term_table(sample)
     n, toxic = found["n"].to_numpy().astype(float), found["toxic"].to_numpy().astype(float)
-    bare = ToxicityModel(
-        Numbers((t, i) for i, t in enumerate(found["term"].to_pylist())), n.astype(np.int32), None, np.zeros(1), np.zeros(1), 0.0)
+    numbers = Numbers.of(found["term"].combine_chunks())
+    bare = ToxicityModel(numbers, n.astype(np.int32), None, np.zeros(1), np.zeros(1), 0.0)
     del found
-    frequency, total = _document_frequency(docs, bare, text)
-    source = sample.select("doc_id", "label", raw_text().alias("text"))
     shared = spark.sparkContext.broadcast(bare)
+    frequency, total = _document_frequency(docs, shared, len(numbers), text)
+    source = sample.select("doc_id", "label", raw_text().alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,6 +424,9 @@ def train_toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1)], ["vote", "label"])
 
     votes = source.mapInArrow(left_out, "vote double, label int").filter("vote IS NOT NULL").toArrow()
+    # What the driver keeps of these would stay beside the broadcast of the whole model.
+    shared.unpersist()
+    tuned.unpersist()
     x, rates = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy())
     return model._replace(votes=x, rates=rates)
 

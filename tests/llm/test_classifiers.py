@@ -209,3 +209,14 @@ def test_edges(spark, kind):
         assert drop(docs, model).count() == sum(bool(r.predicted) == (kind == "quality") for r in got)
         assert score(nothing(spark), model).count() == 0 == drop(nothing(spark), model).count()
     train(nothing(spark), labels, "label")
+
+
+def test_toxicity_terms_are_held_packed_on_the_driver(spark):
+    docs, labels, n = made(spark, insult)
+    model = X.train_toxicity(docs, labels, "label")
+    assert model.numbers.found is None and model.index.order is None
+    terms = sorted(set().union(*(X.terms_of(X.words_of(r.text.encode())) for r in docs.collect())))
+    table, heads = pickle.loads(pickle.dumps(model.numbers)).tables()
+    assert table == {t: i for i, t in enumerate(terms)} and len(model.numbers) == len(terms)
+    assert heads == {t[1:]: i for t, i in table.items() if t[:1] == b"^"}
+    assert X.Numbers.of(X.pa.array([], X.pa.binary())).tables() == ({}, {})
