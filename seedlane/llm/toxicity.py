@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlane.llm.common import as_frame_stream, raw_text
+from seedlane.llm.common import as_frame_stream, byte_array, raw_text
 from seedlane.llm.labelled import labelled_sample
 
 # Labelled texts that are examples.
@@ -36,9 +36,13 @@ THRESHOLD = 0.3
 # Length in bytes of the beginnings of words that are terms.
 HEAD = 5
 # Examples of a block; terms that one example in so many has are kept by block; texts searched together.
-BLOCK, COMMON, TOGETHER = 64, 20, 128
+BLOCK, COMMON, TOGETHER = 64, 20, 256
+# Blocks whose products are computed at once.
+JOINED = 16
 # Postings that are added up at once.
 POSTINGS = 1 << 20
+# Bytes of texts whose words are looked up at once, beyond which another text does not begin.
+LOOKED_UP = 1 << 21
 # What sums in single precision may be off.
 SLACK = 1e-5
 # By how much more a term weighs that is certain for the rarer label than one that tells nothing, and deviations
@@ -57,6 +61,27 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_SPACES).split()
 
 
+def words_of_each(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The row and the place among the different words of every word of ``texts``, and these words."""
+    data, ends = byte_array(texts)
+    text = data.tobytes().lower().translate(_SPACES)
+    # Only ASCII is looked at, so the bytes need not be valid UTF-8.
+    split = pc.ascii_split_whitespace(
+        pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(text)]))
+    flat = split.flatten()
+    kept = np.flatnonzero(pc.binary_length(flat).to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())[kept]
+    coded = flat.dictionary_encode()
+    return row, coded.indices.to_numpy()[kept], coded.dictionary.view(pa.large_binary()).to_pylist()
+
+
+def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in parts whose bytes are few but for the last text of each."""
+    _, ends = byte_array(texts)
+    cuts = [0, *(np.flatnonzero(np.diff(ends[:-1] // LOOKED_UP)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
 def terms_of(words: Iterable[bytes]) -> set[bytes]:
     """The words and, each with a mark, their beginnings."""
     found = set(words)
@@ -78,7 +103,7 @@ class BlockMaxIndex:
 
     def __reduce__(self):
         steps = np.diff(self.terms, prepend=np.int32(0)).astype(np.int32, copy=False)
-        parts = self.ids, self.labels, self.starts, steps, self.counts.astype(np.int32, copy=False), self.weight
+        parts = self.ids, self.labels, self.starts, steps, self.counts.astype(np.min_scalar_type(self.counts.max(initial=0))), self.weight
         return _unpacked, tuple((a.dtype.str, zlib.compress(np.ascontiguousarray(a), 1)) for a in parts)
 
     def built(self) -> BlockMaxIndex:
@@ -90,38 +115,48 @@ class BlockMaxIndex:
     def _build(self) -> None:
         n, size = len(self.ids), np.bincount(self.terms, minlength=len(self.weight))
         who = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
-        self.own = (1 + np.log(self.counts)) * self.weight[self.terms]
-        length = np.sqrt(np.bincount(who, self.own**2, minlength=n))
-        self.own /= np.maximum(length, 1e-300)[who]
+        own = self._weights(slice(None))
+        self.length = np.maximum(np.sqrt(np.bincount(who, own**2, minlength=n)), 1e-300)
+        own /= self.length[who]
+        own = own.astype(np.float32)
         # Their number is at most COMMON times the terms of an example.
         common = np.flatnonzero((size > 0) & (size * COMMON >= n))
         self.column = np.full(len(self.weight), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        # Examples next to those that are nearest to the same of some examples.
-        seeds = self._rows(np.unique(np.linspace(0, n - 1, 64).astype(int))) if n else np.zeros((1, len(common)))
-        near = [(self._rows(np.arange(i, min(n, i + 512))) @ seeds.T).argmax(1) for i in range(0, n, 512)]
-        self.order = np.argsort(np.concatenate([np.zeros(0, np.int64), *near]), kind="stable")
+        column = self.column[self.terms]
+        kept, rare = np.flatnonzero(column >= 0).astype(np.int32), np.flatnonzero(column < 0).astype(np.int32)
+        column = column[kept]
+        rows = np.zeros((-(-n // BLOCK) * BLOCK, len(common)), np.float32)
+        rows[who[kept], column] = own[kept]
+        self.order = self._like_together(rows[:n])
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
-        blocks = -(-n // BLOCK)
-        self.matrix = np.zeros((blocks, BLOCK, len(common)), np.float32)
-        for block in range(blocks):
-            numbers = self.order[block * BLOCK:(block + 1) * BLOCK]
-            self.matrix[block, :len(numbers)] = self._rows(numbers)
+        rows[:] = 0
+        rows[place[who[kept]], column] = own[kept]
+        self.matrix = rows.reshape(len(rows) // BLOCK, BLOCK, len(common))
         self.block_max = self.matrix.max(axis=1)
-        rare = np.flatnonzero(self.column[self.terms] < 0).astype(np.int32)
+        del kept, column
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.post_place, self.post_weight = place[who[rare]], self.own[rare].astype(np.float32)
+        self.posts = np.empty(len(rare), [("place", np.int32), ("weight", np.float32)])
+        self.posts["place"], self.posts["weight"] = place[who[rare]], own[rare]
         self.post_start = np.searchsorted(self.terms[rare], np.arange(len(self.weight) + 1))
-        self._asked = np.zeros(len(self.weight))
-
-    def _rows(self, numbers: np.ndarray) -> np.ndarray:
-        """Weights of the frequent terms of some examples."""
-        out = np.zeros((len(numbers), self.column.max(initial=-1) + 1), np.float32)
-        for row, i in enumerate(numbers.tolist()):
-            column = self.column[self.terms[self.starts[i]:self.starts[i + 1]]]
-            out[row, column[column >= 0]] = self.own[self.starts[i]:self.starts[i + 1]][column >= 0]
-        return out
+        self._asked = np.zeros(len(self.weight), np.int32)
+
+    def _weights(self, at: np.ndarray | slice) -> np.ndarray:
+        """Weights of some of the examples' terms, not yet of length one."""
+        return (1 + np.log(self.counts[at].astype(float))) * self.weight[self.terms[at]]
+
+    @staticmethod
+    def _like_together(rows: np.ndarray) -> np.ndarray:
+        """Examples next to those that are nearest to the same of some, which follow each other by likeness."""
+        n = len(rows)
+        seeds = rows[np.unique(np.linspace(0, n - 1, 64).astype(int))] if n else rows
+        like, chain = seeds @ seeds.T, list(range(min(1, n)))
+        while len(chain) < len(seeds):
+            left = np.setdiff1d(np.arange(len(seeds)), chain)
+            chain.append(int(left[like[chain[-1], left].argmax()]))
+        near = [(rows[i:i + 512] @ seeds[chain].T).argmax(1) for i in range(0, n, 512)]
+        return np.argsort(np.concatenate([np.zeros(0, np.int64), *near]), kind="stable")
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of different terms, of length one."""
@@ -136,40 +171,56 @@ class BlockMaxIndex:
         For each of ``texts``, given by terms and counts; ``but`` has an id for each whose examples are left out.
         """
         self.built()
-        for start in range(0, len(texts), TOGETHER):
-            end = start + TOGETHER
-            yield from self._nearest(texts[start:end], k, but[start:end] if but else [])
-
-    def _nearest(self, texts: list[Counts], k: int, but: list[int | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        blocks, _, columns = self.matrix.shape
         vectors = [self.vector(*t) for t in texts]
-        asked = np.zeros((len(texts), columns), np.float32)
-        sums = np.zeros((len(texts), blocks, BLOCK), np.float32)
+        asked = np.zeros((len(texts), self.matrix.shape[2]), np.float32)
         for row, ((terms, _), weights) in enumerate(zip(texts, vectors)):
             column = self.column[terms]
-            kept = column >= 0
-            asked[row, column[kept]] = weights[kept]
-            self._add_lists(sums[row].reshape(-1), terms[~kept], weights[~kept])
-        bound = sums.max(axis=2) + asked @ self.block_max.T
+            asked[row, column[column >= 0]] = weights[column >= 0]
+        # Texts that ask for the same blocks are searched together.
+        bound = asked @ self.block_max.T
+        by = np.argsort(bound.argmax(axis=1), kind="stable") if bound.size else np.arange(len(texts))
+        found: list = [None] * len(texts)
+        for start in range(0, len(texts), TOGETHER):
+            rows = by[start:start + TOGETHER]
+            every = self._nearest(
+                [(texts[i][0], vectors[i]) for i in rows], asked[rows], bound[rows], k, [but[i] for i in rows] if but else [])
+            for i, one in zip(rows, every):
+                found[i] = one
+        yield from found
+
+    def _nearest(
+        self, texts: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, bound: np.ndarray, k: int, but: list[int | None]
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples for each of ``texts``, given by terms and weights, by columns and by bounds of these."""
+        blocks = len(self.matrix)
+        sums = np.zeros((len(texts), blocks, BLOCK), np.float32)
+        for row, (terms, weights) in enumerate(texts):
+            self._add_lists(sums[row].reshape(-1), terms, weights)
+        bound = bound + sums.max(axis=2)
         for row, id in enumerate(but):
             if id is not None:
                 sums[row].reshape(-1)[np.flatnonzero(self.ids[self.order] == id)] = -10
         best_first = -np.sort(-bound, axis=1)
         done, least = np.zeros(bound.shape, bool), np.zeros(len(texts), np.float32)
         # The most promising blocks tell which of the others can be skipped.
-        for ahead in (2, 8, blocks):
+        for ahead, joined in ((4, 1), (blocks, JOINED)):
             need = ~done & (bound > 0) & (bound >= least[:, None] - SLACK)
             if ahead < blocks:
                 need &= bound >= best_first[:, ahead - 1:ahead]
-            for block in np.flatnonzero(need.any(axis=0)):
-                rows = np.flatnonzero(need[:, block])
-                sums[rows, block] += asked[rows] @ self.matrix[block].T
+            for first in range(0, blocks, joined):
+                here = need[:, first:first + joined]
+                rows = np.flatnonzero(here.any(axis=1))
+                if len(rows):
+                    part = self.matrix[first:first + joined]
+                    product = part.reshape(len(part) * BLOCK, part.shape[2]) @ asked[rows].T
+                    sums[rows, first:first + joined] += product.T.reshape(len(rows), -1, BLOCK) * here[rows, :, None]
             done |= need
             for row in np.flatnonzero(need.any(axis=1)):
-                known = sums[row][done[row]].reshape(-1)
-                if len(known) > k:
-                    least[row] = max(0, np.partition(known, -k)[-k])
-        for row, ((terms, _), weights) in enumerate(zip(texts, vectors)):
+                known = sums[row][done[row]]
+                known = known[known >= least[row]]
+                if len(known) >= k:
+                    least[row] = np.partition(known, -k)[-k]
+        for row, (terms, weights) in enumerate(texts):
             whole = np.flatnonzero(done[row])
             at, offset = np.nonzero((sums[row, whole] >= least[row] - SLACK) & (sums[row, whole] > 0))
             near = np.sort(self.order[whole[at] * BLOCK + offset])
@@ -185,19 +236,23 @@ class BlockMaxIndex:
             if len(cut):
                 at = np.repeat(start[cut] - before[cut], size[cut])
                 at += np.arange(before[cut[0]], before[cut[0]] + len(at))
-                product = self.post_weight[at] * np.repeat(weights[cut].astype(np.float32), size[cut])
-                sums += np.bincount(self.post_place[at], product, minlength=len(sums))
+                found = self.posts.view(np.int64)[at].view(self.posts.dtype)
+                product = found["weight"] * np.repeat(weights[cut], size[cut])
+                sums += np.bincount(found["place"], product, minlength=len(sums))
 
     def _cosines(self, numbers: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Cosines with some examples in double precision, rounded so that equal vectors tie."""
         if not len(numbers):
             return np.zeros(0)
-        self._asked[terms] = weights
+        self._asked[terms] = np.arange(1, len(terms) + 1)
         start, size = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
         before = np.cumsum(size) - size
-        at = np.repeat(start - before, size) + np.arange(size.sum())
-        product = self._asked[self.terms[at]] * self.own[at]
+        asked = self._asked[np.concatenate([self.terms[a:a + n] for a, n in zip(start.tolist(), size.tolist())])]
         self._asked[terms] = 0
+        shared = np.flatnonzero(asked != 0)
+        row = np.repeat(np.arange(len(numbers)), np.diff(np.searchsorted(shared, np.r_[before, len(asked)])))
+        product = np.zeros(len(asked))
+        product[shared] = weights[asked[shared] - 1] * (self._weights(shared + (start - before)[row]) / self.length[numbers[row]])
         return np.round(np.add.reduceat(product, before), 12)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +268,14 @@ def _unpacked(*parts: tuple[str, bytes]) -> BlockMaxIndex:
 class Numbers:
     """Numbers of terms from 0 on, in the order given.
 
-    Held and pickled as compressed text, as terms have no line ends; the tables are built at the first look, hence
-    not on the driver.
+    Held and pickled as compressed text, as terms have no line ends; terms and tables are only unpacked at the first
+    look, hence not on the driver.
     """
 
     def __init__(self, packed: bytes, size: int) -> None:
         self.packed, self.size = packed, size
         self.found: tuple[dict[bytes, int], dict[bytes, int]] | None = None
+        self.terms: pa.Array | None = None
 
     @classmethod
     def of(cls, terms: pa.Array) -> Numbers:
@@ -236,6 +292,36 @@ class Numbers:
             self.found = numbers, {t[1:]: i for t, i in numbers.items() if t[:1] == b"^"}
         return self.found
 
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words and of their beginnings, -1 without."""
+        if self.terms is None:
+            self._unpack()
+        long = [i for i, w in enumerate(words) if len(w) > HEAD]
+        heads = np.full(len(words), -1)
+        heads[long] = self._look_up([b"^" + words[i][:HEAD] for i in long])
+        return self._look_up(words), heads
+
+    def _unpack(self) -> None:
+        """The terms, and their numbers by hash."""
+        found = zlib.decompress(self.packed).split(b"\n") if self.size else []
+        self.terms = pa.array(found, pa.large_binary())
+        hashes = np.fromiter(map(hash, found), np.int64, self.size)
+        self.by_hash = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.by_hash]
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 without: that of the equal one among the terms of its hash."""
+        out = np.full(len(words), -1)
+        hashes, asked = np.fromiter(map(hash, words), np.int64, len(words)), pa.array(words, pa.large_binary())
+        at, left = np.searchsorted(self.hashes, hashes), np.arange(len(words))
+        while len(left := left[at[left] < self.size]) and len(left := left[self.hashes[at[left]] == hashes[left]]):
+            number = self.by_hash[at[left]]
+            equal = pc.equal(self.terms.take(pa.array(number)), asked.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[equal]] = number[equal]
+            left = left[~equal]
+            at[left] += 1
+        return out
+
     def __reduce__(self):
         return Numbers, (self.packed, self.size)
 
@@ -250,30 +336,26 @@ class ToxicityModel(NamedTuple):
     rates: np.ndarray
     no_evidence: float
 
-    def counted(self, text: bytes) -> Counts:
-        """Numbers and counts of the terms of a text that any example has, in order."""
-        number, head = (table.get for table in self.numbers.tables())
-        found = {}
-        for word, n in Counter(words_of(text)).items():
-            at = number(word)
-            if at is not None:
-                # A word is no beginning, so its number comes up once.
-                found[at] = n
-            if len(word) > HEAD and (at := head(word[:HEAD])) is not None:
-                found[at] = found.get(at, 0) + n
-        terms = np.fromiter(found, np.int64, len(found))
-        counts = np.fromiter(found.values(), np.int64, len(found))
-        by = np.argsort(terms)
-        return terms[by], counts[by]
-
-    def known(self, text: bytes) -> list[int]:
-        """Numbers of the terms of a text that any example has."""
-        number, head = (table.get for table in self.numbers.tables())
-        words = set(words_of(text))
-        found = set(map(number, words))
-        found.update(map(head, {w[:HEAD] for w in words if len(w) > HEAD}))
-        found.discard(None)
-        return list(found)
+    def counted(self, texts: list[bytes]) -> list[Counts]:
+        """Numbers and counts of the terms of each text that any example has, in order."""
+        ends, terms, counts = self.counted_flat(pa.array(texts, pa.large_binary()))
+        return [(terms[a:b], counts[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def counted_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same one after the other, and where each text begins, then the last one's end."""
+        found = [self._counted_part(part) for part in parts_of(texts)]
+        none = np.zeros(0, np.int64)
+        size, terms, counts = map(np.concatenate, zip((none, none, none), *found))
+        return np.r_[0, np.cumsum(size)], terms, counts
+
+    def _counted_part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, word, words = words_of_each(texts)
+        own, head = self.numbers.of_words(words)
+        # A word is no beginning, so within a text its number comes up as often as it does.
+        key = np.concatenate([row[n >= 0] * len(self.numbers) + n[n >= 0] for n in (own[word], head[word])])
+        key, counts = np.unique(key, return_counts=True)
+        row, terms = np.divmod(key, max(1, len(self.numbers)))
+        return np.bincount(row, minlength=len(texts)), terms, counts
 
     def votes_of(
         self, texts: list[Counts], but: list[int | None] | None = None
@@ -295,7 +377,7 @@ class ToxicityModel(NamedTuple):
             seen.clear()
         keys = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
         new = {k: t for k, t in zip(keys, texts) if k not in seen}
-        for key, (vote, best, cosine) in zip(new, self.votes_of([self.counted(t) for t in new.values()])):
+        for key, (vote, best, cosine) in zip(new, self.votes_of(self.counted(list(new.values())))):
             near = [{"doc_id": int(self.index.ids[b]), "cosine": float(c), "label": int(self.index.labels[b])}
                     for b, c in zip(best[:3], cosine[:3])]
             seen[key] = self.probability(vote), near
@@ -360,8 +442,8 @@ def _document_frequency(docs: DataFrame, shared: Broadcast, size: int, text: str
         model, counts = shared.value, np.zeros(size + 1, np.int64)
         for batch in batches:
             counts[size] += batch.num_rows
-            for text in batch.column(0):
-                counts[model.known(text.as_py())] += 1
+            for part in parts_of(batch.column(0)):
+                counts[:size] += np.bincount(model.counted_flat(part)[1], minlength=size)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])], ["term", "n"])
 
@@ -395,11 +477,10 @@ def train_toxicity(
     source = sample.select("doc_id", "label", raw_text().alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.counted(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())),
-                 pa.array([c for _, c in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "counts"])
+        for batch in as_frame_stream(batches, 1000):
+            ends, *found = shared.value.counted_flat(batch.column(2))
+            terms, counts = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(a, pa.int32())) for a in found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, counts], ["doc_id", "label", "terms", "counts"])
 
     held = source.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow()
     held = held.sort_by([("doc_id", "ascending")]).combine_chunks()
@@ -416,8 +497,8 @@ def train_toxicity(
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tuned.value
-        for batch in as_frame_stream(batches, 256):
-            texts = [model.counted(t.as_py()) for t in batch.column(2)]
+        for batch in as_frame_stream(batches, 1000):
+            texts = model.counted(batch.column(2).to_pylist())
             # What no other example has would be unknown without this one.
             texts = [(t[shared], c[shared]) for t, c in texts for shared in [model.examples[t] > 1]]
             votes = [v for v, _, _ in model.votes_of(texts, batch.column(0).to_pylist())]

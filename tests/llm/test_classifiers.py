@@ -220,3 +220,43 @@ def test_toxicity_terms_are_held_packed_on_the_driver(spark):
     assert table == {t: i for i, t in enumerate(terms)} and len(model.numbers) == len(terms)
     assert heads == {t[1:]: i for t, i in table.items() if t[:1] == b"^"}
     assert X.Numbers.of(X.pa.array([], X.pa.binary())).tables() == ({}, {})
+
+
+ODD = [b"", b"   ", b"\xff\xfe abcdefgh\x00abcdefgh Zz", b"a", b"!!!", "\u65e5\u672c\u8a9e the".encode()[:-5],
+       b"^the the abcde abcdefg abcdezz", b"the\n\nThe\tand\x0bthe the", b"unheard-of", b"the " * 300]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_terms_of_many_texts_are_counted_at_once(monkeypatch, collide):
+    """As text by text, in parts of few bytes, texts that are no valid UTF-8 among them; also if all hashes are equal."""
+    monkeypatch.setattr(X, "LOOKED_UP", 20)
+    if collide:
+        monkeypatch.setattr(X, "hash", lambda word: 7, raising=False)
+    known = sorted(set().union(*(X.terms_of(X.words_of(t)) for t in ODD if t != b"unheard-of")))
+    number = {t: i for i, t in enumerate(known)}
+    model = X.ToxicityModel(X.Numbers.of(X.pa.array(known, X.pa.binary())), np.ones(len(known)), None, np.zeros(1), np.zeros(1), 0.0)
+    want = []
+    for text in ODD * 2:
+        found = {}
+        for w in X.words_of(text):
+            for t in (w, b"^" + w[:X.HEAD])[:1 + (len(w) > X.HEAD)]:
+                if t in number:
+                    found[number[t]] = found.get(number[t], 0) + 1
+        want.append(sorted(found.items()))
+    got = [list(zip(t.tolist(), c.tolist())) for t, c in model.counted(ODD * 2)]
+    assert got == want and model.counted([]) == []
+    assert model.numbers.found is None
+    none = X.Numbers.of(X.pa.array([], X.pa.binary()))
+    assert [n.tolist() for n in none.of_words([b"a", b"abcdefg"])] == [[-1, -1], [-1, -1]]
+
+
+def test_a_searched_index_holds_each_posting_once():
+    """Beside the matrix of frequent terms a task holds at most 16 bytes a posting: number, count, list."""
+    draw = np.random.default_rng(4)
+    index, _, texts = made_index(draw, 700, np.full(400, 0.04))
+    again = pickle.loads(pickle.dumps(index)).built()
+    held = sum(a.nbytes for name, a in vars(again).items() if isinstance(a, np.ndarray) and name not in ("matrix", "block_max"))
+    small = 64 * (700 + 400)
+    assert held <= 16 * index.starts[-1] + small
+    for (a, b), (c, d) in zip(index.nearest_each(texts, 15), again.nearest_each(texts, 15)):
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
