@@ -39,6 +39,8 @@ HEAD = 5
 BLOCK, COMMON, TOGETHER = 64, 20, 256
 # Blocks whose products are computed at once.
 JOINED = 16
+# Counts from 0 on whose weights are kept in a table.
+LOGS = 256
 # Postings that are added up at once.
 POSTINGS = 1 << 20
 # Bytes of texts whose words are looked up at once, beyond which another text does not begin.
@@ -61,6 +63,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_SPACES).split()
 
 
+def joined_lines(words: pa.Array) -> bytes:
+    """Words, which have no line ends, as lines; the same as what ``split_lines`` takes apart, but much faster than a list."""
+    if not len(words):
+        return b""
+    every = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    return pc.binary_join(every, pa.scalar(b"\n", words.type))[0].as_buffer().to_pybytes()
+
+
+def split_lines(lines: bytes) -> list[bytes]:
+    return lines.split(b"\n") if lines else []
+
+
 def words_of_each(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The row and the place among the different words of every word of ``texts``, and these words."""
     data, ends = byte_array(texts)
@@ -72,7 +86,7 @@ def words_of_each(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]
     kept = np.flatnonzero(pc.binary_length(flat).to_numpy(zero_copy_only=False))
     row = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())[kept]
     coded = flat.dictionary_encode()
-    return row, coded.indices.to_numpy()[kept], coded.dictionary.view(pa.large_binary()).to_pylist()
+    return row, coded.indices.to_numpy()[kept], split_lines(joined_lines(coded.dictionary.view(pa.large_binary())))
 
 
 def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
@@ -140,7 +154,8 @@ class BlockMaxIndex:
         self.posts = np.empty(len(rare), [("place", np.int32), ("weight", np.float32)])
         self.posts["place"], self.posts["weight"] = place[who[rare]], own[rare]
         self.post_start = np.searchsorted(self.terms[rare], np.arange(len(self.weight) + 1))
-        self._asked = np.zeros(len(self.weight), np.int32)
+        self._asked, self._is_asked = np.zeros(len(self.weight), np.int32), np.zeros(len(self.weight), bool)
+        self.logs = 1 + np.log(np.maximum(np.arange(LOGS), 1))
 
     def _weights(self, at: np.ndarray | slice) -> np.ndarray:
         """Weights of some of the examples' terms, not yet of length one."""
@@ -222,8 +237,10 @@ class BlockMaxIndex:
                     least[row] = np.partition(known, -k)[-k]
         for row, (terms, weights) in enumerate(texts):
             whole = np.flatnonzero(done[row])
-            at, offset = np.nonzero((sums[row, whole] >= least[row] - SLACK) & (sums[row, whole] > 0))
-            near = np.sort(self.order[whole[at] * BLOCK + offset])
+            known = sums[row, whole].reshape(-1)
+            at = np.flatnonzero(known >= least[row] - SLACK)
+            at = at[known[at] > 0]
+            near = np.sort(self.order[whole[at // BLOCK] * BLOCK + at % BLOCK])
             score = self._cosines(near, terms, weights)
             top = np.lexsort((near, -score))[:k]
             yield near[top], score[top]
@@ -231,12 +248,14 @@ class BlockMaxIndex:
     def _add_lists(self, sums: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
         """Adds the products of a text's infrequent terms, by place."""
         start, size = self.post_start[terms], self.post_start[terms + 1] - self.post_start[terms]
+        listed = np.flatnonzero(size)
+        start, size, weights = start[listed], size[listed], weights[listed].astype(np.float32)
         before = np.cumsum(size) - size
-        for cut in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(before // POSTINGS)) + 1):
+        for cut in np.split(np.arange(len(listed)), np.flatnonzero(np.diff(before // POSTINGS)) + 1):
             if len(cut):
                 at = np.repeat(start[cut] - before[cut], size[cut])
                 at += np.arange(before[cut[0]], before[cut[0]] + len(at))
-                found = self.posts.view(np.int64)[at].view(self.posts.dtype)
+                found = self.posts.view(np.int64).take(at).view(self.posts.dtype)
                 product = found["weight"] * np.repeat(weights[cut], size[cut])
                 sums += np.bincount(found["place"], product, minlength=len(sums))
 
@@ -244,16 +263,23 @@ class BlockMaxIndex:
         """Cosines with some examples in double precision, rounded so that equal vectors tie."""
         if not len(numbers):
             return np.zeros(0)
-        self._asked[terms] = np.arange(1, len(terms) + 1)
+        self._asked[terms], self._is_asked[terms] = np.arange(len(terms)), True
         start, size = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
         before = np.cumsum(size) - size
-        asked = self._asked[np.concatenate([self.terms[a:a + n] for a, n in zip(start.tolist(), size.tolist())])]
-        self._asked[terms] = 0
-        shared = np.flatnonzero(asked != 0)
-        row = np.repeat(np.arange(len(numbers)), np.diff(np.searchsorted(shared, np.r_[before, len(asked)])))
-        product = np.zeros(len(asked))
-        product[shared] = weights[asked[shared] - 1] * (self._weights(shared + (start - before)[row]) / self.length[numbers[row]])
-        return np.round(np.add.reduceat(product, before), 12)
+        every = np.concatenate([self.terms[a:a + n] for a, n in zip(start.tolist(), size.tolist())])
+        # A tenth of them or less is shared, so a small table tells which.
+        shared = np.flatnonzero(self._is_asked[every])
+        asked = self._asked[every[shared]]
+        self._is_asked[terms] = False
+        ends = np.searchsorted(shared, np.r_[before[1:], before[-1] + size[-1]])
+        row = np.repeat(np.arange(len(numbers)), np.diff(ends, prepend=0))
+        # The weights as in ``_weights``; the text has all of these terms.
+        count = self.counts.take(shared + (start - before)[row])
+        own = self.weight[terms].take(asked) * self.logs.take(np.minimum(count, len(self.logs) - 1))
+        high = np.flatnonzero(count >= len(self.logs))
+        own[high] = self._weights((shared + (start - before)[row])[high])
+        product = weights.take(asked) * (own / self.length[numbers][row])
+        return np.round(np.bincount(row, product, minlength=len(numbers)), 12)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples of one text."""
@@ -296,10 +322,13 @@ class Numbers:
         """The numbers of words and of their beginnings, -1 without."""
         if self.terms is None:
             self._unpack()
-        long = [i for i, w in enumerate(words) if len(w) > HEAD]
-        heads = np.full(len(words), -1)
-        heads[long] = self._look_up([b"^" + words[i][:HEAD] for i in long])
-        return self._look_up(words), heads
+        asked, heads = pa.array(words, pa.large_binary()), np.full(len(words), -1)
+        long = np.flatnonzero(pc.binary_length(asked).to_numpy(zero_copy_only=False) > HEAD)
+        # Many words have the same beginning.
+        coded = pc.binary_slice(asked.take(pa.array(long)), 0, HEAD).dictionary_encode()
+        different = [b"^" + h for h in split_lines(joined_lines(coded.dictionary))]
+        heads[long] = self._look_up(different, pa.array(different, pa.large_binary()))[coded.indices.to_numpy()]
+        return self._look_up(words, asked), heads
 
     def _unpack(self) -> None:
         """The terms, and their numbers by hash."""
@@ -309,11 +338,14 @@ class Numbers:
         self.by_hash = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.by_hash]
 
-    def _look_up(self, words: list[bytes]) -> np.ndarray:
+    def _look_up(self, words: list[bytes], asked: pa.Array) -> np.ndarray:
         """The number of each word, -1 without: that of the equal one among the terms of its hash."""
         out = np.full(len(words), -1)
-        hashes, asked = np.fromiter(map(hash, words), np.int64, len(words)), pa.array(words, pa.large_binary())
-        at, left = np.searchsorted(self.hashes, hashes), np.arange(len(words))
+        hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        # In the order of the hashes, so that neighbours are looked up after each other.
+        left = np.argsort(hashes)
+        at = np.empty(len(words), np.int64)
+        at[left] = np.searchsorted(self.hashes, hashes[left])
         while len(left := left[at[left] < self.size]) and len(left := left[self.hashes[at[left]] == hashes[left]]):
             number = self.by_hash[at[left]]
             equal = pc.equal(self.terms.take(pa.array(number)), asked.take(pa.array(left))).to_numpy(zero_copy_only=False)

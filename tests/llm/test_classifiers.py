@@ -260,3 +260,24 @@ def test_a_searched_index_holds_each_posting_once():
     assert held <= 16 * index.starts[-1] + small
     for (a, b), (c, d) in zip(index.nearest_each(texts, 15), again.nearest_each(texts, 15)):
         assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+
+
+def test_a_beginning_is_looked_up_once(monkeypatch):
+    asked, look_up = [], X.Numbers._look_up
+    monkeypatch.setattr(X.Numbers, "_look_up", lambda self, words, *more: asked.extend(words) or look_up(self, words, *more))
+    numbers = X.Numbers.of(X.pa.array([b"^abcde", b"abcdefg", b"xyz"], X.pa.binary()))
+    words, heads = numbers.of_words([b"abcdef", b"abcdefg", b"xyz", b"abcde", b"abcdeX", b"\xc3\xa4\xc3\xa4\xc3\xa4"])
+    assert words.tolist() == [-1, 1, 2, -1, -1, -1] and heads.tolist() == [0, 0, -1, -1, 0, -1]
+    assert asked.count(b"^abcde") == 1
+
+
+def test_large_counts_weigh_as_small_ones_do():
+    n = 3 * X.LOGS
+    index = X.BlockMaxIndex(
+        np.arange(2), np.array([0, 1], np.int8), np.array([0, 2, 4]), np.array([0, 1, 0, 2], np.int32), np.array([n, 1, 2, 5], np.int32),
+        np.array([1.0, 2.0, 3.0]))
+    best, score = index.nearest(np.array([0, 2]), np.array([n, 1]), 2)
+    rows = np.array([[1 + np.log(n), 2, 0], [1 + np.log(2), 0, 3 * (1 + np.log(5))]])
+    asked = np.array([1 + np.log(n), 0, 3])
+    expected = rows @ asked / np.linalg.norm(rows, axis=1) / np.linalg.norm(asked)
+    assert dict(zip(best.tolist(), score)) == pytest.approx(dict(enumerate(expected)), abs=1e-11)
