@@ -8,18 +8,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seedlane.functions.arrays import ordered_text
 from seedlane.functions.text import HEADER_MARK, normalize
-from seedlane.operators.index import index_rows_text
+from seedlane.operators.index import index_rows_text, list_texts
 from seedlane.plans.layout import rows_fit, settled
 
 # Characters of the longest record that may be a query.
 MOST_CHARS = 100_000_000
 
+# How closely exported lines are compressed, of what zlib offers: the closest takes far longer than making them.
+ZLIB_LEVEL = "FOUR"
+# Texts of many lines, each of a slice of k-mers, in one exported file: some 40 MB of them.
+FILE_TEXTS = 16
+
 EARLIER = (Window.unboundedPreceding, -1)
 
 # First bytes of compressed data, names by which Spark knows it itself, and the bytes and lines read at once.
@@ -313,11 +319,43 @@ def write_fasta(records: DataFrame, path: str, width: int = 80) -> None:
     ).write.mode("overwrite").text(path)
 
 
-def export_index_tsv(index: DataFrame, path: str, compression: str = "lz4") -> None:
-    """Index rows as ``seq TAB ref_id TAB block TAB [offsets]``, in as many files as tasks.
+def tsv_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of :func:`export_index_tsv` inside the tasks that grouped the lists, those of a batch in one text."""
+    for lists in batches:
+        if len(lists):
+            lines = pc.binary_join_element_wise(
+                lists.column("seq"), lists.column("ref_id").cast(pa.string()), lists.column("block").cast(pa.string()),
+                list_texts(lists), "\t", null_handling="skip")
+            together = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
+            yield pa.RecordBatch.from_arrays([pc.binary_join(together, "\n")], ["value"])
+
+
+def lines_of_text(text: pa.StringScalar, begin: int, together: int = 1 << 17) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The lines of a text that ends with a line end, so many at a time, and the field of each at ``begin``, up to the next tab."""
+    data = text.as_buffer()
+    letters = np.frombuffer(data, np.uint8)
+    ends, tabs = np.flatnonzero(letters == ord("\n")), np.flatnonzero(letters == ord("\t"))
+    begins = np.concatenate([[0], ends[:-1] + 1])
+
+    def pieces(first: np.ndarray, last: np.ndarray) -> pa.Array:
+        # Every other one lies between two that are wanted.
+        edges = pa.py_buffer(np.stack([first, last], 1).reshape(-1).astype(np.int32))
+        return pa.StringArray.from_buffers(2 * len(first) - 1, edges, data).take(pa.array(np.arange(0, 2 * len(first), 2)))
+
+    for first in range(0, len(ends), together):
+        some = slice(first, first + together)
+        field = begins[some] + begin
+        yield pieces(begins[some], ends[some]), pieces(field, tabs[np.searchsorted(tabs, field)])
+
+
+def export_index_tsv(index: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Index rows as ``seq TAB ref_id TAB block TAB [offsets]``, in as many files as tasks or more.
 
-    Compressed unless ``compression`` is ``none``: the rows of neighbouring k-mers repeat nearly all of each other.
+    ``index`` are lists, or what :func:`tsv_lines` made of them; then a file has about as many characters as its k-mers
+    in ``FILE_TEXTS`` slices. Compressed unless ``compression`` is ``none``: the rows of
+    neighbouring k-mers repeat nearly all of each other.
     """
-    index_rows_text(index).select(
-        F.concat_ws("\t", "seq", "ref_id", "block", "value").alias("value")
-    ).write.mode("overwrite").text(path, compression=compression)
+    together = index.columns == ["value"]
+    lines = index if together else index_rows_text(index).select(F.concat_ws("\t", "seq", "ref_id", "block", "value").alias("value"))
+    written = lines.write.mode("overwrite").option("zlib.compress.level", ZLIB_LEVEL)
+    (written.option("maxRecordsPerFile", FILE_TEXTS) if together else written).text(path, compression=compression)
