@@ -112,3 +112,19 @@ def test_stored_by_an_earlier_version(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     with pytest.raises(ValueError, match="build it again"):
         open_reference(spark, str(tmp_path), "r")
+
+
+def test_nothing_shuffled_is_left(spark, tmp_path):
+    """What was moved to store an index goes when it is stored; the session's settings are as before."""
+
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getPath() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before, settings = shuffled(), {key: spark.conf.get(key) for key in tables.STORING}
+    packed = index_sequences(
+        refs_of(spark, [words(9, 100_000)]), 11, 1000, 2, lambda b: tables.lists_for_buckets(b, 1000, 4, {}), tables.PACKED)
+    tables.write_index(packed, f"{tmp_path}/index", 1000, 4)
+    assert not shuffled() - before
+    assert {key: spark.conf.get(key) for key in tables.STORING} == settings
+    assert spark.read.parquet(f"{tmp_path}/index").agg(F.sum(F.size(F.flatten("value")))).first()[0] == 99_990
